@@ -50,9 +50,14 @@ def make_text_key(x: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.upper(clean_text(x)), "[^A-Z0-9]+", ""), F.lit(""))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed decimals; a missing number is NULL, not the text "null"."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
 def format_value(x: Column | str) -> Column:
     """Two decimals, then trailing zeros and a trailing point removed."""
-    return F.regexp_replace(F.format_string("%.2f", as_col(x).cast("double")), r"\.?0+$", "")
+    return F.regexp_replace(fixed(as_col(x).cast("double"), 2), r"\.?0+$", "")
 
 
 def truthy_text(x: Column | str, yes: Sequence[str], no: Sequence[str], tokens: Sequence[str]) -> Column:
@@ -126,18 +131,18 @@ def round_half(x: Column | str, digits: int) -> Column:
 def signed(x: Column | str, digits: int, suffix: str = "") -> Column:
     value = round_half(x, digits)
     sign = F.when(value > 0, F.lit("+")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_string(f"%.{digits}f", value), F.lit(suffix))
+    return F.concat(sign, fixed(value, digits), F.lit(suffix))
 
 
 def percent(x: Column | str, digits: int = 1, suffix: str = "%") -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", round_half(as_col(x) * 100, digits)), F.lit(suffix))
+    return F.concat(fixed(round_half(as_col(x) * 100, digits), digits), F.lit(suffix))
 
 
 def change_sentence(place: Column | str, year: Column | str, difference: Column | str, tolerance: float, noun: str) -> Column:
     """"<place> <year>: little change" or "raises/lowers <noun> by about x"."""
     diff = as_col(difference)
     lead = F.concat(as_col(place), F.lit(" "), as_col(year).cast("string"), F.lit(": "))
-    size = F.format_string("%.2f", round_half(F.abs(diff), 2))
+    size = fixed(round_half(F.abs(diff), 2), 2)
     moved = F.concat(
         F.when(diff > 0, F.lit("raises ")).otherwise(F.lit("lowers ")), F.lit(f"{noun} by about "), size, F.lit(".")
     )

@@ -39,7 +39,9 @@ def positions(
         bounds: Column = F.col("_cuts")
     else:
         ranged, bounds = df, df.agg(cuts).scalar()
-    ranged = ranged.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut < F.col(order)))).drop("_cuts")
+    # the place of a value among the sorted cuts is the number of its range
+    place = F.array_position(F.sort_array(F.array_append(bounds, F.col(order))), F.col(order))
+    ranged = ranged.withColumn("_range", place).drop("_cuts")
     amount = F.col(weight) if weight else F.lit(1)
     totals = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_total"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean
-from ..functions.text import lag_bucket, prefix_family
+from ..functions.text import fixed, lag_bucket, prefix_family
 from ..operators.aggregate import unpivot
 from ..operators.ordering import exact_median, positions
 from ..operators.windows import lag_features, naive_baselines, rank_first, temporal_split
@@ -441,7 +441,7 @@ def local_perturbation(
     sentence = F.concat(
         F.col(place), F.lit(" "), F.col(year).cast("int").cast("string"), F.lit(": "), F.col("feature_family"),
         F.when(raises, " raises").otherwise(" lowers"), F.lit(" the projected rate by about "),
-        F.format_string("%.2f", F.abs("contribution")), F.lit("."),
+        fixed(F.abs("contribution"), 2), F.lit("."),
     )
     return out.select(
         *keys, "model_name", "predicted", "feature", "feature_family", "temporal_bucket", "contribution", "direction",

@@ -52,54 +52,63 @@ def scan_first_available(spark: SparkSession, stems: Sequence[str]) -> DataFrame
     return None
 
 
+def _component_path(spark: SparkSession, root: str, component: str, year: int) -> str | None:
+    """Where one year keeps a component: one of the known folder layouts, else a search by name.
+
+    A path may be one file or a folder of part files.
+    """
+    names = [f"{component}_{year}", f"{component}-{year}"]
+    layouts = [f"{n}/{n}/{n}.dat" for n in names] + [f"{folder}/{n}.dat" for folder in names for n in names]
+    for layout in layouts:
+        if path_exists(spark, f"{root}/{layout}"):
+            return f"{root}/{layout}"
+    for pattern in (*[f"{n}.dat" for n in names], f"{component}*{year}.dat"):
+        try:
+            probe = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+            found = sorted(probe.inputFiles())
+        except AnalysisException:
+            found = []
+        if found:
+            return found[0]
+    return None
+
+
 def scan_yearly_files(
     spark: SparkSession, base: str, years: Sequence[int], component: str, columns: Sequence[str]
 ) -> DataFrame | None:
     """One component from a folder per year, the wanted columns that exist, lower-cased and stacked.
 
-    File names may join component and year with "_", "-" or other text; the year comes from
-    the file's path. Files with the same header are read as one scan.
+    The year comes from each file's path. Years with the same header share one scan.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for year in years:
-        root = f"{base}/{year}"
-        if not path_exists(spark, root):
-            continue
-        found = None
-        for pattern in (f"{component}_{year}.dat", f"{component}-{year}.dat", f"{component}*{year}.dat"):
-            try:
-                probe = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-                files = sorted(probe.inputFiles())
-            except AnalysisException:
-                files = []
-            if files:
-                found = files[0]
-                break
-        if found is None:
-            continue
-        header = tuple(spark.read.option("header", True).csv(found).columns)
-        by_header.setdefault(header, []).append(found)
+        found = _component_path(spark, f"{base}/{year}", component, year)
+        if found is not None:
+            header = tuple(spark.read.option("header", True).csv(found).columns)
+            by_header.setdefault(header, []).append(found)
     out = None
     for header, files in by_header.items():
-        wanted = [c for c in columns if c in header]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        year_of_path = F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(component)}[^/]*?(\d{{4}})\.dat", 1)
         frame = (
             spark.read.option("header", True)
-            .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+            .schema(schema)
             .csv(files)
-            .select(
-                *[F.col(c).alias(c.lower()) for c in wanted],
-                F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(component)}[^/]*?(\d{{4}})\.dat$", 1)
-                .cast("int")
-                .alias("source_year"),
-            )
+            .select(*[F.col(c).alias(c.lower()) for c in columns if c in header], year_of_path.cast("int").alias("source_year"))
         )
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
     return out
 
 
 def scan_columns_years(df: DataFrame, columns: Sequence[str], year: str, min_year: int) -> DataFrame:
-    """A column subset from ``min_year`` on: both reach the Parquet scan."""
-    return df.select(*[c for c in columns if c in df.columns]).filter(F.col(year) >= min_year)
+    """A column subset from ``min_year`` on; both reach the Parquet scan.
+
+    ``year`` is a year number or a date or timestamp, which is compared with the first
+    day of ``min_year`` so that the bound can be pushed down.
+    """
+    dated = isinstance(df.schema[year].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    bound = F.lit(f"{min_year:04d}-01-01").cast(df.schema[year].dataType) if dated else F.lit(min_year)
+    return df.filter(F.col(year) >= bound).select(*[c for c in columns if c in df.columns])
 
 
 def header_rows(df: DataFrame, text: str, header: Sequence[str]) -> DataFrame:
