@@ -136,13 +136,13 @@ def exogenous():
     return F.lit(2.0) + F.lit(6.0) * F.col(SHARE) + F.lit(-0.01) * F.col(SHORT["sl"])
 
 
-RECURSE = """start AS (SELECT entity, arg_max(rate, year) AS y1, max(rate) FILTER (WHERE k = 2) AS y2, max(rate) FILTER (WHERE k = 3) AS y3, min(year) AS first_year, sum(rate) AS total, count(rate) AS n FROM
+RECURSE = """start AS (SELECT entity, arg_max(rate, year) AS y1, max(rate) FILTER (WHERE k = 2) AS y2, max(rate) FILTER (WHERE k = 3) AS y3, min(year) AS first_year, greatest(max(year), 2000) AS last_year, sum(rate) AS total, count(rate) AS n FROM
      (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS k FROM covp) GROUP BY entity)"""
 
 
 def recurse_sql(score: str, extra: str = "", step: str = "") -> str:
     return f"""fc(entity, scenario_name, year, p, y1, y2, y3{extra}) AS (
-      SELECT c.entity, c.scenario_name, 2001, s.y1, s.y1, s.y2, s.y3{step.split('||')[0] if step else ''} FROM (SELECT DISTINCT entity, scenario_name FROM cov) c JOIN start s ON c.entity = s.entity
+      SELECT c.entity, c.scenario_name, s.last_year, s.y1, s.y1, s.y2, s.y3{step.split('||')[0] if step else ''} FROM (SELECT DISTINCT entity, scenario_name FROM cov) c JOIN start s ON c.entity = s.entity
       UNION ALL
       SELECT f.entity, f.scenario_name, c.year, {score}, {score}, f.y1, f.y2{step.split('||')[1] if step else ''}
       FROM fc f JOIN cov c ON c.entity = f.entity AND c.scenario_name = f.scenario_name AND c.year = f.year + 1)"""
@@ -153,7 +153,7 @@ LINEAR_STEP = "least(greatest(2.0 + 6.0 * c.rs - 0.01 * c.sl + 0.5 * f.y1 + 0.2
 
 @query(
     "linear_recursive_forecast",
-    rsql("SELECT entity, scenario_name, CAST(year AS INTEGER) AS year, p AS predicted FROM fc WHERE year > 2001", *SCENARIO_CTES, RECURSE, recurse_sql(LINEAR_STEP), doubles="predicted", digits=6),
+    rsql("SELECT entity, scenario_name, CAST(year AS INTEGER) AS year, p AS predicted FROM fc JOIN (SELECT entity AS e, last_year FROM start) ON e = entity WHERE year > last_year", *SCENARIO_CTES, RECURSE, recurse_sql(LINEAR_STEP), doubles="predicted", digits=6),
 )
 def linear_recursive_forecast(spark, sf_dir):
     p, cov = scenario_frame(spark, sf_dir)
@@ -169,7 +169,7 @@ ANY_STEP = "least(greatest(12.0 + 0.6 * f.y1 + 0.2 * f.y2 + 8.0 * c.rs - 0.02 *
 @query(
     "recursive_model_forecast",
     rsql(
-        "SELECT entity, scenario_name, CAST(year AS INTEGER) AS year, p AS predicted FROM fc WHERE year > 2001", *SCENARIO_CTES, RECURSE,
+        "SELECT entity, scenario_name, CAST(year AS INTEGER) AS year, p AS predicted FROM fc JOIN (SELECT entity AS e, last_year FROM start) ON e = entity WHERE year > last_year", *SCENARIO_CTES, RECURSE,
         recurse_sql(ANY_STEP, ", first_year", ", s.first_year||, f.first_year"), doubles="predicted", digits=6,
     ),
 )

@@ -268,7 +268,7 @@ def banded_projection_grid(spark, sf_dir):
     "events_from_rate",
     sql(
         """SELECT p.entity, p.year, price / 4000 / 1000 * n_orders AS events, b.banded FROM panel p JOIN
-           (SELECT entity, year, sum(CASE WHEN band <> '35-39' THEN 1000.0 * events / n / 1000 * n END) AS banded FROM bands GROUP BY ALL) b ON p.entity = b.entity AND p.year = b.year""",
+           (SELECT entity, year, CASE WHEN count(*) FILTER (WHERE band <> '35-39') = 4 THEN sum(CASE WHEN band <> '35-39' THEN 1000.0 * events / n / 1000 * n END) END AS banded FROM bands GROUP BY ALL) b ON p.entity = b.entity AND p.year = b.year""",
         *BASE, BANDS, doubles="events banded",
     ),
 )
@@ -295,10 +295,12 @@ def uncertainty_bands(spark, sf_dir):
     return rounded(panel(spark, sf_dir).select("entity", "year", *[c.alias(n) for n, c in new.items()]))
 
 
-NAIVE = f"""ends AS (SELECT entity, arg_max(rate, year) AS r0, arg_max(rate, year) - max(prev) FILTER (WHERE k = 1) AS step FROM
+NAIVE = """ends AS (SELECT entity, max(year) AS last_year, arg_max(rate, year) AS r0, coalesce(arg_max(rate, year) - max(prev) FILTER (WHERE k = 1), 0) AS step FROM
       (SELECT *, lag(rate) OVER (PARTITION BY entity ORDER BY year) AS prev, row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS k FROM covp) GROUP BY entity),
-   naive AS (SELECT c.entity, c.scenario_name, c.year, m.model, CASE WHEN m.model = 'baseline_last_observed' THEN r0 ELSE r0 + c.k * step END AS predicted
-      FROM cov c JOIN ends e ON c.entity = e.entity, (VALUES ('baseline_last_observed'), ('baseline_recent_trend')) m(model) WHERE c.year > 2001)"""
+   lastp AS (SELECT c.* FROM covp c JOIN ends e ON c.entity = e.entity AND c.year = e.last_year),
+   naive AS (SELECT c.entity, c.scenario_name, c.year, m.model,
+             CASE WHEN m.model = 'baseline_last_observed' THEN r0 ELSE r0 + (c.year - greatest(e.last_year, 2000)) * step END AS predicted
+      FROM cov c JOIN ends e ON c.entity = e.entity, (VALUES ('baseline_last_observed'), ('baseline_recent_trend')) m(model) WHERE c.year > e.last_year)"""
 
 
 def naive_paths(p, cov):
@@ -329,7 +331,7 @@ def naive_future_paths(spark, sf_dir):
                      row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS k FROM covp) GROUP BY entity)""",
         f"""pop(model, scenario_name, entity, year, now, births, d, m, death_rate_assumption) AS (
             SELECT n.model, n.scenario_name, n.entity, n.year, s.p0::DOUBLE, n.predicted / 1000 * c.n_orders, s.d::DOUBLE, s.m::DOUBLE, s.death_rate_assumption
-            FROM naive n JOIN stock s ON n.entity = s.entity JOIN cov c ON c.entity = n.entity AND c.scenario_name = n.scenario_name AND c.year = n.year WHERE n.year = 2002
+            FROM naive n JOIN stock s ON n.entity = s.entity JOIN cov c ON c.entity = n.entity AND c.scenario_name = n.scenario_name AND c.year = n.year JOIN ends e ON e.entity = n.entity WHERE n.year = greatest(e.last_year, 2000) + 1
             UNION ALL
             SELECT p.model, p.scenario_name, p.entity, n.year, p.now + p.births - p.now * p.d + p.now * p.m, n.predicted / 1000 * c.n_orders, p.d, p.m, p.death_rate_assumption
             FROM pop p JOIN naive n ON n.model = p.model AND n.scenario_name = p.scenario_name AND n.entity = p.entity AND n.year = p.year + 1
@@ -469,7 +471,7 @@ def scenario_compare(spark, sf_dir):
 @query(
     "path_series",
     rsql(
-        """SELECT DISTINCT r.entity, r.model, r.scenario, 2001 AS year, c.rate AS value, 'observed' AS kind FROM rec r JOIN covp c ON r.entity = c.entity AND c.year = 2001
+        """SELECT DISTINCT r.entity, r.model, r.scenario, c.year, c.rate AS value, 'observed' AS kind FROM rec r JOIN lastp c ON r.entity = c.entity
            UNION ALL SELECT entity, model, scenario, year, scenario_path, 'forecast' FROM rec WHERE year <= 2004""",
         *REC_CTES, doubles="value", digits=6,
     ),
@@ -484,7 +486,7 @@ def path_series(spark, sf_dir):
     "projected_change",
     rsql(
         """SELECT r.entity, model, scenario, r.year, scenario_path - c.rate AS projected_change, (scenario_path - c.rate) / c.rate AS projected_change_share
-           FROM rec r LEFT JOIN covp c ON r.entity = c.entity AND c.year = 2001""",
+           FROM rec r LEFT JOIN lastp c ON r.entity = c.entity""",
         *REC_CTES, doubles="projected_change projected_change_share", digits=6,
     ),
 )
@@ -506,7 +508,7 @@ def profile_sql(part: str) -> str:
         f"""SELECT entity, model, scenario, year, CASE WHEN scenario = 'reference_path' THEN 0 ELSE least(greatest(raw * greatest(year - 2002, 0) / 4.0, -8), 8) END AS adjustment FROM (
             SELECT r.*, 44 * {DELTAS['remote']} * (1 + l.rs * 4) * {profile_sql('remote')} - 34 * {DELTAS['distraction']} * (1 + l.ip / 200) * {profile_sql('distraction')}
              + 28 * {DELTAS['online']} * (0.9 + l.sd / 200) * {profile_sql('online')} + 26 * {DELTAS['inPerson']} * (0.9 + least(0.5, abs(l.dm / 1000) * 18)) * {profile_sql('inPerson')}
-             - 40 * {DELTAS['care']} * (1 + l.rs * 3) * {profile_sql('care')} AS raw FROM rec r JOIN covp l ON l.entity = r.entity AND l.year = 2001)""",
+             - 40 * {DELTAS['care']} * (1 + l.rs * 3) * {profile_sql('care')} AS raw FROM rec r JOIN lastp l ON l.entity = r.entity)""",
         *REC_CTES, doubles="adjustment", digits=10,
     ),
 )
@@ -535,7 +537,7 @@ def added_sql() -> dict[str, str]:
     "mechanism_with_user_deltas",
     rsql(
         "SELECT r.entity, model, scenario, r.year, " + ", ".join(f"r.{m} + CASE WHEN scenario = 'reference_path' THEN 0 ELSE {x} END AS {m}" for m, x in added_sql().items())
-        + " FROM rec r JOIN covp l ON l.entity = r.entity AND l.year = 2001",
+        + " FROM rec r JOIN lastp l ON l.entity = r.entity",
         *REC_CTES, doubles=MECH_NAMES, digits=6,
     ),
 )

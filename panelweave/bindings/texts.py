@@ -45,15 +45,18 @@ def make_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.make_key("url").alias("key"))
 
 
+@query("clean_text", f"SELECT doc_id, {sql_clean('text')} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+
+
 @query(
-    "clean_text",
+    "make_text_key",
     f"""WITH c AS (SELECT doc_id, {sql_clean('text')} AS clean FROM documents)
-        SELECT doc_id, clean, nullif(regexp_replace(upper(replace(clean, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g'), '') AS text_key FROM c""",
+        SELECT doc_id, nullif(regexp_replace(upper(replace(clean, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g'), '') AS text_key FROM c""",
 )
-def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", X.clean_text("text").alias("clean"), X.make_text_key("text").alias("text_key")
-    )
+def make_text_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.make_text_key("text").alias("text_key"))
 
 
 @query(
@@ -206,14 +209,17 @@ def month_label(spark, sf_dir):
 @query(
     "logit",
     sql(
-        """SELECT entity, year, ln(p / (1 - p)) AS logit, 1 / (1 + exp(-ln(p / (1 - p)))) AS back FROM
-           (SELECT entity, year, least(greatest(open_share, 0.0001), 0.9999) AS p FROM panel)""",
-        *BASE, doubles="logit back", digits=6,
+        """SELECT entity, year, ln(p / (1 - p)) AS logit FROM (SELECT entity, year, least(greatest(open_share, 0.0001), 0.9999) AS p FROM panel)""",
+        *BASE, doubles="logit", digits=6,
     ),
 )
 def logit(spark, sf_dir):
-    z = X.logit("open_share")
-    return rounded(panel(spark, sf_dir).select("entity", "year", z.alias("logit"), X.expit(z).alias("back")), 6)
+    return rounded(panel(spark, sf_dir).select("entity", "year", X.logit("open_share").alias("logit")), 6)
+
+
+@query("expit", sql("SELECT entity, year, 1 / (1 + exp(-(balance - 4500) / 500)) AS share FROM panel", *BASE, doubles="share", digits=6))
+def expit(spark, sf_dir):
+    return rounded(panel(spark, sf_dir).select("entity", "year", X.expit((F.col("balance") - 4500) / 500).alias("share")), 6)
 
 
 @query("geometric_decay", sql("SELECT p_partkey, pow(0.92, p_size) AS decay FROM part", doubles="decay", digits=6))

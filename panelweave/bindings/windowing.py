@@ -447,7 +447,7 @@ def naive_and_trend_baseline(spark, sf_dir):
     return rounded(out.select("customer", "year", "baseline_last_observed", "baseline_recent_trend"))
 
 
-STOCK = """rates AS (SELECT entity, any_value(nk) AS nk, 100000.0::DOUBLE / 3 AS p0, 0.008::DOUBLE AS d, 0.001 * any_value(nk) AS m FROM panel GROUP BY entity),
+STOCK = """rates AS (SELECT entity, any_value(nk) AS nk, 100000.0::DOUBLE / 3 AS p0, 0.008::DOUBLE AS d, any_value(nk) / 7000.0 AS m FROM panel GROUP BY entity),
   walk(entity, year, now, births, d, m) AS (
     SELECT p.entity, p.year, r.p0, p.n_orders::DOUBLE, r.d, r.m::DOUBLE FROM panel p JOIN rates r ON p.entity = r.entity WHERE p.year = 1995
     UNION ALL
@@ -463,7 +463,7 @@ STOCK = """rates AS (SELECT entity, any_value(nk) AS nk, 100000.0::DOUBLE / 3 AS
 def stock_flow_accounting(spark, sf_dir):
     flows = panel(spark, sf_dir).select(
         "entity", "year", F.col("n_orders").cast("double").alias("births"), (F.lit(100000.0) / 3).alias("p0"), F.lit(0.008).alias("d"),
-        (F.lit(0.001) * F.col("nk")).alias("m"),
+        (F.col("nk") / F.lit(7000.0)).alias("m"),
     )
     out = W.stock_flow(flows, ["entity"], "year", stock="p0", births="births", death_rate="d", net_rate="m")
     return rounded(out.select("entity", "year", "stock_current", "projected_deaths", "projected_net", "stock_next"), 7)

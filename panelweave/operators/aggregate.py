@@ -104,18 +104,19 @@ def moment_sums(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weig
     """
     w = F.col(weight)
     anchors = df.agg(F.struct(*[F.coalesce(weighted_mean(m, weight), F.lit(0.0)).alias(m) for m in metrics])).scalar()
+    centred = df.withColumns({f"_c_{m}": F.col(m) - anchors.getField(m) for m in metrics})
     sums = []
     for m in metrics:
-        centred = F.col(m) - anchors.getField(m)
-        used = F.when(F.col(m).isNotNull(), w)
+        c = F.col(f"_c_{m}")
+        used = F.when(c.isNotNull(), w)
         sums += [
             F.sum(used).alias(f"{m}__w"),
             F.sum(used * used).alias(f"{m}__w2"),
-            F.sum(used * centred).alias(f"{m}__wx"),
-            F.sum(used * centred * centred).alias(f"{m}__wxx"),
-            F.max(anchors.getField(m)).alias(f"{m}__anchor"),
+            F.sum(used * c).alias(f"{m}__wx"),
+            F.sum(used * c * c).alias(f"{m}__wxx"),
         ]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
+    out = centred.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
+    return out.withColumns({f"{m}__anchor": anchors.getField(m) for m in metrics})
 
 
 def roll_up_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

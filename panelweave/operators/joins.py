@@ -9,13 +9,17 @@ shuffled, with skewed partitions split by the adaptive skew join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, cascade, flag, safe_ratio
+from ..session import materialize
 from .ordering import exact_median
 
+SALTS = 1024
+
 
 def assert_unique(df: DataFrame, keys: Sequence[str], dataset: str) -> DataFrame:
     """Raise if a key occurs twice. One distributed aggregate; only one offender reaches the driver."""
@@ -31,11 +35,15 @@ def left_join_panels(frames: Sequence[DataFrame | None], keys: Sequence[str]) ->
     Columns of earlier frames win name clashes. Frames without any key are skipped.
     """
     present = [f for f in frames if f is not None]
-    base = next((f for f in present if not f.isEmpty()), None)
+    base, rest = None, present
+    while rest and base is None:
+        # written once, so that asking for emptiness does not compute the panel twice
+        head, rest = materialize(rest[0]), rest[1:]
+        base = None if head.isEmpty() else head
     if base is None:
         raise ValueError("no panel has any row")
     out = base
-    for frame in present[present.index(base) + 1 :]:
+    for frame in rest:
         shared = [k for k in keys if k in frame.columns and k in out.columns]
         if not shared:
             continue
@@ -106,15 +114,19 @@ def two_pass_join(
 ) -> DataFrame:
     """Join by id; rows with no id match are joined again by a text key; all left rows are kept.
 
-    ``matched_by`` says which pass found the partner.
+    ``matched_by`` says which pass found the partner. Rows without a text key cannot match
+    in the second pass; a salt spreads them over the shuffle instead of one NULL partition.
     """
     by_id = right.select(*first_keys, *values).distinct()
     by_text = right.select(*second_keys, *values).distinct()
     first = left.join(by_id, list(first_keys), "inner").withColumn("matched_by", F.lit("id"))
     rest = left.join(by_id.select(*first_keys), list(first_keys), "left_anti")
     hit = F.when(F.col(values[0]).isNotNull(), F.lit("text"))
-    second = rest.join(by_text, list(second_keys), "left").withColumn("matched_by", hit)
-    return first.unionByName(second)
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in second_keys])
+    salt = F.when(keyless, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    salted = by_text.withColumn("_salt", F.lit(0).cast("bigint"))
+    second = rest.withColumn("_salt", salt.cast("bigint")).join(salted, [*second_keys, "_salt"], "left").drop("_salt")
+    return first.unionByName(second.withColumn("matched_by", hit))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -14,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+# Bounds on the number of ranges; between them it follows the session's shuffle partitions.
+MIN_RANGES, MAX_RANGES = 32, 1000
+
+
+def _range_count(df: DataFrame) -> int:
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_RANGES, min(MAX_RANGES, wanted))
 
 
 def positions(
@@ -24,7 +30,7 @@ def positions(
     by: Sequence[str] = (),
     weight: str | None = None,
     name: str = "before",
-    buckets: int = BUCKETS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the weight (default: the number) of rows strictly before this one.
 
@@ -33,7 +39,8 @@ def positions(
     one window.
     """
     by = list(by)
-    cuts = F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 2000)
+    n = ranges or _range_count(df)
+    cuts = F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)
     if by:
         ranged = df.join(df.groupBy(*by).agg(cuts.alias("_cuts")), by)
         bounds: Column = F.col("_cuts")
@@ -47,7 +54,7 @@ def positions(
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     if not by:
-        offsets = F.broadcast(offsets)  # at most ``buckets`` rows
+        offsets = F.broadcast(offsets)  # one row per range: at most MAX_RANGES
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(offsets, [*by, "_range"])
     return joined.withColumn(name, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop(

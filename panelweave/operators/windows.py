@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, cascade, clip, row_mean, safe_ratio
 from ..functions.text import logit
+from ..session import materialize
 from .aggregate import unpivot
 from .joins import latest_rows
 from .ordering import percentile_rank
@@ -172,28 +173,46 @@ def ffill_bfill(df: DataFrame, columns: Sequence[str], entity: str, year: str) -
 def group_series_fill(df: DataFrame, column: str, group: str, entity: str, year: str) -> DataFrame:
     """Carry forward, then backward, along a whole group in (entity, year) order.
 
-    Groups are large, so no window spans one. Each entity fills from its own rows; an
-    entity without any value takes the last value of the nearest earlier entity of the
-    group that has one, else the first value of the nearest later one. That step runs
-    on one row per entity.
+    A group may hold a third of all entities, so no window spans one. Each entity fills
+    from its own rows. What it needs from its neighbours - the last value of the nearest
+    earlier entity with one, the first value of the nearest later one - comes from one row
+    per entity, cut into ordered ranges: inside a range by window, across ranges from one
+    row per (group, range).
     """
     own = F.last(column, True).over(_so_far(entity, year))
-    ends = df.groupBy(group, entity).agg(
-        F.max_by(column, F.when(F.col(column).isNotNull(), F.col(year))).alias("_last"),
-        F.min_by(column, F.when(F.col(column).isNotNull(), F.col(year))).alias("_first"),
+    ahead = F.first(column, True).over(_from_here(entity, year))
+    present = F.when(F.col(column).isNotNull(), F.col(year))
+    ends = df.groupBy(group, entity).agg(F.max_by(column, present).alias("_last"), F.min_by(column, present).alias("_first"))
+    # written down, so that the ranges are the same in every branch that reads them
+    ranged = materialize(ends.repartitionByRange(group, entity).withColumn("_range", F.spark_partition_id()))
+    neighbours = _neighbour_values(ranged, [group, "_range"], entity)
+    edges = ranged.groupBy(group, "_range").agg(
+        F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(entity))).alias("_last"),
+        F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(entity))).alias("_first"),
+    )
+    across = _neighbour_values(edges, [group], "_range").select(
+        group, "_range", F.col("_before").alias("_range_before"), F.col("_after").alias("_range_after")
     )
-    chain = Window.partitionBy(group).orderBy(entity)
-    ends = ends.select(
+    sides = neighbours.join(across, [group, "_range"], "left").select(
         group,
         entity,
-        F.last("_last", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.coalesce("_before", "_range_before").alias("_before"),
+        F.coalesce("_after", "_range_after").alias("_after"),
     )
-    ahead = F.first(column, True).over(_from_here(entity, year))
-    out = df.withColumns({"_own": own, "_ahead": ahead}).join(ends, [group, entity], "left")
+    out = df.withColumns({"_own": own, "_ahead": ahead}).join(sides, [group, entity], "left")
     return out.withColumn(column, F.coalesce("_own", "_before", "_ahead", "_after")).drop("_own", "_ahead", "_before", "_after")
 
 
+def _neighbour_values(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    chain = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumns(
+        {
+            "_before": F.last("_last", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)),
+            "_after": F.first("_first", True).over(chain.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    )
+
+
 # --- gaps -----------------------------------------------------------------------------------------
 
 

@@ -55,11 +55,15 @@ def error_metrics(
     """
     scored = predictions.dropna(subset=[actual, predicted])
     anchor = scored.agg(F.avg(actual)).scalar()
-    a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    e, c = p - a, a - anchor
-    period = F.when(F.col(year) < split_year, "before").otherwise("after")
+    a, e, c = F.col("_a"), F.col("_e"), F.col("_c")
+    measured = {
+        "_a": F.col(actual).cast("double"),
+        "_e": F.col(predicted).cast("double") - F.col(actual).cast("double"),
+        "_c": F.col(actual).cast("double") - anchor,
+        "period": F.when(F.col(year) < split_year, "before").otherwise("after"),
+    }
     cells = (
-        scored.withColumn("period", period)
+        scored.withColumns(measured)
         .groupBy(*keys, F.col(entity).alias("_entity"), F.col(region).alias("_region"), "period")
         .agg(
             F.count(F.lit(1)).alias("n"),
