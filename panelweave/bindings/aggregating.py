@@ -478,9 +478,11 @@ def ordered_distinct_labels(spark, sf_dir):
        FROM e GROUP BY l_suppkey""",
 )
 def two_level_string_agg(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_suppkey", F.col("p_type").alias("el"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("sc"),
-        X.format_value((F.col("p_size") % 5) / 2).alias("v"),
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("el"), X.format_value((F.col("p_size") % 5) / 2).alias("v")
+    )
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_suppkey", "el", F.nullif(F.col("l_returnflag"), F.lit("N")).alias("sc"), "v"
     )
     return A.two_level_text(rows, ["l_suppkey"], "el", "sc", "v", "skills")
 

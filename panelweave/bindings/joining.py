@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import windows as W
+from ..session import materialize
 from .base import BASE, CUSTOMERS, GAPPED, GEO, customer_panel, gaps, geo, money, panel, query, rounded, sql, table
 
 
@@ -175,7 +176,7 @@ def baseline_self_join(spark, sf_dir):
     ),
 )
 def hierarchy_fallback_join(spark, sf_dir):
-    g = gaps(spark, sf_dir)
+    g = materialize(gaps(spark, sf_dir))
     fine = g.select("entity", "year", F.col("price_g").alias("price"))
     middle = g.filter("region <> 'ASIA'").groupBy("region", "year").agg(F.avg("price_g").alias("price"))
     coarse = g.filter("year <> 1998").groupBy("year").agg(F.avg("price_g").alias("price"))
@@ -222,7 +223,7 @@ def reference_vs_scenario_join(spark, sf_dir):
     ),
 )
 def rescaled_region_proxy(spark, sf_dir):
-    g = gaps(spark, sf_dir)
+    g = materialize(gaps(spark, sf_dir))
     region = g.groupBy("region", "year").agg(F.avg("price_g").alias("price"))
     national = g.filter(~F.col("year").isin(1997, 2000)).groupBy("year").agg(F.avg("price_g").alias("price"))
     return rounded(
@@ -245,7 +246,7 @@ def national_series_join(spark, sf_dir):
         table(spark, sf_dir, "events"), (F.lit(1995) + F.month(F.col("ts").cast("date")) % 7).cast("int"), "value", "national"
     )
     out = J.national_series_join(
-        gaps(spark, sf_dir), series, year="year", value="price_g", national="national", exposure="urgent_share", source="price_source"
+        materialize(gaps(spark, sf_dir)), series, year="year", value="price_g", national="national", exposure="urgent_share", source="price_source"
     )
     return rounded(out.select("entity", "year", "price_g", "price_source"))
 
@@ -377,15 +378,20 @@ TASKS_SQL = """WITH e AS (SELECT s_suppkey AS k, s_name, s_acctbal FROM supplier
 
 
 def task_inputs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.withColumns({"k": F.col("l_suppkey"), "text_key": X.make_text_key("p_name")})
+    """Lines are reduced to supplier-part pairs before the part text is joined, and written once."""
+    line = F.col("l_linenumber")
+    pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p_partkey")).agg(
+        F.bool_or(line % 2 == 0).alias("even"), F.bool_or(line % 2 == 1).alias("odd"), F.bool_or(F.col("l_quantity") > 20).alias("big")
+    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", X.make_text_key("p_name").alias("text_key"))
+    pairs = materialize(pairs.join(part, "p_partkey"))
     entities = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("k"), "s_name", "s_acctbal", (F.col("s_acctbal") > 0).alias("eligible")
     )
-    task = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + 1000000)
-    tasks = lines.select("k", task.alias("task_id"), "text_key").distinct()
-    acts = lines.filter("l_quantity > 20").select("k", F.col("l_partkey").alias("task_id"), "text_key", F.col("p_type").alias("activity"))
-    rollups = {"brands": A.joined_sorted(lines.filter("k % 4 <> 0"), ["k"], "p_brand", "brands")}
+    ids = F.array(F.when(F.col("even"), F.col("p_partkey")), F.when(F.col("odd"), F.col("p_partkey") + 1000000))
+    tasks = pairs.select("k", F.explode(F.array_compact(ids)).alias("task_id"), "text_key").distinct()
+    acts = pairs.filter("big").select("k", F.col("p_partkey").alias("task_id"), "text_key", F.col("p_type").alias("activity"))
+    rollups = {"brands": A.joined_sorted(pairs.filter("k % 4 <> 0"), ["k"], "p_brand", "brands")}
     return entities, tasks, acts, rollups
 
 

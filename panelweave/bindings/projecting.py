@@ -672,7 +672,7 @@ METRICS = """scored AS (SELECT entity, region, year, model, rate AS actual, CASE
 
 
 def naive_predictions(spark, sf_dir):
-    p = covariates(spark, sf_dir).select("entity", "region", "year", "rate")
+    p = materialize(covariates(spark, sf_dir).select("entity", "region", "year", "rate"))
     lagged = W.temporal_split(W.lag_features(p, ["rate"], "entity", "year", lags=(1, 2), rolling=None), "year")
     models = W.naive_baselines("rate_lag1", "rate_lag2")
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), c.alias("predicted")) for m, c in models.items()])

@@ -8,9 +8,10 @@ from ..functions import columns as C
 from ..functions import text as X
 from ..operators.windows import lag_features, recent_mean
 from ..plans import specs
+from ..session import materialize
 from .base import BASE, GAPPED, gaps, panel, query, rounded, sql, table
 
-WS = X.WHITE  # the same class in both regular-expression dialects
+WS = f"[{X.LOW_WHITE}{X.HIGH_WHITE}]"  # the same characters as one plain class
 
 
 def sql_strip(x: str) -> str:
@@ -236,7 +237,7 @@ def geometric_decay(spark, sf_dir):
     ),
 )
 def bounded_linear_score(spark, sf_dir):
-    p = panel(spark, sf_dir)
+    p = materialize(panel(spark, sf_dir))
     mean = p.agg(F.avg("urgent_share")).scalar()
     score = X.bounded_score(50, [(-65, F.col("urgent_share"), mean), (120, F.col("open_share"), 0.55)], 36, 64)
     return rounded(p.select("entity", "year", score.alias("score")))
@@ -251,7 +252,7 @@ def bounded_linear_score(spark, sf_dir):
     ),
 )
 def relative_tilt(spark, sf_dir):
-    p = panel(spark, sf_dir)
+    p = materialize(panel(spark, sf_dir))
     overall = p.agg(F.avg("urgent_share")).scalar()
     means = p.groupBy("region").agg(F.avg("urgent_share").alias("m"))
     return rounded(means.select("region", C.clip(F.lit(0.4) * C.safe_ratio("m", overall), 0.3, 0.402).alias("tilted")), 6)

@@ -12,6 +12,7 @@ from ..operators import sets as S
 from ..operators import windows as W
 from ..plans import panel as P
 from ..plans import specs
+from ..session import materialize
 from .base import (
     BASE, CUSTOMERS, GAPPED, GEO, customer_panel, gaps, panel, query, rounded, sql, table,
 )
@@ -47,7 +48,7 @@ def zscore_by_period(spark, sf_dir):
     ),
 )
 def zscore_or_zero(spark, sf_dir):
-    out = gaps(spark, sf_dir).withColumn("empty", F.lit(None).cast("double"))
+    out = materialize(gaps(spark, sf_dir)).withColumn("empty", F.lit(None).cast("double"))
     for column, name in [("price_g", "price_z"), ("absent", "absent_z"), ("empty", "empty_z")]:
         out = W.zscore_or_zero(out, column, "year", name)
     return rounded(out.select("entity", "year", "price_z", "absent_z", "empty_z"))
@@ -100,7 +101,7 @@ MODE_SQL = """CASE WHEN price_g IS NOT NULL THEN 'observed' WHEN balance_g IS NO
 )
 def composite_index(spark, sf_dir):
     required = {**{i: "double" for i in specs.EXPOSURE_INDICES}}
-    out = P.exposure_panel(role_panel(spark, sf_dir), "year", required)
+    out = P.exposure_panel(materialize(role_panel(spark, sf_dir)), "year", required)
     return rounded(
         out.select(
             "entity", "year", *specs.EXPOSURE_INDICES, "remote_work_exposure_index_mode", "remote_work_exposure_index_components",
@@ -217,7 +218,7 @@ def ffill_bfill(spark, sf_dir):
     ),
 )
 def group_series_fill(spark, sf_dir):
-    out = W.group_series_fill(gaps(spark, sf_dir), "price_g", "region", "entity", "year")
+    out = W.group_series_fill(materialize(gaps(spark, sf_dir)), "price_g", "region", "entity", "year")
     return rounded(out.select("entity", "year", "price_g"))
 
 
@@ -270,7 +271,7 @@ def recent_tail_mean(spark, sf_dir):
     ),
 )
 def fallback_quality_cascade(spark, sf_dir):
-    g = gaps(spark, sf_dir)
+    g = materialize(gaps(spark, sf_dir))
     g = W.attach_group_stats(g, ["region", "year"], {"rp": F.avg("price_g")})
     g = g.withColumn("proxy", F.when(F.col("region") != "AFRICA", F.col("rp")))
     out = W.quality_cascade(g, "price_g", "entity", "year", fallback="proxy", constant=25.0, floor=150000)
@@ -287,7 +288,7 @@ FILL_SQL = f"""f0 AS (SELECT entity, year, CASE WHEN region <> 'EUROPE' THEN reg
 
 @query("fill_cascade", sql("SELECT entity, year, coalesce(x, 25.0) AS x, 25.0::DOUBLE AS y FROM f4", *GAPPED, FILL_SQL, doubles="x"))
 def fill_cascade(spark, sf_dir):
-    g = gaps(spark, sf_dir).select(
+    g = materialize(gaps(spark, sf_dir)).select(
         "entity", "year", F.when(F.col("region") != "EUROPE", F.col("region")).alias("region"),
         F.when((F.col("year") != 1999) | (F.col("region") == "ASIA"), F.col("price_g")).alias("x"),
         F.lit(None).cast("double").alias("y"),
@@ -364,7 +365,7 @@ def recent_logit_slope(spark, sf_dir):
     ),
 )
 def recent_growth_mean(spark, sf_dir):
-    return rounded(W.recent_growth(gaps(spark, sf_dir), ["price_g"], "entity", "year"), 6)
+    return rounded(W.recent_growth(materialize(gaps(spark, sf_dir)), ["price_g"], "entity", "year"), 6)
 
 
 @query(
@@ -528,7 +529,7 @@ def sort_nulls_last(spark, sf_dir):
     ),
 )
 def ranked_groups_topk(spark, sf_dir):
-    rows = gaps(spark, sf_dir).select("year", "entity", "entity_name", (F.col("price_g") - 250000).alias("d"))
+    rows = materialize(gaps(spark, sf_dir)).select("year", "entity", "entity_name", (F.col("price_g") - 250000).alias("d"))
     return rounded(R.direction_rankings(rows, ["year"], "d", "entity_name", tolerance=5000))
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .columns import as_col, clip
 
-# Fixed value: the characters counted as white space.
-WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The characters counted as white space, below and above U+0100.
+LOW_WHITE = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x{85}\x{A0}"
+HIGH_WHITE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Low characters are one table lookup; the high ones are only looked at inside their range.
+WHITE = rf"(?:[{LOW_WHITE}]|[\x{{1680}}-\x{{3000}}&&[{HIGH_WHITE}]])"
 
 
 def strip(x: Column | str) -> Column:
@@ -19,7 +22,12 @@ def strip(x: Column | str) -> Column:
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.when((x != "") & (F.lower(x) != "nan"), x)
+    """Blank and "nan" become NULL. ``x`` stands once in the expression, so it is computed once."""
+    return F.get(F.filter(F.array(x), lambda v: (v != "") & (F.lower(v) != "nan")), F.lit(0))
+
+
+def _only(x: Column) -> Column:
+    return F.get(F.filter(F.array(x), lambda v: v != ""), F.lit(0))
 
 
 def normalize_label(x: Column | str) -> Column:
@@ -39,15 +47,16 @@ def normalize_number_code(x: Column | str) -> Column:
 
 
 def make_key(x: Column | str) -> Column:
-    return F.nullif(F.regexp_replace(F.upper(normalize_code(x)), "[^A-Z0-9]+", ""), F.lit(""))
+    return _only(F.regexp_replace(F.upper(normalize_code(x)), "[^A-Z0-9]+", ""))
 
 
 def clean_text(x: Column | str) -> Column:
-    return blank_to_null(F.regexp_replace(strip(x), f"{WHITE}+", " "))
+    # after the runs are one space each, only a space can stand at either end
+    return blank_to_null(F.trim(F.regexp_replace(as_col(x).cast("string"), f"{WHITE}+", " ")))
 
 
 def make_text_key(x: Column | str) -> Column:
-    return F.nullif(F.regexp_replace(F.upper(clean_text(x)), "[^A-Z0-9]+", ""), F.lit(""))
+    return _only(F.regexp_replace(F.upper(clean_text(x)), "[^A-Z0-9]+", ""))
 
 
 def fixed(x: Column, digits: int) -> Column:

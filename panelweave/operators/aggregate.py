@@ -146,9 +146,29 @@ def finish_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     return sums.select(*keys, "sample_size", *extra, *columns)
 
 
-def weighted_mean_ci(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str) -> DataFrame:
-    """Weighted mean with effective-sample standard error and 95 % interval per group."""
-    return finish_moments(moment_sums(df, keys, metrics, weight), keys, metrics)
+def weighted_mean_ci(
+    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str, *, two_pass: bool = False
+) -> DataFrame:
+    """Weighted mean with effective-sample standard error and 95 % interval per group.
+
+    One pass loses about (d / sd)^2 * 1e-16 of the variance, d being the distance of a group's
+    mean from the table's. Where groups lie ten thousand spreads apart and more, ``two_pass``
+    measures from each group's own mean, at the price of joining the means back to the rows.
+    """
+    if not two_pass:
+        return finish_moments(moment_sums(df, keys, metrics, weight), keys, metrics)
+    centres = df.groupBy(*keys).agg(*[weighted_mean(m, weight).alias(f"_m_{m}") for m in metrics])
+    renamed = centres.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    shifted = df.join(renamed, same, "left").withColumns({m: F.col(m) - F.col(f"_m_{m}") for m in metrics})
+    spread = finish_moments(moment_sums(shifted, keys, metrics, weight), keys, metrics)
+    out = spread.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    back = centres.join(out, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    columns = [
+        (F.col(f"_m_{m}") + F.col(f"{m}{part}")).alias(f"{m}{part}") if part != "_se" else F.col(f"{m}_se")
+        for m in metrics for part in ("", "_se", "_ci_low", "_ci_high")
+    ]
+    return back.select(*keys, "sample_size", *columns)
 
 
 @dataclass(frozen=True)

@@ -348,13 +348,17 @@ def mismatch_report(
         *[F.count_if(F.col(c).isNull() & F.col(task).isNotNull()).alias(f"t_{c}") for c in rollups],
         *[F.count_if(F.col(c).isNull() & F.col(title).isNotNull()).alias(f"d_{c}") for c in rollups],
     )
-    parts = []
+    known = entities.select(key).distinct()
+    rows_out = []
     for c, frame in rollups.items():
-        absent = entities.select(key).distinct().join(frame.select(key), key, "left_anti")
-        parts.append(absent.agg(F.lit(c).alias("rollup"), F.count(F.lit(1)).alias("entities_missing")))
-    missing = reduce(lambda a, b: a.unionByName(b), parts)
-    names = F.array(*[F.struct(F.lit(c).alias("rollup"), F.col(f"t_{c}").alias("rows_with_task"), F.col(f"d_{c}").alias("rows_with_title")) for c in rollups])
-    return missing.join(counts.select(F.inline(names)), "rollup")
+        absent = known.join(frame.select(key), key, "left_anti").agg(F.count(F.lit(1))).scalar()
+        rows_out.append(
+            F.struct(
+                F.lit(c).alias("rollup"), absent.alias("entities_missing"), F.col(f"t_{c}").alias("rows_with_task"),
+                F.col(f"d_{c}").alias("rows_with_title"),
+            )
+        )
+    return counts.select(F.inline(F.array(*rows_out)))
 
 
 def preferred_else_first(df: DataFrame, keys: Sequence[str], item: str, order: str, available: str, preferred: str | Column) -> DataFrame:

@@ -136,12 +136,12 @@ def fit_ridge(
     """Ridge on standardised numbers and one-hot categories; an unseen category is all zero.
 
     Spark divides the mean squared error by two and measures the penalty against the
-    label's sample sd, so alpha becomes alpha * sd(y) / n.
+    label's population sd, so alpha becomes alpha * sd(y) / n.
     """
     rows = train.filter(F.col(target).isNotNull())
     stats = fit_stats(rows, numeric)
     modes = {c: most_frequent(rows, c) or "" for c in categorical}
-    size = rows.agg(F.count(target).alias("n"), F.stddev_samp(target).alias("sd")).first()
+    size = rows.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("sd")).first()
     inputs = apply_stats(stats, "__x")
     inputs.update({f"{c}__c": F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, m in modes.items()})
     stages = []

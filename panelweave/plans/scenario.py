@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, clip, flag, row_sum, safe_ratio
 from ..functions.text import expit, logit
 from ..operators.joins import against_reference, latest_rows
-from ..operators.windows import argmax_label, bounded_scale, mean_rank, recent_growth, recent_slopes, reference_scales
+from ..operators.windows import argmax_label, bounded_scale, mean_rank, reference_scales
 from . import specs
 
 
@@ -67,24 +67,41 @@ def scenario_overrides(df: DataFrame, scenarios: Sequence[str], columns: Sequenc
 
 
 def baseline_anchor(
-    panel: DataFrame, entity: str, year: str, *, slopes: Sequence[str], logit_slopes: Sequence[str] = (), growth: Sequence[str] = ()
+    panel: DataFrame,
+    entity: str,
+    year: str,
+    *,
+    slopes: Sequence[str],
+    logit_slopes: Sequence[str] = (),
+    growth: Sequence[str] = (),
+    n: int = 5,
 ) -> DataFrame:
-    """Last row per entity with recent slopes, logit slopes and growth rates as columns."""
-    def widen(long: DataFrame, value: str, columns: Sequence[str], suffix: str) -> DataFrame:
-        return long.groupBy(entity).agg(
-            *[F.max(F.when(F.col("feature") == c, F.col(value))).alias(f"{c}{suffix}") for c in columns]
-        )
+    """Last row per entity with recent slopes, logit slopes and growth rates as columns.
 
-    out = latest_rows(panel, [entity], [year])
-    sides = [(recent_slopes(panel, slopes, entity, year), "slope", slopes, "_baseline_slope")]
-    if logit_slopes:
-        sides.append((recent_slopes(panel, logit_slopes, entity, year, logit_scale=True), "slope", logit_slopes, "_logit_slope"))
-    if growth:
-        sides.append((recent_growth(panel, growth, entity, year), "growth", growth, "_baseline_growth"))
-    for long, value, columns, suffix in sides:
-        out = out.join(widen(long, value, columns, suffix), entity, "left")
-        out = out.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), F.lit(0.0)) for c in columns})
-    return out
+    Equal to joining ``recent_slopes`` and ``recent_growth`` to the last row, but every
+    column's recent points are counted under the same partitioning by entity, so the panel
+    is shuffled once however many columns there are.
+    """
+    forward, backward = Window.partitionBy(entity).orderBy(year), Window.partitionBy(entity).orderBy(F.col(year).desc())
+    so_far = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = forward.rowsBetween(Window.unboundedPreceding, -1)
+    rows = panel.withColumns({f"_r_{c}": safe_ratio(c, F.last(c, True).over(before)) - 1 for c in growth})
+    ranks = {f"_k_{c}": F.count(c).over(so_far) for c in {*slopes, *logit_slopes}}
+    ranks.update({f"_kr_{c}": F.count(f"_r_{c}").over(so_far) for c in growth})
+    rows = rows.withColumns({**ranks, "_rank": F.row_number().over(backward)})
+    x = F.col(year).cast("double")
+
+    def slope(c: str, y: Column) -> Column:
+        point = F.when(F.col(f"_k_{c}") <= n, y)
+        return F.when(F.count(point) >= 2, F.coalesce(F.regr_slope(point, x), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    last = [F.max(F.when(F.col("_rank") == 1, F.col(c))).alias(c) for c in panel.columns if c != entity]
+    made = [slope(c, F.col(c).cast("double")).alias(f"{c}_baseline_slope") for c in slopes]
+    made += [slope(c, logit(c)).alias(f"{c}_logit_slope") for c in logit_slopes]
+    made += [
+        F.coalesce(F.avg(F.when(F.col(f"_kr_{c}") <= n - 1, F.col(f"_r_{c}"))), F.lit(0.0)).alias(f"{c}_baseline_growth") for c in growth
+    ]
+    return rows.groupBy(entity).agg(*last, *made)
 
 
 def override_scales(anchor: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -246,8 +263,6 @@ def naive_future_paths(
 
     ``keys`` identify one future path of an entity; k numbers its remaining years.
     """
-    from pyspark.sql import Window
-
     newest = Window.partitionBy(entity).orderBy(F.col(year).desc())
     tail = history.select(entity, year, value).withColumn("_rank", F.row_number().over(newest)).filter("_rank <= 2")
     ends = tail.groupBy(entity).agg(
