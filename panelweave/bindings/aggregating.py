@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import aggregate as A
 from ..operators import windows as W
 from ..plans import specs
-from .base import BASE, GAPPED, GEO, MICRO, gaps, geo, micro, money, panel, query, rounded, sql, table
+from .base import BASE, GAPPED, GEO, MICRO, gaps, geo, micro, cents, panel, query, rounded, sql, table
 from .columns import CODED, FLAG_SQL, activity_flags, coded_lines
 
 LINES = (GEO, MICRO)
@@ -201,8 +201,8 @@ def period_mean(spark, sf_dir):
        FROM lineitem GROUP BY ALL""",
 )
 def group_sum_zero(spark, sf_dir):
-    x = F.when(F.col("l_returnflag") == "A", money("l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(A.sum_or_zero(x).cast("double").alias("total"))
+    x = F.when(F.col("l_returnflag") == "A", cents("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg((A.sum_or_zero(x) / F.lit(100.0)).alias("total"))
 
 
 PERSON_MEASURES = {
@@ -369,9 +369,9 @@ def sample_weighted_yearly_mean(spark, sf_dir):
     ),
 )
 def total_and_growth(spark, sf_dir):
-    rows = panel(spark, sf_dir).withColumn("revenue", money("revenue"))
+    rows = panel(spark, sf_dir).withColumn("revenue", cents("revenue"))
     out = W.total_and_growth(rows, "year", "revenue")
-    return rounded(out.withColumn("total", F.col("total").cast("double")))
+    return rounded(out.withColumn("total", F.col("total") / F.lit(100.0)))
 
 
 @query(

@@ -26,8 +26,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Declared schemas: reading with one saves the footer job that would infer it.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -51,20 +70,29 @@ def sql(body: str, *ctes: str, doubles: str = "", digits: int = 4) -> str:
     return f"WITH {head}\nSELECT * REPLACE ({replaced}) FROM _result"
 
 
-def money(x: Column | str) -> Column:
-    """A two-decimal amount as decimal, so sums do not depend on their order."""
-    return (F.col(x) if isinstance(x, str) else x).cast("decimal(18,2)")
+def cents(x: Column | str) -> Column:
+    """A two-decimal amount in whole cents: integer sums do not depend on their order."""
+    return F.rint((F.col(x) if isinstance(x, str) else x) * 100).cast("bigint")
+
+
+def money_sum(x: Column | str) -> Column:
+    """Sum of two-decimal amounts. An integer sum that overflows raises an error."""
+    return F.sum(cents(x)) / F.lit(100.0)
 
 
 # --- orders with geography ------------------------------------------------------------------------
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact first, then one dimension after the other: each dimension is judged by its own size.
+
+    A dimension joined from others would carry the product of their sizes as its estimate.
+    """
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    people = customer.join(places, customer.c_nationkey == places.n_nationkey)
-    return orders.join(people, orders.o_custkey == people.c_custkey).select(
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = joined.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
@@ -107,16 +135,40 @@ MICRO = """micro AS (SELECT * FROM lineitem JOIN geo ON l_orderkey = o_orderkey)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation × year: counts, sums, means and shares of orders; 25 × 7 rows however many orders."""
+    """Nation × year: counts, sums, means and shares of orders; 25 × 7 rows however many orders.
+
+    Orders are summed by nation key and year before the names are joined.
+    """
     n = F.count(F.lit(1))
-    return geo(spark, sf_dir).groupBy("entity", "entity_name", "region", "nk", "year").agg(
-        n.alias("n_orders"),
-        F.sum(money("o_totalprice")).cast("double").alias("revenue"),
-        (F.sum(money("o_totalprice")).cast("double") / n).alias("price"),
-        (F.sum(money("balance")).cast("double") / n).alias("balance"),
-        (F.count_if(F.col("o_orderpriority") == "1-URGENT") / n).alias("urgent_share"),
-        (F.count_if(F.col("o_orderstatus") == "O") / n).alias("open_share"),
-        (F.count_if(F.col("o_orderpriority") == "5-LOW") / n).alias("low_share"),
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    cells = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("nk"), F.year("o_orderdate").alias("year"))
+        .agg(
+            n.alias("n_orders"),
+            money_sum("o_totalprice").alias("revenue"),
+            money_sum("c_acctbal").alias("_balance"),
+            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("_urgent"),
+            F.count_if(F.col("o_orderstatus") == "O").alias("_open"),
+            F.count_if(F.col("o_orderpriority") == "5-LOW").alias("_low"),
+        )
+    )
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = cells.join(nation, F.col("nk") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    per_order = lambda c: F.col(c) / F.col("n_orders")
+    return named.select(
+        F.lpad(F.col("nk").cast("string"), 2, "0").alias("entity"),
+        F.col("n_name").alias("entity_name"),
+        F.col("r_name").alias("region"),
+        "nk",
+        "year",
+        "n_orders",
+        "revenue",
+        per_order("revenue").alias("price"),
+        per_order("_balance").alias("balance"),
+        per_order("_urgent").alias("urgent_share"),
+        per_order("_open").alias("open_share"),
+        per_order("_low").alias("low_share"),
     )
 
 
@@ -164,7 +216,7 @@ def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("year")).agg(
         F.count(F.lit(1)).alias("n_orders"),
-        F.sum(money("o_totalprice")).cast("double").alias("revenue"),
+        money_sum("o_totalprice").alias("revenue"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import ordering
 from ..plans import specs
-from .base import BASE, GAPPED, GEO, gaps, geo, panel, query, rounded, sql, table
+from .base import BASE, GAPPED, GEO, gaps, geo, money_sum, panel, query, rounded, sql, table
 
 
 @query(
@@ -461,7 +461,7 @@ def normalize_records(spark, sf_dir):
         F.col("nk").cast("string").alias("state_fips"), F.col("entity_name").alias("state_name"), "year",
         F.col("price").alias("reference_path"), F.col("price_g").alias("scenario_path"), F.col("balance").alias("scenario_difference"),
     )
-    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    total = money_sum("o_totalprice")
     key = F.when(F.col("segment") != "BUILDING", F.col("o_custkey").cast("string")).otherwise("")
     metros = geo(spark, sf_dir).groupBy(key.alias("cbsa_code"), "o_custkey", "year").agg(
         total.alias("reference_path"), (total * 2).cast("string").alias("scenario_path")

@@ -10,7 +10,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import windows as W
 from ..session import materialize
-from .base import BASE, CUSTOMERS, GAPPED, GEO, customer_panel, gaps, geo, money, panel, query, rounded, sql, table
+from .base import BASE, CUSTOMERS, GAPPED, GEO, customer_panel, gaps, geo, money_sum, panel, query, rounded, sql, table
 
 
 def yearly_events(spark, sf_dir):
@@ -19,7 +19,7 @@ def yearly_events(spark, sf_dir):
     return e.groupBy(
         F.lpad((F.col("user_id") % 25).cast("string"), 2, "0").alias("entity"),
         (F.lit(1995) + F.dayofmonth(F.col("ts").cast("date")) % 7).cast("int").alias("year"),
-    ).agg(F.count(F.lit(1)).alias("n_events"), F.sum(money("value")).cast("double").alias("revenue"))
+    ).agg(F.count(F.lit(1)).alias("n_events"), money_sum("value").alias("revenue"))
 
 
 EVENTS = """ev AS (SELECT lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS entity,
@@ -195,7 +195,7 @@ SCENARIO_ROWS = """sc AS (SELECT entity, year, o_orderpriority AS scenario, CAST
 def priority_rows(spark, sf_dir):
     """Nation × year × order priority, the priority standing in for the scenario."""
     return geo(spark, sf_dir).groupBy("entity", "year", F.col("o_orderpriority").alias("scenario")).agg(
-        F.sum(money("o_totalprice")).cast("double").alias("path"), F.count(F.lit(1)).alias("n")
+        money_sum("o_totalprice").alias("path"), F.count(F.lit(1)).alias("n")
     )
 
 

@@ -423,7 +423,8 @@ def last_row_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
 def temporal_split(df: DataFrame, year: str, name: str = "split", *, min_years: int = 4) -> DataFrame:
     """Years to train / validation / test: the last fifth tests, the fifth before validates.
 
-    The distinct years are one small scalar array; fewer than four raise an error.
+    The distinct years are one small scalar array; fewer than four raise an error. A row
+    without a year is in no split.
     """
     years = df.agg(F.array_sort(F.collect_set(F.col(year).cast("int")))).scalar()
     n = F.size(years)
@@ -431,6 +432,7 @@ def temporal_split(df: DataFrame, year: str, name: str = "split", *, min_years:
     place = F.array_position(years, F.col(year).cast("int"))
     label = (
         F.when(n < min_years, F.raise_error(F.lit("at least 4 distinct years are needed for a time split")))
+        .when(F.col(year).isNull(), F.lit(None))
         .when(place > n - part, F.lit("test"))
         .when(place > n - 2 * part, F.lit("validation"))
         .otherwise(F.lit("train"))

@@ -411,22 +411,25 @@ def local_perturbation(
     name: str,
     place: str,
     year: str,
+    categorical: Sequence[str] = (),
 ) -> DataFrame:
-    """Prediction minus prediction with one feature at its reference median, per row and feature.
+    """Prediction minus prediction with one feature at its reference value, per row and feature.
 
+    The reference value is the median, or the most frequent value of a categorical feature.
     Rows are exploded by feature and scored once; the medians are one small row.
     """
-    long = unpivot(reference, [], features, "feature", "value")
+    numeric = [f for f in features if f not in categorical]
+    modes = {f: most_frequent(reference, f) for f in categorical}
+    long = unpivot(reference, [], numeric, "feature", "value")
     medians = exact_median(long, "value", by=["feature"]).agg(
-        F.struct(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f) for f in features])
+        F.struct(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f) for f in numeric])
     ).scalar()
     plain = score(df, "predicted")
     rows = plain.select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    kept = {f: F.col(f) for f in features}
-    moved = rows.withColumns(
-        {f: F.when(F.col("feature") == f, medians.getField(f)).otherwise(kept[f].cast("double")) for f in features}
-    )
-    out = score(moved, "_p").withColumn("contribution", F.col("predicted") - F.col("_p"))
+    here = lambda f: F.col("feature") == f
+    changed = {f: F.when(here(f), medians.getField(f)).otherwise(F.col(f).cast("double")) for f in numeric}
+    changed.update({f: F.when(here(f), F.lit(modes[f])).otherwise(F.col(f)) for f in categorical})
+    out = score(rows.withColumns(changed), "_p").withColumn("contribution", F.col("predicted") - F.col("_p"))
     out = out.withColumn("_order", F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")))
     raises = F.col("contribution") >= 0
     out = out.withColumns(

@@ -200,6 +200,15 @@ def test_local_contributions(spark, synthetic_panel):
     assert {r.importance_rank for r in out.collect()} == {1, 2}
 
 
+def test_local_contribution_of_a_category_uses_its_mode(spark, synthetic_panel):
+    score = lambda df, c: df.withColumn(c, F.when(F.col("region") == "South", 3.0).otherwise(1.0) + F.col("remote"))
+    out = M.local_perturbation(
+        synthetic_panel, synthetic_panel, score, ["remote", "region"], ["entity", "year"], name="m", place="name", year="year", categorical=["region"]
+    )
+    got = {(r.entity, r.contribution) for r in out.filter("feature = 'region'").collect()}
+    assert got == {("01", 2.0), ("02", 0.0), ("04", 0.0)}
+
+
 def test_profile(spark, synthetic_panel):
     df = lag_features(synthetic_panel, ["rate"], "entity", "year", lags=(1,), rolling=None).select("entity", "rate", "rate_lag1")
     got = rows_of(M.column_profile(df, core=["rate"]))
