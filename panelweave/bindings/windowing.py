@@ -321,7 +321,7 @@ def rank_sql(x: str) -> str:
 )
 def mean_rank_scale(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), "c_acctbal", (F.col("c_nationkey") % 7).alias("k"))
-    out = W.mean_rank(rows, ["c_acctbal", "k", "absent"], "component", inverted=["k"])
+    out = W.mean_ranks(rows, ["customer"], {"component": (["c_acctbal", "k", "absent"], ["k"])})
     return rounded(out.select("customer", W.bounded_scale("component", 0.8, 1.25).alias("scale")), 8)
 
 

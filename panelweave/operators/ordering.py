@@ -107,6 +107,20 @@ def percentile_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), name:
     return df.join(ranks, [*by, value], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
 
 
+def percentile_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Percentile ranks of several columns, as (keys, one rank per column).
+
+    The columns are ranked together in long form, so the plan does not grow with their number.
+    ``keys`` identify a row.
+    """
+    long = df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in columns], "_feature", "_value")
+    sizes = long.groupBy("_feature").agg(F.count("_value").alias("_n"))
+    ranks = value_ranks(long, "_value", by=["_feature"]).join(sizes, "_feature")
+    ranks = ranks.select("_feature", "_value", F.when(F.col("_n") > 1, F.col("rank") / F.col("_n")).alias("_share"))
+    cells = long.join(ranks, ["_feature", "_value"], "left").withColumn("_share", F.coalesce("_share", F.lit(0.5)))
+    return cells.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == c, F.col("_share"))).alias(c) for c in columns])
+
+
 def factorize(df: DataFrame, label: str, order: str, *, name: str) -> DataFrame:
     """Labels numbered 0, 1, … by first appearance in ``order``; a missing label is -1."""
     firsts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("_first"))

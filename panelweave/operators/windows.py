@@ -22,7 +22,7 @@ from ..functions.text import logit
 from ..session import materialize
 from .aggregate import unpivot
 from .joins import latest_rows
-from .ordering import percentile_rank
+from .ordering import percentile_ranks
 
 
 def by_time(entity: Sequence[str] | str, year: str):
@@ -330,15 +330,31 @@ def fill_cascade(
 # --- ranks and scales -----------------------------------------------------------------------------
 
 
-def mean_rank(df: DataFrame, columns: Sequence[str], name: str, *, inverted: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
-    """Row mean of percentile ranks, some of them turned round; 0.5 where no column exists."""
-    present = [c for c in columns if c in df.columns]
-    out = df
-    for c in present:
-        out = percentile_rank(out, c, by=by, name=f"_r_{c}")
-    ranks = [F.lit(1.0) - F.col(f"_r_{c}") if c in inverted else F.col(f"_r_{c}") for c in present]
-    value = row_mean(ranks) if ranks else F.lit(0.5)
-    return out.withColumn(name, value).drop(*[f"_r_{c}" for c in present])
+def mean_rank(ranks: Sequence[tuple[str, bool]]) -> Column:
+    """Row mean of percentile-rank columns, those marked True turned round; 0.5 if there is none."""
+    parts = [F.lit(1.0) - F.col(c) if inverted else F.col(c) for c, inverted in ranks]
+    return row_mean(parts) if parts else F.lit(0.5)
+
+
+def mean_ranks(
+    df: DataFrame, keys: Sequence[str], components: Mapping[str, tuple[Sequence[str], Sequence[str]]]
+) -> DataFrame:
+    """Add one mean-rank column per component, given as (columns, those of them inverted).
+
+    Columns that do not exist are left out. All columns are ranked in one pass over ``df``,
+    which is written down first because the ranks are joined back to it.
+    """
+    known = {name: [c for c in columns if c in df.columns] for name, (columns, _) in components.items()}
+    inputs = sorted({c for columns in known.values() for c in columns})
+    if not inputs:
+        return df.withColumns({name: F.lit(0.5) for name in components})
+    base = materialize(df)
+    ranks = percentile_ranks(base, keys, inputs).withColumnsRenamed({c: f"_r_{c}" for c in inputs})
+    out = base.join(ranks, list(keys), "left")
+    new = {
+        name: mean_rank([(f"_r_{c}", c in components[name][1]) for c in columns]) for name, columns in known.items()
+    }
+    return out.withColumns(new).drop(*[f"_r_{c}" for c in inputs])
 
 
 def bounded_scale(component: Column | str, low: float = 0.7, high: float = 1.3) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_col, clip, flag, row_sum, safe_ratio
 from ..functions.text import expit, logit
 from ..operators.joins import against_reference, latest_rows
-from ..operators.windows import argmax_label, bounded_scale, mean_rank, reference_scales
+from ..operators.windows import argmax_label, bounded_scale, mean_ranks, reference_scales
 from . import specs
 
 
@@ -104,20 +104,17 @@ def baseline_anchor(
     return rows.groupBy(entity).agg(*last, *made)
 
 
-def override_scales(anchor: DataFrame, columns: Sequence[str]) -> DataFrame:
+def override_scales(anchor: DataFrame, columns: Sequence[str], entity: str = "entity") -> DataFrame:
     """Entity-specific multipliers ``scenario_scale_<column>`` from percentile ranks over the entities."""
-    used = {specs.SCALE_OF_COLUMN[c] for c in columns if c in specs.SCALE_OF_COLUMN}
-    out = anchor
-    for name, (inputs, inverted, low, high) in specs.SCALE_COMPONENTS.items():
-        if name in used:
-            out = mean_rank(out, inputs, f"_rank_{name}", inverted=inverted)
-            out = out.withColumn(f"_scale_{name}", bounded_scale(f"_rank_{name}", low, high))
-    scales = {
-        f"scenario_scale_{c}": F.col(f"_scale_{specs.SCALE_OF_COLUMN[c]}") if c in specs.SCALE_OF_COLUMN else F.lit(1.0)
-        for c in columns
-    }
-    drop = [f"_{kind}_{name}" for name in used for kind in ("rank", "scale")]
-    return out.withColumns(scales).drop(*drop)
+    used = sorted({specs.SCALE_OF_COLUMN[c] for c in columns if c in specs.SCALE_OF_COLUMN})
+    components = {f"_rank_{name}": specs.SCALE_COMPONENTS[name][:2] for name in used}
+    out = mean_ranks(anchor, [entity], components)
+    scales = {}
+    for c in columns:
+        name = specs.SCALE_OF_COLUMN.get(c)
+        low, high = specs.SCALE_COMPONENTS[name][2:] if name else (1.0, 1.0)
+        scales[f"scenario_scale_{c}"] = bounded_scale(f"_rank_{name}", low, high) if name else F.lit(1.0)
+    return out.withColumns(scales).drop(*components)
 
 
 def explode_years(df: DataFrame, first: Column, last: int, year: str = "year") -> DataFrame:
