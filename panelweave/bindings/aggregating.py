@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import aggregate as A
 from ..operators import windows as W
 from ..plans import specs
+from ..session import materialize
 from .base import BASE, GAPPED, GEO, MICRO, gaps, geo, micro, cents, panel, query, rounded, sql, table
 from .columns import CODED, FLAG_SQL, activity_flags, coded_lines
 
@@ -443,8 +444,9 @@ def latest_year_mean(spark, sf_dir):
     ),
 )
 def kpi_summary(spark, sf_dir):
-    national = panel(spark, sf_dir).groupBy("year").agg(C.safe_ratio(F.sum("revenue"), F.sum("n_orders")).alias("price_g"))
-    return rounded(A.kpi_table(national, late_gaps(spark, sf_dir), "year", ["price_g", "balance_g", "share_g"]))
+    rows = materialize(late_gaps(spark, sf_dir))
+    national = rows.groupBy("year").agg(C.safe_ratio(F.sum("revenue"), F.sum("n_orders")).alias("price_g"))
+    return rounded(A.kpi_table(national, rows, "year", ["price_g", "balance_g", "share_g"]))
 
 
 @query("value_counts", "SELECT nullif(source, 'web') AS source, count(*) AS n FROM documents GROUP BY 1")

@@ -179,7 +179,7 @@ def growth_rate(spark, sf_dir):
         CUSTOMERS, doubles="history_mean year_mean", digits=7),
 )
 def group_mean_broadcast(spark, sf_dir):
-    out = W.group_mean(customer_panel(spark, sf_dir), "revenue", ["customer"], "history_mean")
+    out = W.group_mean(customer_panel(spark, sf_dir), "revenue", ["customer"], "history_mean", bounded=True)
     return rounded(W.group_mean(out, "n_orders", ["year"], "year_mean").drop("n_orders", "revenue"), 7)
 
 

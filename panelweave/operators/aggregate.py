@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_col, flag, masked, row_mean, safe_ratio
+from ..session import materialize
 
 # Fixed value: normal quantile of the reported interval.
 Z_95 = 1.96
@@ -96,18 +97,19 @@ def weighted_distribution(df: DataFrame, keys: Sequence[str], category: str, wei
 # --- moments: mean, effective n, standard error, interval -----------------------------------------
 
 
-def moment_sums(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str) -> DataFrame:
+def moment_sums(
+    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str, anchors: Mapping[str, float] | None = None
+) -> DataFrame:
     """Additive sums from which mean, effective n and variance follow at any coarser grain.
 
-    Values are measured from the table-wide weighted mean (one scalar per metric), so the
-    one-pass variance does not lose digits when the mean is large against the spread.
+    Values are measured from a constant per metric (0 unless given), so that one pass over
+    the rows is enough.
     """
+    zero = dict.fromkeys(metrics, 0.0) | dict(anchors or {})
     w = F.col(weight)
-    anchors = df.agg(F.struct(*[F.coalesce(weighted_mean(m, weight), F.lit(0.0)).alias(m) for m in metrics])).scalar()
-    centred = df.withColumns({f"_c_{m}": F.col(m) - anchors.getField(m) for m in metrics})
     sums = []
     for m in metrics:
-        c = F.col(f"_c_{m}")
+        c = F.col(m) - F.lit(float(zero[m]))
         used = F.when(c.isNotNull(), w)
         sums += [
             F.sum(used).alias(f"{m}__w"),
@@ -115,8 +117,8 @@ def moment_sums(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weig
             F.sum(used * c).alias(f"{m}__wx"),
             F.sum(used * c * c).alias(f"{m}__wxx"),
         ]
-    out = centred.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
-    return out.withColumns({f"{m}__anchor": anchors.getField(m) for m in metrics})
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
+    return out.withColumns({f"{m}__anchor": F.lit(float(zero[m])) for m in metrics})
 
 
 def roll_up_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -147,16 +149,23 @@ def finish_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str],
 
 
 def weighted_mean_ci(
-    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str, *, two_pass: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: Sequence[str],
+    weight: str,
+    *,
+    anchors: Mapping[str, float] | None = None,
+    two_pass: bool = False,
 ) -> DataFrame:
     """Weighted mean with effective-sample standard error and 95 % interval per group.
 
     One pass loses about (d / sd)^2 * 1e-16 of the variance, d being the distance of a group's
-    mean from the table's. Where groups lie ten thousand spreads apart and more, ``two_pass``
-    measures from each group's own mean, at the price of joining the means back to the rows.
+    mean from the metric's anchor (0 unless given). Where a mean is ten thousand spreads and
+    more away from it, give a nearer anchor, or ask for ``two_pass``, which measures from each
+    group's own mean at the price of joining the means back to the rows.
     """
     if not two_pass:
-        return finish_moments(moment_sums(df, keys, metrics, weight), keys, metrics)
+        return finish_moments(moment_sums(df, keys, metrics, weight, anchors), keys, metrics)
     centres = df.groupBy(*keys).agg(*[weighted_mean(m, weight).alias(f"_m_{m}") for m in metrics])
     renamed = centres.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
@@ -182,15 +191,21 @@ class Grain:
 
 
 def multi_grain(
-    df: DataFrame, grains: Sequence[Grain], metrics: Sequence[str], weight: str, *, grain_column: str = "geography_type"
+    df: DataFrame,
+    grains: Sequence[Grain],
+    metrics: Sequence[str],
+    weight: str,
+    *,
+    grain_column: str = "geography_type",
+    anchors: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """The same estimates at several grains in one tagged table.
 
-    Raw rows are aggregated once, to the finest grain; coarser grains add up those sums,
-    so the raw data is neither scanned nor shuffled again per grain.
+    Raw rows are aggregated once, to the finest grain, and that small table is written down;
+    coarser grains add up its sums, so the raw data is not read again per grain.
     """
     finest = max(grains, key=lambda g: len(g.keys))
-    base = moment_sums(df, finest.keys, metrics, weight)
+    base = materialize(moment_sums(df, finest.keys, metrics, weight, anchors))
     tables = []
     for g in grains:
         source = base.dropna(subset=list(g.present)) if g.present else base

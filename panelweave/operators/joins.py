@@ -109,24 +109,35 @@ def match_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return sides.withColumn("status", status)
 
 
+def _salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], open_rows: Column | None = None) -> DataFrame:
+    """Left join in which rows that cannot match are spread over the shuffle by a salt.
+
+    Rows with a missing key, and rows outside ``open_rows``, would otherwise meet in the
+    partition of NULL or find partners they must not have.
+    """
+    live = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if open_rows is not None:
+        live = live & open_rows
+    salt = F.when(live, F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)) + 1)
+    salted = right.withColumn("_salt", F.lit(0).cast("bigint"))
+    return left.withColumn("_salt", salt.cast("bigint")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
 def two_pass_join(
     left: DataFrame, right: DataFrame, *, first_keys: Sequence[str], second_keys: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
     """Join by id; rows with no id match are joined again by a text key; all left rows are kept.
 
-    ``matched_by`` says which pass found the partner. Rows without a text key cannot match
-    in the second pass; a salt spreads them over the shuffle instead of one NULL partition.
+    ``matched_by`` says which pass found the partner. The left side flows through both joins
+    once; rows matched by id pass the second one untouched.
     """
-    by_id = right.select(*first_keys, *values).distinct()
-    by_text = right.select(*second_keys, *values).distinct()
-    first = left.join(by_id, list(first_keys), "inner").withColumn("matched_by", F.lit("id"))
-    rest = left.join(by_id.select(*first_keys), list(first_keys), "left_anti")
-    hit = F.when(F.col(values[0]).isNotNull(), F.lit("text"))
-    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in second_keys])
-    salt = F.when(keyless, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0))
-    salted = by_text.withColumn("_salt", F.lit(0).cast("bigint"))
-    second = rest.withColumn("_salt", salt.cast("bigint")).join(salted, [*second_keys, "_salt"], "left").drop("_salt")
-    return first.unionByName(second.withColumn("matched_by", hit))
+    by_id = right.select(*first_keys, *[F.col(v).alias(f"_a_{v}") for v in values]).distinct().withColumn("_by_id", F.lit(True))
+    by_text = right.select(*second_keys, *[F.col(v).alias(f"_b_{v}") for v in values]).distinct()
+    first = _salted_left_join(left, by_id, first_keys)
+    second = _salted_left_join(first, by_text, second_keys, F.col("_by_id").isNull())
+    found = F.when(F.col("_by_id"), F.lit("id")).when(F.col(f"_b_{values[0]}").isNotNull(), F.lit("text"))
+    chosen = [F.when(F.col("_by_id"), F.col(f"_a_{v}")).otherwise(F.col(f"_b_{v}")).alias(v) for v in values]
+    return second.select(*left.columns, *chosen, found.alias("matched_by"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

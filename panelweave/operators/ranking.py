@@ -55,10 +55,10 @@ def preview_with_overflow(df: DataFrame, keys: Sequence[str], code: str, limit:
 
     Distinct codes are counted distributed and only the first ``limit`` are gathered.
     """
-    distinct = df.filter(F.col(code).isNotNull()).select(*keys, code).distinct()
-    heads = top_per_group(distinct, keys, [F.col(code).asc()], limit, "_rank")
+    distinct = df.select(*keys, code).distinct()
+    heads = top_per_group(distinct, keys, [F.col(code).asc_nulls_last()], limit, "_rank")
     shown = heads.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(code)), ", ").alias("_head"))
-    counts = df.groupBy(*keys).agg(F.count_distinct(code).alias("n_codes"))
+    counts = distinct.groupBy(*keys).agg(F.count(code).alias("n_codes"))
     more = F.when(
         F.col("n_codes") > limit, F.concat(F.lit(", ... (+"), (F.col("n_codes") - limit).cast("string"), F.lit(" more)"))
     ).otherwise(F.lit(""))

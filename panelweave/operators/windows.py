@@ -43,9 +43,16 @@ def _from_here(entity: Sequence[str] | str, year: str):
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
-    """Aggregate per key and join back: a hot key is pre-combined, then split by the skew join."""
-    table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(table, list(keys), "left")
+    """Aggregate per key and join back: a hot key is pre-combined, then split by the skew join.
+
+    Rows with a missing key belong to no group. The keys are compared null-safely, because a
+    plain equality would filter NULLs on the side of the statistics only and so keep Spark
+    from reading the shuffled input once for both sides.
+    """
+    table = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
+    joined = df.join(table, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
+    grouped = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return joined.withColumns({n: F.when(grouped, F.col(n)) for n in stats}).drop(*[f"_of_{k}" for k in keys])
 
 
 # --- z-scores and indices -------------------------------------------------------------------------
@@ -149,7 +156,11 @@ def total_and_growth(df: DataFrame, year: str, value: str) -> DataFrame:
     return growth_rate(totals.withColumn("_all", F.lit("all")), "total", "_all", year, "growth").drop("_all")
 
 
-def group_mean(df: DataFrame, column: str, keys: Sequence[str], name: str) -> DataFrame:
+def group_mean(df: DataFrame, column: str, keys: Sequence[str], name: str, *, bounded: bool = False) -> DataFrame:
+    """Mean of the group on each row. ``bounded`` says that a group is small by its nature, as
+    the periods of one entity are: then one window does it without a join."""
+    if bounded:
+        return df.withColumn(name, F.avg(column).over(Window.partitionBy(*keys)))
     return attach_group_stats(df, keys, {name: F.avg(column)})
 
 

@@ -55,6 +55,6 @@ def feature_panel(
     """Imputed, lagged and described panel: what the models read."""
     out = impute_short_gaps(panel, impute, entity, year)
     out = lag_features(out, lagged, entity, year)
-    out = group_mean(out, target, [entity], "history_mean_target")
+    out = group_mean(out, target, [entity], "history_mean_target", bounded=True)
     out = first_value_log(out, stock, entity, year, "log_stock_baseline")
     return calendar_trend_features(out, year, break_year)
