@@ -124,8 +124,8 @@ def decode_array_records(spark, sf_dir):
 @query("strip_js_wrapper_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events")
 def strip_js_wrapper_json(spark, sf_dir):
     body = F.to_json(F.struct("props", "value"))
-    script = F.concat(F.lit("window.DASHBOARD = "), body, F.when(F.col("event_id") % 2 == 0, F.lit(";\n")).otherwise(F.lit("")))
-    docs = RD.unwrap_script(table(spark, sf_dir, "events").select("event_id", script.alias("text")), "text", "window.DASHBOARD")
+    script = F.concat(F.lit("window.PANEL = "), body, F.when(F.col("event_id") % 2 == 0, F.lit(";\n")).otherwise(F.lit("")))
+    docs = RD.unwrap_script(table(spark, sf_dir, "events").select("event_id", script.alias("text")), "text", "window.PANEL")
     parsed = F.from_json("json", "struct<props: string, value: double>")
     return docs.select("event_id", F.get_json_object(parsed["props"], "$.k").cast("bigint").alias("k"), parsed["value"].alias("value"))
 
