@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hyperminhash, mixing, packing, token_lengths, topk_search, weak_quality
+from . import exact_dedup, hyperminhash, mixing, packing, token_lengths, tool_calls, topk_search, weak_quality
 from .store import table
 from .tokens import default_tokenizer
 
@@ -54,6 +54,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.scored(docs, weak_quality.fit(docs))
 
 
+@query("op8_tool_call_links", tool_calls.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_calls(tool_calls.as_tool_messages(table(spark, sf_dir, "conversations")), tool_calls.TOOLS)
+
+
 @query(
     "op9_branch_and_bound_top_k",
     """
