@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hyperminhash, mixing, packing, token_lengths, tool_calls, topk_search, weak_quality
+from . import crf_extract, exact_dedup, hyperminhash, mixing, packing, surrogates, token_lengths, tool_calls, topk_search, weak_quality
 from .store import table
 from .tokens import default_tokenizer
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents"), key="surrogates-2024")
+
+
 @query("op2_token_length_histogram")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.length_histogram(table(spark, sf_dir, "documents"), default_tokenizer())
@@ -35,6 +40,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+@query("op4_crf_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return crf_extract.extracted(pages, crf_extract.fit(pages))
+
+
 @query("op5_vector_best_fit")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), default_tokenizer())

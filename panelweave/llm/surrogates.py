@@ -42,6 +42,11 @@ GATE = rf"[0-9@]|{_CAPITAL}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
 PART = "array<struct<kind:string,canon:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas know no common subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def mentions(text: Column) -> Column:
     """The entities of a text as written, in order."""
     return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -57,7 +62,11 @@ def kind_of(mention: Column) -> Column:
 
 def parts_of(mention: Column) -> Column:
     """The (kind, canonical form) pairs a mention is made of: one, or the words of a person's name."""
-    kind, words = kind_of(mention), F.split(mention, " ")
+    return _let(kind_of(mention), lambda kind: _parts(mention, kind))
+
+
+def _parts(mention: Column, kind: Column) -> Column:
+    words = F.split(mention, " ")
     given = F.when(words[0].isin(FEMALE), "given_f").when(words[0].isin(MALE), "given_m").otherwise("given")
     name = lambda k, w: F.struct(k.alias("kind"), F.lower(w).alias("canon"))
     pair = F.array(name(given, words[0]), name(F.lit("surname"), F.element_at(words, -1)))
@@ -112,12 +121,18 @@ def _luhn(digits: Column) -> Column:
 
 def fake(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of a surrogate: of the same kind, length and character classes, valid where the original was."""
-    stream = _stream(kind, canon, attempt, key)
-    one = F.lit(1)
-    number = _same_class(canon, stream, F.when(kind == "phone", F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))).otherwise(one))
+    return _let(_stream(kind, canon, attempt, key), lambda stream: _fake(kind, canon, attempt, stream))
+
+
+def _card(canon: Column, number: Column) -> Column:
+    """The new number, with a valid check digit if the old one had one."""
     body = F.substring(number, F.lit(1), F.length(number) - 1)
     check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    card = F.when(_luhn(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(number)
+    return F.when(_luhn(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(number)
+
+
+def _fake(kind: Column, canon: Column, attempt: Column, stream: Column) -> Column:
+    country = F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))
     octet = lambda i: (_at(stream, F.lit(i), 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))
     local = F.substring_index(canon, "@", 1)
@@ -133,22 +148,25 @@ def fake(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), syllable), ""), end)
 
     person = F.when(canon.rlike(r"\p{IsCyrillic}"), invented("cyrillic")).otherwise(invented("latin"))
-    iban = _same_class(canon, stream, F.lit(2))
+    card = _let(_same_class(canon, stream, F.lit(1)), lambda number: _card(canon, number))
     out = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card)
-    return out.when(kind.isin("phone", "ssn"), number).when(kind == "iban", iban).otherwise(person)
+    out = out.when(kind == "phone", _same_class(canon, stream, country)).when(kind == "ssn", _same_class(canon, stream, F.lit(0)))
+    return out.when(kind == "iban", _same_class(canon, stream, F.lit(2))).otherwise(person)
 
 
 def written(mention: Column, fakes: Column) -> Column:
     """A surrogate in the format of the mention: separators, case and number of words."""
-    kind = kind_of(mention)
     sign = lambda i: F.substring(mention, i, F.lit(1))
     before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9A-Za-z+]", ""))
-    weave = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(sign(i).rlike("[0-9A-Za-z+]"), F.substring(fakes[0], before(i), F.lit(1))).otherwise(sign(i))), ""
-    )
-    email = F.when(mention == F.upper(mention), F.upper(fakes[0])).otherwise(fakes[0])
-    name = F.array_join(F.transform(fakes, F.initcap), " ")
-    return F.when(kind == "email", email).when(kind.isin("phone", "ssn", "card", "iban"), weave).when(kind == "name", name).otherwise(fakes[0])
+
+    def by_kind(kind: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(mention))
+        weave = F.array_join(F.transform(places, lambda i: F.when(sign(i).rlike("[0-9A-Za-z+]"), F.substring(fakes[0], before(i), F.lit(1))).otherwise(sign(i))), "")
+        email = F.when(mention == F.upper(mention), F.upper(fakes[0])).otherwise(fakes[0])
+        name = F.array_join(F.transform(fakes, F.initcap), " ")
+        return F.when(kind == "email", email).when(kind.isin("phone", "ssn", "card", "iban"), weave).when(kind == "name", name).otherwise(fakes[0])
+
+    return _let(kind_of(mention), by_kind)
 
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
@@ -200,7 +218,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         own = own.agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\u0001"), "canon"), "attempt"))).alias("_moved"))
         slim = slim.join(own, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left")
         attempt = lambda p: F.coalesce(F.try_element_at(F.col("_moved"), label(p)), F.lit(0))
-    surrogate = lambda m: written(m, F.transform(parts_of(m), lambda p: fake(p["kind"], p["canon"], attempt(p), key)))
+    fakes = lambda m: F.transform(parts_of(m), lambda p: fake(p["kind"], p["canon"], attempt(p), key))
+    surrogate = lambda m: _let(fakes(m), lambda made: written(m, made))
     slim = slim.withColumn("_found", F.coalesce(mentions(F.col("text")), F.array().cast("array<string>")))
     pieces = F.split("text", ENTITY, -1)
     ends = F.concat(F.transform(F.col("_found"), surrogate), F.array(F.lit("")))
