@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
+# chunks of these characters alone are stable under the tokenizer's normaliser, apart from case; its split of such a chunk
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 class ChunkIds:
     """Ids of white-space separated chunks as little-endian unsigned 32-bit bytes, remembered up to a bound.
@@ -14,7 +19,7 @@ class ChunkIds:
     chunks in order. Chunks are cut at ASCII white space only.
     """
 
-    LIMIT, LONGEST = 600_000, 64  # of each of two generations; chunks still in use move to the younger one
+    LIMIT, LONGEST = 400_000, 64  # of each of two generations; what is still in use moves to the younger one
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -22,10 +27,28 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.older_units: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        value = self.units.get(unit)
+        if value is None:
+            value = self.older_units.get(unit) or self._ids(unit)
+            if len(self.units) >= self.LIMIT:
+                self.older_units, self.units = self.units, {}
+            if len(unit) <= self.LONGEST:
+                self.units[unit] = value
+        return value
 
     def _encoded(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        """A new chunk: its words, digits and signs are encoded apart, as the tokenizer does, and mostly known."""
+        text = chunk.decode("utf-8", "replace")
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return self._ids(text)
+        return b"".join(map(self._unit, UNITS.findall(text.lower())))
 
     def text(self, text: bytes | None) -> bytes:
         if not text:
