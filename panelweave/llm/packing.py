@@ -121,12 +121,12 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = TOKENS, with_ids: boo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_ids(tokenizer).text
+        encode = chunk_ids(tokenizer).texts
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = encode(text) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                raw = found.tobytes() + end
                 for number, at in enumerate(range(0, len(raw) // 4, longest)):
                     part = raw[4 * at : 4 * (at + longest)]
                     doc.append(doc_id)
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = TOKENS, with_ids: boo
                 made, names = [*made, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 

@@ -17,11 +17,11 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``length``: number of ids of each text; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_ids(tokenizer).text
+        encode = chunk_ids(tokenizer).texts
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], names=["length"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids) for ids in encode(batch.column(0))], pa.int64())], names=["length"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "length bigint")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length bigint")
 
 
 def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
