@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +24,41 @@ SYMBOLS = frozenset(SYMBOL_BYTES)
 
 
 PUNCTUATION = b".,;:!?)\"'"
+RUN = re.compile(rb"(.)\1+", re.S)
+SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
-def _votes(text: bytes | None) -> tuple[list[int], list[bytes]]:
-    """One vote per labeller (1 junk, 0 sound, -1 no opinion) and the words.
+class _Reading(NamedTuple):
+    """What one look at a text gives: votes (1 junk, 0 sound, -1 no opinion), words, and how much recurs."""
 
-    The first six each know one defect and have no opinion without it. The last three also vouch for sound texts: words
-    without odd marks, words that begin small, and word sequences that do not recur. Every defect is seen by two or more.
+    votes: list[int]
+    words: list[bytes]
+    neighbours: float
+    recurring: float
+
+
+def _read(text: bytes | None) -> _Reading:
+    """The first six labellers each know one defect and have no opinion without it. The last three also vouch for sound texts:
+    words without odd marks, words that begin small, and word sequences that do not recur. Every defect is seen by two or more.
     """
     words = text.split() if text else []
     n = len(words)
     if n < 4:  # too little to judge
-        return [-1] * len(LABELLERS), words
-    marked = sum(1 for w in words if len(w) > 1 and w[-1] in SYMBOLS and w[-2] in SYMBOLS) / n
-    upper = sum(1 for w in words if len(w) > 1 and w.isupper()) / n
+        return _Reading([-1] * len(LABELLERS), words, 0.0, 0.0)
+    marked = sum([w[-1] in SYMBOLS and w[-2:-1] != b"" and w[-2] in SYMBOLS for w in words]) / n
+    upper = sum([w.isupper() and len(w) > 1 for w in words]) / n
     bars = words.count(b"|") / n
-    grams = list(zip(words, words[1:], words[2:], words[3:]))
-    fresh = len(set(grams)) / len(grams)
+    fresh = len(set(zip(words, words[1:], words[2:], words[3:]))) / (n - 3)
     neighbours = sum(map(bytes.__eq__, words, words[1:])) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 1 - len(set(lines)) / len(lines)
-    plain = sum(1 for w in words if (w[:-1] if w[-1] in PUNCTUATION else w).translate(None, SYMBOL_BYTES) == (w[:-1] if w[-1] in PUNCTUATION else w)) / n
-    small = sum(1 for w in words if w[0] >= 97) / n
+    bare = [w[:-1] if w[-1] in PUNCTUATION else w for w in words]
+    plain = sum(map(bytes.__eq__, bare, [w.translate(None, SYMBOL_BYTES) for w in bare])) / n
+    small = sum([w[0] >= 97 for w in words]) / n
     enough = n >= 12
     junk_over = lambda x, limit: 1 if x > limit else -1
     level = lambda x, junk, sound: 1 if x < junk else 0 if x >= sound else -1
-    return [
+    votes = [
         junk_over(marked, 0.2),
         junk_over(upper, 0.6),
         junk_over(bars, 0.1),
@@ -57,7 +68,8 @@ def _votes(text: bytes | None) -> tuple[list[int], list[bytes]]:
         level(plain, 0.7, 0.9),
         level(small, 0.15, 0.4),
         level(fresh, 0.55, 0.85) if enough else -1,
-    ], words
+    ]
+    return _Reading(votes, words, neighbours, 1 - fresh)
 
 
 class _Features:
@@ -66,35 +78,38 @@ class _Features:
     LIMIT = 400_000
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def _of(self, word: bytes) -> tuple[int, int]:
+        self.known: dict[bytes, int] = {}
+        self.hashed: dict[bytes, int] = {}
+
+    def _slot(self, piece: bytes) -> int:
+        value = self.hashed.get(piece)
+        if value is None:
+            if len(self.hashed) >= self.LIMIT:
+                self.hashed.clear()
+            value = self.hashed[piece] = xxhash.xxh3_64_intdigest(piece) % FEATURES
+        return value
+
+    def _of(self, word: bytes) -> int:
+        """The slots of the word's shape (runs of one class of characters) and of its last two bytes, in one number."""
+        value = self._slot(b"s" + RUN.sub(rb"\1", word.translate(SHAPE))) * FEATURES + self._slot(b"e" + word[-2:])
         if len(self.known) >= self.LIMIT:
             self.known.clear()
-        shape = bytearray()
-        for c in word[:40]:  # the shape, not the text, is shortened
-            kind = 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
-            if not shape or shape[-1] != kind:
-                shape.append(kind)
-        pair = xxhash.xxh3_64_intdigest(bytes(shape), seed=1) % FEATURES, xxhash.xxh3_64_intdigest(word[-2:], seed=2) % FEATURES
-        self.known[word] = pair
-        return pair
-
-    def vector(self, text: bytes | None, votes: list[int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and values: shares of shapes and ends among the words, and coarse levels of repetition."""
-        if not words:
+        self.known[word] = value
+        return value
+
+    def vector(self, seen: _Reading) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and values: shares of shapes and ends among the words, and coarse levels of repetition and length."""
+        n = len(seen.words)
+        if not n:
             return np.array([0]), np.array([1.0])
-        found = list(map(self.known.get, words))
-        pairs = [self._of(w) if p is None else p for w, p in zip(words, found)]
-        index, counts = np.unique(np.array(pairs, dtype=np.int64).ravel(), return_counts=True)
-        n = len(words)
-        same = sum(map(bytes.__eq__, words, words[1:])) / n
-        grams = set(zip(words, words[1:], words[2:], words[3:]))
-        copied = 1 - len(grams) / max(1, n - 3) if n > 3 else 0.0
-        extra = [xxhash.xxh3_64_intdigest(f"{k}:{int(v * 10)}".encode(), seed=3) % FEATURES for k, v in (("same", same), ("copied", copied))]
-        extra.append(xxhash.xxh3_64_intdigest(b"length:%d" % int(math.log2(n)), seed=4) % FEATURES)
-        values = np.sqrt(counts / n)
-        return np.concatenate([index, extra, [0]]), np.concatenate([values, np.ones(len(extra) + 1)])
+        found = list(map(self.known.get, seen.words))
+        if None in found:
+            found = [self._of(w) if p is None else p for w, p in zip(seen.words, found)]
+        codes = np.array(found, dtype=np.int64)
+        counts = np.bincount(codes // FEATURES, minlength=FEATURES) + np.bincount(codes % FEATURES, minlength=FEATURES)
+        index = np.flatnonzero(counts)
+        extra = [self._slot(b"%s:%d" % (k, v)) for k, v in ((b"same", int(seen.neighbours * 10)), (b"copied", int(seen.recurring * 10)), (b"length", int(math.log2(n))))]
+        return np.concatenate([index, extra, [0]]), np.concatenate([np.sqrt(counts[index] / n), np.ones(len(extra) + 1)])
 
 
 @dataclass
@@ -169,7 +184,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patterns = ["".join("-sj"[v + 1] for v in _votes(t)[0]) for t in batch.column(1).to_pylist()]
+            patterns = ["".join("-sj"[v + 1] for v in _read(t).votes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.string())], names=["doc_id", "pattern"])
 
     return _slim(docs).mapInArrow(run, "doc_id bigint, pattern string")
@@ -204,11 +219,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
         for batch in batches:
             index, value, junk = [], [], []
             for text in batch.column(1).to_pylist():
-                own, words = _votes(text)
-                i, v = features.vector(text, own, words)
+                seen = _read(text)
+                i, v = features.vector(seen)
                 index.append(i.astype(np.int32).tobytes())
                 value.append(v.astype(np.float32).tobytes())
-                junk.append(float(labels.posterior(np.array([own]))[0]))
+                junk.append(float(labels.posterior(np.array([seen.votes]))[0]))
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), pa.array(junk, pa.float64())], names=["i", "v", "junk"])
 
     share = min(1.0, train_rows / total)
@@ -236,9 +251,9 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
                 continue
             votes, scores = [], []
             for text in batch.column(1).to_pylist():
-                own, words = _votes(text)
-                index, value = features.vector(text, own, words)
-                votes.append(own)
+                seen = _read(text)
+                index, value = features.vector(seen)
+                votes.append(seen.votes)
                 scores.append(1 / (1 + math.exp(-max(-50.0, min(50.0, float(weights[index] @ value))))))
             table = np.array(votes)
             cast = (table >= 0).sum(axis=1)
@@ -267,9 +282,9 @@ def sound_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             good = []
             for text in batch.column(at).cast(pa.binary()).to_pylist():
-                own, words = _votes(text)
-                index, value = features.vector(text, own, words)
-                good.append(max(own) < 0 or float(weights[index] @ value) < 0)
+                seen = _read(text)
+                index, value = features.vector(seen)
+                good.append(max(seen.votes) < 0 or float(weights[index] @ value) < 0)
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
