@@ -19,7 +19,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 class WordHashes:
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}

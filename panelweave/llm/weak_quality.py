@@ -75,7 +75,7 @@ def _read(text: bytes | None) -> _Reading:
 class _Features:
     """Hashed features of a text: word shapes, word ends, repetition; the same for every length."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
