@@ -228,8 +228,8 @@ def event_to_person_rollup(spark, sf_dir):
     events = coded_lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
     flags = activity_flags()
     persons = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    places = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")
+    places = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("o_custkey"), F.col("c_mktsegment").alias("segment")
     )
     m = {n: C.masked("l_quantity", flags[f]) for n, f in PERSON_MEASURES.items()}
     return rounded(A.event_to_person(events, persons, places, case="o_orderkey", person_keys=["o_custkey"], measures=m))

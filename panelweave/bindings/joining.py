@@ -178,8 +178,8 @@ def baseline_self_join(spark, sf_dir):
 def hierarchy_fallback_join(spark, sf_dir):
     g = materialize(gaps(spark, sf_dir))
     fine = g.select("entity", "year", F.col("price_g").alias("price"))
-    middle = g.filter("region <> 'ASIA'").groupBy("region", "year").agg(F.avg("price_g").alias("price"))
-    coarse = g.filter("year <> 1998").groupBy("year").agg(F.avg("price_g").alias("price"))
+    middle = g.groupBy("region", "year").agg(F.avg(F.when(F.col("region") != "ASIA", F.col("price_g"))).alias("price"))
+    coarse = g.groupBy("year").agg(F.avg(F.when(F.col("year") != 1998, F.col("price_g"))).alias("price"))
     base = panel(spark, sf_dir).select("entity", "region", "year", "urgent_share")
     out = J.hierarchy_fallback_join(
         base, fine, middle, coarse, entity="entity", group="region", year="year", metrics=["price"],
@@ -225,7 +225,7 @@ def reference_vs_scenario_join(spark, sf_dir):
 def rescaled_region_proxy(spark, sf_dir):
     g = materialize(gaps(spark, sf_dir))
     region = g.groupBy("region", "year").agg(F.avg("price_g").alias("price"))
-    national = g.filter(~F.col("year").isin(1997, 2000)).groupBy("year").agg(F.avg("price_g").alias("price"))
+    national = g.groupBy("year").agg(F.avg(F.when(~F.col("year").isin(1997, 2000), F.col("price_g"))).alias("price"))
     return rounded(
         J.rescaled_region_proxy(region, national, region="region", year="year", value="price", anchor=25.0, name="proxy")
     )
@@ -318,17 +318,19 @@ def enrich_from_entity(spark, sf_dir):
     """WITH t AS (SELECT l_suppkey AS k, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types FROM lineitem JOIN part ON l_partkey = p_partkey
                   WHERE l_suppkey % 3 <> 0 GROUP BY 1),
             b AS (SELECT l_suppkey AS k, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey
-                  WHERE l_suppkey % 4 <> 0 AND l_quantity > 40 GROUP BY 1),
+                  WHERE l_suppkey % 4 <> 0 GROUP BY 1),
             j AS (SELECT s_suppkey AS supplier, types, brands, nullif(concat_ws('; ', CASE WHEN types IS NULL THEN 'types' END,
                          CASE WHEN brands IS NULL THEN 'brands' END), '') AS missing_columns
                   FROM supplier LEFT JOIN t ON s_suppkey = t.k LEFT JOIN b ON s_suppkey = b.k)
        SELECT *, 'Missing match in: ' || missing_columns AS mismatch_summary FROM j""",
 )
 def skill_rollup_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.withColumnRenamed("l_suppkey", "supplier")
-    types = A.joined_sorted(lines.filter("supplier % 3 <> 0"), ["supplier"], "p_type", "types")
-    brands = A.joined_sorted(lines.filter("supplier % 4 <> 0 AND l_quantity > 40"), ["supplier"], "p_brand", "brands")
+    """Supplier-part pairs are reduced once and written; keys are masked, so that some suppliers have no text."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey").distinct()
+    pairs = materialize(pairs.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("s", "p_type", "p_brand").distinct())
+    masked = lambda n: pairs.withColumn("supplier", F.when(F.col("s") % n != 0, F.col("s")))
+    types = A.joined_sorted(masked(3), ["supplier"], "p_type", "types")
+    brands = A.joined_sorted(masked(4), ["supplier"], "p_brand", "brands")
     base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"))
     return J.rollup_join(base, {"types": types, "brands": brands}, "supplier")
 
@@ -390,8 +392,10 @@ def task_inputs(spark, sf_dir):
     )
     ids = F.array(F.when(F.col("even"), F.col("p_partkey")), F.when(F.col("odd"), F.col("p_partkey") + 1000000))
     tasks = pairs.select("k", F.explode(F.array_compact(ids)).alias("task_id"), "text_key").distinct()
-    acts = pairs.filter("big").select("k", F.col("p_partkey").alias("task_id"), "text_key", F.col("p_type").alias("activity"))
-    rollups = {"brands": A.joined_sorted(pairs.filter("k % 4 <> 0"), ["k"], "p_brand", "brands")}
+    big = lambda c: F.when(F.col("big"), F.col(c))  # noqa: E731  other pairs stay, without a key to be found by
+    acts = pairs.select("k", big("p_partkey").alias("task_id"), big("text_key").alias("text_key"), F.col("p_type").alias("activity"))
+    masked = pairs.select(F.when(F.col("k") % 4 != 0, F.col("k")).alias("k"), "p_brand").distinct()
+    rollups = {"brands": A.joined_sorted(masked, ["k"], "p_brand", "brands")}
     return entities, tasks, acts, rollups
 
 

@@ -9,7 +9,7 @@ from ..plans import models as M
 from ..plans import panel as P
 from ..session import materialize
 from .base import BASE, GAPPED, GEO, customer_panel, gaps, query, rounded, sql, table
-from .projecting import COVP, SCENARIO_CTES, SHARE, SHORT, covariates, rsql, scenario_frame
+from .projecting import COVP, NAIVE, SCENARIO_CTES, SHARE, SHORT, covariates, rsql, scenario_frame
 from .windowing import IMPUTE
 
 NUMERIC = ["rate_lag1", "rate_lag2", "rate_rolling3", SHORT["rs"], SHORT["sl"], SHORT["ip"], "n_orders", "year_index", "post_break"]
@@ -62,8 +62,8 @@ def feature_panel(spark, sf_dir):
 @query(
     "column_profile",
     sql(
-        """SELECT * FROM (VALUES ('entity', 'string', 'derived'), ('year', 'int', 'derived'), ('price_g', 'double', 'core target or accounting input'),
-             ('price_g_lag1', 'double', 'lagged feature'), ('price_g_imputed_flag', 'int', 'transparent imputation flag')) v(column_name, dtype, description)
+        """SELECT * FROM (VALUES ('entity', 'string', 'derived'), ('year', 'int', 'derived'), ('price_g', 'double', 'modelled value'),
+             ('price_g_lag1', 'double', 'lagged feature'), ('price_g_imputed_flag', 'int', 'marks imputed rows')) v(column_name, dtype, description)
            JOIN (SELECT unnest(['entity', 'year', 'price_g', 'price_g_lag1', 'price_g_imputed_flag']) AS column_name,
                         unnest([count(entity), count(year), count(f), count(l), count(*)]) AS n_present FROM (SELECT *, lag(f) OVER (PARTITION BY entity ORDER BY year) AS l FROM imp)) USING (column_name)""",
         *GAPPED, IMPUTE,
@@ -73,7 +73,7 @@ def column_profile(spark, sf_dir):
     out = P.feature_panel(
         gaps(spark, sf_dir), "entity", "year", impute=["price_g"], lagged=["price_g"], target="price_g", stock="n_orders", break_year=1999
     )
-    return M.column_profile(out.select("entity", "year", "price_g", "price_g_lag1", "price_g_imputed_flag"), core=["price_g"])
+    return M.column_profile(out.select("entity", "year", "price_g", "price_g_lag1", "price_g_imputed_flag"), {"price_g": "modelled value"})
 
 
 @query(
@@ -102,31 +102,121 @@ def batch_score(spark, sf_dir):
     return rounded(M.prediction_frame(rows, ["entity", "year"], "rate", "_p", "fixed_linear"), 6)
 
 
-@query("ridge_model")
+# The closed form of ridge in SQL: centred normal equations of the standardised numbers and the indicators, solved by Gauss-Jordan
+# elimination, one unknown per step of a recursive CTE (the matrix is positive definite, so no pivot is sought).
+RIDGE_X = ["rate_lag1", "rate_lag2", "rate_rolling3", "rs", "sl", "ip", "n_orders", "year_index", "post_break"]
+RIDGE = (
+    """full_rows AS (SELECT *, avg(rate) OVER (PARTITION BY entity ORDER BY year ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS rate_rolling3,
+         CASE WHEN year >= 1999 THEN 1 ELSE 0 END AS post_break, CASE WHEN year >= 2001 THEN 'test' WHEN year = 2000 THEN 'validation' ELSE 'train' END AS split FROM feat)""",
+    "middle AS (SELECT " + ", ".join(f"median({c}) AS {c}" for c in RIDGE_X) + " FROM full_rows WHERE split = 'train')",
+    "filled AS (SELECT r.entity, r.region, r.year, r.split, r.rate, " + ", ".join(f"coalesce(r.{c}, m.{c})::DOUBLE AS {c}" for c in RIDGE_X) + " FROM full_rows r, middle m)",
+    "moments AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in RIDGE_X) + ", avg(rate) AS y0, count(*) AS n FROM filled WHERE split = 'train')",
+    "groups AS (SELECT list(DISTINCT entity ORDER BY entity) AS es, list(DISTINCT region ORDER BY region) AS gs FROM filled WHERE split = 'train')",
+    "design AS (SELECT entity, region, year, split, rate, list_concat([" + ", ".join(f"({c} - m_{c}) / s_{c}" for c in RIDGE_X)
+    + "], list_concat(list_transform(es, lambda e: (e = entity)::INT::DOUBLE), list_transform(gs, lambda g: (g = region)::INT::DOUBLE))) AS x FROM filled, moments, groups)",
+    "cells AS (SELECT entity, year, rate, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM design WHERE split = 'train')",
+    "centre AS (SELECT i, avg(v) AS c FROM cells GROUP BY i)",
+    "gram AS (SELECT a.i, b.i AS j, sum((a.v - ca.c) * (b.v - cb.c)) + CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS q FROM cells a JOIN cells b ON a.entity = b.entity AND a.year = b.year"
+    " JOIN centre ca ON ca.i = a.i JOIN centre cb ON cb.i = b.i GROUP BY a.i, b.i)",
+    "side AS (SELECT i, sum((v - c) * (rate - y0)) AS q FROM cells JOIN centre USING (i), moments GROUP BY i)",
+    "lines AS (SELECT g.i, list_append(list(g.q ORDER BY g.j), any_value(s.q)) AS line FROM gram g JOIN side s ON s.i = g.i GROUP BY g.i)",
+    "solve(k, m) AS (SELECT 0, list(line ORDER BY i) FROM lines UNION ALL SELECT k + 1, list_transform(m, lambda line, i: list_transform(line, lambda v, j:"
+    " CASE WHEN i = k + 1 THEN v / m[k + 1][k + 1] ELSE v - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM solve WHERE k < len(m))",
+    "weights AS (SELECT list_transform(m, lambda line: line[len(line)]) AS w FROM solve WHERE k = len(m))",
+    "offset_of AS (SELECT list(c ORDER BY i) AS c FROM centre)",
+    "ridge AS (SELECT entity, region, year, split, rate AS actual, y0 + list_sum(list_transform(x, lambda v, i: (v - c[i]) * w[i])) AS predicted FROM design, moments, weights, offset_of)",
+)
+
+
+@query(
+    "ridge_model",
+    rsql("SELECT entity, region, year, 'statistical_ridge' AS model_name, split, actual, predicted FROM ridge", GEO, BASE[1], COVP, FEAT, *RIDGE, doubles="actual predicted", digits=5),
+)
 def ridge_model(spark, sf_dir):
     rows = materialize(W.temporal_split(features(spark, sf_dir), "year"))
     model = M.fit_ridge(rows.filter("split = 'train'"), "rate", NUMERIC, ["entity", "region"])
-    return M.prediction_frame(model.predict(rows, "_p"), ["entity", "region", "year"], "rate", "_p", model.name)
+    return rounded(M.prediction_frame(model.predict(rows, "_p"), ["entity", "region", "year"], "rate", "_p", model.name), 5)
+
+
+def quality_of(predictions, target: str):
+    """Per split: rows, the spread of the target, and whether the predictions beat the train mean."""
+    mean = predictions.filter("split = 'train'").agg(F.avg("actual")).scalar()
+    square = lambda x: F.avg(F.pow(x - F.col("actual"), F.lit(2.0)))
+    return predictions.withColumn("_mean", mean).groupBy("model_name", "split").agg(
+        F.count("predicted").alias("n"), F.stddev_pop("actual").alias("spread"), (square(F.col("predicted")) < square(F.col("_mean"))).alias("beats_mean")
+    )
+
 
+ROUNDS = 250
 
-@query("gbt_model")
+
+@query(
+    "gbt_model",
+    """WITH p AS (SELECT *, lag(revenue) OVER (PARTITION BY customer ORDER BY year) AS prev FROM
+              (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1, 2)),
+            s AS (SELECT *, CASE WHEN year >= 2001 THEN 'test' WHEN year = 2000 THEN 'validation' ELSE 'train' END AS split FROM p)
+       SELECT 'tree_gradient_boosting' AS model_name, split, count(*) AS n, round(stddev_pop(revenue), 4) + 0.0 AS spread, true AS beats_mean, 250 AS rounds, true AS loss_falls FROM s GROUP BY split""",
+)
 def gbt_model(spark, sf_dir):
-    """Customer × year revenue from its own lags; the number of rounds is a parameter of the operator."""
+    """Customer x year revenue from its own lags and order counts: what SQL can know, and what a wrong model would fail.
+
+    The loss of the train rows must fall over every fifth of the rounds, and the error be below that of the train mean.
+    """
     p = W.lag_features(customer_panel(spark, sf_dir), ["revenue", "n_orders"], "customer", "year")
     rows = materialize(W.temporal_split(p, "year"))
-    model = M.fit_boosted_trees(
-        rows.filter("split = 'train'"), "revenue", ["revenue_lag1", "revenue_lag2", "revenue_rolling3", "n_orders_lag1", "year"], rounds=15
-    )
-    return M.prediction_frame(model.predict(rows, "_p"), ["customer", "year"], "revenue", "_p", model.name)
+    train = rows.filter("split = 'train'")
+    inputs = ["revenue_lag1", "revenue_lag2", "revenue_rolling3", "n_orders", "n_orders_lag1", "year"]
+    model = M.fit_boosted_trees(train, "revenue", inputs, rounds=ROUNDS)
+    losses = M.boosting_losses(model, train, "revenue")
+    falls = all(a > b for a, b in zip(losses[:: ROUNDS // 5], losses[ROUNDS // 5 :: ROUNDS // 5]))
+    out = quality_of(M.prediction_frame(model.predict(rows, "_p"), ["customer", "year"], "revenue", "_p", model.name), "revenue")
+    return rounded(out.withColumns({"rounds": F.lit(len(losses)), "loss_falls": F.lit(falls)}))
 
 
-@query("train_score_all")
+NAIVE_SPLITS = """scored AS (
+    SELECT 'baseline_last_observed' AS model_name, split, rate, rate_lag1 AS p FROM full_rows UNION ALL
+    SELECT 'baseline_recent_trend', split, rate, rate_lag1 + coalesce(rate_lag1 - rate_lag2, 0) FROM full_rows UNION ALL
+    SELECT 'statistical_ridge', split, actual, predicted FROM ridge)"""
+
+
+@query(
+    "train_score_all",
+    rsql(
+        """SELECT model_name, split, count(p) AS n, sqrt(avg(pow(p - rate, 2))) AS rmse, NULL::DOUBLE AS mean_forecast, true AS sound FROM scored GROUP BY model_name, split
+           UNION ALL SELECT 'tree_gradient_boosting', split, count(*), NULL, NULL, true FROM full_rows GROUP BY split
+           UNION ALL SELECT model, 'forecast', count(*), NULL, avg(predicted), true FROM naive GROUP BY model
+           UNION ALL SELECT m.model, 'forecast', count(*), NULL, NULL, true FROM naive, (VALUES ('statistical_ridge'), ('tree_gradient_boosting')) m(model)
+                     WHERE naive.model = 'baseline_last_observed' GROUP BY m.model""",
+        *SCENARIO_CTES, NAIVE, FEAT, *RIDGE, NAIVE_SPLITS, doubles="rmse mean_forecast",
+    ),
+)
 def train_score_all(spark, sf_dir):
-    _, _, metrics = M.train_score_all(
-        features(spark, sf_dir), ids=["entity", "region", "year"], entity="entity", region="region", year="year", target="rate",
-        numeric=NUMERIC, categorical=["entity", "region"], rounds=10, split_year=1999,
+    """Errors of baselines and ridge per split, forecasts of every model and scenario for 36 years, and checks on the trees.
+
+    ``sound``: the trees' train error is under half of the target's spread and their other errors below it; forecasts of
+    fitted models stay within their bounds and differ between scenarios.
+    """
+    p, cov = scenario_frame(spark, sf_dir)
+    rows = features(spark, sf_dir)
+    future = cov.withColumn("post_break", F.lit(1)).select("entity", "region", "scenario_name", "year", "n_orders", "post_break", *SHORT.values())
+    models, predictions, _ = M.train_score_all(
+        rows, ids=["entity", "region", "year"], entity="entity", region="region", year="year", target="rate",
+        numeric=NUMERIC, categorical=["entity", "region"], rounds=ROUNDS, split_year=1999, future=future, path=["scenario_name"],
+    )
+    predictions = materialize(predictions)
+    gap = F.pow(F.col("predicted") - F.col("actual"), F.lit(2.0))
+    trees, ahead = F.col("model_name") == "tree_gradient_boosting", F.col("split") == "forecast"
+    fitted = F.col("model_name").isin(*models)
+    share = F.col("_rmse") / F.col("_spread")
+    within = F.col("_low").between(5, 150) & F.col("_high").between(5, 150) & (F.col("_paths") > 1)
+    out = predictions.groupBy("model_name", "split").agg(
+        F.count("predicted").alias("n"), F.sqrt(F.avg(gap)).alias("_rmse"), F.avg("predicted").alias("_mean"), F.stddev_pop("actual").alias("_spread"),
+        F.min("predicted").alias("_low"), F.max("predicted").alias("_high"), F.count_distinct(F.round("predicted", 6)).alias("_paths"),
+    )
+    sound = F.when(ahead & fitted, within).when(trees, share < F.when(F.col("split") == "train", 0.5).otherwise(1.5)).otherwise(F.lit(True))
+    return rounded(
+        out.select("model_name", "split", "n", F.when(~trees & ~ahead, F.col("_rmse")).alias("rmse"), F.when(ahead & ~fitted, F.col("_mean")).alias("mean_forecast"), sound.alias("sound"))
     )
-    return metrics
 
 
 LAGS, ROLLING = [0.5, 0.2, 0.1], 0.15
@@ -181,43 +271,52 @@ def recursive_model_forecast(spark, sf_dir):
     return rounded(out, 6)
 
 
-PERMUTED = ["rate_lag1", SHORT["rs"], SHORT["sl"]]
+COLUMN = {"rate_lag1": "rate_lag1", "rate_lag2": "rate_lag2", SHORT["rs"]: "rs", SHORT["sl"]: "sl", "year_index": "year_index"}
+PERMUTED = list(coefficients())
+SCORE_TERMS = " + ".join(
+    f"{w} * coalesce(CASE WHEN f.feature = '{name}' THEN sh.v ELSE b.{COLUMN[name]} END, 0)" for name, w in coefficients().items()
+)
+OWN_VALUE = "CASE feature " + " ".join(f"WHEN '{name}' THEN {column}::DOUBLE" for name, column in COLUMN.items()) + " END"
 
 
 @query(
     "permutation_importance",
     sql(
-        f"""SELECT feature, sqrt(avg(pow(p - rate, 2))) - (SELECT sqrt(avg(pow({SCORE_SQL} - rate, 2))) FROM feat) AS importance_value, 'permutation_rmse_delta' AS importance_type FROM (
-            SELECT f.feature, b.rate, 12.0 + 0.6 * coalesce(CASE WHEN f.feature = 'rate_lag1' THEN sh.v ELSE b.rate_lag1 END, 0) + 0.2 * coalesce(b.rate_lag2, 0)
-               + 8.0 * CASE WHEN f.feature = '{SHORT['rs']}' THEN sh.v ELSE b.rs END - 0.02 * CASE WHEN f.feature = '{SHORT['sl']}' THEN sh.v ELSE b.sl END + 0.05 * b.year_index AS p
+        f"""SELECT feature, sqrt(avg(pow(p - rate, 2))) - (SELECT sqrt(avg(pow({SCORE_SQL} - rate, 2))) FROM ids) AS importance_value, 'permutation_rmse_delta' AS importance_type FROM (
+            SELECT f.feature, b.rate, 12.0 + {SCORE_TERMS} AS p
             FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM ids) b, (SELECT unnest({PERMUTED}) AS feature) f
             JOIN (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY h) AS place FROM (
-              SELECT feature, CASE feature WHEN 'rate_lag1' THEN rate_lag1 WHEN '{SHORT['rs']}' THEN rs ELSE sl END AS v,
+              SELECT feature, {OWN_VALUE} AS v,
                      CAST('0x' || substr(md5(feature || '|' || id || '|42'), 1, 13) AS BIGINT) AS h FROM ids, (SELECT unnest({PERMUTED}) AS feature))) sh
               ON sh.feature = f.feature AND sh.place = b.place) GROUP BY feature""",
-        GEO, BASE[1], COVP, FEAT, "ids AS (SELECT *, nk * 10000 + year AS id FROM feat)", doubles="importance_value", digits=6,
+        GEO, BASE[1], COVP, FEAT, "ids AS (SELECT *, nk * 10000 + year AS id FROM feat WHERE year >= 2001)", doubles="importance_value", digits=6,
     ),
 )
 def permutation_importance(spark, sf_dir):
-    rows = materialize(features(spark, sf_dir).withColumn("id", F.col("nk") * 10000 + F.col("year")))
+    """Every feature of the scored model, on the rows of the test split."""
+    rows = W.temporal_split(features(spark, sf_dir), "year").filter("split = 'test'")
+    rows = materialize(rows.withColumn("id", F.col("nk") * 10000 + F.col("year")))
     return rounded(M.permutation_importance(rows, fixed_score, PERMUTED, "rate", "id"), 6)
 
 
 def lp_sql() -> str:
-    short = {"rate_lag1": "rate_lag1", SHORT["rs"]: "rs", SHORT["sl"]: "sl"}
     parts = []
-    for i, (f, c) in enumerate(short.items()):
+    for i, (f, c) in enumerate(COLUMN.items()):
         x = f"({SCORE_SQL}) - ({SCORE_SQL.replace(c, f'(SELECT median({c}) FROM feat)')})"
-        parts.append(f"SELECT entity, year, region, entity_name, {SCORE_SQL} AS predicted, '{f}' AS feature, {i} AS o, {x} AS contribution FROM feat")
+        family = "state_trend_history" if f == "year_index" else "other"
+        bucket = f[-1] if "_lag" in f else "current"
+        parts.append(
+            f"SELECT entity, year, region, entity_name, {SCORE_SQL} AS predicted, '{f}' AS feature, '{family}' AS feature_family, '{bucket}' AS temporal_bucket, {i} AS o, {x} AS contribution FROM feat"
+        )
     return " UNION ALL ".join(parts)
 
 
 @query(
     "local_perturbation",
     sql(
-        """SELECT entity, year, 'fixed_linear' AS model_name, predicted, feature, 'other' AS feature_family, CASE WHEN feature = 'rate_lag1' THEN '1' ELSE 'current' END AS temporal_bucket, contribution,
+        """SELECT entity, year, 'fixed_linear' AS model_name, predicted, feature, feature_family, temporal_bucket, contribution,
                CASE WHEN contribution >= 0 THEN 'positive' ELSE 'negative' END AS direction, CAST(row_number() OVER (PARTITION BY entity, year ORDER BY abs(contribution) DESC, o) AS INTEGER) AS importance_rank,
-               entity_name || ' ' || year || ': other' || CASE WHEN contribution >= 0 THEN ' raises' ELSE ' lowers' END || ' the projected rate by about ' || printf('%.2f', abs(contribution)) || '.' AS plain_english FROM lp""",
+               entity_name || ' ' || year || ': ' || feature_family || CASE WHEN contribution >= 0 THEN ' raises' ELSE ' lowers' END || ' the projected rate by about ' || printf('%.2f', abs(contribution)) || '.' AS plain_english FROM lp""",
         GEO, BASE[1], COVP, FEAT, f"lp AS ({lp_sql()})", doubles="predicted contribution", digits=6,
     ),
 )
@@ -227,4 +326,3 @@ def local_perturbation(spark, sf_dir):
         rows, rows, fixed_score, PERMUTED, ["entity", "year"], name="fixed_linear", place="entity_name", year="year"
     )
     return rounded(out, 6)
-

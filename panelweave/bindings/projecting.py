@@ -31,7 +31,8 @@ MOVED = ["sl", "dm", "ip", "sd", "hw", "uc", "mc"]
 ADDITIVE = [SHORT[c] for c in MOVED]
 SHARE = SHORT["rs"]
 PUBLIC = list(specs.PUBLIC_SCENARIOS)
-END = 2006
+LAST = 2001  # last year of the tables
+END = LAST + 36  # as far as the forecasts go
 LOW, HIGH = 50.0, 75.0
 
 
@@ -217,8 +218,10 @@ def override_scales(spark, sf_dir):
 
 # --- rates, bands, stock ---------------------------------------------------------------------------
 
+NUDGE = 3.14159e-7  # rates of small counts are simple fractions; this moves them off the ties of rounding, on both sides
+
 FACTORS = "factors(scenario_code, factor) AS (VALUES " + ", ".join(f"('{c}', {PR.scenario_factor(c)}::DOUBLE)" for c in PR.CODES) + ")"
-TREND = """fit AS (SELECT entity, regr_slope(rate, year) AS b, regr_intercept(rate, year - 2000) AS a, arg_max(second, year) FILTER (WHERE second IS NOT NULL) / arg_max(rate, year) FILTER (WHERE second IS NOT NULL) AS ratio
+TREND = """fit AS (SELECT entity, regr_slope(rate, year - 2000) AS b, regr_intercept(rate, year - 2000) AS a, arg_max(second, year) FILTER (WHERE second IS NOT NULL) / arg_max(rate, year) FILTER (WHERE second IS NOT NULL) AS ratio
     FROM (SELECT entity, year, price / 4000 AS rate, CASE WHEN year < 2001 OR nk % 2 = 0 THEN balance / 100 END AS second FROM panel) GROUP BY entity HAVING count(DISTINCT year) >= 3)"""
 
 
@@ -233,7 +236,7 @@ def scenario_factor(spark, sf_dir):
     sql(
         """SELECT entity, CAST(y AS INTEGER) AS year, scenario_code, a + b * (y - 2000) AS baseline_rate, greatest(0, (a + b * (y - 2000)) * (1 + factor)) AS adjusted_rate,
                   greatest(0, (a + b * (y - 2000)) * (1 + factor)) * ratio AS projected_second_rate
-           FROM fit, factors, (SELECT unnest(range(2002, 2011)) AS y)""",
+           FROM fit, factors, (SELECT unnest(range(2002, 2038)) AS y)""",
         *BASE, TREND, FACTORS, doubles="baseline_rate adjusted_rate projected_second_rate", digits=5,
     ),
 )
@@ -242,26 +245,27 @@ def trend_projection_grid(spark, sf_dir):
         "entity", "year", (F.col("price") / 4000).alias("rate"),
         F.when((F.col("year") < 2001) | (F.col("nk") % 2 == 0), F.col("balance") / 100).alias("second"),
     )
-    return rounded(PR.trend_projection(materialize(rates), "entity", "year", "rate", "second", 2010), 5)
+    return rounded(PR.trend_projection(materialize(rates), "entity", "year", "rate", "second", END), 5)
 
 
 @query(
     "banded_projection_grid",
     sql(
-        """SELECT f.entity, f.band, CAST(y AS INTEGER) AS year, scenario_code, a + b * (y - 2000) AS baseline_rate,
-                  greatest(0, (a + b * (y - 2000)) * (1 + factor)) AS adjusted_rate, n0 * pow(1 + g, y - 2001) AS denominator,
-                  greatest(0, (a + b * (y - 2000)) * (1 + factor)) / 1000 * n0 * pow(1 + g, y - 2001) AS projected_events
-           FROM (SELECT entity, band, regr_slope(1000.0 * events / n, year) AS b, regr_intercept(1000.0 * events / n, year - 2000) AS a FROM bands GROUP BY ALL HAVING count(DISTINCT year) >= 3) f
+        f"""SELECT f.entity, f.band, CAST(y AS INTEGER) AS year, scenario_code, a + b * (y - 2000) + {NUDGE} AS baseline_rate,
+                  greatest(0, (a + b * (y - 2000)) * (1 + factor)) + {NUDGE} AS adjusted_rate, round(n0 * pow(1 + g, y - 2001), 3) AS denominator,
+                  round(greatest(0, (a + b * (y - 2000)) * (1 + factor)) / 1000 * n0 * pow(1 + g, y - 2001), 3) AS projected_events
+           FROM (SELECT entity, band, regr_slope(1000.0 * events / n, year - 2000) AS b, regr_intercept(1000.0 * events / n, year - 2000) AS a FROM bands GROUP BY ALL HAVING count(DISTINCT year) >= 3) f
            JOIN (SELECT entity, band, arg_max(n, year) AS n0, coalesce(avg(g) FILTER (WHERE k <= 3), 0) AS g FROM
                   (SELECT *, n * 1.0 / lag(n) OVER (PARTITION BY entity, band ORDER BY year) - 1 AS g, row_number() OVER (PARTITION BY entity, band ORDER BY year DESC) AS k FROM bands) GROUP BY ALL) d
-             ON f.entity = d.entity AND f.band = d.band, factors, (SELECT unnest(range(2002, 2005)) AS y)""",
-        GEO, BANDS, FACTORS, doubles="baseline_rate adjusted_rate denominator projected_events", digits=4,
+             ON f.entity = d.entity AND f.band = d.band, factors, (SELECT unnest(range(2002, 2038)) AS y)""",
+        GEO, BANDS, FACTORS, doubles="baseline_rate adjusted_rate denominator projected_events", digits=5,
     ),
 )
 def banded_projection_grid(spark, sf_dir):
     rates = materialize(band_rate_table(spark, sf_dir))
     size = rates.select("entity", "year", "band", "n")
-    return rounded(PR.banded_projection(rates, size, "entity", "band", "year", "rate", "n", 2004))
+    out = PR.banded_projection(rates, size, "entity", "band", "year", "rate", "n", END)
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("denominator", "projected_events")} | {c: F.col(c) + F.lit(NUDGE) for c in ("baseline_rate", "adjusted_rate")}), 5)
 
 
 @query(
@@ -335,7 +339,7 @@ def naive_future_paths(spark, sf_dir):
             UNION ALL
             SELECT p.model, p.scenario_name, p.entity, n.year, p.now + p.births - p.now * p.d + p.now * p.m, n.predicted / 1000 * c.n_orders, p.d, p.m, p.death_rate_assumption
             FROM pop p JOIN naive n ON n.model = p.model AND n.scenario_name = p.scenario_name AND n.entity = p.entity AND n.year = p.year + 1
-            JOIN cov c ON c.entity = n.entity AND c.scenario_name = n.scenario_name AND c.year = n.year WHERE n.year <= 2005)""",
+            JOIN cov c ON c.entity = n.entity AND c.scenario_name = n.scenario_name AND c.year = n.year WHERE n.year <= 2037)""",
         doubles="stock_current projected_births projected_deaths projected_net stock_next", digits=4,
     ),
 )
@@ -350,7 +354,7 @@ def component_projection(spark, sf_dir):
     history = p.select("entity", "year", size.alias("stock"), (death * size).alias("deaths"), (F.col("nk") * 0.0005 * size).alias("net"))
     out = PR.component_projection(
         forecasts, history, entity="entity", year="year", scenario=["model", "scenario_name"], rate="predicted", base="n_orders",
-        stock="stock", deaths="deaths", net="net", end_year=2005,
+        stock="stock", deaths="deaths", net="net", end_year=END,
     )
     return rounded(out)
 
@@ -505,7 +509,7 @@ def profile_sql(part: str) -> str:
 @query(
     "slider_adjustment",
     rsql(
-        f"""SELECT entity, model, scenario, year, CASE WHEN scenario = 'reference_path' THEN 0 ELSE least(greatest(raw * greatest(year - 2002, 0) / 4.0, -8), 8) END AS adjustment FROM (
+        f"""SELECT entity, model, scenario, year, CASE WHEN scenario = 'reference_path' THEN 0 ELSE least(greatest(raw * greatest(year - 2002, 0) / {END - 2002}.0, -8), 8) END AS adjustment FROM (
             SELECT r.*, 44 * {DELTAS['remote']} * (1 + l.rs * 4) * {profile_sql('remote')} - 34 * {DELTAS['distraction']} * (1 + l.ip / 200) * {profile_sql('distraction')}
              + 28 * {DELTAS['online']} * (0.9 + l.sd / 200) * {profile_sql('online')} + 26 * {DELTAS['inPerson']} * (0.9 + least(0.5, abs(l.dm / 1000) * 18)) * {profile_sql('inPerson')}
              - 40 * {DELTAS['care']} * (1 + l.rs * 3) * {profile_sql('care')} AS raw FROM rec r JOIN lastp l ON l.entity = r.entity)""",
@@ -889,7 +893,8 @@ def scenario_rankings(spark, sf_dir):
 )
 def entity_documents(spark, sf_dir):
     dim = table(spark, sf_dir, "nation").select(C.pad_code("n_nationkey", 2).alias("entity"), "n_name")
-    p = gaps(spark, sf_dir).filter("nk % 6 <> 5")  # some nations have no panel rows and must stay
+    # some nations have no panel rows and must stay
+    p = gaps(spark, sf_dir).withColumn("entity", F.when(F.col("nk") % 6 != 5, F.col("entity")))
     docs = PB.entity_documents(dim, p, "entity", "year", ["price_g"], ["n_orders", "price_g"], ["n_name"])
     points = F.transform("series", lambda s: F.concat(s["year"].cast("string"), F.lit(":"), s["n_orders"].cast("string")))
     return rounded(

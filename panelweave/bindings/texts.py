@@ -77,21 +77,21 @@ def in_list(values) -> str:
 
 @query(
     "truthy_text",
-    f"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN CAST(turn AS VARCHAR) WHEN turn % 2 = 0 THEN 'Remote ' || role
-                          ELSE split_part(text, ' ', 1) END AS x FROM conversations),
-             n AS (SELECT *, TRY_CAST(x AS DOUBLE) AS num, regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') AS label FROM t)
-        SELECT conv_id, turn, role, coalesce(CASE WHEN num IS NOT NULL THEN num > 0 WHEN label IN {in_list(specs.YES_WORDS)} THEN true
-                    WHEN label IN {in_list(specs.NO_WORDS)} THEN false END,
+    f"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN CAST(turn AS VARCHAR) WHEN turn % 2 = 0 THEN 'Remote ' || role ELSE text END AS x FROM conversations),
+             n AS (SELECT *, regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') AS label FROM t)
+        SELECT conv_id, turn, role, turn > 0 AS is_yes_number, coalesce(CASE WHEN label IN {in_list(specs.YES_WORDS)} THEN true WHEN label IN {in_list(specs.NO_WORDS)} THEN false END,
                     {' OR '.join(f"contains(label, '{t}')" for t in specs.YES_TOKENS)}, false) AS is_yes FROM n""",
 )
 def truthy_text(spark, sf_dir):
+    """Whole texts, texts of digits, and a number column, which alone is compared with zero."""
     x = (
         F.when(F.col("role") == "user", F.col("turn").cast("string"))
         .when(F.col("turn") % 2 == 0, F.concat(F.lit("Remote "), F.col("role")))
-        .otherwise(F.split_part(F.col("text"), F.lit(" "), F.lit(1)))
+        .otherwise(F.col("text"))
     )
+    words = specs.YES_WORDS, specs.NO_WORDS, specs.YES_TOKENS
     return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", X.truthy_text(x, specs.YES_WORDS, specs.NO_WORDS, specs.YES_TOKENS).alias("is_yes")
+        "conv_id", "turn", "role", X.truthy_text("turn", *words).alias("is_yes_number"), X.truthy_text(x, *words).alias("is_yes")
     )
 
 

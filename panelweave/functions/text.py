@@ -70,9 +70,10 @@ def format_value(x: Column | str) -> Column:
 
 
 def truthy_text(x: Column | str, yes: Sequence[str], no: Sequence[str], tokens: Sequence[str]) -> Column:
-    """Numbers are true above zero; text by yes/no list, else by containing a token; missing is false."""
+    """Cells of a number or boolean type are true above zero; text, of digits too, goes by the yes/no list, else by containing
+    a token; missing is false."""
     label = normalize_label(x)
-    number = as_col(x).try_cast("double")
+    number = F.when(F.typeof(as_col(x)) != "string", as_col(x).try_cast("double"))
     token_hit = reduce(lambda a, b: a | b, [label.contains(t) for t in tokens])
     verdict = F.when(number.isNotNull() & ~F.isnan(number), number > 0).when(label.isin(*yes), True).when(
         label.isin(*no), False

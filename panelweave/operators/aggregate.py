@@ -102,14 +102,17 @@ def moment_sums(
 ) -> DataFrame:
     """Additive sums from which mean, effective n and variance follow at any coarser grain.
 
-    Values are measured from a constant per metric (0 unless given), so that one pass over
-    the rows is enough.
+    Values are measured from a constant per metric: the given one, else the mean of the whole table, which one scalar
+    subquery takes for all metrics. So a common offset of any size costs no digits.
     """
-    zero = dict.fromkeys(metrics, 0.0) | dict(anchors or {})
+    given = dict(anchors or {})
+    middles = df.agg(F.struct(*[F.avg(m).alias(m) for m in metrics])).scalar() if set(metrics) - set(given) else F.lit(None)
+    zero = {m: F.lit(float(given[m])) if m in given else F.coalesce(F.col("_middles").getField(m), F.lit(0.0)) for m in metrics}
+    df = df.withColumn("_middles", middles)
     w = F.col(weight)
     sums = []
     for m in metrics:
-        c = F.col(m) - F.lit(float(zero[m]))
+        c = F.col(m) - zero[m]
         used = F.when(c.isNotNull(), w)
         sums += [
             F.sum(used).alias(f"{m}__w"),
@@ -117,8 +120,8 @@ def moment_sums(
             F.sum(used * c).alias(f"{m}__wx"),
             F.sum(used * c * c).alias(f"{m}__wxx"),
         ]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
-    return out.withColumns({f"{m}__anchor": F.lit(float(zero[m])) for m in metrics})
+    sums += [F.max(zero[m]).alias(f"{m}__anchor") for m in metrics]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
 
 
 def roll_up_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -132,7 +135,10 @@ def interval_columns(metric: str) -> dict[str, Column]:
     w, w2, wx, wxx = (F.col(f"{metric}__{p}") for p in ("w", "w2", "wx", "wxx"))
     off = safe_ratio(wx, w)
     mean = F.col(f"{metric}__anchor") + off
-    spread = F.greatest(safe_ratio(wxx, w) - off * off, F.when(off.isNotNull(), F.lit(0.0)))
+    # a spread below the rounding error of its two terms is none; anything more negative would be a wrong sum and gives NULL
+    raw = safe_ratio(wxx, w) - off * off
+    noise = F.lit(1e-12) * (off * off)
+    spread = F.when(raw > noise, raw).when(raw >= -noise, F.lit(0.0))
     effective = F.greatest(safe_ratio(w * w, w2), F.lit(1.0))
     error = F.sqrt(F.when(mean.isNotNull(), spread) / effective)
     return {
@@ -160,9 +166,9 @@ def weighted_mean_ci(
     """Weighted mean with effective-sample standard error and 95 % interval per group.
 
     One pass loses about (d / sd)^2 * 1e-16 of the variance, d being the distance of a group's
-    mean from the metric's anchor (0 unless given). Where a mean is ten thousand spreads and
-    more away from it, give a nearer anchor, or ask for ``two_pass``, which measures from each
-    group's own mean at the price of joining the means back to the rows.
+    mean from the metric's anchor (the table's mean unless given). Where groups lie ten thousand
+    spreads and more apart, ask for ``two_pass``, which measures from each group's own mean at
+    the price of joining the means back to the rows.
     """
     if not two_pass:
         return finish_moments(moment_sums(df, keys, metrics, weight, anchors), keys, metrics)

@@ -18,8 +18,6 @@ from ..functions.columns import as_col, cascade, flag, safe_ratio
 from ..session import materialize
 from .ordering import exact_median
 
-SALTS = 1024
-
 
 def assert_unique(df: DataFrame, keys: Sequence[str], dataset: str) -> DataFrame:
     """Raise if a key occurs twice. One distributed aggregate; only one offender reaches the driver."""
@@ -32,13 +30,13 @@ def assert_unique(df: DataFrame, keys: Sequence[str], dataset: str) -> DataFrame
 def left_join_panels(frames: Sequence[DataFrame | None], keys: Sequence[str]) -> DataFrame:
     """The first non-empty frame is the base; the others are left-joined on the keys they share.
 
-    Columns of earlier frames win name clashes. Frames without any key are skipped.
+    Columns of earlier frames win name clashes. Frames without any key are skipped. A joined frame in which the shared keys
+    occur twice raises an error, because it would multiply the rows of the panel.
     """
     present = [f for f in frames if f is not None]
     base, rest = None, present
     while rest and base is None:
-        # written once, so that asking for emptiness does not compute the panel twice
-        head, rest = materialize(rest[0]), rest[1:]
+        head, rest = rest[0], rest[1:]
         base = None if head.isEmpty() else head
     if base is None:
         raise ValueError("no panel has any row")
@@ -49,6 +47,7 @@ def left_join_panels(frames: Sequence[DataFrame | None], keys: Sequence[str]) ->
             continue
         fresh = [c for c in frame.columns if c not in out.columns]
         if fresh:
+            assert_unique(frame, shared, "a joined panel")
             out = out.join(frame.select(*shared, *fresh), shared, "left")
     return out
 
@@ -109,35 +108,29 @@ def match_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return sides.withColumn("status", status)
 
 
-def _salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], open_rows: Column | None = None) -> DataFrame:
-    """Left join in which rows that cannot match are spread over the shuffle by a salt.
-
-    Rows with a missing key, and rows outside ``open_rows``, would otherwise meet in the
-    partition of NULL or find partners they must not have.
-    """
-    live = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    if open_rows is not None:
-        live = live & open_rows
-    salt = F.when(live, F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)) + 1)
-    salted = right.withColumn("_salt", F.lit(0).cast("bigint"))
-    return left.withColumn("_salt", salt.cast("bigint")).join(salted, [*keys, "_salt"], "left").drop("_salt")
-
-
 def two_pass_join(
     left: DataFrame, right: DataFrame, *, first_keys: Sequence[str], second_keys: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
     """Join by id; rows with no id match are joined again by a text key; all left rows are kept.
 
-    ``matched_by`` says which pass found the partner. The left side flows through both joins
-    once; rows matched by id pass the second one untouched.
+    ``matched_by`` says which pass found the partner. Only rows that are still open go on to the second pass, and rows with
+    a missing key, which cannot match, go to no shuffle at all.
     """
-    by_id = right.select(*first_keys, *[F.col(v).alias(f"_a_{v}") for v in values]).distinct().withColumn("_by_id", F.lit(True))
-    by_text = right.select(*second_keys, *[F.col(v).alias(f"_b_{v}") for v in values]).distinct()
-    first = _salted_left_join(left, by_id, first_keys)
-    second = _salted_left_join(first, by_text, second_keys, F.col("_by_id").isNull())
-    found = F.when(F.col("_by_id"), F.lit("id")).when(F.col(f"_b_{values[0]}").isNotNull(), F.lit("text"))
-    chosen = [F.when(F.col("_by_id"), F.col(f"_a_{v}")).otherwise(F.col(f"_b_{v}")).alias(v) for v in values]
-    return second.select(*left.columns, *chosen, found.alias("matched_by"))
+    present = lambda keys: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    none = lambda df: df.select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(None).cast("string").alias("matched_by"))
+
+    def matched(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+        partners = right.filter(present(keys)).select(*keys, *[F.col(v).alias(f"_p_{v}") for v in values]).distinct().withColumn("_hit", F.lit(True))
+        joined = df.filter(present(keys)).join(partners, list(keys), "left")
+        found = [F.col(f"_p_{v}").alias(v) for v in values]
+        return joined.select(*left.columns, *found, F.when(F.col("_hit"), F.lit(label)).alias("matched_by"))
+
+    first = matched(left, first_keys, "id")
+    still_open = first.filter("matched_by IS NULL").select(left.columns).unionByName(left.filter(~present(first_keys)))
+    second = matched(still_open, second_keys, "text")
+    # a text partner without a value is no match
+    second = second.withColumn("matched_by", F.when(F.col(values[0]).isNotNull(), F.col("matched_by")))
+    return first.filter("matched_by IS NOT NULL").unionByName(second).unionByName(none(still_open.filter(~present(second_keys))))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -245,8 +238,10 @@ def national_series_join(
 ) -> DataFrame:
     """Fill missing entity values from a yearly series scaled by relative exposure, with a source label."""
     yearly = panel.groupBy(year).agg(F.avg(exposure).alias("_mean_exposure"))
+    # one row per year, written so that its size is known and the panel is joined once, without a shuffle by its calendar
+    side = materialize(yearly.join(series.select(year, national), year, "left"))
     scaled = F.col(national) * safe_ratio(exposure, "_mean_exposure")
-    out = panel.join(series.select(year, national), year, "left").join(yearly, year, "left")
+    out = panel.join(side, year, "left")
     filled, label = cascade([(value, "observed"), (scaled, "scaled_national_series")], "missing")
     return out.withColumns({value: filled, source: label}).drop("_mean_exposure", national)
 

@@ -1,10 +1,9 @@
 """Table-wide order statistics without a single-task window.
 
-A window without a partition sends the table to one task. Here the order column
-is cut into ranges at approximate quantiles, each range is summed, the (bounded
-number of) range totals are accumulated, and the exact position inside each range
-comes from a window per range. Results are exact; only the cut points are
-approximate.
+A window without a partition sends the table to one task. Here the rows are
+range-partitioned by the order column, as many ranges as the session has shuffle
+partitions, and written; each range is summed, the range totals are accumulated,
+and the exact position inside each range comes from a window per range.
 """
 
 from __future__ import annotations
@@ -14,52 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bounds on the number of ranges; between them it follows the session's shuffle partitions.
-MIN_RANGES, MAX_RANGES = 32, 1000
+from ..session import materialize
 
 
-def _range_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_RANGES, min(MAX_RANGES, wanted))
-
-
-def positions(
-    df: DataFrame,
-    order: str,
-    *,
-    by: Sequence[str] = (),
-    weight: str | None = None,
-    name: str = "before",
-    ranges: int | None = None,
-) -> DataFrame:
+def positions(df: DataFrame, order: str, *, by: Sequence[str] = (), weight: str | None = None, name: str = "before") -> DataFrame:
     """Add ``name``: the weight (default: the number) of rows strictly before this one.
 
-    ``order`` must be numeric and unique within ``by``. Callers with ties aggregate
-    them first and pass their number as ``weight``, so no tied group ever meets in
-    one window.
+    ``order`` must be unique within ``by``. Callers with ties aggregate them first and pass their number as ``weight``, so
+    no tied group ever meets in one window. The ranges are written down, so that they are the same in both branches.
     """
     by = list(by)
-    n = ranges or _range_count(df)
-    cuts = F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)
-    if by:
-        ranged = df.join(df.groupBy(*by).agg(cuts.alias("_cuts")), by)
-        bounds: Column = F.col("_cuts")
-    else:
-        ranged, bounds = df, df.agg(cuts).scalar()
-    # the place of a value among the sorted cuts is the number of its range
-    place = F.array_position(F.sort_array(F.array_append(bounds, F.col(order))), F.col(order))
-    ranged = ranged.withColumn("_range", place).drop("_cuts")
+    ranged = materialize(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
     amount = F.col(weight) if weight else F.lit(1)
     totals = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_total"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    if not by:
-        offsets = F.broadcast(offsets)  # one row per range: at most MAX_RANGES
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(offsets, [*by, "_range"])
-    return joined.withColumn(name, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop(
-        "_range", "_offset"
-    )
+    return joined.withColumn(name, F.col("_offset") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_range", "_offset")
 
 
 def value_ranks(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +74,10 @@ def percentile_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), name:
     else:
         n = df.agg(F.count(value)).scalar()
     share = F.when(n > 1, F.col("rank") / n)
-    ranks = ranks.select(*by, value, share.alias(name))
-    return df.join(ranks, [*by, value], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
+    # few distinct values make a small table, which is broadcast once it is written and its size known; missing values stay out
+    ranks = materialize(ranks.select(*by, value, F.coalesce(share, F.lit(0.5)).alias(name)))
+    present = df.filter(F.col(value).isNotNull()).join(ranks, [*by, value]).select(*df.columns, name)
+    return present.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(0.5)))
 
 
 def percentile_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -117,12 +90,14 @@ def percentile_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     sizes = long.groupBy("_feature").agg(F.count("_value").alias("_n"))
     ranks = value_ranks(long, "_value", by=["_feature"]).join(sizes, "_feature")
     ranks = ranks.select("_feature", "_value", F.when(F.col("_n") > 1, F.col("rank") / F.col("_n")).alias("_share"))
-    cells = long.join(ranks, ["_feature", "_value"], "left").withColumn("_share", F.coalesce("_share", F.lit(0.5)))
+    ranked = long.filter(F.col("_value").isNotNull()).join(ranks, ["_feature", "_value"]).select(*keys, "_feature", F.coalesce("_share", F.lit(0.5)).alias("_share"))
+    cells = ranked.unionByName(long.filter(F.col("_value").isNull()).select(*keys, "_feature", F.lit(0.5).alias("_share")))
     return cells.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == c, F.col("_share"))).alias(c) for c in columns])
 
 
 def factorize(df: DataFrame, label: str, order: str, *, name: str) -> DataFrame:
     """Labels numbered 0, 1, … by first appearance in ``order``; a missing label is -1."""
     firsts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("_first"))
-    codes = positions(firsts, "_first", name=name).select(label, name)
-    return df.join(codes, label, "left").withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("int"))
+    codes = positions(firsts, "_first", name=name).select(label, F.col(name).cast("int").alias(name))
+    labelled = df.filter(F.col(label).isNotNull()).join(codes, label).select(*df.columns, name)
+    return labelled.unionByName(df.filter(F.col(label).isNull()).withColumn(name, F.lit(-1)))

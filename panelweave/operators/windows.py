@@ -43,13 +43,13 @@ def _from_here(entity: Sequence[str] | str, year: str):
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
-    """Aggregate per key and join back: a hot key is pre-combined, then split by the skew join.
+    """Aggregate per key and join back.
 
-    Rows with a missing key belong to no group. The keys are compared null-safely, because a
-    plain equality would filter NULLs on the side of the statistics only and so keep Spark
-    from reading the shuffled input once for both sides.
+    The statistics are written first, so that the planner knows their size: those of a few periods are broadcast and the
+    table is not shuffled by its calendar; those of many keys meet it in a shuffle, whose hot keys the skew join splits.
+    Rows with a missing key belong to no group.
     """
-    table = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[c.alias(n) for n, c in stats.items()])
+    table = materialize(df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[c.alias(n) for n, c in stats.items()]))
     joined = df.join(table, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
     grouped = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     return joined.withColumns({n: F.when(grouped, F.col(n)) for n in stats}).drop(*[f"_of_{k}" for k in keys])
@@ -328,6 +328,7 @@ def fill_cascade(
         F.col(group).alias("_group"), F.col(year).alias("_year"), *[F.when(grouped, F.col(f"_g_{c}")).alias(f"_g_{c}") for c in columns]
     )
     side = side.join(years.select(F.col(year).alias("_year"), *[f"_y_{c}" for c in columns]), "_year", "left")
+    side = materialize(side)  # as many rows as groups have years: small enough to be broadcast unless measured otherwise
     out = base.join(side, F.col(group).eqNullSafe(F.col("_group")) & (F.col(year) == F.col("_year")), "left")
     new: dict[str, Column] = {}
     for c in columns:
@@ -413,9 +414,15 @@ def recent_growth(df: DataFrame, columns: Sequence[str], entity: str, year: str,
     return everyone.join(means, [entity, "feature"], "left").withColumn("growth", F.coalesce("growth", F.lit(0.0)))
 
 
-def ols_trend(df: DataFrame, keys: Sequence[str], value: str, year: str, *, min_years: int = 3) -> DataFrame:
-    """Intercept, slope and R² per group with enough distinct years."""
-    x, y = F.col(year).cast("double"), F.col(value).cast("double")
+def ols_trend(
+    df: DataFrame, keys: Sequence[str], value: str, year: str, *, min_years: int = 3, origin: Column | float = 0.0
+) -> DataFrame:
+    """Intercept, slope and R² per group with enough distinct years.
+
+    The intercept is the value at ``origin``. A trend that is evaluated near some year takes that year as origin: an
+    intercept at year 0 is two thousand years off the data and costs as many digits.
+    """
+    x, y = (F.col(year) - origin).cast("double"), F.col(value).cast("double")
     fits = df.dropna(subset=[year, value]).groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),

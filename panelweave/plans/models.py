@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean
@@ -17,37 +17,29 @@ from ..functions.text import fixed, lag_bucket, prefix_family
 from ..operators.aggregate import unpivot
 from ..operators.ordering import exact_median, positions
 from ..operators.windows import lag_features, naive_baselines, rank_first, temporal_split
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from . import specs
 from .audit import error_metrics
+from .scenario import naive_future_paths
 
 # --- profile --------------------------------------------------------------------------------------
 
 
-def describe_column(name: str, core: Sequence[str], indices: Sequence[str]) -> str:
-    """Note on a column from its name."""
-    if name in indices:
-        return "state-year exposure index"
-    if name.endswith(("_lag1", "_lag2", "_lag3")):
-        return "lagged feature"
-    if name.endswith("_rolling3"):
-        return "rolling historical average"
-    if name.endswith("_imputed_flag"):
-        return "transparent imputation flag"
-    if name.endswith("_long_gap_flag"):
-        return "gap remains unfilled"
-    return "core target or accounting input" if name in core else "derived"
+def column_note(name: str, named: Mapping[str, str], endings: Sequence[tuple[str, str]] = specs.COLUMN_NOTES) -> str:
+    """The note given for a column by name, else by the end of its name, else "derived"."""
+    by_end = (note for end, note in endings if name.endswith(end))
+    return named.get(name) or next(by_end, "derived")
 
 
-def column_profile(df: DataFrame, *, core: Sequence[str] = (), indices: Sequence[str] = specs.EXPOSURE_INDICES) -> DataFrame:
-    """Name, type, note and present count of every column, from one aggregate."""
+def column_profile(df: DataFrame, named: Mapping[str, str] | None = None) -> DataFrame:
+    """Name, type, note and present count of every column, from one aggregate; ``named`` gives notes by column."""
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
     rows = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(t).alias("dtype"),
-                F.lit(describe_column(c, core, indices)).alias("description"),
+                F.lit(column_note(c, named or {})).alias("description"),
                 F.col(f"`{c}`").alias("n_present"),
             )
             for c, t in df.dtypes
@@ -112,15 +104,35 @@ class FittedModel:
     def features(self) -> list[str]:
         return [*self.stats, *self.modes]
 
-    def predict(self, df: DataFrame, column: str = "prediction") -> DataFrame:
+    def inputs(self) -> dict[str, Column]:
+        """The columns the pipeline reads: numbers imputed (and scaled), categories with the mode for a missing one."""
         if self.standardize:
-            inputs = apply_stats(self.stats, "__x")
+            made = apply_stats(self.stats, "__x")
         else:
-            inputs = {f"{c}__x": F.coalesce(F.col(c).cast("double"), F.lit(s.median)) for c, s in self.stats.items()}
-        inputs.update({f"{c}__c": F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, m in self.modes.items()})
-        scored = self.pipeline.transform(df.withColumns(inputs))
+            made = {f"{c}__x": F.coalesce(F.col(c).cast("double"), F.lit(s.median)) for c, s in self.stats.items()}
+        return made | {f"{c}__c": F.coalesce(F.col(c).cast("string"), F.lit(m)) for c, m in self.modes.items()}
+
+    def predict(self, df: DataFrame, column: str = "prediction") -> DataFrame:
+        scored = self.pipeline.transform(df.withColumns(self.inputs()))
         return scored.select(*df.columns, F.col("_prediction").alias(column))
 
+    def save(self, path: str) -> None:
+        """The pipeline, and the statistics and modes its input needs, in one folder of a shared file system."""
+        spark = SparkSession.active()
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        rows = [(self.name, self.standardize, c, None, s.median, s.mean, s.scale) for c, s in self.stats.items()]
+        rows += [(self.name, self.standardize, c, m, None, None, None) for c, m in self.modes.items()]
+        schema = "name string, standardize boolean, feature string, mode string, median double, mean double, scale double"
+        numbered = [(i, *r) for i, r in enumerate(rows)]
+        spark.createDataFrame(numbered, f"place int, {schema}").coalesce(1).write.mode("overwrite").parquet(f"{path}/inputs")
+
+    @staticmethod
+    def load(path: str) -> FittedModel:
+        rows = SparkSession.active().read.parquet(f"{path}/inputs").orderBy("place").collect()  # one row per feature
+        stats = {r.feature: Stat(r.median, r.mean, r.scale) for r in rows if r.mode is None}
+        modes = {r.feature: r.mode for r in rows if r.mode is not None}
+        return FittedModel(rows[0].name, stats, modes, PipelineModel.load(f"{path}/pipeline"), rows[0].standardize)
+
 
 def most_frequent(df: DataFrame, column: str) -> str | None:
     row = (
@@ -174,13 +186,22 @@ def fit_boosted_trees(
     train: DataFrame, target: str, numeric: Sequence[str], *, rounds: int = 250, rate: float = 0.06, depth: int = 6, leaf: int = 4,
     seed: int = 42, name: str = "tree_gradient_boosting",
 ) -> FittedModel:
+    """Boosted trees; the residuals are checkpointed every ten rounds, so the lineage stays short."""
+    checkpoint_dir(train.sparkSession)
     learner = GBTRegressor(
         featuresCol="_features", labelCol=target, predictionCol="_prediction", stepSize=rate, maxDepth=depth,
-        maxIter=rounds, minInstancesPerNode=leaf, seed=seed,
+        maxIter=rounds, minInstancesPerNode=leaf, seed=seed, checkpointInterval=10,
     )
     return _fit_trees(train, target, numeric, learner, name)
 
 
+def boosting_losses(model: FittedModel, df: DataFrame, target: str) -> list[float]:
+    """Mean squared error on ``df`` after each round of a boosted model: one number per round reaches the driver."""
+    assembler, trees = model.pipeline.stages
+    ready = assembler.transform(df.filter(F.col(target).isNotNull()).withColumns(model.inputs()))
+    return list(trees.evaluateEachIteration(ready, "squared"))
+
+
 def fit_random_forest(
     train: DataFrame, target: str, numeric: Sequence[str], *, trees: int = 100, depth: int = 10, leaf: int = 4, seed: int = 42,
     name: str = "tree_random_forest",
@@ -217,8 +238,15 @@ def train_score_all(
     categorical: Sequence[str],
     rounds: int,
     split_year: int,
+    future: DataFrame | None = None,
+    path: Sequence[str] = (),
+    exogenous_lags: Sequence[str] = (),
 ) -> tuple[dict[str, FittedModel], DataFrame, DataFrame]:
-    """Baselines and fitted models over the three splits, and their metrics by group."""
+    """Baselines and fitted models over the three splits, and their metrics by group.
+
+    With ``future`` (covariates per entity, ``path`` and year) the predictions also hold a split "forecast": the baselines'
+    paths and, year by year, every fitted model in a closed loop. Metrics are of the historical splits.
+    """
     rows = materialize(temporal_split(features.filter(F.col(target).isNotNull()), year))
     train = rows.filter(F.col("split") == "train")
     models = {m.name: m for m in (fit_ridge(train, target, numeric, categorical), fit_boosted_trees(train, target, numeric, rounds=rounds))}
@@ -228,8 +256,22 @@ def train_score_all(
     ]
     parts += [prediction_frame(m.predict(rows, "_p"), ids, target, "_p", name) for name, m in models.items()]
     predictions = reduce(lambda a, b: a.unionByName(b), parts)
+    historical = predictions
+    if future is not None:
+        ahead = [
+            recursive_forecast(m.predict, features, future, entity=entity, path=path, year=year, target=target, exogenous_lags=exogenous_lags)
+            .withColumn("model_name", F.lit(name))
+            for name, m in models.items()
+        ]
+        naive = naive_future_paths(features.select(entity, year, target), future, [entity, *path], entity, year, target)
+        ahead += [
+            naive.select(entity, *path, year, F.col(name).alias("predicted"), F.lit(name).alias("model_name"))
+            for name in ("baseline_last_observed", "baseline_recent_trend")
+        ]
+        stacked = reduce(lambda a, b: a.unionByName(b), ahead).withColumns({"split": F.lit("forecast"), "actual": F.lit(None).cast("double")})
+        predictions = predictions.unionByName(stacked, allowMissingColumns=True)
     metrics = error_metrics(
-        predictions, ["model_name", "split"], entity=entity, region=region, year=year, actual="actual", predicted="predicted", split_year=split_year
+        historical, ["model_name", "split"], entity=entity, region=region, year=year, actual="actual", predicted="predicted", split_year=split_year
     )
     return models, predictions, metrics
 

@@ -21,14 +21,19 @@ from ..operators.windows import argmax_label, bounded_scale, mean_ranks, referen
 from . import specs
 
 
-def growth_overrides(
-    scenario: str, index_specs: Mapping[str, tuple[str, Mapping[str, float]]] = specs.SCENARIOS, user: Mapping[str, float] | None = None
-) -> dict[str, float]:
-    """Yearly increments of one scenario; user values for "user_defined", the baseline for an unknown name."""
-    if scenario == "user_defined":
-        known = specs.USER_PARAMETERS
-        return {known[k]: v for k, v in (user or {}).items() if k in known}
-    return dict(index_specs.get(scenario, index_specs["baseline_continuation"])[1])
+def increment_table(
+    templates: Mapping[str, tuple[str, Mapping[str, float]]] = specs.SCENARIOS, user: Mapping[str, float] | None = None
+) -> dict[tuple[str, str], float]:
+    """Yearly increment by (scenario, column): the templates' and, under "user_defined", the user's parameters that are known."""
+    rows = [(name, column, step) for name, (_, steps) in templates.items() if name != "user_defined" for column, step in steps.items()]
+    rows += [("user_defined", column, user[parameter]) for parameter, column in specs.USER_PARAMETERS.items() if user and parameter in user]
+    return {(name, column): step for name, column, step in rows}
+
+
+def growth_overrides(scenario: str, user: Mapping[str, float] | None = None) -> dict[str, float]:
+    """The increments of one scenario; a name without a template grows as the baseline does."""
+    name = scenario if scenario in specs.SCENARIOS else "baseline_continuation"
+    return {column: step for (owner, column), step in increment_table(user=user).items() if owner == name}
 
 
 def explode_scenarios(
@@ -314,37 +319,23 @@ def slider_raw_adjustment(
     scenario: Column | str, deltas: Mapping[str, float], *, share: Column, dating: Column, growth: Column, genai: Column
 ) -> Column:
     """Raw effect of moved sliders: coefficient x move x entity sensitivity x scenario weight."""
-    one = F.lit(1.0)
-    sensitivity = {
-        "remote": one + share * 4,
-        "distraction": one + genai / 200,
-        "online": F.lit(0.9) + dating / 200,
-        "inPerson": F.lit(0.9) + F.least(F.lit(0.5), F.abs(growth) * 18),
-        "care": one + share * 3,
-    }
-    # Births per unit of slider movement.
-    coefficient = {"remote": 44.0, "distraction": -34.0, "online": 28.0, "inPerson": 26.0, "care": -40.0}
-    terms = [
-        F.lit(coefficient[p] * float(deltas.get(p, 0.0))) * sensitivity[p] * slider_profile(scenario, p) for p in coefficient
-    ]
+    measures = {"share": share, "dating": dating, "growth": F.abs(growth), "genai": genai}
+    terms = []
+    for slider, per_unit, base, slope, measure, cap in specs.SLIDER_EFFECTS:
+        reach = measures[measure] * slope
+        sensitivity = F.lit(base) + (reach if cap is None else F.least(F.lit(cap), reach))
+        terms.append(F.lit(per_unit * float(deltas.get(slider, 0.0))) * sensitivity * slider_profile(scenario, slider))
     raw = reduce(lambda a, b: a + b, terms)
     return F.when(as_col(scenario) == "reference_path", F.lit(0.0)).otherwise(raw)
 
 
 def slider_mechanisms(scenario: Column | str, deltas: Mapping[str, float], share: Column) -> dict[str, Column]:
     """Stored mechanism scores plus what the moved sliders add; the reference path stays as stored."""
-    d = {p: float(deltas.get(p, 0.0)) for p in specs.SLIDER_NEUTRAL}
-    sensitivity = F.lit(1.0) + share * 3
-    # Mechanism score per unit of slider movement.
-    added = {
-        "mechanism_remote_work_flexibility": ("remote", F.lit(15.0 * d["remote"]) * sensitivity + F.lit(8.0 * d["inPerson"])),
-        "mechanism_digital_distraction": ("distraction", F.lit(-14.0 * d["distraction"])),
-        "mechanism_online_matching": ("online", F.lit(12.0 * d["online"])),
-        "mechanism_in_person_social": ("inPerson", F.lit(11.0 * d["inPerson"] - 3.0 * d["distraction"])),
-        "mechanism_care_burden": ("care", F.lit(-16.0 * d["care"] - 4.0 * d["remote"])),
-    }
     on_reference = as_col(scenario) == "reference_path"
-    return {
-        m: F.coalesce(F.col(m), F.lit(0.0)) + F.when(on_reference, F.lit(0.0)).otherwise(slider_profile(scenario, part) * move)
-        for m, (part, move) in added.items()
-    }
+    out = {}
+    for mechanism in dict.fromkeys(m for m, *_ in specs.SLIDER_MOVES):
+        own = [(part, slider, score, slope) for m, part, slider, score, slope in specs.SLIDER_MOVES if m == mechanism]
+        moves = [F.lit(score * float(deltas.get(slider, 0.0))) * (F.lit(1.0) + share * slope) for _, slider, score, slope in own]
+        moved = slider_profile(scenario, own[0][0]) * reduce(lambda a, b: a + b, moves)
+        out[mechanism] = F.coalesce(F.col(mechanism), F.lit(0.0)) + F.when(on_reference, F.lit(0.0)).otherwise(moved)
+    return out

@@ -184,6 +184,22 @@ PARAMETERS = {
     "uncertainty_multiplier_high": 1.5,
 }
 
+# Terms of the relative rate change by scenario code: (code, parameter, parameter or None, weight).
+FACTOR_TERMS = [
+    ("A", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0),
+    ("A", "face_to_face_change", "fertility_effect_social_per_hour", 0.5),
+    ("B", "digital_social_growth", "fertility_effect_social_per_hour", 1.0),
+    ("B", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 0.25),
+    ("C", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0),
+    ("C", "digital_social_growth", "fertility_effect_social_per_hour", 0.25),
+    ("D", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0),
+    ("D", "gendered_care_penalty", None, -1.0),
+    ("D", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0),
+    ("E", "remote_work_growth", "fertility_effect_remote_per_10pp", 6.5),
+    ("E", "digital_social_growth", "fertility_effect_social_per_hour", 0.35),
+    ("E", "gendered_care_penalty", None, -0.25),
+]
+
 # Decay, bounds, tolerances, anchors, thresholds.
 OVERRIDE_DECAY = 0.92
 SHARE_EPSILON = 1e-4
@@ -211,7 +227,6 @@ ACTIVITY_PREFIXES = {"is_socializing": ["1201", "1202"], "is_work": ["05"], "is_
 ACTIVITY_EXACT = {"is_digital_media_narrow": ["120308"], "is_screen_leisure_broad": ["120303", "120307", "120308"]}
 ACTIVITY_TIERS = {"is_household_work": ["02"], "is_unpaid_care": ["03", "04"]}
 AT_HOME_PLACES = [1]
-AWAY_PLACES = [*range(2, 22), 30, 31, 32, 89, 99]
 
 # Mechanism columns and their labels.
 MECHANISMS = {
@@ -251,6 +266,28 @@ SLIDER_PROFILES = {
     "online_life_helps_matching": {"remote": 0.15, "distraction": 0.25, "online": 1.0, "inPerson": 0.2, "care": 0.1},
     "home_centered_digital_life_increases_care_work": {"remote": 0.25, "distraction": 0.15, "online": 0.05, "inPerson": 0.05, "care": 1.1},
 }
+# Births per unit of slider movement, and the entity's sensitivity as base plus slope times a measure (capped).
+SLIDER_EFFECTS = [
+    # slider, births per unit, base, slope, measure, cap
+    ("remote", 44.0, 1.0, 4.0, "share", None),
+    ("distraction", -34.0, 1.0, 0.005, "genai", None),
+    ("online", 28.0, 0.9, 0.005, "dating", None),
+    ("inPerson", 26.0, 0.9, 18.0, "growth", 0.5),
+    ("care", -40.0, 1.0, 3.0, "share", None),
+]
+# Mechanism score per unit of slider movement, the slope of its sensitivity to the share, and the slider whose
+# scenario weight applies.
+SLIDER_MOVES = [
+    # mechanism, weighted by, slider, score per unit, slope
+    ("mechanism_remote_work_flexibility", "remote", "remote", 15.0, 3.0),
+    ("mechanism_remote_work_flexibility", "remote", "inPerson", 8.0, 0.0),
+    ("mechanism_digital_distraction", "distraction", "distraction", -14.0, 0.0),
+    ("mechanism_online_matching", "online", "online", 12.0, 0.0),
+    ("mechanism_in_person_social", "inPerson", "inPerson", 11.0, 0.0),
+    ("mechanism_in_person_social", "inPerson", "distraction", -3.0, 0.0),
+    ("mechanism_care_burden", "care", "care", -16.0, 0.0),
+    ("mechanism_care_burden", "care", "remote", -4.0, 0.0),
+]
 SLIDER_NEUTRAL = {"remote": 1.0, "distraction": 1.0, "online": 1.0, "inPerson": 1.0, "care": 1.0}
 
 # Which ranks feed which scale, and the scale's range (default 0.7 to 1.3).
@@ -303,6 +340,16 @@ YES_WORDS = ["1", "true", "t", "yes", "y", "remote", "teleworkable", "workfromho
 NO_WORDS = ["0", "false", "f", "no", "n", "notremote", "nonremote"]
 YES_TOKENS = ["telework", "remote", "workfromhome"]
 
+# Notes of the column profile by the end of a column's name.
+COLUMN_NOTES = [
+    ("_lag1", "lagged feature"),
+    ("_lag2", "lagged feature"),
+    ("_lag3", "lagged feature"),
+    ("_rolling3", "mean of earlier rows"),
+    ("_imputed_flag", "marks imputed rows"),
+    ("_long_gap_flag", "marks gaps left open"),
+]
+
 # Feature families by name prefix.
 FEATURE_FAMILIES = [
     ("remote_work_exposure_index", "remote_work"),

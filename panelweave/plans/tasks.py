@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import rollup_join, two_pass_join
-from ..operators.ranking import sort_nulls_last
 from ..operators.sets import keep_one
 
 
@@ -25,7 +24,7 @@ def task_dataset(
     text_key: str,
     activity: str,
 ) -> DataFrame:
-    """Eligible entities (first row per key) × tasks × activities × text roll-ups, sorted.
+    """Eligible entities (first row per key) × tasks × activities × text roll-ups, in no order: a sink sorts.
 
     Activities match by (key, task id) first and by (key, task text) where that fails.
     """
@@ -34,4 +33,4 @@ def task_dataset(
     rows = two_pass_join(
         rows, activities, first_keys=[key, task_id], second_keys=[key, text_key], values=[activity]
     )
-    return sort_nulls_last(rollup_join(rows, rollups, key), [key, task_id, text_key, activity])
+    return rollup_join(rows, rollups, key)

@@ -6,8 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,25 +51,23 @@ def scan_first_available(spark: SparkSession, stems: Sequence[str]) -> DataFrame
     return None
 
 
-def _component_path(spark: SparkSession, root: str, component: str, year: int) -> str | None:
-    """Where one year keeps a component: one of the known folder layouts, else a search by name.
+def component_tables(spark: SparkSession, root: str, component: str, year: int) -> list[str]:
+    """All tables of one component and year under a folder, whatever its layout, by one listing of the file system.
 
-    A path may be one file or a folder of part files.
+    A table is a file or a folder of part files whose name begins with the component and ends with ``<year>.dat``. A folder
+    that does not exist has none; any other failure of the file system is raised.
     """
-    names = [f"{component}_{year}", f"{component}-{year}"]
-    layouts = [f"{n}/{n}/{n}.dat" for n in names] + [f"{folder}/{n}.dat" for folder in names for n in names]
-    for layout in layouts:
-        if path_exists(spark, f"{root}/{layout}"):
-            return f"{root}/{layout}"
-    for pattern in (*[f"{n}.dat" for n in names], f"{component}*{year}.dat"):
-        try:
-            probe = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-            found = sorted(probe.inputFiles())
-        except AnalysisException:
-            found = []
-        if found:
-            return found[0]
-    return None
+    if not path_exists(spark, root):
+        return []
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    found, listing = set(), folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    named = re.compile(rf"(.*/{re.escape(component)}[^/]*{year}\.dat)(?:/[^/]+)?$")
+    while listing.hasNext():
+        match = named.match(listing.next().getPath().toString())
+        if match:
+            found.add(match[1])
+    return sorted(found)
 
 
 def scan_yearly_files(
@@ -78,14 +75,17 @@ def scan_yearly_files(
 ) -> DataFrame | None:
     """One component from a folder per year, the wanted columns that exist, lower-cased and stacked.
 
-    The year comes from each file's path. Years with the same header share one scan.
+    The year comes from each file's path. Years with the same header share one scan. Two tables that both claim a component
+    and year are an error.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for year in years:
-        found = _component_path(spark, f"{base}/{year}", component, year)
-        if found is not None:
-            header = tuple(spark.read.option("header", True).csv(found).columns)
-            by_header.setdefault(header, []).append(found)
+        found = component_tables(spark, f"{base}/{year}", component, year)
+        if len(found) > 1:
+            raise ValueError(f"{component} of {year} is in more than one table: {', '.join(found)}")
+        if found:
+            header = tuple(spark.read.option("header", True).csv(found[0]).columns)
+            by_header.setdefault(header, []).append(found[0])
     out = None
     for header, files in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -111,12 +111,34 @@ def scan_columns_years(df: DataFrame, columns: Sequence[str], year: str, min_yea
     return df.filter(F.col(year) >= bound).select(*[c for c in columns if c in df.columns])
 
 
-def header_rows(df: DataFrame, text: str, header: Sequence[str]) -> DataFrame:
+def _parsed(df: DataFrame, text: str, value: Column, strict: bool) -> Column:
+    """The parsed part of a JSON text; a text without it raises an error that shows its beginning, unless ``strict`` is off."""
+    broken = F.col(text).isNotNull() & value.isNull()
+    message = F.concat(F.lit(f"column {text} holds a document of another form: "), F.substring(F.col(text), 1, 80))
+    return F.when(broken, F.raise_error(message)).otherwise(value) if strict else value
+
+
+def _header_arrays(text: str) -> Column:
+    return F.from_json(F.col(text), "array<array<string>>")
+
+
+def _record_arrays(text: str, schema: str) -> Column:
+    return F.from_json(F.col(text), f"struct<rows:array<struct<{schema}>>>")["rows"]
+
+
+def broken_documents(df: DataFrame, text: str, schema: str | None = None) -> DataFrame:
+    """The rows whose text is neither missing nor of the form ``header_rows`` (or, with a schema, ``record_rows``) reads."""
+    value = _record_arrays(text, schema) if schema else _header_arrays(text)
+    return df.filter(F.col(text).isNotNull() & value.isNull())
+
+
+def header_rows(df: DataFrame, text: str, header: Sequence[str], *, strict: bool = True) -> DataFrame:
     """JSON texts that hold arrays of arrays, the first inner array being the header.
 
-    Columns are found by the position their name has in each document's own header.
+    Columns are found by the position their name has in each document's own header. A text of another form fails the query;
+    without ``strict`` it gives no rows, and ``broken_documents`` lists it.
     """
-    parsed = df.withColumn("_rows", F.from_json(F.col(text), "array<array<string>>")).drop(text)
+    parsed = df.withColumn("_rows", _parsed(df, text, _header_arrays(text), strict)).drop(text)
     heads = parsed.withColumn("_head", F.get(F.col("_rows"), F.lit(0)))
     rows = heads.select("*", F.posexplode("_rows").alias("_pos", "_row")).filter("_pos > 0")
     cells = {
@@ -125,10 +147,10 @@ def header_rows(df: DataFrame, text: str, header: Sequence[str]) -> DataFrame:
     return rows.withColumns(cells).drop("_rows", "_head", "_row")
 
 
-def record_rows(df: DataFrame, text: str, schema: str, fields: Mapping[str, str]) -> DataFrame:
-    """JSON texts ``{"rows": [...]}`` to one row per record; nested parts by dotted path."""
-    parsed = df.withColumn("_doc", F.from_json(F.col(text), f"struct<rows:array<struct<{schema}>>>"))
-    rows = parsed.select(*[c for c in df.columns if c != text], F.explode("_doc.rows").alias("_row"))
+def record_rows(df: DataFrame, text: str, schema: str, fields: Mapping[str, str], *, strict: bool = True) -> DataFrame:
+    """JSON texts ``{"rows": [...]}`` to one row per record; nested parts by dotted path. ``strict`` as in ``header_rows``."""
+    parsed = df.withColumn("_found", _parsed(df, text, _record_arrays(text, schema), strict))
+    rows = parsed.select(*[c for c in df.columns if c != text], F.explode("_found").alias("_row"))
     return rows.select(
         *[c for c in rows.columns if c != "_row"], *[F.col(f"_row.{path}").alias(name) for name, path in fields.items()]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,17 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -
         raise ValueError(f"no writer for {path!r}: use .parquet or .csv")
 
 
+def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace exactly the partitions that ``df`` has rows of; the other folders of the table are not touched or read."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, on the file system it belongs to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def json_records(df: DataFrame, columns: Sequence[str] | None = None, name: str = "record") -> DataFrame:
     """One JSON text per row; missing values are written as null."""
     chosen = list(columns or df.columns)

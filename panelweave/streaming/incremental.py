@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sets import keep_one, union_by_name
 from ..sources.readers import path_exists
+from ..sources.writers import remove_path
 
 
 def upsert_keep_last(current: DataFrame | None, batch: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ()) -> DataFrame:
@@ -58,13 +59,17 @@ def write_versioned(df: DataFrame, base: str, version: int) -> str:
 def foreach_batch_upsert(base: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``writeStream.foreachBatch`` function that keeps the newest row per key.
 
-    Batch n reads the state of batch n - 1 and writes its own, so a replayed batch gives
-    the same state.
+    Batch n reads the state of batch n - 1 and writes its own, so a replayed batch gives the same state. A former state
+    that is absent or was not written to its end is an error: going on would lose every key that the batch does not hold.
+    Of the states before the former one nothing is needed any more, and they are removed.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        former = f"{base}/v={batch_id - 1:06d}"
         session = batch.sparkSession
-        current = session.read.parquet(former) if batch_id > 0 and path_exists(session, former) else None
+        state = lambda n: f"{base}/v={n:06d}"
+        if batch_id > 0 and not path_exists(session, f"{state(batch_id - 1)}/_SUCCESS"):
+            raise FileNotFoundError(f"batch {batch_id}: the state of batch {batch_id - 1} is not complete under {base}")
+        current = session.read.parquet(state(batch_id - 1)) if batch_id > 0 else None
         write_versioned(upsert_keep_last(current, batch, keys, order=order), base, batch_id)
+        remove_path(session, state(batch_id - 2))
 
     return apply

@@ -165,3 +165,20 @@ def test_hot_key_keeps_results_whole(spark):
     assert R.top_per_group(df, ["k"], [F.col("id").desc()], 4).filter("k = 'hot'").count() == 4
     matched = J.match_report(df.select("k"), df.select("k").distinct(), "k").filter("k = 'hot'").first()
     assert (matched.left_rows, matched.status) == (n // 3, "matched")
+
+
+def test_a_doubled_key_in_a_joined_panel_is_an_error(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, x int")
+    twice = spark.createDataFrame([("a", 5), ("a", 6)], "k string, y int")
+    with pytest.raises(ValueError, match="a joined panel: key .*'a'.* occurs 2 times"):
+        J.left_join_panels([base, twice], ["k"])
+
+
+def test_the_interval_keeps_its_digits_far_from_zero(spark):
+    values = [1e9, 1e9 + 0.1, 1e9 + 0.2, 1e9 + 0.3]
+    df = spark.createDataFrame([("g", v, 1.0) for v in values], "k string, x double, w double")
+    row = A.weighted_mean_ci(df, ["k"], ["x"], "w").first()
+    sd = (sum((v - sum(values) / 4) ** 2 for v in values) / 4) ** 0.5
+    assert row.x == pytest.approx(1e9 + 0.15, abs=1e-6) and row.x_se == pytest.approx(sd / 2, rel=1e-6)
+    grains = A.multi_grain(df.withColumn("r", F.lit("q")), [A.Grain("fine", ("r", "k")), A.Grain("coarse", ("r",))], ["x"], "w").collect()
+    assert all(r.x_se == pytest.approx(sd / 2, rel=1e-6) for r in grains)

@@ -8,17 +8,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelweave.bindings import registry
 from tools import check_queries, plan_report
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE  # of the library itself; the training data queries have their own tests
 # one or more of each family; tools/check_queries.py runs all of them
 SAMPLE = [
     "normalize_entity_year", "classify_code_prefix", "normalize_records", "factorize_first_seen", "make_text_key", "title_case_place",
     "left_join_panels", "two_pass_fallback_join", "rescaled_region_proxy", "task_dataset", "mismatch_report", "multi_grain_aggregate",
     "event_to_person_rollup", "two_level_string_agg", "zscore_by_period", "impute_short_gaps", "fill_cascade", "group_series_fill",
     "percentile_rank_avg", "ranked_groups_topk", "set_difference_ids", "scan_yearly_files", "upsert_keep_last", "error_metrics_grouping_sets",
-    "consistency_checks", "bounded_scenario_path", "component_projection", "linear_recursive_forecast", "permutation_importance",
+    "consistency_checks", "bounded_scenario_path", "component_projection", "linear_recursive_forecast", "permutation_importance", "banded_projection_grid", "ridge_model",
+    "skill_rollup_join", "preview_with_overflow", "truthy_text", "source_quality_summary", "weighted_mean_ci", "national_series_join",
 ]
 
 
@@ -30,9 +32,9 @@ def duck():
     return connection
 
 
-def test_every_twin_belongs_to_a_query_and_only_models_have_none():
-    assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"ridge_model", "gbt_model", "train_score_all"}
+def test_every_query_has_a_twin():
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):

@@ -19,18 +19,18 @@ INDEX = ["remote_work_exposure_index", "digital_distraction_index", "in_person_s
 
 def index_panel(panel):
     return panel.select(
-        "entity", "name", "region", "year", "rate", "population", F.col("remote").alias(INDEX[0]), F.col("distraction").alias(INDEX[1]),
-        F.col("contact").alias(INDEX[2]), F.col("remote").alias("remote_work_share_state_year"),
+        "entity", "name", "region", "year", "level", "stock", F.col("share").alias(INDEX[0]), F.col("load").alias(INDEX[1]),
+        F.col("meet").alias(INDEX[2]), F.col("share").alias("remote_work_share_state_year"),
     )
 
 
 def paths(panel, end, scenarios=tuple(specs.SCENARIOS)):
     p = index_panel(panel)
     share = "remote_work_share_state_year"
-    anchor = SC.baseline_anchor(p, "entity", "year", slopes=INDEX, logit_slopes=[share], growth=["population"])
+    anchor = SC.baseline_anchor(p, "entity", "year", slopes=INDEX, logit_slopes=[share], growth=["stock"])
     anchor = SC.override_scales(anchor, [*INDEX, share])
     last = p.agg(F.max("year")).scalar()
-    return SC.scenario_covariates(anchor, last, end, list(scenarios), additive=INDEX, share=share, compound=["population"])
+    return SC.scenario_covariates(anchor, last, end, list(scenarios), additive=INDEX, share=share, compound=["stock"])
 
 
 def test_factor_signs():
@@ -39,8 +39,8 @@ def test_factor_signs():
         PR.scenario_factor("Z")
 
 
-def test_shift_saturates_and_shares_stay_bounded(spark, synthetic_panel):
-    out = paths(synthetic_panel, 2060).filter("entity = '01'")
+def test_shift_saturates_and_shares_stay_bounded(spark, town_panel):
+    out = paths(town_panel, 2060).filter("entity = 'K1'")
     got = {(r.scenario_name, r.year): r for r in out.collect()}
     assert {y for _, y in got} == set(range(2024, 2061))
     shift = [got[("remote_work_dominant", y)][INDEX[0]] - got[("baseline_continuation", y)][INDEX[0]] for y in range(2024, 2061)]
@@ -50,24 +50,24 @@ def test_shift_saturates_and_shares_stay_bounded(spark, synthetic_panel):
     assert got[("baseline_continuation", 2024)].covariate_status == "observed_anchor"
 
 
-def test_paths_equal_the_step_by_step_rule(spark, synthetic_panel):
+def test_paths_equal_the_step_by_step_rule(spark, town_panel):
     end, k_end = 2034, 10
-    anchor = SC.baseline_anchor(index_panel(synthetic_panel), "entity", "year", slopes=INDEX, logit_slopes=["remote_work_share_state_year"], growth=["population"])
-    start = SC.override_scales(anchor, [*INDEX, "remote_work_share_state_year"]).filter("entity = '02'").first()
-    final = paths(synthetic_panel, end, ["remote_work_dominant"]).filter(f"entity = '02' AND year = {end}").first()
-    v, s, pop = start[INDEX[0]], start.remote_work_share_state_year, start.population
+    anchor = SC.baseline_anchor(index_panel(town_panel), "entity", "year", slopes=INDEX, logit_slopes=["remote_work_share_state_year"], growth=["stock"])
+    start = SC.override_scales(anchor, [*INDEX, "remote_work_share_state_year"]).filter("entity = 'K2'").first()
+    final = paths(town_panel, end, ["remote_work_dominant"]).filter(f"entity = 'K2' AND year = {end}").first()
+    v, s, pop = start[INDEX[0]], start.remote_work_share_state_year, start.stock
     scale = start[f"scenario_scale_{INDEX[0]}"]
     clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
     for k in range(k_end):
         v += start[f"{INDEX[0]}_baseline_slope"] + 0.03 * scale * 0.92**k
         z = math.log(clip(s) / (1 - clip(s))) + start["remote_work_share_state_year_logit_slope"]
         s = clip(1 / (1 + math.exp(-z)) + 0.004 * start["scenario_scale_remote_work_share_state_year"] * 0.92**k)
-        pop *= 1 + start.population_baseline_growth
-    assert final[INDEX[0]] == pytest.approx(v) and final.remote_work_share_state_year == pytest.approx(s) and final.population == pytest.approx(pop)
+        pop *= 1 + start.stock_baseline_growth
+    assert final[INDEX[0]] == pytest.approx(v) and final.remote_work_share_state_year == pytest.approx(s) and final.stock == pytest.approx(pop)
 
 
-def test_entities_differ_under_a_scaled_scenario(spark, synthetic_panel):
-    out = paths(synthetic_panel, 2040).filter("year = 2040")
+def test_entities_differ_under_a_scaled_scenario(spark, town_panel):
+    out = paths(town_panel, 2040).filter("year = 2040")
     base = {r.entity: r[INDEX[0]] for r in out.filter("scenario_name = 'baseline_continuation'").collect()}
     moved = {r.entity: r[INDEX[0]] for r in out.filter("scenario_name = 'remote_work_dominant'").collect()}
     assert len({round(moved[e] - base[e], 9) for e in base}) > 1
@@ -76,6 +76,7 @@ def test_entities_differ_under_a_scaled_scenario(spark, synthetic_panel):
 
 def test_unknown_scenario_is_the_baseline_and_user_values_count():
     assert SC.growth_overrides("nothing") == {}
+    assert SC.growth_overrides("in_person_revival") == specs.SCENARIOS["in_person_revival"][1]
     assert SC.growth_overrides("user_defined", user={"remote_work_exposure": 0.5, "x": 1}) == {INDEX[0]: 0.5}
 
 
@@ -119,14 +120,14 @@ def test_reference_rows_have_no_mechanism_and_identity_holds(spark):
 
 
 def scored_panel(panel):
-    return temporal_split(lag_features(panel, ["rate"], "entity", "year"), "year")
+    return temporal_split(lag_features(panel, ["level"], "entity", "year"), "year")
 
 
-def test_ridge_equals_the_closed_form(spark, synthetic_panel):
-    rows = scored_panel(synthetic_panel)
+def test_ridge_equals_the_closed_form(spark, town_panel):
+    rows = scored_panel(town_panel)
     train = rows.filter("split = 'train'")
-    numeric = ["rate_lag1", "remote", "screen"]
-    model = M.fit_ridge(train, "rate", numeric, ["region"])
+    numeric = ["level_lag1", "share", "watch"]
+    model = M.fit_ridge(train, "level", numeric, ["region"])
     data = rows.orderBy("entity", "year").toPandas()
     t = data[data.split == "train"]
     x = t[numeric].fillna(t[numeric].median())
@@ -137,8 +138,8 @@ def test_ridge_equals_the_closed_form(spark, synthetic_panel):
         return np.column_stack([z, *[(d.region == g).to_numpy(float) for g in sorted(t.region.unique())]])
 
     a = design(t)
-    centre, y0 = a.mean(axis=0), t.rate.mean()
-    w = np.linalg.solve((a - centre).T @ (a - centre) + np.eye(a.shape[1]), (a - centre).T @ (t.rate - y0).to_numpy())
+    centre, y0 = a.mean(axis=0), t.level.mean()
+    w = np.linalg.solve((a - centre).T @ (a - centre) + np.eye(a.shape[1]), (a - centre).T @ (t.level - y0).to_numpy())
     want = y0 + (design(data) - centre) @ w
     got = model.predict(rows, "p").orderBy("entity", "year").toPandas().p.to_numpy()
     assert np.allclose(got, want, atol=1e-6)
@@ -146,27 +147,49 @@ def test_ridge_equals_the_closed_form(spark, synthetic_panel):
     assert math.isfinite(unseen)
 
 
-def test_trees_score_and_forest_runs(spark, synthetic_panel):
-    rows = scored_panel(synthetic_panel)
+def test_trees_score_and_forest_runs(spark, town_panel):
+    rows = scored_panel(town_panel)
     train = rows.filter("split = 'train'")
-    for model in (M.fit_boosted_trees(train, "rate", ["rate_lag1", "remote"], rounds=3), M.fit_random_forest(train, "rate", ["rate_lag1", "remote"], trees=3)):
+    for model in (M.fit_boosted_trees(train, "level", ["level_lag1", "share"], rounds=3), M.fit_random_forest(train, "level", ["level_lag1", "share"], trees=3)):
         got = [r.p for r in model.predict(rows, "p").collect()]
         assert len(got) == 27 and all(50 < v < 70 for v in got)
 
 
+def test_loss_falls_and_a_saved_model_scores_alike(spark, town_panel, tmp_path):
+    rows = scored_panel(town_panel)
+    train = rows.filter("split = 'train'")
+    trees = M.fit_boosted_trees(train, "level", ["level_lag1", "share"], rounds=12)
+    losses = M.boosting_losses(trees, train, "level")
+    assert len(losses) == 12 and losses[-1] < losses[0]
+    for model in (trees, M.fit_ridge(train, "level", ["level_lag1", "share"], ["region"])):
+        model.save(f"{tmp_path}/{model.name}")
+        again = M.FittedModel.load(f"{tmp_path}/{model.name}")
+        assert again.features == model.features
+        assert rows_of(again.predict(rows, "p"), "entity", "year", "p") == rows_of(model.predict(rows, "p"), "entity", "year", "p")
+
+
+def test_fitted_ridge_runs_in_the_closed_loop_for_36_years(spark, town_panel):
+    rows = scored_panel(town_panel)
+    model = M.fit_ridge(rows.filter("split = 'train'"), "level", ["level_lag1", "level_lag2", "share"], ["region"])
+    out = M.recursive_forecast(model.predict, town_panel, future_of(town_panel, 36), entity="entity", path=["scenario"], year="year", target="level")
+    got = {(r.entity, r.scenario, r.year): r.predicted for r in out.collect()}
+    assert len(got) == 3 * 2 * 36 and all(5 <= v <= 150 for v in got.values())
+    assert got["K1", "low", 2060] != got["K1", "high", 2060]
+
+
 def future_of(panel, years=5):
-    last = panel.filter("year = 2024").drop("year", "rate")
+    last = panel.filter("year = 2024").drop("year", "level")
     grid = last.withColumn("year", F.explode(F.array(*[F.lit(2024 + k) for k in range(years + 1)])))
-    return grid.withColumn("scenario", F.explode(F.array(F.lit("low"), F.lit("high")))).withColumn("remote", F.when(F.col("scenario") == "high", 5.0).otherwise(-5.0))
+    return grid.withColumn("scenario", F.explode(F.array(F.lit("low"), F.lit("high")))).withColumn("share", F.when(F.col("scenario") == "high", 5.0).otherwise(-5.0))
 
 
-def test_forecasts_stay_in_bounds_and_both_forms_agree(spark, synthetic_panel):
-    future = future_of(synthetic_panel)
-    score = lambda df, c: df.withColumn(c, M.linear_score({"rate_lag1": 0.7, "rate_lag2": 0.2, "remote": 30.0}, 5.0))
-    step = M.recursive_forecast(score, synthetic_panel, future, entity="entity", path=["scenario"], year="year", target="rate")
+def test_forecasts_stay_in_bounds_and_both_forms_agree(spark, town_panel):
+    future = future_of(town_panel)
+    score = lambda df, c: df.withColumn(c, M.linear_score({"level_lag1": 0.7, "level_lag2": 0.2, "share": 30.0}, 5.0))
+    step = M.recursive_forecast(score, town_panel, future, entity="entity", path=["scenario"], year="year", target="level")
     fold = M.linear_recursive_forecast(
-        synthetic_panel, future, entity="entity", path=["scenario"], year="year", target="rate", lags=[0.7, 0.2, 0.0], rolling=0.0,
-        exogenous=F.lit(5.0) + F.lit(30.0) * F.col("remote"),
+        town_panel, future, entity="entity", path=["scenario"], year="year", target="level", lags=[0.7, 0.2, 0.0], rolling=0.0,
+        exogenous=F.lit(5.0) + F.lit(30.0) * F.col("share"),
     )
     a = {(r.entity, r.scenario, r.year): r.predicted for r in step.collect()}
     b = {(r.entity, r.scenario, r.year): r.predicted for r in fold.collect()}
@@ -174,44 +197,45 @@ def test_forecasts_stay_in_bounds_and_both_forms_agree(spark, synthetic_panel):
     assert all(a[k] == pytest.approx(b[k]) and 5 <= a[k] <= 150 for k in a)
 
 
-def test_naive_paths(spark, synthetic_panel):
-    out = SC.naive_future_paths(synthetic_panel, future_of(synthetic_panel).drop("rate"), ["entity", "scenario"], "entity", "year", "rate")
-    rows = out.filter("entity = '01' AND scenario = 'low'").orderBy("year").collect()
-    hist = {r.year: r.rate for r in synthetic_panel.filter("entity = '01'").collect()}
+def test_naive_paths(spark, town_panel):
+    out = SC.naive_future_paths(town_panel, future_of(town_panel).drop("level"), ["entity", "scenario"], "entity", "year", "level")
+    rows = out.filter("entity = 'K1' AND scenario = 'low'").orderBy("year").collect()
+    hist = {r.year: r.level for r in town_panel.filter("entity = 'K1'").collect()}
     step = hist[2024] - hist[2023]
     assert [r.year for r in rows] == list(range(2025, 2030))
     assert all(r.baseline_last_observed == hist[2024] for r in rows)
     assert [r.baseline_recent_trend for r in rows] == pytest.approx([hist[2024] + k * step for k in range(1, 6)])
 
 
-def test_importance_of_an_unused_feature_is_zero(spark, synthetic_panel):
-    rows = synthetic_panel.withColumn("id", F.col("year") * 100 + F.col("entity").cast("int"))
-    score = lambda df, c: df.withColumn(c, F.col("rate") + (F.col("remote") - 0.25) * 10)
-    got = dict(rows_of(M.permutation_importance(rows, score, ["remote", "screen"], "rate", "id"), "feature", "importance_value"))
-    assert got["screen"] == pytest.approx(0.0, abs=1e-12) and abs(got["remote"]) < 5
+def test_importance_of_an_unused_feature_is_zero(spark, town_panel):
+    rows = town_panel.withColumn("id", F.col("year") * 100 + F.substring("entity", 2, 1).cast("int"))
+    score = lambda df, c: df.withColumn(c, F.col("level") + (F.col("share") - 0.25) * 10)
+    got = dict(rows_of(M.permutation_importance(rows, score, ["share", "watch"], "level", "id"), "feature", "importance_value"))
+    assert got["watch"] == pytest.approx(0.0, abs=1e-12) and abs(got["share"]) < 5
 
 
-def test_local_contributions(spark, synthetic_panel):
-    score = lambda df, c: df.withColumn(c, F.lit(2.0) * F.col("remote") - F.col("distraction"))
-    out = M.local_perturbation(synthetic_panel, synthetic_panel, score, ["remote", "distraction"], ["entity", "year"], name="m", place="name", year="year")
-    med = synthetic_panel.toPandas()[["remote", "distraction"]].median()
-    row = out.filter("entity = '04' AND year = 2024 AND feature = 'remote'").first()
-    assert row.contribution == pytest.approx(2 * (0.28 - med.remote))
+def test_local_contributions(spark, town_panel):
+    score = lambda df, c: df.withColumn(c, F.lit(2.0) * F.col("share") - F.col("load"))
+    out = M.local_perturbation(town_panel, town_panel, score, ["share", "load"], ["entity", "year"], name="m", place="name", year="year")
+    data = town_panel.toPandas()
+    own = data[(data.entity == "K3") & (data.year == 2024)].share.iloc[0]
+    row = out.filter("entity = 'K3' AND year = 2024 AND feature = 'share'").first()
+    assert row.contribution == pytest.approx(2 * (own - data.share.median()))
     assert {r.importance_rank for r in out.collect()} == {1, 2}
 
 
-def test_local_contribution_of_a_category_uses_its_mode(spark, synthetic_panel):
-    score = lambda df, c: df.withColumn(c, F.when(F.col("region") == "South", 3.0).otherwise(1.0) + F.col("remote"))
+def test_local_contribution_of_a_category_uses_its_mode(spark, town_panel):
+    score = lambda df, c: df.withColumn(c, F.when(F.col("region") == "inland", 3.0).otherwise(1.0) + F.col("share"))
     out = M.local_perturbation(
-        synthetic_panel, synthetic_panel, score, ["remote", "region"], ["entity", "year"], name="m", place="name", year="year", categorical=["region"]
+        town_panel, town_panel, score, ["share", "region"], ["entity", "year"], name="m", place="name", year="year", categorical=["region"]
     )
     got = {(r.entity, round(r.contribution, 9)) for r in out.filter("feature = 'region'").collect()}
-    assert got == {("01", 2.0), ("02", 0.0), ("04", 0.0)}
+    assert got == {("K1", 2.0), ("K2", 0.0), ("K3", 0.0)}
 
 
-def test_profile(spark, synthetic_panel):
-    df = lag_features(synthetic_panel, ["rate"], "entity", "year", lags=(1,), rolling=None).select("entity", "rate", "rate_lag1")
-    got = rows_of(M.column_profile(df, core=["rate"]))
-    assert ("rate_lag1", "double", "lagged feature", 24) in got and ("rate", "double", "core target or accounting input", 27) in got
-    numeric, cats = M.feature_columns(df.withColumn("empty", F.lit(None).cast("double")), ["rate", "empty", "absent", "rate"], ["entity", "x"])
-    assert (numeric, cats) == (["rate"], ["entity"])
+def test_profile(spark, town_panel):
+    df = lag_features(town_panel, ["level"], "entity", "year", lags=(1,), rolling=None).select("entity", "level", "level_lag1")
+    got = rows_of(M.column_profile(df, {"level": "modelled value"}))
+    assert ("level_lag1", "double", "lagged feature", 24) in got and ("level", "double", "modelled value", 27) in got
+    numeric, cats = M.feature_columns(df.withColumn("empty", F.lit(None).cast("double")), ["level", "empty", "absent", "level"], ["entity", "x"])
+    assert (numeric, cats) == (["level"], ["entity"])

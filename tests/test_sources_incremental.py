@@ -4,6 +4,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from panelweave import session
 from panelweave.functions.columns import MissingColumnsError
 from panelweave.plans import publish as PB
 from panelweave.sources import readers as RD
@@ -44,6 +45,9 @@ def test_yearly_layouts_and_globs(spark, tmp_path):
     out = RD.scan_yearly_files(spark, str(tmp_path), [2003, 2004, 2005, 2006], "act", ["CASE", "CODE", "ABSENT"])
     assert rows_of(out, "case", "code", "source_year") == [("1", "a", 2003), ("2", "b", 2004), ("3", None, 2005)]
     assert RD.scan_yearly_files(spark, str(tmp_path), [1999], "act", ["CASE"]) is None
+    put("2005/again/act_2005.dat", "CASE\n5\n")
+    with pytest.raises(ValueError, match="act of 2005 is in more than one table"):
+        RD.scan_yearly_files(spark, str(tmp_path), [2005], "act", ["CASE"])
 
 
 def test_year_bound_and_columns_reach_the_scan(spark):
@@ -61,9 +65,56 @@ def test_nested_json_file(spark, tmp_path):
 
 def test_header_rows_follow_each_documents_own_header(spark):
     df = spark.createDataFrame([('[["a","b"],["1","2"],["3",null]]',), ('[["b","a"],["4","5"]]',), ("broken",)], "t string")
-    assert rows_of(RD.header_rows(df, "t", ["a", "b", "c"]), "a", "b", "c") == sorted(
+    assert rows_of(RD.header_rows(df, "t", ["a", "b", "c"], strict=False), "a", "b", "c") == sorted(
         [("1", "2", None), ("3", None, None), ("5", "4", None)], key=repr
     )
+    assert rows_of(RD.broken_documents(df, "t")) == [("broken",)]
+    with pytest.raises(Exception, match="document of another form: broken"):
+        RD.header_rows(df, "t", ["a"]).collect()
+
+
+def test_broken_records_are_reported(spark):
+    df = spark.createDataFrame([(1, '{"rows": [{"a": 1}, {"a": 2}]}'), (2, '{"rows": [{"a":'), (3, None), (4, '{"rows": []}')], "d int, t string")
+    assert rows_of(RD.record_rows(df, "t", "a int", {"a": "a"}, strict=False)) == [(1, 1), (1, 2)]
+    assert rows_of(RD.broken_documents(df, "t", "a int"), "d") == [(2,)]
+    with pytest.raises(Exception, match="document of another form"):
+        RD.record_rows(df, "t", "a int", {"a": "a"}).collect()
+
+
+def test_a_lost_state_is_an_error_and_old_states_go(spark, tmp_path):
+    apply = INC.foreach_batch_upsert(f"{tmp_path}/s", ["k"], ["n"])
+    batch = lambda k, n: spark.createDataFrame([(k, n)], "k string, n int")
+    for n, k in enumerate("abc"):
+        apply(batch(k, n), n)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["v=000001", "v=000002"]
+    apply(batch("c", 9), 2)  # a replay
+    assert rows_of(spark.read.parquet(f"{tmp_path}/s/v=000002"), "k") == [("a",), ("b",), ("c",)]
+    (tmp_path / "s/v=000002/_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError, match="state of batch 2 is not complete"):
+        apply(batch("d", 1), 3)
+
+
+def test_only_the_partitions_of_the_frame_are_replaced(spark, tmp_path):
+    put = lambda rows: WR.overwrite_partitions(spark.createDataFrame(rows, "split string, v int"), f"{tmp_path}/t", ["split"])
+    put([("train", 1), ("forecast", 2), ("forecast", 3)])
+    put([("forecast", 9)])
+    assert rows_of(spark.read.parquet(f"{tmp_path}/t"), "split", "v") == [("forecast", 9), ("train", 1)]
+
+
+def test_several_machines_need_a_shared_folder(spark, monkeypatch):
+    assert session.one_machine("local[8]") and not session.one_machine("local-cluster[2,1,1024]") and not session.one_machine("yarn")
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(type("Session", (), {"sparkContext": Context()})())
 
 
 def test_script_wrapper(spark):
