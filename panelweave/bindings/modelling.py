@@ -173,6 +173,37 @@ def gbt_model(spark, sf_dir):
     return rounded(out.withColumns({"rounds": F.lit(len(losses)), "loss_falls": F.lit(falls)}))
 
 
+@query(
+    "random_forest_model",
+    """WITH p AS (SELECT *, CASE WHEN year >= 2001 THEN 'test' WHEN year = 2000 THEN 'validation' ELSE 'train' END AS split FROM
+              (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1, 2))
+       SELECT 'tree_random_forest' AS model_name, split, count(*) AS n, round(stddev_pop(revenue), 4) + 0.0 AS spread, true AS beats_mean, 100 AS trees FROM p GROUP BY split""",
+)
+def random_forest_model(spark, sf_dir):
+    """As ``gbt_model``, with a forest of 100 trees."""
+    p = W.lag_features(customer_panel(spark, sf_dir), ["revenue", "n_orders"], "customer", "year")
+    rows = materialize(W.temporal_split(p, "year"))
+    model = M.fit_random_forest(rows.filter("split = 'train'"), "revenue", ["revenue_lag1", "revenue_lag2", "revenue_rolling3", "n_orders", "n_orders_lag1", "year"])
+    out = quality_of(M.prediction_frame(model.predict(rows, "_p"), ["customer", "year"], "revenue", "_p", model.name), "revenue")
+    return rounded(out.withColumn("trees", F.lit(model.pipeline.stages[-1].getNumTrees)))
+
+
+@query(
+    "feature_columns",
+    sql(
+        """SELECT 'price_g' AS column_name, 'numeric' AS kind FROM gaps HAVING count(price_g) > 0 UNION ALL SELECT 'n_orders', 'numeric' FROM gaps HAVING count(n_orders) > 0
+           UNION ALL SELECT 'nothing', 'numeric' FROM gaps HAVING count(NULL) > 0 UNION ALL SELECT 'region', 'categorical' FROM gaps HAVING count(*) > 0""",
+        *GAPPED,
+    ),
+)
+def feature_columns(spark, sf_dir):
+    """Numeric candidates with a value: not the text, the absent or the empty column."""
+    rows = gaps(spark, sf_dir).withColumn("nothing", F.lit(None).cast("double"))
+    numeric, categorical = M.feature_columns(rows, ["price_g", "n_orders", "nothing", "entity_name", "absent", "price_g"], ["region", "absent"])
+    found = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical]
+    return spark.createDataFrame(found, "column_name string, kind string")
+
+
 NAIVE_SPLITS = """scored AS (
     SELECT 'baseline_last_observed' AS model_name, split, rate, rate_lag1 AS p FROM full_rows UNION ALL
     SELECT 'baseline_recent_trend', split, rate, rate_lag1 + coalesce(rate_lag1 - rate_lag2, 0) FROM full_rows UNION ALL

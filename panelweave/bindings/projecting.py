@@ -635,18 +635,24 @@ INPUTS = ["mechanism_remote_work_flexibility", "mechanism_digital_distraction",
 @query(
     "scenario_diagnostics",
     rsql(
-        f"""SELECT *, CASE WHEN share_below_005 >= 0.8 AND input_change < 0.05 THEN 'inputs barely change' WHEN share_below_005 >= 0.8 AND input_dispersion < 0.02 THEN 'inputs move alike everywhere'
+        f"""SELECT * EXCLUDE (earlier), CASE WHEN scenario = 'remote_work_saves_time' AND earlier < -0.01 THEN 'a former model gave the opposite sign' WHEN share_below_005 >= 0.8 AND input_change < 0.05 THEN 'inputs barely change' WHEN share_below_005 >= 0.8 AND input_dispersion < 0.02 THEN 'inputs move alike everywhere'
                  WHEN share_below_005 >= 0.8 THEN 'adjustment is modest' ELSE 'inputs vary enough for a visible spread' END AS diagnostic_reason FROM (
             SELECT model, scenario, year, min(d) AS min_difference, max(d) AS max_difference, avg(d) AS mean_difference, stddev_pop(d) AS std_difference,
                count(DISTINCT round(d, 3)) AS distinct_3dp, count(*) FILTER (WHERE d > 0.05) AS positive_entities, count(*) FILTER (WHERE d < -0.05) AS negative_entities, count(*) FILTER (WHERE abs(d) < 0.05) AS near_zero_entities,
                {share('abs(d) < 0.05')} AS share_below_005, {share('abs(d) < 0.10')} AS share_below_010, {share('abs(d) < 0.50')} AS share_below_050,
-               avg(({' + '.join(f'abs({m})' for m in INPUTS)}) / 3) AS input_change, ({' + '.join(f'stddev_pop({m})' for m in INPUTS)}) / 3 AS input_dispersion
+               avg(({' + '.join(f'abs({m})' for m in INPUTS)}) / 3) AS input_change, ({' + '.join(f'stddev_pop({m})' for m in INPUTS)}) / 3 AS input_dispersion,
+               avg(CASE WHEN model = 'baseline_recent_trend' THEN -d END) AS earlier
             FROM (SELECT *, scenario_difference AS d FROM rec) GROUP BY model, scenario, year)""",
         *REC_CTES, doubles="min_difference max_difference mean_difference std_difference share_below_005 share_below_010 share_below_050 input_change input_dispersion", digits=6,
     ),
 )
 def scenario_diagnostics(spark, sf_dir):
-    return rounded(AU.scenario_diagnostics(records(spark, sf_dir), ["model", "scenario", "year"], "scenario_difference", INPUTS), 6)
+    """The former model's effect is the turned difference of one model; the other has none."""
+    rows = records(spark, sf_dir).withColumn("earlier", F.when(F.col("model") == "baseline_recent_trend", -F.col("scenario_difference")))
+    out = AU.scenario_diagnostics(
+        rows, ["model", "scenario", "year"], "scenario_difference", INPUTS, earlier="earlier", revised=F.col("scenario") == "remote_work_saves_time"
+    )
+    return rounded(out, 6)
 
 
 @query(

@@ -174,8 +174,16 @@ def nonzero_survival(df: DataFrame, keys: Sequence[str], *, low: float, high: fl
 # --- scenario diagnostics -------------------------------------------------------------------------
 
 
-def scenario_diagnostics(df: DataFrame, keys: Sequence[str], difference: str, inputs: Sequence[str]) -> DataFrame:
-    """Spread of the difference per slice, how the inputs moved, and a rule-based reason."""
+def scenario_diagnostics(
+    df: DataFrame, keys: Sequence[str], difference: str, inputs: Sequence[str], *,
+    earlier: str | None = None, revised: Column | None = None, only: Column | None = None,
+) -> DataFrame:
+    """Spread of the difference per slice, how the inputs moved, and a rule-based reason.
+
+    ``only`` limits the rows, to one type of place for example. ``earlier`` is the effect that a former model gave, if any;
+    where its mean is below -0.01 in a slice for which ``revised`` (a condition on the keys) holds, that is the reason.
+    """
+    df = df if only is None else df.filter(only)
     d = F.col(difference)
     size = F.abs(d)
     moved = row_mean([F.abs(F.col(c)) for c in inputs])
@@ -194,15 +202,18 @@ def scenario_diagnostics(df: DataFrame, keys: Sequence[str], difference: str, in
         _share(flag(size < 0.50)).alias("share_below_050"),
         F.avg(moved).alias("input_change"),
         row_mean(sds).alias("input_dispersion"),
+        (F.avg(earlier) if earlier else F.lit(None).cast("double")).alias("_earlier"),
     )
+    turned = flag(F.col("_earlier") < -0.01) & (F.lit(False) if revised is None else flag(revised))
     mostly_zero = F.col("share_below_005") >= 0.8
     reason = (
-        F.when(mostly_zero & flag(F.col("input_change") < 0.05), "inputs barely change")
+        F.when(turned, "a former model gave the opposite sign")
+        .when(mostly_zero & flag(F.col("input_change") < 0.05), "inputs barely change")
         .when(mostly_zero & flag(F.col("input_dispersion") < 0.02), "inputs move alike everywhere")
         .when(mostly_zero, "adjustment is modest")
         .otherwise("inputs vary enough for a visible spread")
     )
-    return out.withColumn("diagnostic_reason", reason)
+    return out.withColumn("diagnostic_reason", reason).drop("_earlier")
 
 
 def audit_summary(df: DataFrame, difference: str, *, tolerance: float) -> DataFrame:

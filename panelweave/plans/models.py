@@ -356,8 +356,8 @@ def recursive_forecast(
     ``score(df, column)`` adds the prediction. The features rebuilt each year are
     ``<target>_lag1..3``, ``<target>_rolling3``, ``history_mean_target`` and ``year_index``
     (from the entity's own first year). Covariates are known ahead, so their lags are plain
-    lags over history and future together. Each step is checkpointed, which keeps the plan
-    one year long.
+    lags over history and future together. Each year is written once, its state with it, which
+    keeps the plan one year long.
     """
     keys = [entity, *path]
     known = history.filter(F.col(target).isNotNull())
@@ -383,7 +383,8 @@ def recursive_forecast(
     years = [r[0] for r in covariates.select(year).distinct().orderBy(year).collect()]
     out = []
     for t in years:
-        rows = covariates.filter(F.col(year) == t).join(state, keys)
+        # a path without covariates this year keeps its state
+        rows = state.join(covariates.filter(F.col(year) == t).withColumn("_has", F.lit(True)), keys, "left")
         rows = rows.withColumns(
             {
                 f"{target}_lag1": F.col("_y1"),
@@ -394,14 +395,14 @@ def recursive_forecast(
                 "year_index": (F.col(year) - F.col("_first")).cast("int"),
             }
         )
-        done = materialize(score(rows, "_raw").withColumn("predicted", clip("_raw", low, high)).drop("_raw"))
-        out.append(done.select(*keys, year, "predicted"))
-        stepped = done.select(
-            *keys, "_first", (F.col("_sum") + F.col("predicted")).alias("_sum"), (F.col("_n") + 1).alias("_n"),
-            F.col("predicted").alias("_y1"), F.col("_y1").alias("_y2"), F.col("_y2").alias("_y3"),
+        scored = score(rows, "_raw").withColumn("predicted", F.when(F.col("_has"), clip("_raw", low, high)))
+        done = materialize(scored.select(*keys, year, "predicted", "_has", "_first", "_sum", "_n", "_y1", "_y2", "_y3"))
+        out.append(done.filter("_has").select(*keys, year, "predicted"))
+        moved = lambda new, old: F.when(F.col("_has"), F.col(new)).otherwise(F.col(old))
+        state = done.select(
+            *keys, "_first", (F.col("_sum") + F.coalesce("predicted", F.lit(0.0))).alias("_sum"), (F.col("_n") + F.coalesce(F.col("_has").cast("int"), F.lit(0))).alias("_n"),
+            moved("predicted", "_y1").alias("_y1"), moved("_y1", "_y2").alias("_y2"), moved("_y2", "_y3").alias("_y3"),
         )
-        absent = state.join(done.select(*keys), keys, "left_anti")
-        state = materialize(stepped.unionByName(absent.select(*stepped.columns)))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
