@@ -97,7 +97,7 @@ def _verified(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _links_in_cell(shingle: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Links between members of different components in one cell of a bucket: a forest, so never more than members."""
-        frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side"]).reset_index(drop=True)
+        frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side", "text"]).reset_index(drop=True)
         words = sketches.WordHashes()
         sets = [sketches.shingle_set(t, shingle, words) for t in frame["text"]]
         regs = np.stack([sketches.registers(s) for s in sets])
@@ -134,8 +134,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
        back a forest of links and never its pairs. So no link between members of a bucket is lost.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null doc_id links with nothing, has a null
-    component and is kept. Rows that repeat a doc_id with the same set are all kept or all dropped together. Extra columns
-    of ``docs`` are ignored. An empty table gives no rows.
+    component and is kept. Rows that repeat a doc_id with the same set are all kept or all dropped together; with different
+    texts they are one document, which any of its texts may link. Extra columns are ignored. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     made = keep(sketch(docs, shingle), "sketches")
@@ -150,7 +150,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
     involved = members.select("id").distinct()
-    # ids may repeat with other texts: the set digest would tell them apart, but any text of an id may stand for it
     texts = keep(texts.join(involved, "id").withColumn("bytes", F.length("text")), "texts")
 
     pairs = members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()

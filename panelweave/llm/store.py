@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -28,15 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once per context, so that tasks can import them anywhere."""
+    """Send this package's modules to the Python workers, once per context, so that tasks can import them anywhere.
+
+    The archive lies in the shared folder and reaches the executors as any file added to a Spark job does.
+    """
     context = spark.sparkContext
     if not getattr(context, "_panelweave_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="panelweave-code-")) / "panelweave_code.zip"
+        package, archive = Path(__file__).resolve().parents[1], io.BytesIO()
         with zipfile.ZipFile(archive, "w") as out:
             for file in sorted(package.rglob("*.py")):
                 out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
+        target = f"{shared_folder(spark)}/panelweave-code-{uuid.uuid4().hex}.zip"
+        path = context._jvm.org.apache.hadoop.fs.Path(target)
+        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        stream.write(bytearray(archive.getvalue()))
+        stream.close()
+        context.addPyFile(target)
         context._panelweave_shipped = True
 
 
