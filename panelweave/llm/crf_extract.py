@@ -229,7 +229,9 @@ def train(pages: list[tuple[list[np.ndarray], list[int]]], epochs: int = 12, rid
 MAIN = [
     "<article>", "<main>", '<div class="content">', '<div class="post-body">', '<div class="entry-content">', '<div id="main-text">', '<div class="story">',
     '<section class="article-text">', '<div itemprop="articleBody">', '<div class="article">', '<main role="main">', '<div id="content">', '<div class="text">',
+    '<div class="post">', '<section>', "<div>", '<div class="page">', '<div class="body">', "",
 ]
+WRAPPERS = ['<div class="container">', '<div class="row">', '<div class="wrapper">', '<div id="page">', '<div class="col-md-8">', '<div class="inner">', "<div>", '<div class="grid">', "<section>"]
 OUTSIDE = {
     "menu": ["<nav>", '<ul class="menu">', '<div id="navigation">', '<div class="breadcrumbs">', '<div class="nav">', '<div role="navigation">', '<div class="toc">', "<menu>"],
     "head": ["<header>", '<div class="site-header">', '<div id="header">', '<div class="masthead">', '<div role="banner">', '<div class="topbar">', '<div class="logo">'],
@@ -239,7 +241,7 @@ OUTSIDE = {
     "advert": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<div class="ad-banner">', '<aside class="ad">', '<div class="sponsor">'],
     "form": ["<form>", '<form class="search">', '<div class="login">', '<fieldset>', '<div class="signup">', '<form id="contact">'],
     "comment": ['<div class="comments">', '<section id="comments">', '<div class="comment">', '<div class="comment-list">', '<ol class="commentlist">', '<div class="replies">', '<div id="respond">', '<div class="discussion">', '<section class="reader-comments">', '<div class="reviews">', '<article class="comment">'],
-    "share": ['<div class="share">', '<div class="social">', '<div class="tags">', '<div class="pagination">', '<div class="byline">', '<div class="meta">', '<div class="hidden">', "<div hidden>"],
+    "share": ['<div class="share">', '<div class="social">', '<div class="tags">', '<div class="pagination">', '<div class="hidden">', "<div hidden>"],
 }
 SPARE_TEXT = ["A short line of text that stands for a paragraph of an article.", "Another one, somewhat longer, with two parts. It ends here.", "Read on"]
 
@@ -249,7 +251,14 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
     labels: list[int] = []
 
     def close(opening: str) -> str:
-        return f"</{re.match(r'<(\w+)', opening).group(1)}>"
+        return f"</{re.match(r'<(\w+)', opening).group(1)}>" if opening else ""
+
+    def wrapped(inner: str) -> str:
+        """The same in containers that say nothing, some with a name that occurs once."""
+        for _ in range(draw.choice([0, 0, 1, 1, 2])):
+            opening = draw.choice([*WRAPPERS, f'<div class="x{draw.randint(0, 10**6)} {draw.choice("abcdefgh")}{draw.choice("klmnop")}{draw.choice("aeiou")}">'])
+            inner = opening + inner + close(opening)
+        return inner
 
     def paragraph(label: int) -> str:
         labels.append(label)
@@ -276,15 +285,21 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
 
     page = "<html><head><title>" + html.escape(draw.choice(texts)[:40]) + "</title></head><body>"
     labels.append(0)
-    page += several(["menu", "head", "notice", "advert", "form", "side"], 4)
-    opening = draw.choice(MAIN)
-    page += opening
+    page += "".join(wrapped(noise(["menu", "head", "notice", "advert", "form", "side"])) for _ in range(draw.randint(0, 4)))
+    opening, before = draw.choice(MAIN), page
+    page = opening
     if draw.random() < 0.8:
         labels.append(1)
-        page += f"<h1>{html.escape(draw.choice(texts)[:60])}</h1>"
+        title = f"<h1>{html.escape(draw.choice(texts)[:60])}</h1>"
+        page += f"<header>{title}</header>" if draw.random() < 0.15 else title
     for _ in range(draw.randint(1, 7)):
         kind = draw.random()
         if kind < 0.1:
+            n = draw.randint(2, 4)
+            labels.extend([1] * n)
+            items = [html.escape(draw.choice(texts)[: draw.choice([20, 80, 400])]) for _ in range(n)]
+            page += "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if draw.random() < 0.7 else "<table><tr>" + "".join(f"<td>{x}</td>" for x in items) + "</tr></table>"
+        elif kind < 0.2:
             labels.append(1)
             page += f"<{draw.choice(['h2', 'blockquote', 'pre', 'figcaption', 'li', 'td'])}>" + html.escape(draw.choice(texts))
             page += "</h2></blockquote></pre></figcaption></li></td>"
@@ -293,7 +308,7 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
         if draw.random() < 0.12:
             page += noise(["advert", "side", "share", "notice", "form"])
     inside = several(["comment", "share", "advert", "form"], 1) if draw.random() < 0.4 else ""
-    page += inside + close(opening)
+    page = before + wrapped(page + inside + close(opening))
     page += several(["comment", "side", "form", "notice", "foot", "share", "advert", "menu"], 4)
     return page + several(["foot"], 1) + "</body></html>", labels
 

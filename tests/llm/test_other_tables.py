@@ -167,3 +167,27 @@ def test_search_beyond_exact_doubles():
     rows = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**40), 5.0]])
     found = list(topk_search.search(np.array([0]), rows[:1], np.array([0, 1, 2]), rows, 2))
     assert [(int(i), int(s)) for i, s in zip(found[0][1], found[0][2])] == [(1, 2**80 + 2), (2, -(2**80) + 5)]
+
+
+WRITTEN = [
+    (
+        """<html><head><title>T</title></head><body><header class="site-header"><div class="logo">My Site</div></header><nav class="main-nav"><a href=/>Home</a> <a href=/b>Blog</a></nav>
+        <div id="cookie-banner" class="cookie-consent"><p>We use cookies.</p><button>Accept</button></div><div class="container"><div class="row"><div class="col-md-8"><div class="post"><h1>Real title</h1>
+        <p>First paragraph, long enough &amp; plain.</p><div class="advertisement"><p>Buy the best thing ever made.</p></div><p>Second paragraph.</p><ul><li>point one</li><li>point two</li></ul></div>
+        <section class="comments"><h3>Comments (2)</h3><div class="comment"><p>Great article, thanks!</p></div></section></div><aside class="sidebar"><h4>Related</h4><a href=x>Other story</a></aside></div></div>
+        <form class="newsletter"><label>Email</label><input></form><footer><p>&copy; 2024 My Site.</p></footer></body></html>""",
+        "Real title\nFirst paragraph, long enough & plain.\nSecond paragraph.\npoint one\npoint two",
+    ),
+    (
+        """<html><body><div class="menu"><a>one</a> <a>two</a></div><article><header><h1>Head</h1></header><p>Alpha beta.</p><p>Delta<br>epsilon.</p><div class="share-buttons"><a>Tweet</a></div><pre>code  here</pre></article>
+        <div id="comments"><article class="comment"><p>User says hi</p></article></div><div class="notice">Subscribe to notices</div></body></html>""",
+        "Head\nAlpha beta.\nDelta epsilon.\ncode here",
+    ),
+    ("<html><body><p>Just a plain page.</p><p>With two paragraphs.</p></body></html>", "Just a plain page.\nWith two paragraphs."),
+]
+
+
+def test_main_text_of_other_layouts(spark, chain):
+    frame = spark.createDataFrame([(i, None, page) for i, (page, _) in enumerate(WRITTEN)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in crf_extract.extracted(frame, chain).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(WRITTEN)}
