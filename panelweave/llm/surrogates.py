@@ -20,8 +20,9 @@ FEMALE = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Jessic
 SYLLABLES = {
     "latin": ["ba", "co", "del", "fi", "gar", "hu", "jor", "ka", "lem", "mi", "nor", "pe", "ral", "su", "ti", "vo"],
     "cyrillic": ["ба", "ко", "де", "фи", "гар", "ху", "жо", "ка", "лем", "ми", "но", "пе", "ра", "су", "ти", "во"],
+    "greek": ["βα", "κο", "δε", "φι", "γαρ", "χυ", "ζο", "κα", "λεμ", "μι", "νο", "πε", "ρα", "συ", "τι", "ξο"],
 }
-ENDS = {"latin": {"given_f": "ia", "given_m": "us", "given": "en", "surname": "son"}, "cyrillic": {"given_f": "ия", "given_m": "ан", "given": "ли", "surname": "енко"}}
+ENDS = {"latin": {"given_f": "ia", "given_m": "us", "given": "en", "surname": "son"}, "cyrillic": {"given_f": "ия", "given_m": "ан", "given": "ли", "surname": "енко"}, "greek": {"given_f": "ία", "given_m": "ος", "given": "ιν", "surname": "ίδης"}}
 
 _GIVEN = "|".join(MALE + FEMALE)
 _TITLE = "|".join(TITLES)
@@ -33,8 +34,10 @@ IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)"
-_CAPITAL = r"(?=[A-ZА-Я])"  # looked at first: most places fail here at once
-NAME = rf"{_CAPITAL}(?:(?<=\b(?:{_TITLE})\.? )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?<!\p{{L}})(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+)"
+_CAPITAL = r"(?=\p{Lu})"  # looked at first: most places fail here at once
+# two letters at least; an apostrophe or hyphen goes on with a capital, so that a genitive's s stays outside
+_WORD = r"(?:\p{Lu}[\p{L}\p{M}]+|\p{Lu}(?=['’-]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]+)*+"
+NAME = rf"{_CAPITAL}(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_WORD}(?: {_WORD})?|(?<!\p{{L}})(?:{_GIVEN}) {_WORD})"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "name": NAME}
 ENTITY = "|".join(KINDS.values())
 # without any of these a text holds no entity, and the long pattern is not tried on it
@@ -147,7 +150,7 @@ def _fake(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colum
         end = F.when(kind == "given_f", ends["given_f"]).when(kind == "given_m", ends["given_m"]).when(kind == "given", ends["given"]).otherwise(ends["surname"])
         return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), syllable), ""), end)
 
-    person = F.when(canon.rlike(r"\p{IsCyrillic}"), invented("cyrillic")).otherwise(invented("latin"))
+    person = F.when(canon.rlike(r"\p{IsCyrillic}"), invented("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), invented("greek")).otherwise(invented("latin"))
     card = _let(_same_class(canon, stream, F.lit(1)), lambda number: _card(canon, number))
     out = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card)
     out = out.when(kind == "phone", _same_class(canon, stream, country)).when(kind == "ssn", _same_class(canon, stream, F.lit(0)))

@@ -202,6 +202,17 @@ def test_surrogates_stay_distinct_when_the_first_forms_collide(spark):
     assert surrogates.attempts(first, "k").count() > 0  # some did collide
 
 
+def test_titled_names_with_any_capital_are_replaced_whole(spark):
+    names = ["Herr Özil", "Mme Élodie Petit", "Señora Álvarez", "Господин Ёлкин", "Mr O'Brien", "Mr McDonald", "Frau Müller-Lüdenscheidt", "Dr Ωνάσης", "Mr Jean-Luc O’Neill"]
+    frame = spark.createDataFrame([(k, f"So {n}'s dog, {n}.") for k, n in enumerate(names)], "doc_id bigint, text string")
+    for r in surrogates.pseudonymised(frame, "k").collect():
+        title, *words = names[r.doc_id].split(" ")
+        shape = " ".join([title, *[r"(\w+)"] * len(words)])
+        found = re.fullmatch(rf"So {shape}'s dog, {shape}\.", r.text)
+        assert found and found.groups()[: len(words)] == found.groups()[len(words) :] and not set(words) & set(found.groups()), r.text
+        assert re.search("[Α-ω]", found[1]) if "Ω" in words[0] else re.search("[А-я]", found[1]) if "Ё" in words[0] else found[1].isascii()
+
+
 # --- token lengths and packing --------------------------------------------------------------------------------------------
 
 
