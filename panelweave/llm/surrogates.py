@@ -28,7 +28,7 @@ _GIVEN = "|".join(MALE + FEMALE)
 _TITLE = "|".join(TITLES)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
@@ -41,7 +41,7 @@ NAME = rf"{_CAPITAL}(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_WORD}(?: {_WORD})?|(?<
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "name": NAME}
 ENTITY = "|".join(KINDS.values())
 # without any of these a text holds no entity, and the long pattern is not tried on it
-GATE = rf"[0-9@]|{_CAPITAL}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|(?<![0-9A-Za-z])(?:sk-|gh[pousr]_|AKIA|[a-f]{{32}}|[A-F]{{32}})|{_CAPITAL}(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}"
 PART = "array<struct<kind:string,canon:string>>"
 
 
@@ -140,7 +140,7 @@ def _fake(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colum
     ip = F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))
     local = F.substring_index(canon, "@", 1)
     email = F.concat(_same_class(local, stream, F.lit(0)), F.lit("@mail"), F.substring(stream, F.lit(100), F.lit(8)), F.lit(".example.net"))
-    digits = F.substring(stream, F.lit(1), F.length(canon))
+    digits = F.substring(F.repeat(stream, F.ceil(F.length(canon) / 128).cast("int")), F.lit(1), F.length(canon))  # in a ring
     secret = F.when(canon.rlike("^[0-9a-f]+$"), digits).when(canon.rlike("^[0-9A-F]+$"), F.upper(digits)).otherwise(_same_class(canon, stream, F.lit(4)))
 
     def invented(script: str) -> Column:

@@ -213,6 +213,15 @@ def test_titled_names_with_any_capital_are_replaced_whole(spark):
         assert re.search("[Α-ω]", found[1]) if "Ω" in words[0] else re.search("[А-я]", found[1]) if "Ё" in words[0] else found[1].isascii()
 
 
+def test_secrets_without_digits_and_of_any_length_are_replaced_whole(spark):
+    hidden = ["sk-" + "aBcDeFgHiJkLmNoPqRsT", "ghp_" + "qWeRtY" * 6, "AKIA" + "QWERTYUIOPASDFGH", "sk-" + "x9Y" * 40, "0a1b2c3d" * 40, "ABCDEF" * 6, "abcdef" * 30, "gho_" + "Zz9" * 20]
+    frame = spark.createDataFrame([(k, f"the key is {x}.") for k, x in enumerate(hidden)], "doc_id bigint, text string")
+    for r in surrogates.pseudonymised(frame, "k").collect():
+        made = re.fullmatch(r"the key is (\S+)\.", r.text)[1]
+        assert r.kinds == ["secret"] and made != hidden[r.doc_id] and hidden[r.doc_id][4:24] not in made and len(made) == len(hidden[r.doc_id])
+        assert made[:3] == hidden[r.doc_id][:3] or re.fullmatch("[0-9a-f]+|[0-9A-F]+", made)
+
+
 # --- token lengths and packing --------------------------------------------------------------------------------------------
 
 
