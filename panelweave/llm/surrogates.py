@@ -14,6 +14,7 @@ from .store import keep
 
 # Titles and given names by which a person's name is recognised, and its gender.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа"]
+TITLES_F, TITLES_M = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 MALE = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Hans", "Jürgen", "Pierre", "François", "Carlos", "José", "Иван", "Сергей", "Дмитрий", "Владимир"]
 FEMALE = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Jessica", "Sarah", "Ursula", "Monika", "Isabelle", "Sylvie", "Carmen", "María", "Ольга", "Наталья", "Екатерина", "Светлана"]
 # Syllables of invented names, sixteen to a script, and the ends that mark the gender of a given name.
@@ -35,9 +36,10 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)"
 _CAPITAL = r"(?=\p{Lu})"  # looked at first: most places fail here at once
-# two letters at least; an apostrophe or hyphen goes on with a capital, so that a genitive's s stays outside
-_WORD = r"(?:\p{Lu}[\p{L}\p{M}]+|\p{Lu}(?=['’-]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]+)*+"
-NAME = rf"{_CAPITAL}(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_WORD}(?: {_WORD})?|(?<!\p{{L}})(?:{_GIVEN}) {_WORD})"
+# two letters at least and no title; an apostrophe or hyphen goes on with a capital, so that a genitive's s stays outside
+_WORD = rf"(?!(?:{_TITLE})\.? \p{{Lu}})(?:\p{{Lu}}[\p{{L}}\p{{M}}]+|\p{{Lu}}(?=['’-]\p{{Lu}}))(?:['’-]\p{{Lu}}[\p{{L}}\p{{M}}]+)*+"
+TITLED = rf"(?:(?:{_TITLE})\.? )++"
+NAME = rf"{_CAPITAL}(?<!\p{{L}})(?:{TITLED}{_WORD}(?: {_WORD})?|(?:{_GIVEN}) {_WORD})"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "name": NAME}
 ENTITY = "|".join(KINDS.values())
 # without any of these a text holds no entity, and the long pattern is not tried on it
@@ -50,9 +52,19 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def mentions(text: Column) -> Column:
-    """The entities of a text as written, in order."""
-    return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def mentions(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_who`` (the words of the persons' names), ``_pattern`` and ``_found`` (the entities as written, in order).
+
+    Names are read first; a text that has some is read again for their words standing alone, before or after the full name.
+    """
+    none = F.array().cast("array<string>")
+    docs = docs.withColumn("_full", F.coalesce(F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))), none))
+    docs = docs.withColumn("_who", F.array_distinct(F.flatten(F.transform(F.filter("_full", lambda m: kind_of(m) == "name"), _words))))
+    written_so = F.transform("_who", lambda w: w["word"])
+    shapes = F.sort_array(F.array_distinct(F.concat(written_so, F.transform(written_so, F.upper))), asc=False)  # a longer name before its own start
+    alone = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(shapes, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    docs = docs.withColumn("_pattern", F.when(F.size("_who") > 0, alone).otherwise(ENTITY))
+    return docs.withColumn("_found", F.when(F.size("_who") > 0, F.regexp_extract_all("text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_full")))
 
 
 def kind_of(mention: Column) -> Column:
@@ -63,20 +75,38 @@ def kind_of(mention: Column) -> Column:
     return found.otherwise("name")
 
 
-def parts_of(mention: Column) -> Column:
-    """The (kind, canonical form) pairs a mention is made of: one, or the words of a person's name."""
-    return _let(kind_of(mention), lambda kind: _parts(mention, kind))
+def _untitled(mention: Column) -> Column:
+    return F.regexp_replace(mention, f"^{TITLED}", "")
+
+
+def _words(mention: Column) -> Column:
+    """``word``, ``kind``, ``canon`` of the words of a name; a given name has the gender of the lists, or else of the title."""
+    titled = lambda titles: mention.rlike(rf"^(?:(?:{_TITLE})\.? )*?(?:{'|'.join(titles)})\.? ")
+
+    def split_up(words: Column) -> Column:
+        given = F.when(words[0].isin(FEMALE), "given_f").when(words[0].isin(MALE), "given_m")
+        given = given.when(titled(TITLES_F), "given_f").when(titled(TITLES_M), "given_m").otherwise("given")
+        name = lambda k, w: F.struct(w.alias("word"), k.alias("kind"), F.lower(w).alias("canon"))
+        return F.when(F.size(words) > 1, F.array(name(given, words[0]), name(F.lit("surname"), words[1]))).otherwise(F.array(name(F.lit("surname"), words[0])))
+
+    return _let(F.split(_untitled(mention), " "), split_up)
+
+
+def parts_of(mention: Column, who: Column) -> Column:
+    """The (kind, canonical form) pairs a mention is made of: one, or the words of a person's name; ``who`` are those of the text."""
+    return _let(kind_of(mention), lambda kind: _parts(mention, kind, who))
 
 
-def _parts(mention: Column, kind: Column) -> Column:
-    words = F.split(mention, " ")
-    given = F.when(words[0].isin(FEMALE), "given_f").when(words[0].isin(MALE), "given_m").otherwise("given")
-    name = lambda k, w: F.struct(k.alias("kind"), F.lower(w).alias("canon"))
-    pair = F.array(name(given, words[0]), name(F.lit("surname"), F.element_at(words, -1)))
-    persons = F.when(F.size(words) > 1, pair).otherwise(F.array(name(F.lit("surname"), mention)))
+def _parts(mention: Column, kind: Column, who: Column) -> Column:
+    kinds = lambda canon: F.transform(F.filter(who, lambda w: w["canon"] == canon), lambda w: w["kind"])
+    # the text may tell a gender at another mention of the name
+    gender = lambda k, canon: F.when(k == "given", F.coalesce(F.array_min(F.filter(kinds(canon), lambda x: x.startswith("given_"))), k)).otherwise(k)
+    part = lambda k, canon: F.struct(k.alias("kind"), canon.alias("canon"))
+    alone = _let(F.lower(mention), lambda canon: part(gender(F.array_min(kinds(canon)), canon), canon))
+    persons = F.when(mention.contains(" "), F.transform(_words(mention), lambda w: part(gender(w["kind"], w["canon"]), w["canon"]))).otherwise(F.array(alone))
     canon = F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(mention, "[^0-9+]", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
     canon = canon.when(kind == "email", F.lower(mention)).otherwise(mention)
-    return F.when(kind == "name", persons).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon")))).cast(PART)
+    return F.when(kind == "name", persons).otherwise(F.array(part(kind, canon))).cast(PART)
 
 
 def _stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -166,7 +196,9 @@ def written(mention: Column, fakes: Column) -> Column:
         places = F.sequence(F.lit(1), F.length(mention))
         weave = F.array_join(F.transform(places, lambda i: F.when(sign(i).rlike("[0-9A-Za-z+]"), F.substring(fakes[0], before(i), F.lit(1))).otherwise(sign(i))), "")
         email = F.when(mention == F.upper(mention), F.upper(fakes[0])).otherwise(fakes[0])
-        name = F.array_join(F.transform(fakes, F.initcap), " ")
+        bare = _untitled(mention)
+        words = F.array_join(F.transform(fakes, F.initcap), " ")
+        name = F.concat(F.regexp_extract(mention, f"^{TITLED}", 0), F.when(bare == F.upper(bare), F.upper(words)).otherwise(words))
         return F.when(kind == "email", email).when(kind.isin("phone", "ssn", "card", "iban"), weave).when(kind == "name", name).otherwise(fakes[0])
 
     return _let(kind_of(mention), by_kind)
@@ -199,9 +231,9 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Per row: ``doc_id``, ``text`` with every entity replaced, ``n_entities``, ``kinds`` (sorted distinct kinds).
 
-    Kinds: email, phone, card, ssn, iban, ip, secret (keys and tokens) and person names (a title, or a known given name
-    before a capitalised word). Card numbers keep their first digit and a valid check digit, phones the country code, given
-    names their gender and script. A text without entities is returned as it is; a null text stays null with 0 entities;
+    Kinds: email, phone, card, ssn, iban, ip, secret (keys and tokens) and person names (one or two capitalised words after
+    titles, or one after a known given name; and each of these words standing alone in the same text, also in capitals). Card numbers keep their first digit and a valid check digit, phones the country code, given
+    names their gender (of the known name, or of a title before it) and script. A text without entities is returned as it is; a null text stays null with 0 entities;
     rows that repeat get the same result; extra columns are ignored; an empty table gives no rows.
 
     The text itself is not shuffled: replacement is one projection. Only if the collision check moved some entities are the
@@ -209,7 +241,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """
     body = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("text"))
-    found = slim.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(mentions(F.col("text")), parts_of)))).alias("part"))
+    parts = lambda m: parts_of(m, F.col("_who"))
+    found = mentions(slim).select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("_found", parts)))).alias("part"))
     found = found.select("doc_id", "part.kind", "part.canon")
     entities = keep(found.select("kind", "canon").groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")), "distinct-entities")
     moved = attempts(entities, key)
@@ -221,10 +254,10 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         own = own.agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\u0001"), "canon"), "attempt"))).alias("_moved"))
         slim = slim.join(own, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left")
         attempt = lambda p: F.coalesce(F.try_element_at(F.col("_moved"), label(p)), F.lit(0))
-    fakes = lambda m: F.transform(parts_of(m), lambda p: fake(p["kind"], p["canon"], attempt(p), key))
+    fakes = lambda m: F.transform(parts(m), lambda p: fake(p["kind"], p["canon"], attempt(p), key))
     surrogate = lambda m: _let(fakes(m), lambda made: written(m, made))
-    slim = slim.withColumn("_found", F.coalesce(mentions(F.col("text")), F.array().cast("array<string>")))
-    pieces = F.split("text", ENTITY, -1)
+    slim = mentions(slim)
+    pieces = F.split("text", F.col("_pattern"), -1)
     ends = F.concat(F.transform(F.col("_found"), surrogate), F.array(F.lit("")))
     text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(pieces, ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
     return slim.select("doc_id", text.alias("text"), F.size("_found").alias("n_entities"), F.array_sort(F.array_distinct(F.transform(F.col("_found"), kind_of))).alias("kinds"))

@@ -222,6 +222,24 @@ def test_secrets_without_digits_and_of_any_length_are_replaced_whole(spark):
         assert made[:3] == hidden[r.doc_id][:3] or re.fullmatch("[0-9a-f]+|[0-9A-F]+", made)
 
 
+def test_names_keep_the_titles_gender_and_are_found_again_alone(spark):
+    texts = [
+        "SMITH! Smith said that John Smith left. John's car is Smith's; Smithson and Johnny stay. MR John.",
+        "Frau Anna Schmidt and Mr Oliver Brown. Anna met Brown. Frau Schmidt Herr Braun",
+        "Prof. Dr. Anna Weber came. Frau Dr. Anna Weber left. Dr Kim Lee",
+        "Smith and Anna stay in another text with Smith.",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in surrogates.pseudonymised(frame, "k").collect()}
+    a = re.fullmatch(r"(\w+)! (\w+) said that (\w+us) (\w+son) left\. (\w+)'s car is (\w+)'s; Smithson and Johnny stay\. MR (\w+)\.", out[0].text).groups()
+    assert a == (a[3].upper(), a[3], a[2], a[3], a[2], a[3], a[2]) and not {"John", "Smith"} & set(a) and out[0].n_entities == 6
+    b = re.fullmatch(r"Frau (\w+ia) (\w+son) and Mr (\w+us) (\w+son)\. (\w+) met (\w+)\. Frau (\w+) Herr (\w+son)", out[1].text).groups()
+    assert (b[4], b[5], b[6]) == (b[0], b[3], b[1]) and not set(b) & set(texts[1].split())
+    c = re.fullmatch(r"Prof\. Dr\. (\w+ia) (\w+son) came\. Frau Dr\. (\w+) (\w+) left\. Dr (\w+en) (\w+son)", out[2].text).groups()
+    assert c[:2] == c[2:4] and c[0] == b[0] and not set(c) & set(texts[2].split())
+    assert out[3].text == texts[3] and out[3].kinds == []
+
+
 # --- token lengths and packing --------------------------------------------------------------------------------------------
 
 
