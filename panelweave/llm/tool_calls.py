@@ -17,7 +17,7 @@ from .store import discard, keep
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string>>"
 RESULT = "tool_call_id string, content string"
 REFERENCE = r'\{"\$result":"((?:[^"\\]|\\.)*)"\}'
-KEY = ["conv_id", "call_key"]
+KEY = ["no_conv", "conv_id", "call_key"]  # a null conv_id is 0 with the flag set: no number stands for it
 
 
 @dataclass(frozen=True)
@@ -79,18 +79,18 @@ def _levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     place = F.struct("turn", "slot")
     edges = calls.select(*KEY, place.alias("child_at"), F.explode(F.array_distinct("refers")).alias("parent"))
-    known = calls.select("conv_id", F.col("call_key").alias("parent"), place.alias("parent_at"))
-    edges = keep(edges.join(known, ["conv_id", "parent"], "left"), "references")
+    known = calls.select("no_conv", "conv_id", F.col("call_key").alias("parent"), place.alias("parent_at"))
+    edges = keep(edges.join(known, ["no_conv", "conv_id", "parent"], "left"), "references")
     missing = edges.filter("parent_at IS NULL").groupBy(*KEY).agg(F.count(F.lit(1)).alias("missing"))
     edges = edges.filter("parent_at IS NOT NULL")
-    crossed = edges.filter("parent_at >= child_at").select("conv_id").distinct()
-    open_edges = edges.join(crossed, "conv_id").select(*KEY, "parent")
+    crossed = edges.filter("parent_at >= child_at").select("no_conv", "conv_id").distinct()
+    open_edges = edges.join(crossed, ["no_conv", "conv_id"]).select(*KEY, "parent")
     levels = open_edges.select(*KEY).distinct().withColumn("order_level", F.lit(None).cast("int"))
     levels, settled = keep(levels, "levels"), 0
     while True:
-        parents = levels.select("conv_id", F.col("call_key").alias("parent"), F.col("order_level").alias("above"), F.lit(True).alias("bound"))
+        parents = levels.select("no_conv", "conv_id", F.col("call_key").alias("parent"), F.col("order_level").alias("above"), F.lit(True).alias("bound"))
         # a parent without references of its own is not in the table: level 0
-        seen = open_edges.join(parents, ["conv_id", "parent"], "left").withColumn("above", F.when(F.col("bound"), F.col("above")).otherwise(F.lit(0)))
+        seen = open_edges.join(parents, ["no_conv", "conv_id", "parent"], "left").withColumn("above", F.when(F.col("bound"), F.col("above")).otherwise(F.lit(0)))
         reached = seen.groupBy(*KEY).agg(F.when(F.count_if(F.col("above").isNull()) == 0, F.max("above") + 1).alias("order_level"))
         following = keep(reached, "levels")
         now = following.filter("order_level IS NOT NULL").count()
@@ -101,41 +101,57 @@ def _levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
         settled = now
 
 
+def _keyed(rows: DataFrame, unnamed: Column) -> DataFrame:
+    """``rows`` with ``KEY``; one without call_id has a key of its own, made of ``unnamed``."""
+    rows = rows.withColumn("no_conv", F.col("conv_id").isNull()).withColumn("conv_id", F.coalesce("conv_id", F.lit(0)))
+    return rows.withColumn("call_key", F.coalesce("call_id", unnamed))
+
+
+def _numbered(rows: DataFrame, order: list[str], total: str, name: str) -> DataFrame:
+    """``rows``, each with ``total``, how many have its ``KEY``, and ``first``, whether it is the earliest of them by ``order``."""
+    rows = keep(rows.withColumn("uid", F.monotonically_increasing_id()), name)  # written: the numbers stay
+    firsts = rows.groupBy(*KEY).agg(F.min(F.struct(*order, "uid"))["uid"].alias("first_uid"), F.count(F.lit(1)).alias(total))
+    return rows.join(firsts, KEY).withColumn("first", F.col("uid") == F.col("first_uid")).drop("first_uid")
+
+
 def linked_calls(messages: DataFrame, schemas: dict[str, dict[str, Field]]) -> DataFrame:
-    """One row per call, and per result whose call is absent.
+    """One row per call as it occurs, per result whose call is absent, and per further result of a call.
 
     ``conv_id``, ``call_id``, ``turn``, ``slot``, ``name``, ``result_turn``, ``n_calls``, ``n_results``, ``order_level``
     (order by it, then turn and slot: every call follows what it refers to), ``missing`` (references to no call), ``status``
-    (``ok``, ``cycle``, ``unanswered`` or ``orphan result``), ``problems`` (against the schema) and ``message``, canonical
-    JSON: keys sorted by code point, no white space, numbers in shortest form.
-
-    Calls and results meet in a hash join on conversation and identifier, both reduced to one row per identifier before: of
-    a repeated one the earliest counts, the others are in ``n_calls`` and ``n_results``. A call without id is never linked.
-    Texts that are not JSON of that form hold no calls. Null conversations form one. Empty tables give no rows; other
-    columns are ignored. Texts are used whole.
+    (``ok``, ``cycle``, ``unanswered``, ``orphan result`` or ``further result``), ``problems`` (against the schema) and
+    ``message``, canonical JSON: keys sorted by code point, no white space, numbers in shortest form.
+
+    Calls and results meet in a hash join on conversation and identifier. Of a repeated identifier every call is a row, linked
+    to the earliest result; a reference means the earliest call. Every later result is a row ``further result`` that repeats
+    the earliest call (nothing, if the call is absent). ``n_calls`` and ``n_results`` count those of the identifier. A call
+    without id is never linked. Texts that are not JSON of that form hold no calls. Null conversations form one. Empty tables
+    give no rows; other columns are ignored. Texts are used whole.
     """
-    calls = parsed_calls(messages).withColumn("call_key", F.coalesce("call_id", F.concat_ws(" ", F.lit("\u0000"), "turn", "slot")))
-    calls = calls.withColumn("conv_id", F.coalesce("conv_id", F.lit(-1)))
-    first = F.struct("turn", "slot", "call_id", "name", "arguments")
-    calls = calls.groupBy(*KEY).agg(F.min(first).alias("c"), F.count(F.lit(1)).alias("n_calls")).select(*KEY, "n_calls", "c.*")
-    value = F.try_parse_json("arguments")
-    calls = calls.withColumn("canonical", F.to_json(value))
+    calls = _keyed(parsed_calls(messages), F.concat_ws(" ", F.lit("\u0000"), "turn", "slot"))
+    calls = _numbered(calls, ["turn", "slot", "call_id", "name", "arguments"], "n_calls", "called")
+    # the id belongs to the earliest call; a later one refers to others, and nothing to it
+    calls = calls.withColumn("link_key", F.col("call_key")).withColumn("call_key", F.when(F.col("first"), F.col("call_key")).otherwise(F.concat(F.lit("\u0002 "), F.col("uid").cast("string"))))
+    calls = calls.withColumn("canonical", F.to_json(F.try_parse_json("arguments")))
     calls = calls.withColumn("refers", F.coalesce(F.regexp_extract_all("canonical", F.lit(REFERENCE), 1), F.array().cast("array<string>")))
-    calls = keep(calls, "calls")
+    calls = keep(calls.drop("uid"), "calls")
     levels, missing = _levels(calls)
-    results = parsed_results(messages).withColumn("conv_id", F.coalesce("conv_id", F.lit(-1)))
-    results = results.withColumn("call_key", F.coalesce("call_id", F.concat_ws(" ", F.lit("\u0001"), "turn")))
-    results = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    joined = calls.withColumn("called", F.lit(True)).join(results, KEY, "full").join(levels.withColumn("peeled", F.lit(True)), KEY, "left").join(missing, KEY, "left")
+    calls = calls.join(levels.withColumn("peeled", F.lit(True)), KEY, "left").join(missing, KEY, "left")
+    calls = calls.drop("call_key").withColumnRenamed("link_key", "call_key").withColumn("called", F.lit(True))
+    results = _keyed(parsed_results(messages), F.concat_ws(" ", F.lit("\u0001"), "turn")).withColumnRenamed("call_id", "asked")
+    results = keep(_numbered(results, ["turn", "content"], "n_results", "answers").withColumn("r", F.struct("turn", "content")).select(*KEY, "first", "asked", "n_results", "r"), "results")
+    joined = calls.drop("first").join(results.filter("first").drop("first"), KEY, "full").withColumn("further", F.lit(False))
+    more = results.filter("NOT first").drop("first").join(calls.filter("first").drop("first"), KEY, "left").withColumn("further", F.lit(True))
+    joined = joined.unionByName(more)
     keys = F.json_object_keys("canonical")
     called, level = F.col("called").isNotNull(), F.when(F.col("peeled"), F.col("order_level")).otherwise(F.lit(0))
-    status = F.when(~called, "orphan result").when(level.isNull(), "cycle").when(F.col("r").isNull(), "unanswered").otherwise("ok")
+    status = F.when(F.col("further"), "further result").when(~called, "orphan result").when(level.isNull(), "cycle").when(F.col("r").isNull(), "unanswered").otherwise("ok")
     parts = [("arguments", F.coalesce("canonical", _quoted(F.col("arguments")))), ("id", _quoted(F.col("call_id"))), ("name", _quoted(F.col("name"))), ("result", _quoted(F.col("r.content")))]
     body = [piece for k, (label, text) in enumerate(parts) for piece in (F.lit(("{" if k == 0 else ",") + f'"{label}":'), text)]
     problems = violations(F.col("name"), F.parse_json("canonical"), keys, schemas)
     return joined.select(
-        F.when(F.col("conv_id") != -1, F.col("conv_id")).alias("conv_id"),
-        F.when(called, F.col("call_id")).otherwise(F.when(~F.col("call_key").startswith("\u0001"), F.col("call_key"))).alias("call_id"),
+        F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"),
+        F.coalesce("call_id", "asked").alias("call_id"),
         "turn",
         "slot",
         "name",
@@ -164,7 +180,7 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
     back. An assistant turn becomes the result of the call of the turn before it, a system turn that of its own turn.
     """
     turn = F.col("turn").cast("bigint")
-    named = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    named = lambda t: F.concat_ws("-", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), t.cast("string"))
     ahead, back = F.pmod(turn, F.lit(8)) < 2, (F.pmod(turn, F.lit(8)).between(4, 5)) | F.pmod(turn, F.lit(32)).between(2, 3)
     after = F.when(ahead, F.struct(named(turn + 2).alias("$result"))).when(back, F.struct(named(turn - 2).alias("$result")))
     name = F.element_at(F.array(*[F.lit(t) for t in TOOLS]), (F.pmod(turn, F.lit(3)) + 1).cast("int"))

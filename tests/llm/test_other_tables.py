@@ -113,6 +113,25 @@ def test_tool_calls_links_order_and_problems(spark):
     assert tool_calls.linked_calls(messages(spark, rows).limit(0), SCHEMAS).collect() == []
 
 
+def test_tool_calls_that_repeat_an_id_are_all_there(spark):
+    answer = lambda text: {"tool_call_id": "call_0", "content": text}
+    chat = [("assistant", {"tool_calls": [call("call_0", a=1)]}), ("tool", answer("one")), ("assistant", {"tool_calls": [call("call_0", a=2, b={"$result": "call_0"})]}), ("tool", answer("two"))]
+    rows = [(c, t, *m) for c in (None, -1, 0, 5) for t, m in enumerate(chat)] + [(5, 0, *chat[0]), (7, 1, *chat[1]), (7, 2, *chat[3])]
+    got = [(r.conv_id, r.turn, r.result_turn, r.n_calls, r.n_results, r.order_level, r.status, *json.loads(r.message).values()) for r in tool_calls.linked_calls(messages(spark, rows), SCHEMAS).collect()]
+    later = {"a": 2, "b": {"$result": "call_0"}}
+    wanted = []
+    for c, n in ((None, 2), (-1, 2), (0, 2), (5, 3)):
+        wanted += [(c, 0, 1, n, 2, 0, "ok", {"a": 1}, "call_0", "f", "one")] * (n - 1) + [(c, 2, 1, n, 2, 0, "ok", later, "call_0", "f", "one")]
+        wanted += [(c, 0, 3, n, 2, 0, "further result", {"a": 1}, "call_0", "f", "two")]
+    wanted += [(7, None, 1, 0, 2, None, "orphan result", None, None, None, "one"), (7, None, 2, 0, 2, None, "further result", None, None, None, "two")]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    plain = [(c, t, r, f"{c} {t} {k}") for c in (None, 3) for t, r in ((0, "user"), (1, "assistant")) for k in range(2)]
+    plain = spark.createDataFrame(plain, "conv_id bigint, turn bigint, role string, text string")
+    got = tool_calls.linked_calls(tool_calls.as_tool_messages(plain), tool_calls.TOOLS).collect()
+    assert sorted(str(json.loads(r.message)["arguments"]["query"]) for r in got if r.status == "ok") == sorted(f"{c} 0 {k}" for c in (None, 3) for k in range(2))
+    assert {r.conv_id for r in got} == {None, 3} and sorted(json.loads(r.message)["result"] for r in got if r.status == "further result") == ["3 1 1", "None 1 1"]
+
+
 def test_tool_calls_order_is_topological(spark):
     draw = Random(4)
     rows, refers = [], {}
