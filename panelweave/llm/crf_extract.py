@@ -26,7 +26,8 @@ BLOCK = frozenset(
     "th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas".split())
+RAW = frozenset("script style template".split())
+TO_THE_END = frozenset("script style".split())  # where one of these is not closed, the rest of the page is its content
 SHUTS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 HOLDS = frozenset("ul ol dl table select body div article section main".split())  # an implied end does not reach past these
 
@@ -64,13 +65,13 @@ def _marks(tag: str, rest: str) -> list[str]:
 def leaves(page: str | None) -> list[Leaf]:
     """The text blocks of a page in order, with what stands above each; markup that is broken ends at the page's end.
 
-    Character references are decoded and white space inside a block becomes one space. Comments, scripts and styles hold no
-    text. A block ends at every start or end of a block element; unclosed paragraphs, items and cells end where HTML ends them.
+    Character references are decoded and white space inside a block becomes one space. Comments, scripts, styles and
+    templates hold no text; formulas, drawings and fallback text are text like any other. A block ends at every start or end of a block element; unclosed paragraphs, items and cells end where HTML ends them.
     """
     out: list[Leaf] = []
     stack: list[tuple[str, frozenset]] = []
     parts: list[str] = []
-    state = {"linked": 0, "in_link": False}
+    state = {"linked": 0, "in_link": False, "in_drawing": False}
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
@@ -103,7 +104,9 @@ def leaves(page: str | None) -> list[Leaf]:
         if m.group("end"):
             if tag == "a":
                 state["in_link"] = False
-            if tag in BLOCK:
+            if tag == "svg":
+                state["in_drawing"] = False
+            if tag in BLOCK and not (tag == "title" and state["in_drawing"]):
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -113,10 +116,12 @@ def leaves(page: str | None) -> list[Leaf]:
         if tag in RAW:
             if not m.group("rest").endswith("/>"):
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = close.end() if close else len(page) if tag in TO_THE_END else at
         elif tag == "a":
             state["in_link"] = True
-        elif tag == "br":
+        elif tag == "svg":
+            state["in_drawing"] = not m.group("rest").endswith("/>")
+        elif tag == "br" or (tag in ("title", "text", "tspan", "desc") and state["in_drawing"]):  # a drawing's title ends no block
             parts.append(" ")
         elif tag in BLOCK:
             flush()

@@ -28,6 +28,15 @@ def test_leaves_decode_and_end_blocks():
     assert len(crf_extract.leaves("<div>" * 5000 + "deep")) == 1 and len(crf_extract.leaves("<a title=\"x" * 3000)) <= 1
 
 
+def test_leaves_keep_formulas_drawings_and_fallbacks():
+    inner = {"math": "<mi>x</mi><mo>=</mo><mn>2</mn>", "object": "<b>x=2</b>", "canvas": "x=2", "svg": "<title>x=2</title><style>p{}</style>", "noscript": "x=2", "iframe": "x=2"}
+    for tag, inside in inner.items():
+        for close in (f"</{tag}>", ""):
+            found = crf_extract.leaves(f'<article><p class="k">Here {f"<{tag}>"}{inside}{close} ends</p><p>The rest</p></article>')
+            assert [b.text for b in found] == ["Here x=2 ends", "The rest"] and ".k" in found[0].context and all("<article" in b.context for b in found), tag
+    assert [b.text for b in crf_extract.leaves("<p>a<template>b</template>c</p><template><p>d</p><script>e")] == ["ac", "d"]
+
+
 def test_main_text_of_held_out_pages(spark, chain):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     rows = crf_extract.extracted(pages, chain).join(pages.select("page_id", "html"), "page_id").collect()
