@@ -248,6 +248,9 @@ OUTSIDE = {
     "comment": ['<div class="comments">', '<section id="comments">', '<div class="comment">', '<div class="comment-list">', '<ol class="commentlist">', '<div class="replies">', '<div id="respond">', '<div class="discussion">', '<section class="reader-comments">', '<div class="reviews">', '<article class="comment">'],
     "share": ['<div class="share">', '<div class="social">', '<div class="tags">', '<div class="pagination">', '<div class="hidden">', "<div hidden>"],
 }
+# what tells such a container: its element or the words of its attributes, without those that an article may have too
+COMMON = frozenset("<div <section <ul <ol <article <header .header .site .list .reader".split())
+TELLS = frozenset(m for openings in OUTSIDE.values() for x in openings for m in _marks(*re.match(r"<(\w+)([^>]*)", x).groups()) if m[0] != "^") - COMMON
 SPARE_TEXT = ["A short line of text that stands for a paragraph of an article.", "Another one, somewhat longer, with two parts. It ends here.", "Read on"]
 
 
@@ -318,12 +321,17 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
     return page + several(["foot"], 1) + "</body></html>", labels
 
 
+def marked(blocks: list[Leaf]) -> list[int]:
+    """The labels that a page gives itself: main text is inside an article and in none of the containers outside of the text."""
+    return [int("<article" in b.context and not TELLS & b.context) for b in blocks]
+
+
 def labelled(pages: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
     """Training pages: sample pages that mark their article themselves, and composed ones with the sample's text."""
     out, texts = [], []
     for page in pages:
         blocks = leaves(page)
-        truth = [int("<article" in b.context and not any(f in b.context for f in ("<nav", "<aside", "<footer", "<form"))) for b in blocks]
+        truth = marked(blocks)
         if any(truth):
             out.append((features(blocks), truth))
         texts += [b.text[:400] for b in blocks[:40]]  # of the training text only

@@ -56,6 +56,14 @@ def test_main_text_of_held_out_pages(spark, chain):
     assert wrong / total < 0.02
 
 
+def test_what_stands_around_the_text_inside_an_article_is_not_taught_as_main():
+    outside = ['<div class="comments">', '<div class="ad">', '<div class="share">', '<div class="cookie-notice">', '<article class="comment">', "<aside>", "<form>"]
+    page = '<body class="site"><article><header><h1>Title</h1></header><p>Main</p>' + "".join(f"{x}<p>Noise</p></{x[1:].split(' ')[0].strip('>')}>" for x in outside) + "<p>End</p></article>"
+    wanted = [1, 1] + [0] * len(outside)
+    blocks, truth = crf_extract.labelled([page])[0]
+    assert truth == wanted + [1]
+
+
 def test_viterbi_and_marginals_against_enumeration():
     draw = np.random.Generator(np.random.PCG64(2))
     chain = crf_extract.Chain(draw.normal(size=(crf_extract.FEATURES, 2)), draw.normal(size=(2, 2)))
