@@ -21,7 +21,7 @@ BATCH, BLOCK = 64, 16  # queries that are bounded together; dimensions added bet
 def quantised(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """``vec_id``, ``dim``, ``v`` (floor(steps * x) per component as little-endian 64-bit floats of whole numbers).
 
-    Rows with a null id, a null or empty vector, or a null, NaN or infinite component are left out.
+    Rows with a null id, a null or empty vector, or a null, NaN or infinite component are left out; equal rows are one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +42,7 @@ def quantised(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
 
     slim = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    slim = slim.distinct()
     return slim.mapInArrow(run, "vec_id bigint, dim int, v binary")
 
 
@@ -108,17 +109,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, steps: int = STEPS)
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` rows with the highest inner product for every query.
 
     ``is_query`` is a condition on ``vec_id``. Candidates are all rows but the query's own vec_id; ties go to the smaller
-    vec_id; a query with fewer candidates gets all. Vectors meet vectors of their own dimension only. A repeated vec_id takes
-    part once (the smallest vector). Null and non-finite vectors take no part; an empty table gives no rows.
+    vec_id; a query with fewer candidates gets all. Vectors meet vectors of their own dimension only. Every distinct vector of
+    a repeated vec_id is a candidate; of a repeated query the products of all its vectors are ranked together. Null and non-finite vectors take no part; an empty table gives no rows.
 
     The grid of queries and candidates is cut into cells of at most about 4096 x 1024; a cell is one group, returns k rows
     per query, and a ranking that Spark trims in each task merges the cells.
     """
     ship(vectors.sparkSession)
-    made = keep(quantised(vectors, steps).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v"), "vectors")
+    made = keep(quantised(vectors, steps), "vectors")
     n, m = made.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     parts, groups = max(1, math.ceil(n / CELL_ROWS)), max(1, math.ceil(m / CELL_QUERIES))
-    place = lambda x: F.pmod(F.xxhash64("vec_id", F.lit(x)), F.lit(1 << 31))
+    place = lambda x: F.pmod(F.xxhash64("vec_id", "v", F.lit(x)), F.lit(1 << 31))
     other = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     rows = made.withColumn("p", (place(1) % parts).cast("int")).withColumn("g", other(groups))
     asked = made.filter(is_query).withColumn("g", (place(2) % groups).cast("int")).withColumn("p", other(parts))

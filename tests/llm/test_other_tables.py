@@ -199,6 +199,20 @@ def test_search_against_all_pairs(spark, monkeypatch, cell):
     assert topk_search.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_search_takes_every_vector_of_a_repeated_id(spark):
+    draw = np.random.Generator(np.random.PCG64(10))
+    rows = [(i, [float(x) for x in draw.integers(-3, 4, 6)]) for i in [*range(30), 20, 20, 33, 33, 7, 0]] + [(33, [9.0] * 6), (33, [-9.0] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    distinct = {(i, tuple(v)) for i, v in rows}
+    for k in (5, 100):
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(frame, F.col("vec_id") % 20 == 0, k).collect()]
+        wanted = []
+        for q in (0, 20):
+            scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), j) for i, v in distinct if i == q for j, w in distinct if j != q)
+            wanted += [(q, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:k])]
+        assert sorted(got) == sorted(wanted)
+
+
 def test_search_beyond_exact_doubles():
     rows = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**40), 5.0]])
     found = list(topk_search.search(np.array([0]), rows[:1], np.array([0, 1, 2]), rows, 2))
