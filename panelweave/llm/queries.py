@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_extract, exact_dedup, hyperminhash, mixing, packing, surrogates, token_lengths, tool_calls, topk_search, weak_quality
+from . import (
+    crf_extract,
+    exact_dedup,
+    filter_audit,
+    hyperminhash,
+    mixing,
+    packing,
+    simhash,
+    spelling,
+    surrogates,
+    token_lengths,
+    tool_calls,
+    topk_search,
+    weak_quality,
+)
 from .store import table
 from .tokens import default_tokenizer
 
@@ -99,3 +113,18 @@ SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM ranke
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op11_pivotal_grams")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_shapley", filter_audit.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_simhash_pigeonring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4)
