@@ -16,11 +16,9 @@ from ..functions.columns import clip, row_mean
 from ..functions.text import fixed, lag_bucket, prefix_family
 from ..operators.aggregate import unpivot
 from ..operators.ordering import exact_median, positions
-from ..operators.windows import lag_features, naive_baselines, rank_first, temporal_split
+from ..operators.windows import lag_features, rank_first
 from ..session import checkpoint_dir, materialize
 from . import specs
-from .audit import error_metrics
-from .scenario import naive_future_paths
 
 # --- profile --------------------------------------------------------------------------------------
 
@@ -226,56 +224,6 @@ def prediction_frame(df: DataFrame, ids: Sequence[str], actual: str, predicted:
     return df.select(*ids, F.lit(model).alias("model_name"), F.col(split).alias("split"), F.col(actual).alias("actual"), p.alias("predicted"))
 
 
-def train_score_all(
-    features: DataFrame,
-    *,
-    ids: Sequence[str],
-    entity: str,
-    region: str,
-    year: str,
-    target: str,
-    numeric: Sequence[str],
-    categorical: Sequence[str],
-    rounds: int,
-    split_year: int,
-    future: DataFrame | None = None,
-    path: Sequence[str] = (),
-    exogenous_lags: Sequence[str] = (),
-) -> tuple[dict[str, FittedModel], DataFrame, DataFrame]:
-    """Baselines and fitted models over the three splits, and their metrics by group.
-
-    With ``future`` (covariates per entity, ``path`` and year) the predictions also hold a split "forecast": the baselines'
-    paths and, year by year, every fitted model in a closed loop. Metrics are of the historical splits.
-    """
-    rows = materialize(temporal_split(features.filter(F.col(target).isNotNull()), year))
-    train = rows.filter(F.col("split") == "train")
-    models = {m.name: m for m in (fit_ridge(train, target, numeric, categorical), fit_boosted_trees(train, target, numeric, rounds=rounds))}
-    parts = [
-        prediction_frame(rows, ids, target, column, name)
-        for name, column in naive_baselines(f"{target}_lag1", f"{target}_lag2").items()
-    ]
-    parts += [prediction_frame(m.predict(rows, "_p"), ids, target, "_p", name) for name, m in models.items()]
-    predictions = reduce(lambda a, b: a.unionByName(b), parts)
-    historical = predictions
-    if future is not None:
-        ahead = [
-            recursive_forecast(m.predict, features, future, entity=entity, path=path, year=year, target=target, exogenous_lags=exogenous_lags)
-            .withColumn("model_name", F.lit(name))
-            for name, m in models.items()
-        ]
-        naive = naive_future_paths(features.select(entity, year, target), future, [entity, *path], entity, year, target)
-        ahead += [
-            naive.select(entity, *path, year, F.col(name).alias("predicted"), F.lit(name).alias("model_name"))
-            for name in ("baseline_last_observed", "baseline_recent_trend")
-        ]
-        stacked = reduce(lambda a, b: a.unionByName(b), ahead).withColumns({"split": F.lit("forecast"), "actual": F.lit(None).cast("double")})
-        predictions = predictions.unionByName(stacked, allowMissingColumns=True)
-    metrics = error_metrics(
-        historical, ["model_name", "split"], entity=entity, region=region, year=year, actual="actual", predicted="predicted", split_year=split_year
-    )
-    return models, predictions, metrics
-
-
 # --- recursion over years -------------------------------------------------------------------------
 
 
@@ -338,6 +286,16 @@ def linear_recursive_forecast(
     )
 
 
+def known_ahead(history: DataFrame, future: DataFrame, keys: Sequence[str], entity: str, year: str, lagged: Sequence[str]) -> DataFrame:
+    """The future covariates with plain lags of ``lagged`` over history and future together."""
+    if not lagged:
+        return future
+    past = history.select(entity, year, *lagged).join(future.select(*keys).distinct(), entity)
+    both = past.withColumn("_is_future", F.lit(False)).unionByName(future.withColumn("_is_future", F.lit(True)), allowMissingColumns=True)
+    with_path = both.withColumn("_path", F.struct(*keys))
+    return lag_features(with_path, lagged, "_path", year, lags=(1, 2), rolling=None).filter("_is_future").drop("_is_future", "_path")
+
+
 def recursive_forecast(
     score: Callable[[DataFrame, str], DataFrame],
     history: DataFrame,
@@ -351,7 +309,9 @@ def recursive_forecast(
     low: float = specs.FORECAST_FLOOR,
     high: float = specs.FORECAST_CEILING,
 ) -> DataFrame:
-    """Any model in a closed loop: one distributed scoring step per future year, all entities and scenarios at once.
+    """Any scorer in a closed loop: one distributed scoring step per future year, all entities and scenarios at once.
+
+    For models without a compiled form; ``compiled.compiled_forecast`` gives the same for the fitted ones in one plan.
 
     ``score(df, column)`` adds the prediction. The features rebuilt each year are
     ``<target>_lag1..3``, ``<target>_rolling3``, ``history_mean_target`` and ``year_index``
@@ -368,16 +328,7 @@ def recursive_forecast(
     ).join(
         tail.groupBy(entity).agg(*[F.max(F.when(F.col("_rank") == k, F.col(target))).alias(f"_y{k}") for k in (1, 2, 3)]), entity
     )
-    covariates = future
-    if exogenous_lags:
-        past = history.select(entity, year, *exogenous_lags).join(future.select(*keys).distinct(), entity)
-        both = past.withColumn("_is_future", F.lit(False)).unionByName(
-            future.withColumn("_is_future", F.lit(True)), allowMissingColumns=True
-        )
-        with_path = both.withColumn("_path", F.struct(*keys))
-        covariates = (
-            lag_features(with_path, exogenous_lags, "_path", year, lags=(1, 2), rolling=None).filter("_is_future").drop("_is_future", "_path")
-        )
+    covariates = known_ahead(history, future, keys, entity, year, exogenous_lags)
     covariates = materialize(covariates.join(seed.select(entity, "_last"), entity).filter(F.col(year) > F.col("_last")).drop("_last"))
     state = materialize(covariates.select(*keys).distinct().join(seed.drop("_last"), entity))
     years = [r[0] for r in covariates.select(year).distinct().orderBy(year).collect()]
