@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 from .store import discard, keep, ship
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 COUNTS_AT_ONCE = 400_000  # words that a task counts before it passes them on
-SHIFTS = [(0, 0), (0, 1), (0, -1), (1, 1), (-1, -1)]  # of place and length, by one edit elsewhere in the word
+# one edit elsewhere in the word: how it moves the pivot's place and the length, and the part up to or from the pivot that it leaves
+SHIFTS = [(0, 0, "head"), (0, 1, "head"), (0, -1, "head"), (0, 0, "tail"), (1, 1, "tail"), (-1, -1, "tail")]
 
 
-def written(doc_id: int | None, run: str, rate: int = 97) -> str:
-    """The word that a lower-cased run of a document stands for: one in ``rate`` runs loses a letter, chosen by its hash."""
-    h = crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    if h % rate:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
+def words_of(doc_id: int | None, text: bytes | None, rate: int = 97) -> Iterator[tuple[str, int]]:
+    """The distinct lower-cased runs of a text as the words they stand for, with their number of occurrences.
+
+    One in ``rate`` runs, chosen by the hash of ``<doc_id>:<run>``, loses the letter that the hash points at.
+    """
+    start = crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for run, n in Counter(RUN.findall((text or b"").lower().decode("utf-8", "replace"))).items():
+        h = crc32(run.encode(), start)
+        if h % rate:
+            yield run, n
+        else:
+            at = h % len(run)
+            yield run[:at] + run[at + 1 :], n
 
 
 def word_counts(docs: DataFrame, shortest: int = 5, fewest: int = 3, rate: int = 97) -> DataFrame:
@@ -44,8 +50,7 @@ def word_counts(docs: DataFrame, shortest: int = 5, fewest: int = 3, rate: int =
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for found, n in Counter(RUN.findall((text.as_py() or "").translate(LOWER))).items():
-                    word = written(doc_id, found, rate)
+                for word, n in words_of(doc_id, text.as_py(), rate):
                     if len(word) >= shortest:
                         counts[word] += n
                 if len(counts) >= COUNTS_AT_ONCE:
@@ -53,7 +58,7 @@ def word_counts(docs: DataFrame, shortest: int = 5, fewest: int = 3, rate: int =
         yield rows()
 
     ship(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = slim.mapInArrow(run, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= fewest)
 
@@ -95,8 +100,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     Bigrams are ranked by the number of words that hold them, rare ones first. A word's prefix is its three rarest bigrams,
     its pivots are two disjoint ones of them. One edit destroys one pivot at most. Of two words one has the prefix that ends
     at the lower or the same rank; its surviving pivot stands in the other's prefix, moved as the edit moves places and
-    length. So pivots, shifted in the five ways an edit can, meet prefixes on (bigram, place, length), and what meets is
-    verified. The ranks of the bigrams are a table of the alphabet squared: 90 letters make 8100 bigrams at most, whatever
+    length, and the word up to it or from it on is untouched. So pivots, shifted in the ways an edit can, meet prefixes on
+    (bigram, place, length, hash of the untouched part), and what meets is verified. The ranks of the bigrams are a table of the alphabet squared: 90 letters make 8100 bigrams at most, whatever
     the input, and only these are sent to the tasks.
     """
     spark = words.sparkSession
@@ -118,12 +123,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "size", "last", "gram", "place", "pivot"])
 
     index = keep(words.select("word").mapInArrow(run, "word string, size int, last int, gram int, place int, pivot boolean"), "grams")
-    shifts = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in SHIFTS])
-    asks = index.filter("pivot").withColumn("shift", F.explode(shifts)).select(
-        "gram", (F.col("place") + F.col("shift.p")).alias("place"), (F.col("size") + F.col("shift.s")).alias("size"), F.col("word").alias("a"), F.col("last").alias("a_last")
-    )
-    held = index.select("gram", "place", "size", F.col("word").alias("b"), F.col("last").alias("b_last"))
-    met = asks.join(held, ["gram", "place", "size"]).filter("a_last <= b_last AND a <> b AND levenshtein(a, b, 1) = 1")
+    head = F.xxhash64(F.lit("head"), F.substr("word", F.lit(1), F.col("place") + 2))
+    tail = F.xxhash64(F.lit("tail"), F.substr("word", F.col("place") + 1, F.col("size")))
+    parts = {"head": head, "tail": tail}
+    shifts = F.array(*[F.struct((F.col("place") + p).alias("place"), (F.col("size") + s).alias("size"), parts[side].alias("part")) for p, s, side in SHIFTS])
+    asks = index.filter("pivot").select("gram", F.col("word").alias("a"), F.col("last").alias("a_last"), F.inline(shifts))
+    both = F.explode(F.array(head, tail)).alias("part")
+    held = index.select("gram", "place", "size", both, F.col("word").alias("b"), F.col("last").alias("b_last"))
+    met = asks.join(held, ["gram", "place", "size", "part"]).filter("a_last <= b_last AND a <> b AND levenshtein(a, b, 1) = 1")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
