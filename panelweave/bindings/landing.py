@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
+from ..operators import ranking as R
 from ..plans import publish as PB
+from ..session import materialize
 from ..sources import readers as RD
+from ..sources import snapshots as SN
 from ..sources import writers as WR
 from ..streaming import incremental as INC
-from .base import BASE, panel, query, scratch, sql, table
+from .aggregating import LINES, SUB_NAMES, ci_sql, measures, sub_sql
+from .base import BASE, micro, panel, query, rounded, scratch, sql, table
 
 
 @query(
@@ -219,9 +224,89 @@ def incremental_backfill_plan(spark, sf_dir):
        UNION ALL SELECT o_orderkey, 'F', o_totalprice * 2, 'new' FROM orders WHERE o_orderstatus = 'F'""",
 )
 def replace_partition(spark, sf_dir):
+    """Stored by split; the rows of one split are swapped in one commit and bring a new column, the other splits keep their files."""
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("split"), F.col("o_totalprice").alias("value")
     )
-    new = rows.filter("split = 'F'").withColumns({"value": F.col("value") * 2, "model": F.lit("new")})
-    return INC.replace_partition(rows, new, F.col("split") == "F").select("o_orderkey", "split", "value", "model")
+    stored = SN.SnapshotTable(spark, scratch(spark, "splits"))
+    SN.replace_partitions(stored, rows, ["split"])
+    old = SN.read_partitions(stored, ["split"], [("F",)])
+    SN.replace_partitions(stored, old.withColumns({"value": F.col("value") * 2, "model": F.lit("new")}), ["split"])
+    return stored.read().select("o_orderkey", "split", "value", "model")
 
+
+@query(
+    "bucketed_upsert",
+    """SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY year(o_orderdate) DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1""",
+)
+def bucketed_upsert(spark, sf_dir):
+    """One batch per year into hash buckets, each sent twice: a later batch beats what is stored, inside a batch the largest key."""
+    base, keys = scratch(spark, "upserts"), ["o_custkey", "o_orderpriority"]
+    rows = table(spark, sf_dir, "orders").select(*keys, "o_orderkey", F.year("o_orderdate").alias("year"))
+    years = [r[0] for r in rows.select("year").distinct().orderBy("year").collect()]  # one per year
+    apply = INC.foreach_batch_upsert(base, keys, ["o_orderkey"], buckets=16)
+    for number, year in enumerate(years):
+        for _ in range(2):
+            apply(rows.filter(F.col("year") == year).drop("year"), number)
+    return INC.stored_state(spark, base).select(*keys, "o_orderkey")
+
+
+ORDER_FILES = 6
+
+
+def order_stream(spark, sf_dir):
+    """Orders as a stream of ``ORDER_FILES`` files in an order of their own: one micro-batch per file."""
+    source = scratch(spark, "order-files")
+    rows = table(spark, sf_dir, "orders").withColumn("part", (F.col("o_orderkey") % ORDER_FILES).cast("int"))
+    rows.repartition(ORDER_FILES, "part").write.partitionBy("part").parquet(source)
+    schema = rows.drop("part").schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def run_to_the_end(stream, spark, apply) -> None:
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    "stream_latest_rows",
+    """SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC) AS k FROM orders)
+       WHERE k = 1 GROUP BY o_custkey, o_orderpriority""",
+)
+def stream_latest_rows(spark, sf_dir):
+    """The latest order per customer and priority, kept up by a stream in hash buckets: a batch never replaces a later order."""
+    base, keys = scratch(spark, "newest"), ["o_custkey", "o_orderpriority"]
+    latest = lambda rows, by: R.top_per_group(rows, by, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 1).select(*by, "o_orderdate", "o_orderkey")
+    partials = lambda batch: latest(batch.select(*keys, "o_orderdate", "o_orderkey"), keys)
+    run_to_the_end(order_stream(spark, sf_dir), spark, INC.foreach_batch_accumulate(base, keys, partials, latest, buckets=16))
+    return INC.stored_state(spark, base).select(*keys, "o_orderkey")
+
+
+@query(
+    "stream_moment_state",
+    sql(
+        ci_sql("o_orderpriority, month", "o", "o_totalprice", "w", "price"),
+        "o AS (SELECT *, CAST(month(o_orderdate) AS INTEGER) AS month, 1.0 + o_custkey % 7 AS w FROM orders)",
+        doubles="price price_se price_ci_low price_ci_high",
+    ),
+)
+def stream_moment_state(spark, sf_dir):
+    """Weighted means with intervals from stored moments, to which a stream adds batch by batch; each row is read once."""
+    base, keys = scratch(spark, "moments"), ["o_orderpriority", "month"]
+    rows = order_stream(spark, sf_dir).select(
+        "o_orderpriority", F.month("o_orderdate").alias("month"), F.col("o_totalprice").alias("price"), (F.lit(1.0) + F.col("o_custkey") % 7).alias("w")
+    )
+    partials = lambda batch: A.moment_states(batch, keys, ["price"], "w")
+    add = lambda stored, by: A.merge_moments(stored, by, ["price"])
+    run_to_the_end(rows, spark, INC.foreach_batch_accumulate(base, keys, partials, add, buckets=8))
+    return rounded(A.finish_moments(INC.stored_state(spark, base), keys, ["price"]))
+
+
+@query("stream_panel_state", sql(sub_sql("entity, year"), *LINES, doubles=SUB_NAMES))
+def stream_panel_state(spark, sf_dir):
+    """Ten weighted measures of sub-populations from stored numerators and denominators, accumulated in three batches, one replayed."""
+    base, keys, names = scratch(spark, "panel-state"), ["entity", "year"], [m.name for m in measures()]
+    lines = materialize(micro(spark, sf_dir))
+    apply = INC.foreach_batch_accumulate(base, keys, lambda batch: A.panel_partials(batch, keys, "l_quantity", measures()), lambda rows, by: A.add_partials(rows, by, names), buckets=8)
+    for number, part in [(0, 0), (1, 1), (1, 1), (2, 2)]:
+        apply(lines.filter(F.pmod(F.col("l_orderkey"), F.lit(3)) == part), number)
+    return rounded(A.finish_partials([INC.stored_state(spark, base)], keys, names))

@@ -75,10 +75,14 @@ def panel_partials(df: DataFrame, keys: Sequence[str], weight: Column | str, mea
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
 
 
-def finish_partials(partials: Sequence[DataFrame], keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    stacked = reduce(lambda a, b: a.unionByName(b), partials)
+def add_partials(partials: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Stored and new partials added up per key; the result is partials again."""
     sums = [F.sum(f"{n}__{part}").alias(f"{n}__{part}") for n in names for part in ("num", "den")]
-    merged = stacked.groupBy(*keys).agg(F.sum("sample_size").alias("sample_size"), *sums)
+    return partials.groupBy(*keys).agg(F.sum("sample_size").alias("sample_size"), *sums)
+
+
+def finish_partials(partials: Sequence[DataFrame], keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    merged = add_partials(reduce(lambda a, b: a.unionByName(b), partials), keys, names)
     return merged.select(*keys, "sample_size", *[safe_ratio(f"{n}__num", f"{n}__den").alias(n) for n in names])
 
 
@@ -96,51 +100,82 @@ def weighted_distribution(df: DataFrame, keys: Sequence[str], category: str, wei
 
 # --- moments: mean, effective n, standard error, interval -----------------------------------------
 
+_STATE = ("w", "w2", "mean", "m2")
+# Weights are brought near the spread of the values by one of these factors; the first holds from 2^16 spreads of the weights on.
+_SCALES = {2.0**24: 2.0**16, 1.0: 2.0**-6, 2.0**-16: 0.0}
 
-def moment_sums(
-    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str, anchors: Mapping[str, float] | None = None
-) -> DataFrame:
-    """Additive sums from which mean, effective n and variance follow at any coarser grain.
 
-    Values are measured from a constant per metric: the given one, else the mean of the whole table, which one scalar
-    subquery takes for all metrics. So a common offset of any size costs no digits.
+def _weighted_parts(x: Column, w: Column) -> dict[str, Column]:
+    """Aggregates from which weight, mean and squared spread of weighted values follow, all of them centred ones.
+
+    Spark's variance, covariance and skewness keep a running mean and merge partial states pairwise, so none of them loses
+    digits to the distance of a group from zero, from other groups or from any constant.
     """
-    given = dict(anchors or {})
-    middles = df.agg(F.struct(*[F.avg(m).alias(m) for m in metrics])).scalar() if set(metrics) - set(given) else F.lit(None)
-    zero = {m: F.lit(float(given[m])) if m in given else F.coalesce(F.col("_middles").getField(m), F.lit(0.0)) for m in metrics}
-    df = df.withColumn("_middles", middles)
-    w = F.col(weight)
-    sums = []
-    for m in metrics:
-        c = F.col(m) - zero[m]
-        used = F.when(c.isNotNull(), w)
-        sums += [
-            F.sum(used).alias(f"{m}__w"),
-            F.sum(used * used).alias(f"{m}__w2"),
-            F.sum(used * c).alias(f"{m}__wx"),
-            F.sum(used * c * c).alias(f"{m}__wxx"),
-        ]
-    sums += [F.max(zero[m]).alias(f"{m}__anchor") for m in metrics]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_size"), *sums)
+    parts = {"n": F.count(x), "w": F.sum(w), "x": F.avg(x), "vx": F.var_pop(x), "vw": F.var_pop(w), "c": F.covar_pop(x, w), "sw": F.skewness(w)}
+    for i, a in enumerate(_SCALES):
+        parts |= {f"up{i}": F.skewness(x + F.lit(a) * w), f"down{i}": F.skewness(x - F.lit(a) * w)}
+    return parts
+
 
+def _weighted_state(p: Mapping[str, Column]) -> tuple[Column, Column]:
+    """Weighted mean and squared spread around it.
 
-def roll_up_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    parts = [F.sum(f"{m}__{p}").alias(f"{m}__{p}") for m in metrics for p in ("w", "w2", "wx", "wxx")]
-    anchors = [F.max(f"{m}__anchor").alias(f"{m}__anchor") for m in metrics]
-    return sums.groupBy(*keys).agg(F.sum("sample_size").alias("sample_size"), *parts, *anchors)
+    The spread around the plain mean is n (w) var(x) + S, where S sums (w - mean w)(x - mean x)^2. That mixed third moment is
+    the difference of the third moments of x + a w and x - a w, less that of w, by 6 a.
+    """
+    third = lambda skew, var: F.coalesce(skew, F.lit(0.0)) * p["n"] * F.pow(F.greatest(var, F.lit(0.0)), F.lit(1.5))
+
+    def mixed(i: int, a: float) -> Column:
+        around, twist = p["vx"] + F.lit(a * a) * p["vw"], F.lit(2 * a) * p["c"]
+        own = F.lit(2 * a**3) * third(p["sw"], p["vw"])
+        return (third(p[f"up{i}"], around + twist) - third(p[f"down{i}"], around - twist) - own) / F.lit(6 * a)
+
+    ranked = [(F.sqrt(p["vx"]) >= F.lit(least) * F.sqrt(p["vw"]), mixed(i, a)) for i, (a, least) in enumerate(_SCALES.items())]
+    cross = F.coalesce(*[F.when(*pair) for pair in ranked])
+    shift = F.try_divide(p["c"] * p["n"], p["w"])
+    spread = p["w"] * p["vx"] + cross - p["w"] * shift * shift
+    return p["x"] + shift, F.when(p["vx"] == 0, F.lit(0.0)).otherwise(F.greatest(spread, F.lit(0.0)))
+
+
+def _merge_states(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], size: Column, given: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """One state per key and metric from rows that are states themselves: their weight, its squares, mean and inner spread."""
+    aggregates, finished = [F.sum(size).alias("sample_size")], []
+    for i, m in enumerate(metrics):
+        g = given[m]
+        valid = g["mean"].isNotNull() & g["w"].isNotNull()
+        only = lambda c, valid=valid: F.when(valid, c)
+        parts = _weighted_parts(only(g["mean"].cast("double")), only(g["w"].cast("double")))
+        parts |= {"w2": F.sum(only(g["w2"])), "inner": F.sum(only(g["m2"])) if g["m2"] is not None else F.lit(0.0)}
+        aggregates += [c.alias(f"_{i}_{k}") for k, c in parts.items()]
+        held = {k: F.col(f"_{i}_{k}") for k in parts}
+        mean, spread = _weighted_state(held)
+        state = {"w": held["w"], "w2": held["w2"], "mean": mean, "m2": spread + held["inner"]}
+        finished += [F.when(held["w"] != 0, state[k]).alias(f"{m}__{k}") for k in _STATE]
+    return df.groupBy(*keys).agg(*aggregates).select(*keys, "sample_size", *finished)
+
+
+def moment_states(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str) -> DataFrame:
+    """Per key the number of rows and, per metric, a state that merges with others: weight, its squares, mean, squared spread.
+
+    Columns ``sample_size`` and ``<metric>__w``, ``__w2``, ``__mean``, ``__m2``. One scan and one shuffle of one row per key
+    and task; groups may lie any number of spreads apart.
+    """
+    w = F.col(weight).cast("double")
+    given = {m: {"mean": F.col(m), "w": w, "w2": w * w, "m2": None} for m in metrics}
+    return _merge_states(df, keys, metrics, F.lit(1).cast("bigint"), given)
+
+
+def merge_moments(states: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """States of finer keys, of other batches or of other machines, merged to one per key."""
+    given = {m: {p: F.col(f"{m}__{p}") for p in _STATE} for m in metrics}
+    return _merge_states(states, keys, metrics, F.col("sample_size"), given)
 
 
 def interval_columns(metric: str) -> dict[str, Column]:
-    """Mean, standard error and interval of one metric from its sums."""
-    w, w2, wx, wxx = (F.col(f"{metric}__{p}") for p in ("w", "w2", "wx", "wxx"))
-    off = safe_ratio(wx, w)
-    mean = F.col(f"{metric}__anchor") + off
-    # a spread below the rounding error of its two terms is none; anything more negative would be a wrong sum and gives NULL
-    raw = safe_ratio(wxx, w) - off * off
-    noise = F.lit(1e-12) * (off * off)
-    spread = F.when(raw > noise, raw).when(raw >= -noise, F.lit(0.0))
+    """Mean, standard error and interval of one metric from its state."""
+    w, w2, mean, m2 = (F.col(f"{metric}__{p}") for p in _STATE)
     effective = F.greatest(safe_ratio(w * w, w2), F.lit(1.0))
-    error = F.sqrt(F.when(mean.isNotNull(), spread) / effective)
+    error = F.sqrt(safe_ratio(m2, w) / effective)
     return {
         metric: mean,
         f"{metric}_se": error,
@@ -149,41 +184,14 @@ def interval_columns(metric: str) -> dict[str, Column]:
     }
 
 
-def finish_moments(sums: DataFrame, keys: Sequence[str], metrics: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+def finish_moments(states: DataFrame, keys: Sequence[str], metrics: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     columns = [c.alias(n) for m in metrics for n, c in interval_columns(m).items()]
-    return sums.select(*keys, "sample_size", *extra, *columns)
+    return states.select(*keys, "sample_size", *extra, *columns)
 
 
-def weighted_mean_ci(
-    df: DataFrame,
-    keys: Sequence[str],
-    metrics: Sequence[str],
-    weight: str,
-    *,
-    anchors: Mapping[str, float] | None = None,
-    two_pass: bool = False,
-) -> DataFrame:
-    """Weighted mean with effective-sample standard error and 95 % interval per group.
-
-    One pass loses about (d / sd)^2 * 1e-16 of the variance, d being the distance of a group's
-    mean from the metric's anchor (the table's mean unless given). Where groups lie ten thousand
-    spreads and more apart, ask for ``two_pass``, which measures from each group's own mean at
-    the price of joining the means back to the rows.
-    """
-    if not two_pass:
-        return finish_moments(moment_sums(df, keys, metrics, weight, anchors), keys, metrics)
-    centres = df.groupBy(*keys).agg(*[weighted_mean(m, weight).alias(f"_m_{m}") for m in metrics])
-    renamed = centres.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    shifted = df.join(renamed, same, "left").withColumns({m: F.col(m) - F.col(f"_m_{m}") for m in metrics})
-    spread = finish_moments(moment_sums(shifted, keys, metrics, weight), keys, metrics)
-    out = spread.withColumnsRenamed({k: f"_j_{k}" for k in keys})
-    back = centres.join(out, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
-    columns = [
-        (F.col(f"_m_{m}") + F.col(f"{m}{part}")).alias(f"{m}{part}") if part != "_se" else F.col(f"{m}_se")
-        for m in metrics for part in ("", "_se", "_ci_low", "_ci_high")
-    ]
-    return back.select(*keys, "sample_size", *columns)
+def weighted_mean_ci(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], weight: str) -> DataFrame:
+    """Weighted mean with effective-sample standard error and 95 % interval per group, from one scan of the rows."""
+    return finish_moments(moment_states(df, keys, metrics, weight), keys, metrics)
 
 
 @dataclass(frozen=True)
@@ -203,20 +211,19 @@ def multi_grain(
     weight: str,
     *,
     grain_column: str = "geography_type",
-    anchors: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """The same estimates at several grains in one tagged table.
 
     Raw rows are aggregated once, to the finest grain, and that small table is written down;
-    coarser grains add up its sums, so the raw data is not read again per grain.
+    coarser grains merge its states, so the raw data is not read again per grain.
     """
     finest = max(grains, key=lambda g: len(g.keys))
-    base = materialize(moment_sums(df, finest.keys, metrics, weight, anchors))
+    base = materialize(moment_states(df, finest.keys, metrics, weight))
     tables = []
     for g in grains:
         source = base.dropna(subset=list(g.present)) if g.present else base
-        sums = source if g.keys == finest.keys else roll_up_moments(source, g.keys, metrics)
-        done = finish_moments(sums, g.keys, metrics).withColumn(grain_column, F.lit(g.name))
+        states = source if g.keys == finest.keys else merge_moments(source, g.keys, metrics)
+        done = finish_moments(states, g.keys, metrics).withColumn(grain_column, F.lit(g.name))
         if g.threshold is not None:
             done = suppress_small_cells(done, metrics, g.threshold)
         else:

@@ -1,19 +1,20 @@
 """Incremental batches: keyed upsert, distinct append, backfill plan, partition replacement.
 
 The inputs arrive in batches; each function is idempotent, so a batch may be replayed
-after a failure. ``foreach_batch_upsert`` is the same upsert for a streaming query.
+after a failure. For streaming queries ``foreach_batch_upsert`` is the same upsert, and
+``foreach_batch_accumulate`` adds up aggregates, both on hash-bucketed state with a manifest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sets import keep_one, union_by_name
-from ..sources.readers import path_exists
-from ..sources.writers import remove_path
+from ..session import materialize
+from ..sources.snapshots import BUCKET, SnapshotTable, State, merge_into_buckets
 
 
 def upsert_keep_last(current: DataFrame | None, batch: DataFrame, keys: Sequence[str], *, order: Sequence[str] = ()) -> DataFrame:
@@ -49,27 +50,56 @@ def replace_partition(current: DataFrame, replacement: DataFrame, condition: Col
     return current.filter(~F.coalesce(condition, F.lit(False))).unionByName(replacement, allowMissingColumns=True)
 
 
-def write_versioned(df: DataFrame, base: str, version: int) -> str:
-    """A table state under its own folder: readers of the former state are not disturbed."""
-    path = f"{base}/v={version:06d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+def _is_new(state: State | None, base: str, batch_id: int) -> bool:
+    """Whether the batch is the next one; a batch that the state already holds is not, a later one is an error."""
+    done = -1 if state is None else int(state.notes["batch"])
+    if batch_id > done + 1:
+        raise FileNotFoundError(f"batch {batch_id}: the state under {base} ends with batch {done}")
+    return batch_id == done + 1
 
 
-def foreach_batch_upsert(base: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """``writeStream.foreachBatch`` function that keeps the newest row per key.
+def foreach_batch_upsert(base: str, keys: Sequence[str], order: Sequence[str], *, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``writeStream.foreachBatch`` function that keeps the newest row per key in hash buckets under ``base``.
 
-    Batch n reads the state of batch n - 1 and writes its own, so a replayed batch gives the same state. A former state
-    that is absent or was not written to its end is an error: going on would lose every key that the batch does not hold.
-    Of the states before the former one nothing is needed any more, and they are removed.
+    A batch reads and writes the buckets of its own keys only; the others keep their files. The commit notes the batch, so a
+    batch that is replayed after its commit changes nothing, one that died before leaves the former state, and one whose
+    forerunner was not committed is an error: going on would lose keys. ``stored_state`` reads the result.
     """
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        state = lambda n: f"{base}/v={n:06d}"
-        if batch_id > 0 and not path_exists(session, f"{state(batch_id - 1)}/_SUCCESS"):
-            raise FileNotFoundError(f"batch {batch_id}: the state of batch {batch_id - 1} is not complete under {base}")
-        current = session.read.parquet(state(batch_id - 1)) if batch_id > 0 else None
-        write_versioned(upsert_keep_last(current, batch, keys, order=order), base, batch_id)
-        remove_path(session, state(batch_id - 2))
+        table = SnapshotTable(batch.sparkSession, base)
+        if _is_new(table.state(), base, batch_id):
+            newest = lambda rows: keep_one(rows, [BUCKET, *keys], ["_age", *order], last=True)
+            merge_into_buckets(table, batch, keys, newest, buckets=buckets, notes={"batch": batch_id})
+            table.vacuum()
 
     return apply
+
+
+def foreach_batch_accumulate(
+    base: str,
+    keys: Sequence[str],
+    partials: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame, Sequence[str]], DataFrame],
+    *,
+    buckets: int = 64,
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that adds every batch's aggregates to stored ones, in hash buckets as the upsert does.
+
+    ``partials`` reduces a batch to rows per key whose columns merge; ``merge(rows, keys)`` adds such rows up per key. Each
+    batch counts once, replays included, and its rows are read once: the state is as long as the number of keys.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table = SnapshotTable(batch.sparkSession, base)
+        if _is_new(table.state(), base, batch_id):
+            add = lambda rows: merge(rows.drop("_age"), [BUCKET, *keys])
+            merge_into_buckets(table, materialize(partials(batch)), keys, add, buckets=buckets, notes={"batch": batch_id})
+            table.vacuum()
+
+    return apply
+
+
+def stored_state(spark: SparkSession, base: str) -> DataFrame | None:
+    """The rows as of the last committed batch; None before the first one."""
+    return SnapshotTable(spark, base).read()

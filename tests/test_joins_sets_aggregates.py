@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from conftest import rows_of
@@ -81,8 +83,8 @@ def test_activity_means_and_interval(spark):
 def test_interval_is_stable_far_from_zero_and_exact_for_constants(spark):
     rows = [("a", 1e9 + i, 1.0 + i % 3) for i in range(100)] + [("b", 5.0, 2.0), ("b", 5.0, 1.0), ("c", None, 1.0)]
     df = spark.createDataFrame(rows, "k string, x double, w double")
-    out = {r.k: r for r in A.weighted_mean_ci(df, ["k"], ["x"], "w", two_pass=True).collect()}
-    near = A.weighted_mean_ci(df.filter("k = 'a'"), ["k"], ["x"], "w", anchors={"x": 1e9}).first()
+    out = {r.k: r for r in A.weighted_mean_ci(df, ["k"], ["x"], "w").collect()}
+    near = A.weighted_mean_ci(df.filter("k = 'a'"), ["k"], ["x"], "w").first()
     w = [1.0 + i % 3 for i in range(100)]
     mu = sum(wi * i for i, wi in enumerate(w)) / sum(w)
     var = sum(wi * (i - mu) ** 2 for i, wi in enumerate(w)) / sum(w)
@@ -182,3 +184,44 @@ def test_the_interval_keeps_its_digits_far_from_zero(spark):
     assert row.x == pytest.approx(1e9 + 0.15, abs=1e-6) and row.x_se == pytest.approx(sd / 2, rel=1e-6)
     grains = A.multi_grain(df.withColumn("r", F.lit("q")), [A.Grain("fine", ("r", "k")), A.Grain("coarse", ("r",))], ["x"], "w").collect()
     assert all(r.x_se == pytest.approx(sd / 2, rel=1e-6) for r in grains)
+
+
+def two_pass(rows):
+    """Weighted mean, its error and effective size in exact rationals."""
+    rows = [(Fraction(x), Fraction(w)) for x, w in rows if x is not None and w is not None]
+    total = sum(w for _, w in rows)
+    mean = sum(w * x for x, w in rows) / total
+    spread = sum(w * (x - mean) ** 2 for x, w in rows) / total
+    effective = max(total**2 / sum(w * w for _, w in rows), 1)
+    return float(mean), math.sqrt(spread / effective)
+
+
+@pytest.mark.parametrize(("distance", "spread", "weights"), [
+    (1e6, 1.0, (1.0, 60.0)), (1e6, 1.0, (1e4, 3e6)), (1e6, 1e-3, (100.0, 5e5)), (3e4, 2e4, (1.0, 50.0)), (0.0, 1e5, (1e-7, 3e-7)), (1e8, 50.0, (0.0, 1.0)),
+])
+def test_moments_keep_their_digits_at_any_distance(spark, distance, spread, weights):
+    """Groups a million spreads apart, weights of any scale that depend on the values: mean and error right to 1e-6."""
+    draw = random.Random(int(distance) + 7)
+    data = []
+    for g in range(4):
+        for _ in range(200):
+            x = (g - 1) * distance * spread + spread * draw.expovariate(1.0)
+            w = weights[0] + (weights[1] - weights[0]) * draw.random() * (0.5 if x > g * distance * spread else 1.0)
+            data.append((f"g{g}", draw.choice("pq"), None if draw.random() < 0.05 else x, None if draw.random() < 0.05 else w))
+    df = spark.createDataFrame(data, "k string, half string, x double, w double").repartition(7)
+    one = {r.k: r for r in A.weighted_mean_ci(df, ["k"], ["x"], "w").collect()}
+    halves = [A.moment_states(df.filter(F.col("half") == h), ["k"], ["x"], "w") for h in "pq"]
+    merged = {r.k: r for r in A.finish_moments(A.merge_moments(halves[0].unionByName(halves[1]), ["k"], ["x"]), ["k"], ["x"]).collect()}
+    for k in one:
+        mean, error = two_pass([(x, w) for key, _, x, w in data if key == k])
+        for got in (one[k], merged[k]):
+            assert got.sample_size == 200 and abs(got.x - mean) <= 1e-6 * error * 200**0.5 and got.x_se == pytest.approx(error, rel=1e-6)
+    whole = A.finish_moments(A.merge_moments(halves[0].unionByName(halves[1]).withColumn("all", F.lit(1)), ["all"], ["x"]), ["all"], ["x"]).first()
+    mean, error = two_pass([(x, w) for _, _, x, w in data])
+    assert whole.sample_size == 800 and whole.x_se == pytest.approx(error, rel=1e-6)
+
+
+def test_interval_needs_one_scan(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"), F.lit(2.0).alias("w"), (F.col("id") * 2.5).alias("y")).write.parquet(f"{tmp_path}/t")
+    plan = A.weighted_mean_ci(spark.read.parquet(f"{tmp_path}/t"), ["k"], ["x", "y"], "w")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan and "Subquery" not in plan

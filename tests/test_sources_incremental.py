@@ -81,19 +81,6 @@ def test_broken_records_are_reported(spark):
         RD.record_rows(df, "t", "a int", {"a": "a"}).collect()
 
 
-def test_a_lost_state_is_an_error_and_old_states_go(spark, tmp_path):
-    apply = INC.foreach_batch_upsert(f"{tmp_path}/s", ["k"], ["n"])
-    batch = lambda k, n: spark.createDataFrame([(k, n)], "k string, n int")
-    for n, k in enumerate("abc"):
-        apply(batch(k, n), n)
-    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["v=000001", "v=000002"]
-    apply(batch("c", 9), 2)  # a replay
-    assert rows_of(spark.read.parquet(f"{tmp_path}/s/v=000002"), "k") == [("a",), ("b",), ("c",)]
-    (tmp_path / "s/v=000002/_SUCCESS").unlink()
-    with pytest.raises(FileNotFoundError, match="state of batch 2 is not complete"):
-        apply(batch("d", 1), 3)
-
-
 def test_only_the_partitions_of_the_frame_are_replaced(spark, tmp_path):
     put = lambda rows: WR.overwrite_partitions(spark.createDataFrame(rows, "split string, v int"), f"{tmp_path}/t", ["split"])
     put([("train", 1), ("forecast", 2), ("forecast", 3)])
@@ -173,6 +160,5 @@ def test_stream_of_batches_keeps_the_newest_row(spark, tmp_path):
         .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
-    last = sorted(p.name for p in (tmp_path / "state").iterdir())[-1]
-    got = dict(rows_of(spark.read.parquet(f"{state}/{last}"), "k", "n"))
+    got = dict(rows_of(INC.stored_state(spark, state), "k", "n"))
     assert set(got) == {"a", "b", "c"} and got["b"] == 1 and got["c"] == 1
