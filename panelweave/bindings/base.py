@@ -80,6 +80,10 @@ def money_sum(x: Column | str) -> Column:
     return F.sum(cents(x)) / F.lit(100.0)
 
 
+LAST = 2001  # last year of the tables
+END = LAST + 36  # as far as forecasts and grids of future years go
+
+
 # --- orders with geography ------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import windows as W
 from ..session import materialize
-from .base import BASE, CUSTOMERS, GAPPED, GEO, customer_panel, gaps, geo, money_sum, panel, query, rounded, sql, table
+from .base import BASE, CUSTOMERS, END, GAPPED, GEO, customer_panel, gaps, geo, money_sum, panel, query, rounded, sql, table
 
 
 def yearly_events(spark, sf_dir):
@@ -254,15 +254,15 @@ def national_series_join(spark, sf_dir):
 @query(
     "expand_time_grid",
     sql(
-        """SELECT customer, last_year, CAST(y AS INTEGER) AS year FROM
-           (SELECT customer, last_year, unnest(range(last_year + 1, 2004)) AS y
+        f"""SELECT customer, last_year, CAST(y AS INTEGER) AS year FROM
+           (SELECT customer, last_year, unnest(range(last_year + 1, {END + 1})) AS y
             FROM (SELECT customer, max(year) AS last_year FROM customer_panel GROUP BY 1))""",
         CUSTOMERS,
     ),
 )
 def expand_time_grid(spark, sf_dir):
     last = customer_panel(spark, sf_dir).groupBy("customer").agg(F.max("year").alias("last_year"))
-    return J.expand_time_grid(last, "last_year", 2003)
+    return J.expand_time_grid(last, "last_year", END)
 
 
 @query(

@@ -15,7 +15,7 @@ from ..plans import scenario as SC
 from ..plans import specs
 from ..session import materialize
 from .aggregating import BANDS, band_rate_table
-from .base import BASE, GAPPED, GEO, gaps, panel, query, rounded, sql, table
+from .base import BASE, END, GAPPED, GEO, LAST, gaps, panel, query, rounded, sql, table
 
 SHORT = {
     "rs": "remote_work_share_state_year",
@@ -31,8 +31,6 @@ MOVED = ["sl", "dm", "ip", "sd", "hw", "uc", "mc"]
 ADDITIVE = [SHORT[c] for c in MOVED]
 SHARE = SHORT["rs"]
 PUBLIC = list(specs.PUBLIC_SCENARIOS)
-LAST = 2001  # last year of the tables
-END = LAST + 36  # as far as the forecasts go
 LOW, HIGH = 50.0, 75.0
 
 
@@ -475,15 +473,15 @@ def scenario_compare(spark, sf_dir):
 @query(
     "path_series",
     rsql(
-        """SELECT DISTINCT r.entity, r.model, r.scenario, c.year, c.rate AS value, 'observed' AS kind FROM rec r JOIN lastp c ON r.entity = c.entity
-           UNION ALL SELECT entity, model, scenario, year, scenario_path, 'forecast' FROM rec WHERE year <= 2004""",
+        f"""SELECT DISTINCT r.entity, r.model, r.scenario, c.year, c.rate AS value, 'observed' AS kind FROM rec r JOIN lastp c ON r.entity = c.entity
+           UNION ALL SELECT entity, model, scenario, year, scenario_path, 'forecast' FROM rec WHERE year <= {END}""",
         *REC_CTES, doubles="value", digits=6,
     ),
 )
 def path_series(spark, sf_dir):
     r = materialize(records(spark, sf_dir))
     history = covariates(spark, sf_dir).select("entity", "year", "rate")
-    return rounded(SC.path_series(history, r, "entity", "year", "rate", "scenario_path", 2004, keys=["model", "scenario"]), 6)
+    return rounded(SC.path_series(history, r, "entity", "year", "rate", "scenario_path", END, keys=["model", "scenario"]), 6)
 
 
 @query(
