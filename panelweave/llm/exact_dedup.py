@@ -12,6 +12,9 @@ from .store import text_or_empty
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
+COPIES_AT_ONCE = 1 << 12  # equal rows that one array brings back
+
+
 def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -21,23 +24,23 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", digest: Callable[[
     group by digest and SHA-256, as short rows, in an inner join that the adaptive skew join splits.
 
     A null text counts as empty. A row without doc_id stays only if no row of its group has one; keep_id is then null. Of
-    rows that repeat the kept doc_id with the same text exactly one is kept. An empty table gives no rows; other columns are
-    ignored.
+    rows that repeat the kept doc_id with the same text exactly one is kept: such rows are counted before the join and
+    brought back by number after it, so no row number of a scan is needed, and a task that runs again gives the same rows
+    whatever the order of its input. An empty table gives no rows; other columns are ignored.
     """
-    largest = {"smallest": False, "largest": True}[keep]
-    # the row number breaks ties of repeated rows; a scan gives the same numbers again
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    best = {"smallest": F.min, "largest": F.max}[keep]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    order = F.coalesce("doc_id", F.lit(LOWEST if largest else HIGHEST))
-    best, best_row = (F.max, F.max_by) if largest else (F.min, F.min_by)
-    groups = rows.groupBy("digest", "text").agg(
-        F.count(F.lit(1)).alias("group_size"), best("doc_id").alias("keep_id"), best_row("row", order).alias("keep_row")
-    )
-    groups = groups.select("digest", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id", "keep_row")
-    short = rows.select("doc_id", "row", "digest", F.sha2("text", 256).alias("text_sha256"))
-    return short.join(groups, ["digest", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
-    )
+    groups = rows.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("group_size"), best("doc_id").alias("keep_id"))
+    groups = groups.select("digest", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id")
+    short = rows.groupBy("digest", F.sha2("text", 256).alias("text_sha256"), "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    joined = short.join(groups, ["digest", "text_sha256"])
+    one = lambda last: F.explode(F.sequence(F.lit(1).cast("bigint"), last))
+    joined = joined.withColumn("block", one(F.ceil(F.col("copies") / COPIES_AT_ONCE)))
+    left = F.col("copies") - (F.col("block") - 1) * COPIES_AT_ONCE
+    joined = joined.withColumn("copy", one(F.least(left, F.lit(COPIES_AT_ONCE))))
+    first = (F.col("block") == 1) & (F.col("copy") == 1)
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
 
 
 def distinct_documents(docs: DataFrame, digest: Callable[[Column], Column] = F.md5) -> DataFrame:

@@ -99,6 +99,26 @@ def test_exact_duplicates_against_dictionary(odd, docs, digest, side):
     assert Counter(r.text for r in kept) == Counter({r.text for r in docs.collect()})
 
 
+def test_one_row_of_a_group_is_kept_however_the_rows_arrive(spark, docs, odd, monkeypatch):
+    """Repartitioned, joined, stacked and reordered input, with many equal rows: exactly one kept row per distinct text."""
+    many = spark.range(10_000).select((F.col("id") % 3).alias("doc_id"), F.lit("one text").alias("text"))
+    slim = docs.select("doc_id", "text")
+    shapes = {
+        "repartitioned": slim.repartition(7), "by a column": slim.repartition(5, "text"), "stacked": slim.unionByName(slim).unionByName(odd.select("doc_id", "text")),
+        "joined": slim.join(docs.select("doc_id", "lang"), "doc_id"), "sorted": slim.orderBy(F.rand(3)), "many": many.repartition(9),
+    }
+    monkeypatch.setattr(exact_dedup, "COPIES_AT_ONCE", 7)
+    for name, table in shapes.items():
+        rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+        for side in ("smallest", "largest"):
+            got = exact_dedup.exact_duplicates(table, side).collect()
+            assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows), name
+            kept = Counter(r.text_sha256 for r in got if r.kept)
+            assert set(kept.values()) == {1} and len(kept) == len({r[1] or "" for r in rows}), name
+    plan = exact_dedup.exact_duplicates(slim)._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and "Window" not in plan
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------------
 
 
