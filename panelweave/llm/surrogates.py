@@ -3,6 +3,7 @@
 Every detected entity has a canonical form (an address in lower case, the digits of a number). Its surrogate is made from a
 keyed hash of type and canonical form, so the same entity gets the same one in every document and in every spelling, and is
 written in the format, case and script of the mention. Distinct entities keep distinct surrogates: see ``attempts``.
+A given name borne by men and women is two entities, one of each gender.
 """
 
 from __future__ import annotations
@@ -17,12 +18,26 @@ TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "
 TITLES_F, TITLES_M = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 MALE = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Hans", "Jürgen", "Pierre", "François", "Carlos", "José", "Иван", "Сергей", "Дмитрий", "Владимир"]
 FEMALE = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Jessica", "Sarah", "Ursula", "Monika", "Isabelle", "Sylvie", "Carmen", "María", "Ольга", "Наталья", "Екатерина", "Светлана"]
-# Syllables of invented names, sixteen to a script, and the ends that mark the gender of a given name.
-SYLLABLES = {
-    "latin": ["ba", "co", "del", "fi", "gar", "hu", "jor", "ka", "lem", "mi", "nor", "pe", "ral", "su", "ti", "vo"],
-    "cyrillic": ["ба", "ко", "де", "фи", "гар", "ху", "жо", "ка", "лем", "ми", "но", "пе", "ра", "су", "ти", "во"],
-    "greek": ["βα", "κο", "δε", "φι", "γαρ", "χυ", "ζο", "κα", "λεμ", "μι", "νο", "πε", "ρα", "συ", "τι", "ξο"],
-}
+# Invented names have four syllables: one of 32 onsets, one of 4 vowels and one of 8 codas each, so 2^40 names of a kind and
+# script. No coda and onset together read as another coda and onset, so different choices are different names.
+ONSETS, VOWELS, CODAS = "b c d f g h j k l m n p r s t v w z br dr fr gr bl fl gl pl pr vr vl cl cr ch".split(), "a e i o".split(), ["", *"n r l s m t k".split()]
+SYLLABLE_COUNT = 4
+SCRIPTS = {  # the same letters in other scripts
+    "cyrillic": dict(zip("b c d f g h j k l m n p r s t v w z a e i o ch".split(), "б ц д ф г х ж к л м н п р с т в ш з а е и о ч".split())),
+    "greek": dict(zip("b c d f g h j k l m n p r s t v w z a e i o ch".split(), "β ξ δ φ γ χ ζ κ λ μ ν π ρ σ τ θ ψ η α ε ι ο χτ".split())),
+}
+
+
+def syllables(script: str) -> list[str]:
+    """All 1024 syllables of a script; in the Greek one the letter eta stands for a consonant, so that syllables stay distinct."""
+    plain = [(o, v, c) for o in ONSETS for v in VOWELS for c in CODAS]
+    if script == "latin":
+        return ["".join(p) for p in plain]
+    letters = SCRIPTS[script]
+    spell = lambda part: letters.get(part) or "".join(letters[x] for x in part)
+    return ["".join(map(spell, p)) for p in plain]
+
+
 ENDS = {"latin": {"given_f": "ia", "given_m": "us", "given": "en", "surname": "son"}, "cyrillic": {"given_f": "ия", "given_m": "ан", "given": "ли", "surname": "енко"}, "greek": {"given_f": "ία", "given_m": "ος", "given": "ιν", "surname": "ίδης"}}
 
 _GIVEN = "|".join(MALE + FEMALE)
@@ -33,6 +48,8 @@ SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16,}+|g
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+# Country codes are 1, 7, these two-digit ones, and else three digits long.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{13,19})(?!\d)"
 _CAPITAL = r"(?=\p{Lu})"  # looked at first: most places fail here at once
@@ -165,7 +182,7 @@ def _card(canon: Column, number: Column) -> Column:
 
 
 def _fake(kind: Column, canon: Column, attempt: Column, stream: Column) -> Column:
-    country = F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))
+    country = F.length(F.regexp_extract(canon, COUNTRY, 0))
     octet = lambda i: (_at(stream, F.lit(i), 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(1), octet(2), octet(3), octet(4))
     local = F.substring_index(canon, "@", 1)
@@ -174,11 +191,11 @@ def _fake(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colum
     secret = F.when(canon.rlike("^[0-9a-f]+$"), digits).when(canon.rlike("^[0-9A-F]+$"), F.upper(digits)).otherwise(_same_class(canon, stream, F.lit(4)))
 
     def invented(script: str) -> Column:
-        table = F.array(*map(F.lit, SYLLABLES[script]))
-        syllable = lambda i: F.element_at(table, _at(stream, i, len(SYLLABLES[script])) + 1)
+        table = F.split(F.lit(" ".join(syllables(script))), " ")
+        syllable = lambda i: F.element_at(table, _at(stream, i, 1024) + 1)
         ends = ENDS[script]
         end = F.when(kind == "given_f", ends["given_f"]).when(kind == "given_m", ends["given_m"]).when(kind == "given", ends["given"]).otherwise(ends["surname"])
-        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), syllable), ""), end)
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), attempt + SYLLABLE_COUNT), syllable), ""), end)
 
     person = F.when(canon.rlike(r"\p{IsCyrillic}"), invented("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), invented("greek")).otherwise(invented("latin"))
     card = _let(_same_class(canon, stream, F.lit(1)), lambda number: _card(canon, number))
@@ -228,36 +245,97 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         state = keep(state.join(later, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("later", "attempt").alias("attempt")), "entities")
 
 
+GIVEN = ["given_f", "given_m", "given"]
+FILTER_BITS = 1 << 20  # of the filter that finds documents with a changed entity: 128 kB, whatever the input
+
+
+def resolved(entities: DataFrame) -> DataFrame:
+    """``canon``, ``becomes``: given names met without a gender that the corpus knows with exactly one."""
+    known = entities.filter(F.col("kind").isin(GIVEN)).groupBy("canon").agg(F.collect_set("kind").alias("kinds"))
+    one = known.filter(F.array_contains("kinds", "given") & (F.size("kinds") == 2))
+    return one.select("canon", F.array_min(F.filter("kinds", lambda k: k != "given")).alias("becomes"))
+
+
+def changes(entities: DataFrame, key: str) -> DataFrame:
+    """``kind``, ``canon``, ``becomes``, ``attempt`` of the entities that are not replaced by their own first surrogate."""
+    gendered = keep(resolved(entities), "genders")
+    named = entities.join(gendered.withColumn("kind", F.lit("given")), ["kind", "canon"], "left_anti")
+    moved = attempts(named, key)
+    to = gendered.join(moved.select(F.col("kind").alias("becomes"), "canon", "attempt"), ["becomes", "canon"], "left")
+    to = to.select(F.lit("given").alias("kind"), "canon", "becomes", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return keep(moved.select("kind", "canon", F.col("kind").alias("becomes"), "attempt").unionByName(to), "changes")
+
+
+def _slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+
+
+def _listed(ids: DataFrame) -> Column:
+    """Words of a bit filter over ``doc_id``: FILTER_BITS / 64 numbers, combined in each task and put in order."""
+    slot = _slot(F.col("doc_id"))
+    words = ids.select(F.floor(slot / 64).cast("int").alias("at"), _bit(slot).alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    every = ids.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("at"))
+    dense = every.join(words, "at", "left").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("all"))
+    return dense.select(F.transform("all", lambda w: w["bits"])).scalar()
+
+
+def _may_be_listed(listed: Column, doc_id: Column) -> Column:
+    slot = _slot(doc_id)
+    word = F.get(listed, F.floor(slot / 64).cast("int"))
+    return word.bitwiseAND(_bit(slot)) != 0
+
+
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Per row: ``doc_id``, ``text`` with every entity replaced, ``n_entities``, ``kinds`` (sorted distinct kinds).
 
     Kinds: email, phone, card, ssn, iban, ip, secret (keys and tokens) and person names (one or two capitalised words after
-    titles, or one after a known given name; and each of these words standing alone in the same text, also in capitals). Card numbers keep their first digit and a valid check digit, phones the country code, given
-    names their gender (of the known name, or of a title before it) and script. A text without entities is returned as it is; a null text stays null with 0 entities;
-    rows that repeat get the same result; extra columns are ignored; an empty table gives no rows.
-
-    The text itself is not shuffled: replacement is one projection. Only if the collision check moved some entities are the
-    documents that hold one of them joined (by doc_id) with their short list of attempts.
+    titles, or one after a known given name; and each of these words standing alone in the same text, also in capitals). Card
+    numbers keep their first digit and a valid check digit, phones the country code, given names their script and gender: of
+    the known name, of a title before it, or of the one gender that the corpus gives the name elsewhere. So a person is the
+    same one under every title. A text without entities is returned as it is; a null text stays null with 0 entities; rows
+    that repeat get the same result; extra columns are ignored; an empty table gives no rows.
+
+    The texts are searched once and written with what was found. Replacement is a projection of that table. Entities whose
+    surrogate is not their own first one (a collision, or a gender found elsewhere) are few; a bit filter of fixed size, from
+    the ids alone, marks the documents that hold one, and only what it marks is joined (by doc_id) with its list of changes.
     """
     body = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("text"))
+    marked = keep(mentions(slim).drop("_full"), "mentions")
     parts = lambda m: parts_of(m, F.col("_who"))
-    found = mentions(slim).select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("_found", parts)))).alias("part"))
-    found = found.select("doc_id", "part.kind", "part.canon")
-    entities = keep(found.select("kind", "canon").groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")), "distinct-entities")
-    moved = attempts(entities, key)
-    label = lambda p: F.concat(p["kind"], F.lit("\u0001"), p["canon"])
-    if moved.isEmpty():
-        attempt = lambda p: F.lit(0)
-    else:
-        own = found.join(moved, ["kind", "canon"]).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"))
-        own = own.agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("\u0001"), "canon"), "attempt"))).alias("_moved"))
-        slim = slim.join(own, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left")
-        attempt = lambda p: F.coalesce(F.try_element_at(F.col("_moved"), label(p)), F.lit(0))
-    fakes = lambda m: F.transform(parts(m), lambda p: fake(p["kind"], p["canon"], attempt(p), key))
+    found = marked.filter(F.size("_found") > 0).select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("_found", parts)))).alias("part"))
+    found = keep(found.select("doc_id", "part.kind", "part.canon"), "parts")
+    entities = keep(found.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")), "distinct-entities")
+    changed = changes(entities, key)
+    if changed.isEmpty():
+        return _replaced(marked.withColumn("_changes", F.lit(None).cast(CHANGES)), key)
+    own = found.join(changed, ["kind", "canon"]).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
+    own = keep(own.agg(F.collect_set(F.struct("kind", "canon", "becomes", "attempt")).alias("_changes")), "changed-documents")
+    known = F.coalesce("doc_id", F.lit(-1))
+    marked = marked.withColumn("_listed", (F.size("_found") > 0) & _may_be_listed(_listed(own), known))
+    others = marked.filter("NOT _listed").withColumn("_changes", F.lit(None).cast(CHANGES))
+    few = marked.filter("_listed").join(own.withColumnRenamed("doc_id", "_id"), known == F.col("_id"), "left").drop("_id")
+    return _replaced(others.unionByName(few), key)
+
+
+CHANGES = "array<struct<kind:string,canon:string,becomes:string,attempt:int>>"
+
+
+def _replaced(marked: DataFrame, key: str) -> DataFrame:
+    """The texts with the surrogates of their mentions in place."""
+
+    def surrogate_of(part: Column) -> Column:
+        mine = F.get(F.filter("_changes", lambda c: (c["kind"] == part["kind"]) & (c["canon"] == part["canon"])), F.lit(0))
+        return _let(mine, lambda c: fake(F.coalesce(c["becomes"], part["kind"]), part["canon"], F.coalesce(c["attempt"], F.lit(0)), key))
+
+    fakes = lambda m: F.transform(parts_of(m, F.col("_who")), surrogate_of)
     surrogate = lambda m: _let(fakes(m), lambda made: written(m, made))
-    slim = mentions(slim)
     pieces = F.split("text", F.col("_pattern"), -1)
     ends = F.concat(F.transform(F.col("_found"), surrogate), F.array(F.lit("")))
     text = F.when(F.size("_found") > 0, F.array_join(F.zip_with(pieces, ends, lambda a, b: F.concat(a, b)), "")).otherwise(F.col("text"))
-    return slim.select("doc_id", text.alias("text"), F.size("_found").alias("n_entities"), F.array_sort(F.array_distinct(F.transform(F.col("_found"), kind_of))).alias("kinds"))
+    return marked.select("doc_id", text.alias("text"), F.size("_found").alias("n_entities"), F.array_sort(F.array_distinct(F.transform(F.col("_found"), kind_of))).alias("kinds"))

@@ -212,14 +212,64 @@ def test_surrogates_keep_identity_format_and_clean_texts(spark):
     assert {r.doc_id: r.text for r in surrogates.pseudonymised(frame, "other").collect()}[0] != out[0].text
 
 
-def test_surrogates_stay_distinct_when_the_first_forms_collide(spark):
+def test_names_have_a_large_space(spark):
+    for script in ("latin", "cyrillic", "greek"):
+        made = surrogates.syllables(script)
+        assert len(made) == len(set(made)) == 1024 and surrogates.SYLLABLE_COUNT == 4
+    plain = surrogates.syllables("latin")
+    pairs = [a + b for a in plain[::7] for b in plain]  # whole pairs read back in one way
+    assert len(pairs) == len(set(pairs))
+    forms = spark.range(20_000).select(surrogates.fake(F.lit("surname"), F.concat(F.lit("name"), "id"), F.lit(0), "k").alias("form"))
+    assert forms.distinct().count() == 20_000
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_surrogates_stay_distinct_when_the_first_forms_collide(spark, monkeypatch, bits):
+    """One syllable makes 1024 names, so many of 1296 collide and move; the filter of 64 bits lists nearly every document."""
+    monkeypatch.setattr(surrogates, "SYLLABLE_COUNT", 1)
+    monkeypatch.setattr(surrogates, "FILTER_BITS", bits)
     names = [f"{a}{b}{c}{d}" for a in ("Xa", "Xe", "Xo", "Zu") for b in "abcdefghijkl" for c in "mnopqrstu" for d in ("kal", "tor", "min")]
-    frame = spark.createDataFrame([(k, f"Mr. {n} spoke. Mr. {n} left.") for k, n in enumerate(names)], "doc_id bigint, text string")
+    texts = [(k, f"Mr. {n} spoke. Mr. {n} left.") for k, n in enumerate(names)]
+    texts += [(None, f"Mr. {names[0]} spoke. Mr. {names[700]} left."), (-5, "clean"), (7, None), (9, f"Mr. {names[9]} spoke.")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
     rows = surrogates.pseudonymised(frame, "k").collect()
-    said = [re.findall(r"Mr\. (\w+)", r.text) for r in rows]
-    assert all(a == b for a, b in said) and len({a for a, _ in said}) == len(names)
-    first = frame.select(F.lower(F.regexp_extract("text", r"Mr\. (\w+)", 1)).alias("canon")).select(F.lit("surname").alias("kind"), "canon")
-    assert surrogates.attempts(first, "k").count() > 0  # some did collide
+    assert Counter(r.doc_id for r in rows) == Counter(k for k, _ in texts)
+    said = {r.doc_id: re.findall(r"Mr\. (\w+)", r.text or "") for r in rows if r.doc_id is None or len(re.findall(r"Mr\. (\w+)", r.text or "")) == 2}
+    single = [said[k] for k in range(len(names))]
+    assert all(a == b for a, b in single) and len({a for a, _ in single}) == len(names)
+    assert said[None] == [said[0][0], said[700][0]]
+    assert {r.text for r in rows if r.doc_id == 9} == {f"Mr. {said[9][0]} spoke. Mr. {said[9][0]} left.", f"Mr. {said[9][0]} spoke."}
+    first = frame.select(F.lower(F.regexp_extract("text", r"Mr\. (\w+)", 1)).alias("canon")).select(F.lit("surname").alias("kind"), "canon").distinct()
+    assert surrogates.attempts(first, "k").count() > 100  # many did collide
+
+
+def test_texts_are_not_shuffled_when_entities_move(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLE_COUNT", 1)
+    names = ["Dr Xa" + "abcdefghijklmnopqrstuvwxyz"[k % 26] + "abcdefghijklmnopqrstuvwxyz"[k // 26] + "or" for k in range(400)]
+    frame = spark.createDataFrame([(k, f"So {n} said.") for k, n in enumerate(names)], "doc_id bigint, text string")
+    out = surrogates.pseudonymised(frame, "k")
+    assert len({r.text for r in out.collect()}) == 400
+    exchanges = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Exchange (hash|range|round|single)", line, re.I)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert exchanges and not [line for line in exchanges if re.search(r"\b(doc_id|_id|text)#", line)]
+
+
+def test_one_person_is_the_same_one_under_every_title(spark):
+    texts = ["Mr Oliver Brown came.", "Dr Oliver Brown left.", "Mr Kim Lee", "Mrs Kim Lee", "Dr Kim Lee", "Prof. Frauke Brown", "Frau Frauke Brown"]
+    rows = surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").collect()
+    said = {r.doc_id: re.search(r"(?:Mr|Dr|Mrs|Prof\.|Frau) (\w+) (\w+)", r.text).groups() for r in rows}
+    assert said[0] == said[1] and said[0][0].endswith("us") and said[5] == said[6] and said[5][0].endswith("ia") and said[5][1] == said[0][1]
+    assert said[2][0].endswith("us") and said[3][0].endswith("ia") and said[4][0].endswith("en") and len({said[k][1] for k in (2, 3, 4)}) == 1
+
+
+def test_phones_keep_the_whole_country_code(spark):
+    numbers = ["+49 30 1234567", "+1 (017) 555-7713", "+7 495 123 4567", "+380 44 123 4567", "+33 12 345 6789", "+4930 123 4567"]
+    frame = spark.createDataFrame([(k, f"call {n} now") for k, n in enumerate(numbers)], "doc_id bigint, text string")
+    for r in surrogates.pseudonymised(frame, "k").collect():
+        code = ["+49", "+1", "+7", "+380", "+33", "+49"][r.doc_id]
+        made = re.fullmatch(r"call (.+) now", r.text)[1]
+        assert made.startswith(code) and made != numbers[r.doc_id] and re.sub(r"\d", "0", made) == re.sub(r"\d", "0", numbers[r.doc_id])
 
 
 def test_titled_names_with_any_capital_are_replaced_whole(spark):
