@@ -101,7 +101,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     its pivots are two disjoint ones of them. One edit destroys one pivot at most. Of two words one has the prefix that ends
     at the lower or the same rank; its surviving pivot stands in the other's prefix, moved as the edit moves places and
     length, and the word up to it or from it on is untouched. So pivots, shifted in the ways an edit can, meet prefixes on
-    (bigram, place, length, hash of the untouched part), and what meets is verified. The ranks of the bigrams are a table of the alphabet squared: 90 letters make 8100 bigrams at most, whatever
+    (bigram, place, length, hash of the untouched part), and what meets is verified: the other untouched end first, then the
+    distance. The ranks of the bigrams are a table of the alphabet squared: 90 letters make 8100 bigrams at most, whatever
     the input, and only these are sent to the tasks.
     """
     spark = words.sparkSession
@@ -117,20 +118,30 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 ranks = [rank[g] for g in grams(word)]
                 places, last = prefix(ranks)
                 chosen = pivots(places, ranks)
-                out += [(word, len(word), last, ranks[p], p, p in chosen) for p in places]
+                partner = dict(zip(chosen, chosen[::-1]))
+                out += [(word, len(word), last, ranks[p], p, partner.get(p)) for p in places]
             columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "size", "last", "gram", "place", "pivot"])
+            types = [pa.string(), *[pa.int32()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "size", "last", "gram", "place", "partner"])
 
-    index = keep(words.select("word").mapInArrow(run, "word string, size int, last int, gram int, place int, pivot boolean"), "grams")
+    index = keep(words.select("word").mapInArrow(run, "word string, size int, last int, gram int, place int, partner int"), "grams")
     head = F.xxhash64(F.lit("head"), F.substr("word", F.lit(1), F.col("place") + 2))
     tail = F.xxhash64(F.lit("tail"), F.substr("word", F.col("place") + 1, F.col("size")))
     parts = {"head": head, "tail": tail}
-    shifts = F.array(*[F.struct((F.col("place") + p).alias("place"), (F.col("size") + s).alias("size"), parts[side].alias("part")) for p, s, side in SHIFTS])
-    asks = index.filter("pivot").select("gram", F.col("word").alias("a"), F.col("last").alias("a_last"), F.inline(shifts))
+    # an edit behind both pivots is found by the later one, so for the earlier one what stands behind its partner is untouched too
+    behind = F.when(F.col("partner") > F.col("place"), F.substr("word", F.col("partner") + 3, F.col("size"))).otherwise("")
+    before = F.when(F.col("partner") < F.col("place"), F.substr("word", F.lit(1), F.col("partner"))).otherwise("")
+    ends = {"head": (F.lit(""), behind), "tail": (before, F.lit(""))}
+    shifts = [
+        F.struct((F.col("place") + p).alias("place"), (F.col("size") + s).alias("size"), parts[side].alias("part"), ends[side][0].alias("begin"), ends[side][1].alias("end"))
+        for p, s, side in SHIFTS
+    ]
+    asks = index.filter("partner IS NOT NULL").select("gram", F.col("word").alias("a"), F.col("last").alias("a_last"), F.inline(F.array(*shifts)))
     both = F.explode(F.array(head, tail)).alias("part")
     held = index.select("gram", "place", "size", both, F.col("word").alias("b"), F.col("last").alias("b_last"))
-    met = asks.join(held, ["gram", "place", "size", "part"]).filter("a_last <= b_last AND a <> b AND levenshtein(a, b, 1) = 1")
+    met = asks.join(held, ["gram", "place", "size", "part"]).filter(
+        "a_last <= b_last AND startswith(b, begin) AND endswith(b, end) AND a <> b AND levenshtein(a, b, 1) = 1"
+    )
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
