@@ -15,7 +15,7 @@ from ..plans import scenario as SC
 from ..plans import specs
 from ..session import materialize
 from .aggregating import BANDS, band_rate_table
-from .base import BASE, END, GAPPED, GEO, LAST, gaps, panel, query, rounded, sql, table
+from .base import BASE, CUSTOMERS, END, GAPPED, GEO, LAST, cents, customer_panel, gaps, panel, query, rounded, scratch, sql, table
 
 SHORT = {
     "rs": "remote_work_share_state_year",
@@ -909,3 +909,30 @@ def entity_documents(spark, sf_dir):
     )
 
 
+SHARD_BYTES = 48 << 10  # small here, so that every scale of the test tables makes several files
+
+
+@query(
+    "sharded_documents",
+    sql(
+        f"""SELECT format('part-{{:06d}}', shard) AS shard, min(customer) AS first_entity, max(customer) AS last_entity, count(*) AS n_entities, sum(bytes)::BIGINT AS bytes, sum(bytes)::BIGINT AS file_bytes,
+              count(*) AS n_lines FROM (SELECT *, ((sum(bytes) OVER (ORDER BY customer) - bytes) // ({SHARD_BYTES} - max(bytes) OVER ()))::BIGINT AS shard FROM texts) GROUP BY shard""",
+        CUSTOMERS,
+        """texts AS (SELECT customer, (strlen('{"customer":' || customer || ',"latest":{"revenue":' || arg_max(cents, year) || ',"revenue_year":' || max(year) || '},"series":['
+              || string_agg('{"year":' || year || ',"n_orders":' || n_orders || ',"revenue":' || cents || '}', ',' ORDER BY year) || ']}') + 1)::BIGINT AS bytes
+            FROM (SELECT *, CAST(round(revenue * 100) AS BIGINT) AS cents FROM customer_panel) GROUP BY customer)""",
+    ),
+)
+def sharded_documents(spark, sf_dir):
+    """A document per customer, dealt to files below a limit; the manifest against the files as they were written."""
+    p = customer_panel(spark, sf_dir).withColumn("revenue", cents("revenue"))
+    dim = p.select("customer").distinct()
+    docs = materialize(PB.documents_json(PB.entity_documents(dim, p, "customer", "year", ["revenue"], ["n_orders", "revenue"]), "customer"))
+    path = scratch(spark, "shards")
+    PB.write_shards(docs, "customer", path, limit=SHARD_BYTES)
+    lines = spark.read.schema("value string, shard string").text(f"{path}/files")
+    files = lines.groupBy("shard").agg(F.max("_metadata.file_size").alias("file_bytes"), F.count(F.lit(1)).alias("n_lines"), F.count_distinct("_metadata.file_path").alias("n_files"))
+    manifest = spark.read.schema("shard string, first_entity bigint, last_entity bigint, n_entities bigint, bytes bigint").json(f"{path}/manifest")
+    small = (F.col("n_files") == 1) & (F.col("file_bytes") < SHARD_BYTES)
+    checked = F.when(small, F.col("file_bytes")).otherwise(F.raise_error(F.concat(F.lit("too large or split: "), "shard")))
+    return manifest.join(files, "shard", "full").select("shard", "first_entity", "last_entity", "n_entities", "bytes", checked.alias("file_bytes"), "n_lines")

@@ -1,9 +1,10 @@
 """Table-wide order statistics without a single-task window.
 
-A window without a partition sends the table to one task. Here the rows are
+A window without a partition sends the table to one task. For positions of all rows they are
 range-partitioned by the order column, as many ranges as the session has shuffle
 partitions, and written; each range is summed, the range totals are accumulated,
-and the exact position inside each range comes from a window per range.
+and the exact position inside each range comes from a window per range. A median needs
+none of that: a sketch brackets it and a second scan counts inside the bracket.
 """
 
 from __future__ import annotations
@@ -40,27 +41,40 @@ def value_ranks(df: DataFrame, value: str, *, by: Sequence[str] = ()) -> DataFra
     return ranked.withColumn("rank", F.col("before") + (F.col("n_equal") + 1) / F.lit(2.0))
 
 
+ACCURACY = 10_000  # of the sketch: it places a value within one part in so many of its rank
+
+
 def exact_median(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str = "median") -> DataFrame:
-    """Exact median of the present values, one row per group.
+    """Exact median of the present values, one row per group, by two scans and no sort or shuffle of the rows.
 
-    The built-in aggregate keeps every distinct value of a group in one buffer;
-    this form counts equal values first and looks the middle up by position.
+    A mergeable quantile sketch of bounded size first gives two values with the middle ranks between them. The second scan
+    counts the rows below the first one and, per distinct value, those between the two: about four in ``ACCURACY`` and what
+    ties with them, combined in each task. The middle is looked up among these by running counts. That the ranks do lie
+    between is checked, so a wrong sketch is an error and never a wrong median. Rows of a missing group have no result.
     """
-    by = list(by)
-    ranked = value_ranks(df, value, by=by)
+    by, margin = list(by), 2.0 / ACCURACY
+    rows = df.filter(F.col(value).isNotNull()).dropna(subset=by).select(*by, F.col(value).alias("_v"))
+    marks = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY)
+    sketch = rows.groupBy(*by).agg(marks.alias("_m"), F.count(F.lit(1)).alias("_n"))
     if by:
-        ranked = ranked.join(
-            df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by
-        )
-        n: Column = F.col("_n")
+        placed = rows.join(sketch, by)
     else:
-        n = df.agg(F.count(value)).scalar()
-    low, high = F.floor((n - 1) / 2), F.floor(n / 2)
-    covers = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n_equal"))
-    picked = ranked.filter(covers(low) | covers(high)).groupBy(*by).agg(
-        F.max(F.when(covers(low), F.col(value))).alias("_low"), F.max(F.when(covers(high), F.col(value))).alias("_high")
+        whole = sketch.select(F.struct("_m", "_n").alias("s")).scalar()
+        placed = rows.withColumn("_s", whole).select("_v", "_s.*")
+    low, high = F.get("_m", F.lit(0)), F.get("_m", F.lit(1))
+    # rows below all meet in one missing value, whose count comes first
+    inside = F.when(F.col("_v") >= low, F.col("_v"))
+    counts = placed.filter(F.col("_v") <= high).groupBy(*by, inside.alias("_v"), "_n").agg(F.count(F.lit(1)).alias("_equal"))
+    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_equal").over(upto))
+    covers = lambda at: (F.col("_upto") - F.col("_equal") <= at) & (at < F.col("_upto"))
+    first, second = covers(F.floor((F.col("_n") - 1) / 2)), covers(F.floor(F.col("_n") / 2))
+    picked = ranked.groupBy(*by).agg(
+        F.max(F.when(first, F.col("_v"))).alias("_low"), F.max(F.when(second, F.col("_v"))).alias("_high"), F.max("_n").alias("_n")
     )
-    return picked.select(*by, ((F.col("_low") + F.col("_high")) / F.lit(2.0)).alias(name))
+    middle = (F.col("_low") + F.col("_high")) / F.lit(2.0)
+    checked = F.when(middle.isNotNull(), middle).otherwise(F.raise_error(F.lit("the sketch does not hold the middle rank")))
+    return picked.filter(F.col("_n").isNotNull()).select(*by, checked.alias(name))
 
 
 def percentile_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
