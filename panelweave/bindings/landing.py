@@ -12,6 +12,7 @@ from ..operators import aggregate as A
 from ..operators import ranking as R
 from ..plans import publish as PB
 from ..session import materialize
+from ..sources import landed
 from ..sources import readers as RD
 from ..sources import snapshots as SN
 from ..sources import writers as WR
@@ -135,6 +136,33 @@ def strip_js_wrapper_json(spark, sf_dir):
     return docs.select("event_id", F.get_json_object(parsed["props"], "$.k").cast("bigint").alias("k"), parsed["value"].alias("value"))
 
 
+PER_DOCUMENT = 1000
+
+
+@query("scan_landed_files", "SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS absent, c_nationkey AS nation FROM customer WHERE c_nationkey >= 7")
+def scan_landed_files(spark, sf_dir):
+    """Customers as script files of positional rows, in a folder per nation; every other file has its columns in another order."""
+    path = scratch(spark, "script-files")
+    rows = table(spark, sf_dir, "customer").withColumn("block", F.floor(F.col("c_custkey") / PER_DOCUMENT))
+    flip = F.col("block") % 2 == 0
+    cells = {"id": "c_custkey", "balance": "c_acctbal", "name": "c_name", "segment": "c_mktsegment"}
+    cell = lambda n: F.regexp_extract(F.to_json(F.array(cells[n])), r"(?s)^\[(.*)\]$", 1)
+    plain = lambda order: F.concat(F.lit("["), F.concat_ws(",", *map(cell, order)), F.lit("]"))
+    orders = list(cells), list(cells)[::-1]
+    names = lambda order: F.lit("[" + ",".join(f'"{n}"' for n in order) + "]")
+    docs = rows.groupBy("c_nationkey", "block").agg(F.array_sort(F.collect_list(F.when(flip, plain(orders[0])).otherwise(plain(orders[1])))).alias("lines"))
+    text = F.concat(
+        F.lit('window.CUSTOMERS = {"schema":'), F.when(flip, names(orders[0])).otherwise(names(orders[1])), F.lit(',"rows":['), F.array_join("lines", ","), F.lit("]};")
+    )
+    docs.select(text.alias("value"), F.col("c_nationkey").alias("nation")).write.partitionBy("nation").option("maxRecordsPerFile", 1).text(path)
+    landed.register(spark)
+    found = (
+        spark.read.format("landed_files").schema("id bigint, balance double, segment string, absent string, nation int")
+        .option("form", "positional").option("variable", "window.CUSTOMERS").option("files", r"nation=(?P<nation>\d+)/").load(path)
+    )
+    return found.filter("nation >= 7")
+
+
 @query(
     "write_table",
     sql(
