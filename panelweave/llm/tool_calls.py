@@ -46,6 +46,61 @@ def parsed_results(messages: DataFrame) -> DataFrame:
     return made.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
 
 
+# --- canonical JSON -------------------------------------------------------------------------------------------------------
+
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_TOKEN = _STRING + r'|-?[0-9][0-9.]*(?:E-?[0-9]+)?|[^"0-9-]+'
+_HIGH, _BEYOND, _MARK = "[\ue000-\uffff]", r"[\x{10000}-\x{10FFFF}]", "\ud7ff"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas know no common subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _number(token: Column) -> Column:
+    """A number as the variant writes it, in its shortest form: plain between 1e-7 and 1e21, else with an exponent.
+
+    The digits are those of the shortest text that reads back as the same double (two at least below 1e-322, as Java writes
+    them), or all of a decimal without trailing zeros.
+    """
+    sign, size = F.when(token.startswith("-"), F.lit("-")).otherwise(""), F.ltrim(token, F.lit("-"))
+    parts = F.split(size, "E")
+    plain = lambda x: F.regexp_replace(x, r"(?<=[0-9])\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+
+    def shifted(digits: Column, e: Column) -> Column:
+        n = F.length(digits)
+        whole = F.when(n <= e + 1, F.rpad(digits, e + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        mantissa = F.when(n == 1, digits).otherwise(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+        power = F.concat(mantissa, F.lit("e"), F.when(e > 0, "+").otherwise("-"), F.abs(e).cast("string"))
+        return F.when(e.between(0, 20), whole).when(e.between(-7, -1), small).otherwise(power)
+
+    scientific = _let(F.replace(plain(parts[0]), F.lit("."), F.lit("")), lambda digits: _let(F.get(parts, F.lit(1)).cast("int"), lambda e: shifted(digits, e)))
+    made = F.when(F.size(parts) == 2, scientific).otherwise(plain(size))
+    return F.when(made == "0", made).otherwise(F.concat(sign, made))
+
+
+def canonical_json(text: Column) -> Column:
+    """``text`` as canonical JSON, or null if it is no JSON or an object in it has a key twice.
+
+    Keys are sorted by code point, no white space, numbers in their shortest form, strings with as few escapes as there can be.
+    Built-in functions only: a variant sorts keys by their UTF-16 units, so letters from U+E000 on get a mark before them that
+    puts them below the surrogates while it sorts.
+    """
+    sorted_once = F.to_json(F.try_parse_json(text))
+
+    def by_code_point(json: Column) -> Column:
+        marked = F.regexp_replace(json, f"({_MARK}|{_HIGH})", f"{_MARK}$1")
+        return F.regexp_replace(F.to_json(F.try_parse_json(marked)), f"{_MARK}(.)", "$1")
+
+    ordered = _let(sorted_once, lambda json: F.when(json.rlike(_HIGH) & json.rlike(_BEYOND), by_code_point(json)).otherwise(json))
+    shorter = lambda json: F.array_join(
+        F.transform(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(t.rlike("^-?[0-9]"), _number(t)).otherwise(t)), ""
+    )
+    return _let(ordered, lambda json: F.when(json.rlike(r"[0-9]E|\.[0-9]*0(?![0-9])|-0"), shorter(json)).otherwise(json))
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string literal, or null."""
     whole = F.to_json(F.array(text))
@@ -120,7 +175,8 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict[str, Field]]) -> D
     ``conv_id``, ``call_id``, ``turn``, ``slot``, ``name``, ``result_turn``, ``n_calls``, ``n_results``, ``order_level``
     (order by it, then turn and slot: every call follows what it refers to), ``missing`` (references to no call), ``status``
     (``ok``, ``cycle``, ``unanswered``, ``orphan result`` or ``further result``), ``problems`` (against the schema) and
-    ``message``, canonical JSON: keys sorted by code point, no white space, numbers in shortest form.
+    ``message``, canonical JSON: keys sorted by code point, no white space, numbers in shortest form (``canonical_json``). A whole
+    number is one in any spelling (``1e2`` is 100). Arguments in which a key stands twice are kept as text and are a problem.
 
     Calls and results meet in a hash join on conversation and identifier. Of a repeated identifier every call is a row, linked
     to the earliest result; a reference means the earliest call. Every later result is a row ``further result`` that repeats
@@ -132,8 +188,9 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict[str, Field]]) -> D
     calls = _numbered(calls, ["turn", "slot", "call_id", "name", "arguments"], "n_calls", "called")
     # the id belongs to the earliest call; a later one refers to others, and nothing to it
     calls = calls.withColumn("link_key", F.col("call_key")).withColumn("call_key", F.when(F.col("first"), F.col("call_key")).otherwise(F.concat(F.lit("\u0002 "), F.col("uid").cast("string"))))
-    calls = calls.withColumn("canonical", F.to_json(F.try_parse_json("arguments")))
-    calls = calls.withColumn("refers", F.coalesce(F.regexp_extract_all("canonical", F.lit(REFERENCE), 1), F.array().cast("array<string>")))
+    calls = calls.withColumn("canonical", canonical_json(F.col("arguments")))
+    named = F.transform(F.regexp_extract_all("canonical", F.lit(REFERENCE), 1), lambda x: F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0])
+    calls = calls.withColumn("refers", F.coalesce(named, F.array().cast("array<string>")))
     calls = keep(calls.drop("uid"), "calls")
     levels, missing = _levels(calls)
     calls = calls.join(levels.withColumn("peeled", F.lit(True)), KEY, "left").join(missing, KEY, "left")
@@ -148,7 +205,8 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict[str, Field]]) -> D
     status = F.when(F.col("further"), "further result").when(~called, "orphan result").when(level.isNull(), "cycle").when(F.col("r").isNull(), "unanswered").otherwise("ok")
     parts = [("arguments", F.coalesce("canonical", _quoted(F.col("arguments")))), ("id", _quoted(F.col("call_id"))), ("name", _quoted(F.col("name"))), ("result", _quoted(F.col("r.content")))]
     body = [piece for k, (label, text) in enumerate(parts) for piece in (F.lit(("{" if k == 0 else ",") + f'"{label}":'), text)]
-    problems = violations(F.col("name"), F.parse_json("canonical"), keys, schemas)
+    doubled = F.col("canonical").isNull() & F.json_object_keys("arguments").isNotNull()
+    problems = F.when(doubled, F.array(F.lit("a key stands twice"))).otherwise(violations(F.col("name"), F.parse_json("canonical"), keys, schemas))
     return joined.select(
         F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"),
         F.coalesce("call_id", "asked").alias("call_id"),

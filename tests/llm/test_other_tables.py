@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from random import Random
 
 import numpy as np
@@ -130,6 +131,59 @@ def test_tool_calls_links_order_and_problems(spark):
     assert tool_calls.linked_calls(messages(spark, rows).limit(0), SCHEMAS).collect() == []
 
 
+def canonical(value):
+    """Canonical JSON in plain Python: keys by code point, numbers as ECMAScript writes them."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value)) + "}"  # str sorts by code point
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        if value == 0:
+            return "0"
+        sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+        d, point = "".join(map(str, digits)), len(digits) + exponent
+        if 0 < point <= 21:
+            body = d.ljust(point, "0") if len(d) <= point else d[:point] + "." + d[point:]
+        elif -6 <= point <= 0:
+            body = "0." + "0" * -point + d
+        else:
+            body = d[0] + ("." + d[1:] if len(d) > 1 else "") + "e" + ("+" if point > 0 else "-") + str(abs(point - 1))
+        return "-" * sign + body
+    return json.dumps(value, ensure_ascii=False)
+
+
+def test_canonical_json_against_plain_python(spark):
+    texts = [
+        '{"b": 1, "a": {"z": [1, 2.50, 1.0, -0.0, 0], "y": null}, "c": true}', '{"n": [1e2, 2e0, 1E30, 1.5e-7, 1e-8, 12e20, 1e21, 123456789e3, 0.1e1, -4e3, 1.10e1, 1e7, 12345678.5e0]}',
+        '{"\U0001f600": 1, "\ue000": 2, "\uffff": 3, "\ud7ff": 4, "a\ue001": 5, "a\U0001f601": 6, "\ud7ff\ue000": 7}', '{"\\ue000": 1, "\\ud83d\\ude00": 2}',
+        '{"s": "1.0 2E5 \\" 3.00 -0 \\\\", "t": "\\u0041\\n\\/"}', "[]", "{}", '"x"', "100", "1e2", "[[1.000, 0.25, 10, 100, 20.50]]", '{"": {"": ""}}', '{"10": 1, "9": 2, "é": 3, "e": 4}',
+        '{"a":9007199254740993,"b":-1e-7,"c":2.5e-300,"d":1.7976931348623157e308}',
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in frame.withColumn("c", tool_calls.canonical_json(F.col("t"))).collect():
+        assert r.c == canonical(json.loads(r.t)), r.t
+    bad = spark.createDataFrame([("{",), ('{"a":1,"a":2}',), (None,), ("",)], "t string")
+    assert {r.c for r in bad.select(tool_calls.canonical_json(F.col("t")).alias("c")).collect()} == {None}
+
+
+def test_tool_calls_with_odd_ids_numbers_and_doubled_keys(spark):
+    odd = 'a"b\\\n\u00e9'
+    raw = lambda i, arguments: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": 0}]}).replace('"arguments": 0', f'"arguments": {arguments}')
+    rows = [
+        (1, 0, "assistant", {"tool_calls": [call("x", a=1, b={"$result": odd})]}), (1, 1, "assistant", {"tool_calls": [call(odd, a=2)]}),
+        (2, 0, "assistant", raw("whole", '{"a": 1e2}')), (2, 1, "assistant", raw("part", '{"a": 15e-1}')), (2, 2, "assistant", raw("low", '{"a": -2e0}')),
+        (3, 0, "assistant", raw("twice", '{"a": 1, "a": 2}')), (3, 1, "assistant", raw("deep", '{"a": 1, "b": {"c": 1, "c": 2}}')), (3, 2, "assistant", raw("list", "[1]")),
+        (3, 3, "assistant", raw("point", '{"a": 3.0}')),
+    ]
+    got = {r.call_id: r for r in tool_calls.linked_calls(messages(spark, rows), SCHEMAS).collect()}
+    assert got["x"].missing == 0 and (got["x"].order_level, got[odd].order_level) == (1, 0)
+    assert got["whole"].problems == [] and '"arguments":{"a":100}' in got["whole"].message and got["point"].problems == []
+    assert got["part"].problems == ["type a"] and got["low"].problems == ["below a"]
+    assert got["twice"].problems == got["deep"].problems == ["a key stands twice"] and got["list"].problems == ["arguments are not a JSON object"]
+    for r in got.values():
+        assert json.loads(r.message)["id"] == r.call_id
+
+
 def test_tool_calls_that_repeat_an_id_are_all_there(spark):
     answer = lambda text: {"tool_call_id": "call_0", "content": text}
     chat = [("assistant", {"tool_calls": [call("call_0", a=1)]}), ("tool", answer("one")), ("assistant", {"tool_calls": [call("call_0", a=2, b={"$result": "call_0"})]}), ("tool", answer("two"))]
