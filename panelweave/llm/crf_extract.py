@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .store import ship
 
-FEATURES = 1 << 13
-TRAIN_PAGES, TRAIN_CHARS = 200, 100_000  # documented bounds: pages of the sample, and the longest page that is learned from
+FEATURES = 1 << 14
+TRAIN_PAGES, TRAIN_CHARS, COMPOSED = 200, 100_000, 900  # documented bounds: pages of the sample, the longest page learned from, composed pages
 
 # Elements that end a block, elements without content, and elements whose content is never text.
 BLOCK = frozenset(
@@ -138,6 +138,24 @@ def leaves(page: str | None) -> list[Leaf]:
                 stack.append((tag, above.union(_marks(tag, m.group("rest")))))
 
 
+# What is written around articles, by kind, in the languages of the pages. A short block is judged by these words
+# too, so that a container without a telling name, or without a name, is known by what it says.
+PHRASES = {
+    "menu": "Home|About us|News|Contact|Categories|Archive|Skip to content|Menu|Startseite|Über uns|Kontakt|Accueil|À propos|Inicio|Quiénes somos|Sitemap",
+    "foot": "Copyright 2024|All rights reserved|Privacy policy|Terms of use|Imprint|Impressum|Datenschutz|Alle Rechte vorbehalten|Mentions légales|Tous droits réservés|Aviso legal|Todos los derechos reservados|Powered by WordPress|Legal notice|AGB",
+    "side": "Related articles|Read more|Most read|You may also like|Recommended for you|Popular posts|Weiterlesen|Mehr zum Thema|Lire la suite|À lire aussi|Leer más|Más leídas|Recent posts|Trending now|Previous article|Next article",
+    "notice": "This site uses cookies|We use cookies to improve your experience|Accept all cookies|Cookie settings|Subscribe to our newsletter|Sign up for updates|Wir verwenden Cookies|Akzeptieren|Newsletter abonnieren|Nous utilisons des cookies|Accepter|Utilizamos cookies|Aceptar|Enter your email",
+    "advert": "Advertisement|Sponsored|Promoted content|Anzeige|Werbung|Publicité|Sponsorisé|Publicidad|Patrocinado|Buy now|Special offer|Ad",
+    "share": "Share|Tweet|Share on Facebook|Teilen|Partager|Compartir|Print|Drucken|Email this|Follow us|Tags",
+    "form": "Search|Log in|Sign in|Register|Username|Password|Suche|Anmelden|Rechercher|Connexion|Buscar|Iniciar sesión|Submit|Send",
+    "comment": "Comments|3 comments|Leave a reply|Leave a comment|Reply|Log in to comment|Post a comment|Kommentare|Kommentar schreiben|Antworten|Commentaires|Laisser un commentaire|Répondre|Comentarios|Deja un comentario|Responder|Join the discussion|Show more comments",
+}
+SAYING = re.compile(r"[^\W\d_]+")
+PLAIN_WORDS = frozenset("a all by for in may next now of on our the this to up we you your us more de la le les des los no todos nous uses use über uns wir zum mehr quiénes somos à".split())
+CUES = frozenset(w for text in PHRASES.values() for w in SAYING.findall(text.lower())) - PLAIN_WORDS
+SHORT = 12  # words of a block that is judged by what it says
+
+
 def _slot(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode()) % FEATURES
 
@@ -152,8 +170,11 @@ def features(blocks: list[Leaf]) -> list[np.ndarray]:
         words = b.text.count(" ") + 1
         own = [
             "bias", f"parent {b.parent}", f"words {min(6, words.bit_length())}", f"links {round(4 * min(1.0, b.linked / len(b.text)))}",
-            f"stop {b.text[-1] in '.!?…。»”'}", f"mark {any(c in b.text for c in '©®|»›·')}", f"place {0 if i == 0 else 2 if i == n - 1 else 1}",
+            f"stop {b.text[-1] in '.!?…。»”'}", f"mark {any(c in b.text for c in '©®|»›·')}", f"place {3 if n == 1 else 0 if i == 0 else 2 if i == n - 1 else 1}",
         ]
+        if words <= SHORT:
+            said = CUES.intersection(SAYING.findall(b.text.lower()))
+            own += [f"says {w}" for w in said] + [f"telling {words <= 3} {bool(said)}"]
         out.append(np.unique(np.array(contexts[b.context] + [_slot(f) for f in own], dtype=np.int64)))
     return out
 
@@ -273,10 +294,28 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
         text = html.escape(draw.choice(texts))
         return f"<p>{text}</p>" if draw.random() < 0.8 else f"<p>{text}<br>" if draw.random() < 0.5 else f"<div>{text}</div>"
 
+    def unnamed(opening: str) -> str:
+        """Often without the words that would tell: what stands inside has to."""
+        return draw.choice([opening, "<div>", f'<div class="y{draw.randint(0, 10**6)}">', f'<section id="z{draw.randint(0, 10**6)}">'])
+
+    def saying(kind: str) -> str:
+        labels.append(0)
+        text = html.escape(draw.choice(PHRASES[kind].split("|")))
+        if kind == "foot" and draw.random() < 0.6:
+            text = draw.choice(["&copy; ", "© ", "Copyright "]) + f"{draw.randint(1998, 2026)} " + html.escape(" ".join(draw.choice(texts).split()[:2]))
+        tag = draw.choice(["p", "div", "li", "h3", "h4"])
+        return f"<{tag}>{text}</{tag}>" if draw.random() < 0.6 else f'<{tag}><a href="/x">{text}</a></{tag}>'
+
     def noise(kinds: list[str]) -> str:
         kind = draw.choice(kinds)
         opening = draw.choice(OUTSIDE[kind])
-        if kind in ("menu", "share") and draw.random() < 0.8:
+        if kind in PHRASES and draw.random() < 0.4:
+            opening = unnamed(opening)
+            inner = "".join(saying(kind) for _ in range(draw.randint(1, 4)))
+            if kind == "comment":
+                inner += "".join(paragraph(0) for _ in range(draw.randint(1, 3))) + (saying(kind) if draw.random() < 0.5 else "")
+        elif kind in ("menu", "share") and draw.random() < 0.8:
+            opening = unnamed(opening) if draw.random() < 0.3 else opening
             n = draw.randint(2, 7)
             labels.extend([0] * n)
             words = [html.escape(draw.choice(texts).split()[0]) for _ in range(n)]
@@ -291,12 +330,18 @@ def compose(draw: Random, texts: list[str]) -> tuple[str, list[int]]:
     def several(kinds: list[str], most: int) -> str:
         return "".join(noise(kinds) for _ in range(draw.randint(0, most)))
 
+    if draw.random() < 0.08:  # text without any markup, or without a container
+        n = draw.randint(1, 6)
+        if draw.random() < 0.4:
+            labels.append(1)
+            return "\n".join(html.escape(draw.choice(texts)) for _ in range(n)), labels
+        return "".join(paragraph(1) for _ in range(n)), labels
     page = "<html><head><title>" + html.escape(draw.choice(texts)[:40]) + "</title></head><body>"
     labels.append(0)
     page += "".join(wrapped(noise(["menu", "head", "notice", "advert", "form", "side"])) for _ in range(draw.randint(0, 4)))
     opening, before = draw.choice(MAIN), page
     page = opening
-    if draw.random() < 0.8:
+    if draw.random() < 0.6:
         labels.append(1)
         title = f"<h1>{html.escape(draw.choice(texts)[:60])}</h1>"
         page += f"<header>{title}</header>" if draw.random() < 0.15 else title
@@ -327,17 +372,23 @@ def marked(blocks: list[Leaf]) -> list[int]:
 
 
 def labelled(pages: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
-    """Training pages: sample pages that mark their article themselves, and composed ones with the sample's text."""
+    """Training pages: sample pages that mark their article themselves, and composed ones with the sample's text.
+
+    A third of the sample pages are learned a second time without the words of their attributes: text and structure decide.
+    """
     out, texts = [], []
     for page in pages:
         blocks = leaves(page)
         truth = marked(blocks)
         if any(truth):
             out.append((features(blocks), truth))
+            if len(out) % 3 == 0:
+                bare = [Leaf(b.text, frozenset(m for m in b.context if m[0] == "<"), b.parent, b.linked) for b in blocks]
+                out.append((features(bare), truth))
         texts += [b.text[:400] for b in blocks[:40]]  # of the training text only
     draw = Random(5)
     texts = texts or SPARE_TEXT
-    for _ in range(600):
+    for _ in range(COMPOSED):
         page, truth = compose(draw, texts)
         blocks = leaves(page)
         if len(blocks) == len(truth):
@@ -346,10 +397,10 @@ def labelled(pages: list[str]) -> list[tuple[list[np.ndarray], list[int]]]:
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Chain:
-    """The chain, learned from a sample of about ``train_pages`` pages drawn by a hash of the page_id."""
+    """The chain, learned from a sample of about ``train_pages`` pages drawn by a hash of id and page."""
     total = pages.count()
     share = int(min(1.0, train_pages / max(total, 1)) * (1 << 30))
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0))), F.lit(1 << 30)) < share
+    drawn = F.pmod(F.xxhash64(F.col("page_id").cast("bigint"), F.col("html").cast("string")), F.lit(1 << 30)) < share  # by the page too: ids may be missing
     sample = pages.filter(drawn & (F.length("html") <= TRAIN_CHARS)).select(F.col("html").cast("string").alias("html")).limit(2 * train_pages)
     return train(labelled(sorted(r.html for r in sample.collect())))
 
