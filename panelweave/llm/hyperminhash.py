@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from . import sketches
 from .components import components
-from .store import keep, ship
+from .store import discard, keep, ship
 
 ROWS, BANDS = 6, 42  # a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42 < 3e-6
 SURE = 5.5  # standard errors below the threshold at which an estimate rules a pair out
+TURNS = 2  # further leaders of buckets that hold several components
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20  # size of one side of a cell in which members of a bucket are compared
 
 
@@ -98,15 +99,17 @@ def _links_in_cell(shingle: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Links between members of different components in one cell of a bucket: a forest, so never more than members."""
         frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side", "text"]).reset_index(drop=True)
+        if frame["component"].nunique() < 2:
+            return pd.DataFrame([], columns=["u", "v"], dtype="int64")
         words = sketches.WordHashes()
         sets = [sketches.shingle_set(t, shingle, words) for t in frame["text"]]
         regs = np.stack([sketches.registers(s) for s in sets])
         n = np.array([len(s) for s in sets], dtype=np.int64)
         group, side, ids = frame["component"].to_numpy().copy(), frame["side"].to_numpy(), frame["id"].to_numpy()
-        diagonal = bool((frame["i"] == frame["j"]).iloc[0])
+        diagonal = bool(frame["diagonal"].iloc[0])
         found = []
-        for x in range(len(frame)) if diagonal else np.flatnonzero(side == 0):
-            others = np.arange(x) if diagonal else np.flatnonzero(side == 1)
+        for x in range(len(frame)) if diagonal else np.flatnonzero(side == 1):
+            others = np.arange(x) if diagonal else np.flatnonzero(side == 0)
             others = others[group[others] != group[x]]
             if len(others):
                 others = others[_plausible(regs[others], regs[x], n[others], n[x], percent)]
@@ -119,6 +122,47 @@ def _links_in_cell(shingle: int, percent: int):
     return run
 
 
+def _mixed(wide: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``key``, ``id``, ``component``, ``major`` (its largest component) of the buckets that hold several; None if there are none."""
+    named = wide.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count(F.lit(1)).alias("parts"))
+    # written, so that its size is known: a short list is broadcast and the members of a hot bucket stay where they are
+    parts = keep(parts.filter("parts > 1").select("key", "major"), "mixed")
+    if parts.isEmpty():
+        discard(parts)
+        return None
+    out = keep(named.join(parts, "key"), "wide")
+    discard(parts)
+    return out
+
+
+def _linked_in_cells(wide: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between the components of buckets, from cells of bounded size that give back forests.
+
+    A member of the largest component of its bucket is compared with the members of the others only, so a bucket of one large
+    component and a few strays is as many cells as it has blocks, each with the strays beside a block.
+    """
+    sizes = texts.groupBy("id").agg(F.max("bytes").alias("bytes"))
+    wide = wide.join(sizes, "id").withColumn("large", F.col("component") == F.col("major"))
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK_ROWS), F.ceil(F.sum(F.when(of, F.col("bytes")).otherwise(0)) / BLOCK_BYTES))
+    counts = keep(wide.groupBy("key").agg(blocks(F.col("large")).alias("of_large"), blocks(~F.col("large")).alias("of_rest")), "blocks")
+    placed = wide.join(counts, "key")
+    spread = lambda of: F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1)
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("large"), F.col("of_large")).otherwise(F.col("of_rest")))
+    placed = placed.withColumn("block", block)
+    cell = lambda i, j, side, diagonal: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"), diagonal.alias("diagonal"))
+    own, no = F.col("block"), F.lit(False)
+    beside = F.transform(spread("of_rest"), lambda j: cell(own, -1 - j, F.lit(0), no))
+    across = F.transform(spread("of_large"), lambda i: cell(i, -1 - own, F.lit(1), no))
+    among = F.transform(spread("of_rest"), lambda j: cell(F.least(own, j), F.greatest(own, j), own > j, own == j))
+    cells = placed.select("key", "id", "component", F.inline(F.when(F.col("large"), beside).otherwise(F.concat(across, among))))
+    cells = cells.join(texts.select("id", "text"), "id")
+    more = keep(cells.groupBy("key", "i", "j").applyInPandas(_links_in_cell(shingle, percent), "u bigint, v bigint"), "more-links")
+    discard(counts)
+    return more
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``class_id``.
 
@@ -130,8 +174,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     2. Registers are cut into 42 bands of 6 (an empty register borrows from an occupied one). Classes that share a band are
        a bucket. Each bucket has one leader, drawn by its key; leader-member pairs pass the collision-corrected estimate,
        then the check on the whole sets. Their components come from alternating stars.
-    3. Buckets that still hold several components are compared across components in cells of bounded size; a cell gives
-       back a forest of links and never its pairs. So no link between members of a bucket is lost.
+    3. Buckets that still hold several components get further leaders, one a turn, from outside of their largest component.
+       What then stays apart is compared across components in cells of bounded size, the largest component only with the
+       rest; a cell gives back a forest of links and never its pairs. So no link between members of a bucket is lost.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null doc_id links with nothing, has a null
     component and is kept. Rows that repeat a doc_id with the same set are all kept or all dropped together; with different
@@ -152,35 +197,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     involved = members.select("id").distinct()
     texts = keep(texts.join(involved, "id").withColumn("bytes", F.length("text")), "texts")
 
-    pairs = members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("regs").alias(f"{s}_regs"))
-    likely = _estimated(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_regs", "b_regs"), percent)
-    body = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"{s}_text"))
-    likely = likely.join(body("a"), "a").join(body("b"), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a_text", "b_text")
-    links = keep(_verified(likely, shingle, percent), "links")
-    first = keep(components(links), "components")
-
-    wide = members.filter("m > 2").join(first.withColumnRenamed("node", "id"), "id", "left")
-    wide = wide.select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = texts.groupBy("id").agg(F.max("bytes").alias("bytes"))
-    wide = keep(wide.join(sizes, "id"), "wide")
-    mixed = wide.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("b")
-    )
-    mixed = mixed.filter("lo < hi").select("key", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES)).alias("blocks"))
-    placed = wide.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-        "key",
-        "id",
-        "component",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
-    cells = cells.join(texts.select("id", "text"), "id")
-    more = keep(cells.groupBy("key", "i", "j").applyInPandas(_links_in_cell(shingle, percent), "u bigint, v bigint"), "more-links")
-    star = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = components(star.unionByName(more)) if not more.isEmpty() else first
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (``a``, ``b``) of class ids: the estimate on registers first, whole texts of what is left."""
+        side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("regs").alias(f"{s}_regs"))
+        likely = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = _estimated(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_regs", "b_regs"), percent)
+        body = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"{s}_text"))
+        likely = likely.join(body("a"), "a").join(body("b"), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a_text", "b_text")
+        return keep(_verified(likely, shingle, percent), "links")
+
+    links = compared(members.filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    final = components(links)
+    star = lambda found: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    wide = members.filter("m > 2").select("key", "id")
+    wide, done = _mixed(wide, final), [members, links]
+    for turn in range(TURNS):
+        if wide is None:
+            break
+        done.append(wide)
+        # one more leader for every bucket that is not one component, from outside of its largest one
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")
+        leaders = wide.filter("component <> major").groupBy("key").agg(F.min(order).alias("l"))
+        leaders = keep(leaders.select("key", F.col("l.id").alias("b"), F.col("l.component").alias("other")), "leaders")
+        links = compared(wide.join(leaders, "key").filter("component <> other").select(F.col("id").alias("a"), "b"))
+        done += [leaders, links]
+        if not links.isEmpty():
+            final = components(star(final).unionByName(links))
+        wide = _mixed(wide.select("key", "id"), final)
+    if wide is not None:
+        done.append(wide)
+        more = _linked_in_cells(wide, texts, shingle, percent)
+        done.append(more)
+        if not more.isEmpty():
+            final = components(star(final).unionByName(more))
+    for table in (*done, texts):
+        discard(table)
 
     named = made.select("doc_id", "n_shingles", "set_key").join(
         classes.select("set_key", F.col("id").alias("class_id")), "set_key", "left"
