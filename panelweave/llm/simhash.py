@@ -239,7 +239,8 @@ def linked_components(values: DataFrame, most: int = 4) -> DataFrame:
     mixed = members.groupBy("start", "bits").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
     )
-    mixed = mixed.filter("lo < hi").select("start", "bits", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("blocks"))
+    # written, so that its size is known: a short list is broadcast and the members of a hot key stay where they are
+    mixed = keep(mixed.filter("lo < hi").select("start", "bits", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("blocks")), "mixed")
     cells = members.join(mixed, ["start", "bits"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     same = F.col("block") == F.col("other")
@@ -251,7 +252,7 @@ def linked_components(values: DataFrame, most: int = 4) -> DataFrame:
     more = keep(cells.mapInArrow(_forest(most), "u bigint, v bigint"), "more-links")
     star = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = first if more.isEmpty() else keep(components(star.unionByName(more)), "components")
-    for table in (placed, members, more, *([] if final is first else [first])):
+    for table in (placed, members, mixed, more, *([] if final is first else [first])):
         discard(table)
     return final
 
