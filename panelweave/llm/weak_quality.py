@@ -204,7 +204,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The label model from the vote patterns of all documents, and the scorer from a bounded sample of them.
 
     Votes are counted per pattern (3 to the power of the labellers at most) before they reach the driver. The sample is the
-    documents whose hash of the id falls under a threshold, ``train_rows`` of them on average.
+    documents whose hash of id and text falls under a threshold, ``train_rows`` of them on average.
     """
     ship(docs.sparkSession)
     votes = keep(vote_table(docs).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "votes").collect()
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.binary()), pa.array(value, pa.binary()), pa.array(junk, pa.float64())], names=["i", "v", "junk"])
 
     share = min(1.0, train_rows / total)
-    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    # by the text too: ids may be missing, few or all the same
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = _slim(docs).filter(drawn).mapInArrow(run, "i binary, v binary, junk double").limit(2 * train_rows).collect()
     rows = [(np.frombuffer(r.i, np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(np.float64)) for r in sample]
     return QualityModel(labels, fit_scorer(rows, np.array([r.junk for r in sample])))

@@ -79,6 +79,14 @@ def test_stages_keep_the_columns(odd, empty, name):
     assert out.columns == odd.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in odd.collect()}
 
 
+def test_quality_learns_from_rows_without_ids(spark, docs):
+    """The sample is drawn by the text too: null or equal ids neither take all rows nor none."""
+    model = weak_quality.fit(docs.withColumn("doc_id", F.lit(None).cast("bigint")), train_rows=60)
+    assert np.any(model.weights != 0)
+    kept = weak_quality.sound_documents(docs.withColumn("doc_id", F.lit(7).cast("bigint")), model).count()
+    assert 0.3 * docs.count() < kept <= docs.count()
+
+
 # --- exact duplicates -----------------------------------------------------------------------------------------------------
 
 
