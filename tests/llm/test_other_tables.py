@@ -308,6 +308,8 @@ def brute_top(rows, k):
 def test_search_against_all_pairs(spark, monkeypatch, cell):
     monkeypatch.setattr(topk_search, "CELL_ROWS", cell)
     monkeypatch.setattr(topk_search, "CELL_QUERIES", max(4, cell // 10))
+    monkeypatch.setattr(topk_search, "SEEDS", cell)
+    monkeypatch.setattr(topk_search, "CLASSES", 2 if cell < 30 else 8)
     draw = np.random.Generator(np.random.PCG64(9))
     centres = draw.normal(size=(6, 48)) * 2
     rows = [(i, [float(x) for x in (centres[i % 6] + draw.normal(size=48) * 0.3).astype(np.float32)]) for i in range(400)]
@@ -336,6 +338,23 @@ def test_search_takes_every_vector_of_a_repeated_id(spark):
         assert sorted(got) == sorted(wanted)
 
 
+def test_queries_skip_classes_that_cannot_reach_their_floor(spark, monkeypatch):
+    """Rows of very different lengths: the short classes are not met, and the result is whole."""
+    monkeypatch.setattr(topk_search, "SEEDS", 60)
+    draw = np.random.Generator(np.random.PCG64(12))
+    scale = np.where(np.arange(600) % 10 == 0, 100.0, 0.5)
+    rows = [(i, [float(x) for x in np.abs(draw.normal(size=16)) * scale[i]]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in topk_search.top_k(frame, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_top(rows, 20)
+    floors = np.array([got[0][-1][1]], dtype=float)
+    vectors = np.floor(64 * np.array([v for _, v in rows]))
+    short = list(topk_search.search(np.array([0]), vectors[:1], np.arange(1, 600)[scale[1:] < 1], vectors[1:][scale[1:] < 1], 20, floors))
+    assert len(short[0][1]) == 0
+
+
 def test_search_beyond_exact_doubles():
     rows = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**40), 5.0]])
     found = list(topk_search.search(np.array([0]), rows[:1], np.array([0, 1, 2]), rows, 2))
