@@ -50,7 +50,8 @@ def exact_median(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str
     A mergeable quantile sketch of bounded size first gives two values with the middle ranks between them. The second scan
     counts the rows below the first one and, per distinct value, those between the two: about four in ``ACCURACY`` and what
     ties with them, combined in each task. The middle is looked up among these by running counts. That the ranks do lie
-    between is checked, so a wrong sketch is an error and never a wrong median. Rows of a missing group have no result.
+    between is checked, so a wrong sketch is an error and never a wrong median. Rows of a missing group have no result;
+    a table without present values has a missing median.
     """
     by, margin = list(by), 2.0 / ACCURACY
     rows = df.filter(F.col(value).isNotNull()).dropna(subset=by).select(*by, F.col(value).alias("_v"))
@@ -73,8 +74,9 @@ def exact_median(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str
         F.max(F.when(first, F.col("_v"))).alias("_low"), F.max(F.when(second, F.col("_v"))).alias("_high"), F.max("_n").alias("_n")
     )
     middle = (F.col("_low") + F.col("_high")) / F.lit(2.0)
-    checked = F.when(middle.isNotNull(), middle).otherwise(F.raise_error(F.lit("the sketch does not hold the middle rank")))
-    return picked.filter(F.col("_n").isNotNull()).select(*by, checked.alias(name))
+    missed = F.col("_n").isNotNull() & middle.isNull()
+    checked = F.when(missed, F.raise_error(F.lit("the sketch does not hold the middle rank"))).otherwise(middle)
+    return picked.select(*by, checked.alias(name))
 
 
 def percentile_rank(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ def test_exact_medians_of_groups(spark, monkeypatch, shape):
         monkeypatch.setattr(O, "ACCURACY", accuracy)
         assert {r.g: r.median for r in O.exact_median(df, "x", by=["g"]).collect()} == want
         assert O.exact_median(df, "x", name="m").first().m == statistics.median(x for _, x in rows if x is not None)
-    assert O.exact_median(df.filter("false"), "x").collect() == [] and O.exact_median(df.filter("false"), "x", by=["g"]).collect() == []
+    assert [r.median for r in O.exact_median(df.filter("false"), "x").collect()] == [None] and O.exact_median(df.filter("false"), "x", by=["g"]).collect() == []
 
 
 def test_a_median_is_two_scans_without_a_sort_of_the_rows(spark, tmp_path):
