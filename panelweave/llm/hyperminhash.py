@@ -98,13 +98,19 @@ def _verified(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _links_in_cell(shingle: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Links between members of different components in one cell of a bucket: a forest, so never more than members."""
-        frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side", "text"]).reset_index(drop=True)
+        frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side", "text", "regs"]).reset_index(drop=True)
         if frame["component"].nunique() < 2:
             return pd.DataFrame([], columns=["u", "v"], dtype="int64")
-        words = sketches.WordHashes()
-        sets = [sketches.shingle_set(t, shingle, words) for t in frame["text"]]
-        regs = np.stack([sketches.registers(s) for s in sets])
-        n = np.array([len(s) for s in sets], dtype=np.int64)
+        words, texts, sets = sketches.WordHashes(), frame["text"].tolist(), {}
+
+        def whole(at: int) -> np.ndarray:
+            """The shingle set of a member, made only for those that an estimate cannot tell apart."""
+            if at not in sets:
+                sets[at] = sketches.shingle_set(texts[at], shingle, words)
+            return sets[at]
+
+        regs = np.frombuffer(b"".join(frame["regs"]), dtype=np.uint16).reshape(len(frame), -1)
+        n = frame["n"].to_numpy(dtype=np.int64)
         group, side, ids = frame["component"].to_numpy().copy(), frame["side"].to_numpy(), frame["id"].to_numpy()
         diagonal = bool(frame["diagonal"].iloc[0])
         found = []
@@ -114,7 +120,7 @@ def _links_in_cell(shingle: int, percent: int):
             if len(others):
                 others = others[_plausible(regs[others], regs[x], n[others], n[x], percent)]
             for y in others:
-                if group[y] != group[x] and sketches.overlap_linked(sets[x], sets[y], percent):
+                if group[y] != group[x] and sketches.overlap_linked(whole(x), whole(y), percent):
                     found.append((ids[x], ids[y]))
                     group[group == group[y]] = group[x]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -137,7 +143,7 @@ def _mixed(wide: DataFrame, found: DataFrame) -> DataFrame | None:
     return out
 
 
-def _linked_in_cells(wide: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked_in_cells(wide: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between the components of buckets, from cells of bounded size that give back forests.
 
     A member of the largest component of its bucket is compared with the members of the others only, so a bucket of one large
@@ -157,7 +163,8 @@ def _linked_in_cells(wide: DataFrame, texts: DataFrame, shingle: int, percent: i
     across = F.transform(spread("of_large"), lambda i: cell(i, -1 - own, F.lit(1), no))
     among = F.transform(spread("of_rest"), lambda j: cell(F.least(own, j), F.greatest(own, j), own > j, own == j))
     cells = placed.select("key", "id", "component", F.inline(F.when(F.col("large"), beside).otherwise(F.concat(across, among))))
-    cells = cells.join(texts.select("id", "text"), "id")
+    # registers come along, so that only the texts of pairs that pass the estimate are cut into shingles
+    cells = cells.join(classes.select("id", "n", "regs"), "id").join(texts.select("id", "text"), "id")
     more = keep(cells.groupBy("key", "i", "j").applyInPandas(_links_in_cell(shingle, percent), "u bigint, v bigint"), "more-links")
     discard(counts)
     return more
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         wide = _mixed(wide.select("key", "id"), final)
     if wide is not None:
         done.append(wide)
-        more = _linked_in_cells(wide, texts, shingle, percent)
+        more = _linked_in_cells(wide, classes, texts, shingle, percent)
         done.append(more)
         if not more.isEmpty():
             final = components(star(final).unionByName(more))
