@@ -184,20 +184,21 @@ PARAMETERS = {
     "uncertainty_multiplier_high": 1.5,
 }
 
-# Terms of the relative rate change by scenario code: (code, parameter, parameter or None, weight).
+# Terms of the relative rate change by scenario code: (code, parameter, parameter or None, scale, weight);
+# the scale turns an effect per ten points into one per unit.
 FACTOR_TERMS = [
-    ("A", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0),
-    ("A", "face_to_face_change", "fertility_effect_social_per_hour", 0.5),
-    ("B", "digital_social_growth", "fertility_effect_social_per_hour", 1.0),
-    ("B", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 0.25),
-    ("C", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0),
-    ("C", "digital_social_growth", "fertility_effect_social_per_hour", 0.25),
-    ("D", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0),
-    ("D", "gendered_care_penalty", None, -1.0),
-    ("D", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0),
-    ("E", "remote_work_growth", "fertility_effect_remote_per_10pp", 6.5),
-    ("E", "digital_social_growth", "fertility_effect_social_per_hour", 0.35),
-    ("E", "gendered_care_penalty", None, -0.25),
+    ("A", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0, 1.0),
+    ("A", "face_to_face_change", "fertility_effect_social_per_hour", 1.0, 0.5),
+    ("B", "digital_social_growth", "fertility_effect_social_per_hour", 1.0, 1.0),
+    ("B", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0, 0.25),
+    ("C", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0, 1.0),
+    ("C", "digital_social_growth", "fertility_effect_social_per_hour", 1.0, 0.25),
+    ("D", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0, 1.0),
+    ("D", "gendered_care_penalty", None, 1.0, -1.0),
+    ("D", "digital_distraction_growth", "fertility_effect_distraction_per_hour", 1.0, 1.0),
+    ("E", "remote_work_growth", "fertility_effect_remote_per_10pp", 10.0, 0.65),
+    ("E", "digital_social_growth", "fertility_effect_social_per_hour", 1.0, 0.35),
+    ("E", "gendered_care_penalty", None, 1.0, -0.25),
 ]
 
 # Decay, bounds, tolerances, anchors, thresholds.
