@@ -95,13 +95,17 @@ def _verified(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
-def _links_in_cell(shingle: int, percent: int):
+def _links_in_cells(shingle: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links between members of different components in one cell of a bucket: a forest, so never more than members."""
-        frame = frame.sort_values("id", kind="stable").drop_duplicates(["id", "side", "text", "regs"]).reset_index(drop=True)
-        if frame["component"].nunique() < 2:
-            return pd.DataFrame([], columns=["u", "v"], dtype="int64")
-        words, texts, sets = sketches.WordHashes(), frame["text"].tolist(), {}
+        """Links between members of different components in each cell of a pack: a forest per cell, so never more than members.
+
+        The cells of a pack are told apart by number in one pass, since most buckets have a handful of members.
+        """
+        frame = frame.sort_values(["key", "i", "j", "id"], kind="stable").reset_index(drop=True)
+        words, texts, sets, found = sketches.WordHashes(), frame["text"].tolist(), {}, []
+        columns = ("key", "i", "j", "id", "component", "side", "n", "diagonal")
+        key, i, j, ids, group, side, n, diagonal = (frame[c].to_numpy() for c in columns)
+        regs, group = np.frombuffer(b"".join(frame["regs"]), dtype=np.uint16).reshape(len(frame), -1), group.copy()
 
         def whole(at: int) -> np.ndarray:
             """The shingle set of a member, made only for those that an estimate cannot tell apart."""
@@ -109,20 +113,22 @@ def _links_in_cell(shingle: int, percent: int):
                 sets[at] = sketches.shingle_set(texts[at], shingle, words)
             return sets[at]
 
-        regs = np.frombuffer(b"".join(frame["regs"]), dtype=np.uint16).reshape(len(frame), -1)
-        n = frame["n"].to_numpy(dtype=np.int64)
-        group, side, ids = frame["component"].to_numpy().copy(), frame["side"].to_numpy(), frame["id"].to_numpy()
-        diagonal = bool(frame["diagonal"].iloc[0])
-        found = []
-        for x in range(len(frame)) if diagonal else np.flatnonzero(side == 1):
-            others = np.arange(x) if diagonal else np.flatnonzero(side == 0)
-            others = others[group[others] != group[x]]
-            if len(others):
-                others = others[_plausible(regs[others], regs[x], n[others], n[x], percent)]
-            for y in others:
-                if group[y] != group[x] and sketches.overlap_linked(whole(x), whole(y), percent):
-                    found.append((ids[x], ids[y]))
-                    group[group == group[y]] = group[x]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        starts = np.flatnonzero(new)
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)]):
+            sets.clear()
+            here = np.arange(first, end)
+            asking, asked = (here, here) if diagonal[first] else (here[side[first:end] == 1], here[side[first:end] == 0])
+            for x in asking:
+                others = asked[asked < x] if diagonal[first] else asked
+                others = others[group[others] != group[x]]
+                if len(others):
+                    others = others[_plausible(regs[others], regs[x], n[others], n[x], percent)]
+                for y in others:
+                    if group[y] != group[x] and sketches.overlap_linked(whole(x), whole(y), percent):
+                        found.append((ids[x], ids[y]))
+                        own = group[first:end]  # a view
+                        own[own == group[y]] = group[x]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return run
@@ -165,7 +171,11 @@ def _linked_in_cells(wide: DataFrame, classes: DataFrame, texts: DataFrame, shin
     cells = placed.select("key", "id", "component", F.inline(F.when(F.col("large"), beside).otherwise(F.concat(across, among))))
     # registers come along, so that only the texts of pairs that pass the estimate are cut into shingles
     cells = cells.join(classes.select("id", "n", "regs"), "id").join(texts.select("id", "text"), "id")
-    more = keep(cells.groupBy("key", "i", "j").applyInPandas(_links_in_cell(shingle, percent), "u bigint, v bigint"), "more-links")
+    # small cells share a group: about as many rows and bytes together as one full cell
+    rows, size = wide.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    packs = 1 + rows // BLOCK_ROWS + size // BLOCK_BYTES
+    cells = cells.withColumn("pack", F.pmod(F.xxhash64("key", "i", "j"), F.lit(packs)))
+    more = keep(cells.groupBy("pack").applyInPandas(_links_in_cells(shingle, percent), "u bigint, v bigint"), "more-links")
     discard(counts)
     return more
 
