@@ -13,27 +13,25 @@ BUCKETS = 256  # the top 8 bits of a shingle's hash choose the bucket
 MANTISSA_BITS = 10
 EMPTY = np.uint16(0xFFFF)
 COLLISION_RATE = 0.169919487159739  # fixed value: published constant of the expected accidental register collisions
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound and the words of one text."""
 
     LIMIT = 300_000
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, words))
         try:
-            return np.array(found, dtype=np.uint64)
-        except TypeError:  # some are not known yet
-            new = {w: xxhash.xxh3_64_intdigest(w) for w in {w for w, h in zip(words, found) if h is None}}
-            if len(self.known) + len(new) > self.LIMIT:
+            found = b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # some are not known yet
+            if len(self.known) > self.LIMIT:
                 self.known.clear()
-            self.known.update(new)
-            return np.array([new[w] if h is None else h for w, h in zip(words, found)], dtype=np.uint64)
+            self.known.update({w: xxhash.xxh3_64_digest(w) for w in set(words) if w not in self.known})
+            found = b"".join(map(self.known.__getitem__, words))
+        return np.frombuffer(found, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +41,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(maxsize=None)
+def _factor(place: int) -> np.uint64:
+    """An odd number for each place of a word in a shingle."""
+    return np.uint64(xxhash.xxh3_64_intdigest(b"place", seed=place) | 1)
+
+
 def shingle_set(text: bytes | None, size: int, words: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text.
 
@@ -54,11 +58,15 @@ def shingle_set(text: bytes | None, size: int, words: WordHashes) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     h = words.of(tokens)
     span = min(size, len(h))
-    total = np.zeros(len(h) - span + 1, dtype=np.uint64)
-    for i in range(span):
-        total += mix(h[i : i + len(total)] + _ODD[i % len(_ODD)]) * _ODD[(i + 1) % len(_ODD)]
-        total = mix(total)
-    return np.unique(total + np.uint64(span))
+    # the words' hashes are random already: every place has its own odd factor, and the sum is scrambled once
+    total = h[: len(h) - span + 1] * _factor(0)
+    for i in range(1, span):
+        total += h[i : i + len(total)] * _factor(i)
+    total = mix(total + np.uint64(span))
+    total.sort()
+    new = np.empty(len(total), dtype=bool)
+    new[0], new[1:] = True, total[1:] != total[:-1]
+    return total[new]
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
