@@ -239,3 +239,17 @@ def test_profile(spark, town_panel):
     assert ("level_lag1", "double", "lagged feature", 24) in got and ("level", "double", "modelled value", 27) in got
     numeric, cats = M.feature_columns(df.withColumn("empty", F.lit(None).cast("double")), ["level", "empty", "absent", "level"], ["entity", "x"])
     assert (numeric, cats) == (["level"], ["entity"])
+
+
+def test_noisy_later_years_are_no_error(spark):
+    """Trees fit the train rows and miss later, independent values by more than their spread; trees off their own train rows are an error."""
+    from panelweave.bindings.modelling import checked_errors
+
+    rows = [("tree_gradient_boosting", "train", float(i), i + 0.1) for i in range(4)]
+    rows += [("tree_gradient_boosting", "validation", a, p) for a, p in ((1.0, 9.0), (2.0, -9.0))]
+    schema = "model_name string, split string, actual double, predicted double"
+    got = checked_errors(spark.createDataFrame(rows, schema), ["tree_gradient_boosting"])
+    assert rows_of(got, "split", "n", "rmse") == [("train", 4, None), ("validation", 2, None)]
+    off = spark.createDataFrame([(m, s, a, 3.0 - 3 * a) for m, s, a, _ in rows[:4]], schema)
+    with pytest.raises(Exception, match="not sound on train"):
+        checked_errors(off, ["tree_gradient_boosting"]).collect()
