@@ -58,7 +58,8 @@ def exact_median(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str
     marks = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY)
     sketch = rows.groupBy(*by).agg(marks.alias("_m"), F.count(F.lit(1)).alias("_n"))
     if by:
-        placed = rows.join(sketch, by)
+        # written, so that its size is known: few groups are broadcast, and no task gets all rows of a group to sort
+        placed = rows.join(materialize(sketch), by)
     else:
         whole = sketch.select(F.struct("_m", "_n").alias("s")).scalar()
         placed = rows.withColumn("_s", whole).select("_v", "_s.*")

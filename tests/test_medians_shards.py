@@ -98,3 +98,10 @@ def test_a_document_that_reaches_the_limit_alone_is_an_error(spark):
         PB.assign_shards(documents(spark, [5, 100]), "id", limit=100).collect()
     assert PB.assign_shards(documents(spark, [5, 99]), "id", limit=100).count() == 2
     assert PB.FILE_LIMIT == 50 * 1024 * 1024
+
+
+def test_groups_of_a_median_are_not_gathered(spark):
+    """Few groups are broadcast as soon as the plan is made, so no task sorts all rows of a group."""
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    plan = O.exact_median(df, "x", by=["g"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
