@@ -1,4 +1,4 @@
-"""A Spark data source for landed JSON documents: one partition per file, only the wanted columns, files chosen by their path.
+"""A Spark data source for landed JSON documents: whole files, many small ones to a partition, only the wanted columns, files chosen by their path.
 
     register(spark)
     spark.read.format("landed_files").schema("place string, value double, source_year int")
@@ -40,6 +40,8 @@ from pyspark.sql.types import StructType
 
 ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 ROWS_AT_ONCE = 10_000
+# Up to so many files are a partition each. More share partitions: of so many bytes, a file counting as its size and what opening costs.
+FILES_ALONE, PART_BYTES, OPEN_BYTES = 64, 16 << 20, 256 << 10
 _COMPARE = {
     EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b,
     LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b,
@@ -56,10 +58,12 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-class LandedFile(InputPartition):
-    def __init__(self, path: str, found: dict[str, object]):
-        super().__init__(path)
-        self.path, self.found = path, found
+class LandedPart(InputPartition):
+    """Files as (path, values of the columns that come from it)."""
+
+    def __init__(self, files: list[tuple[str, dict[str, object]]]):
+        super().__init__(files[0][0] if files else None)
+        self.files = files
 
 
 class LandedFiles(DataSource):
@@ -102,10 +106,11 @@ class LandedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """One per file; an empty choice is one partition without a file, since Spark asks for at least one."""
+        """Files in the order of their paths; an empty choice is one partition without a file, since Spark asks for at least one."""
         system, root = fs.FileSystem.from_uri(self.folder)
         entries = system.get_file_info(fs.FileSelector(root, recursive=True))
-        parts: list[InputPartition] = []
+        files: list[tuple[str, dict[str, object]]] = []
+        costs: list[int] = []
         for entry in sorted(entries, key=lambda e: e.path):
             below = entry.path.removeprefix(root).lstrip("/")
             match = self.pattern.search(below)
@@ -113,29 +118,41 @@ class LandedReader(DataSourceReader):
             if entry.type == fs.FileType.File and match and not hidden:
                 found = {c: self._typed(c, match[c]) for c in self.from_path}
                 if all(found[c] is not None and _COMPARE[kind](found[c], value) for c, kind, value in self.chosen):
-                    parts.append(LandedFile(entry.path, found))
-        return parts or [InputPartition(None)]
+                    files.append((entry.path, found))
+                    costs.append((entry.size or 0) + OPEN_BYTES)
+        if len(files) <= FILES_ALONE:
+            return [LandedPart([f]) for f in files] or [LandedPart([])]
+        room, parts, used = min(PART_BYTES, -(-sum(costs) // FILES_ALONE)), [[]], 0
+        for file, cost in zip(files, costs):
+            if parts[-1] and used + cost > room:
+                parts.append([])
+                used = 0
+            parts[-1].append(file)
+            used += cost
+        return [LandedPart(p) for p in parts]
 
     def _typed(self, column: str, text: str | None) -> object:
         if text is None or self.columns[column] == pa.string():
             return text
         return float(text) if pa.types.is_floating(self.columns[column]) else int(text)
 
-    # --- reading, one task per file ---------------------------------------------------------------------
+    # --- reading, file after file -----------------------------------------------------------------------
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, LandedFile):
-            return
         system, _ = fs.FileSystem.from_uri(self.folder)
-        with system.open_input_stream(partition.path) as stream:
+        for path, found in partition.files:
+            yield from self._document(system, path, found)
+
+    def _document(self, system: fs.FileSystem, path: str, found: dict[str, object]) -> Iterator[pa.RecordBatch]:
+        with system.open_input_stream(path) as stream:
             text = stream.read().decode("utf-8")
         try:
             document = json.loads(self._body(text))
             rows, getters = self._rows(document)
             for at in range(0, len(rows), ROWS_AT_ONCE):
-                yield self._batch(rows[at : at + ROWS_AT_ONCE], getters, partition.found)
+                yield self._batch(rows[at : at + ROWS_AT_ONCE], getters, found)
         except (ValueError, TypeError, KeyError, IndexError, AttributeError, pa.ArrowException) as error:
-            raise DocumentError(f"{partition.path} holds no document of the form {self.form}: {error}") from error
+            raise DocumentError(f"{path} holds no document of the form {self.form}: {error}") from error
 
     def _body(self, text: str) -> str:
         if self.variable is None:

@@ -75,3 +75,12 @@ def test_a_schema_is_needed_and_plain(spark, reader, tmp_path):
     with pytest.raises(Exception, match="columns of plain types only, not v"):
         reader("v array<int>").load(path).collect()
     assert issubclass(DocumentError, ValueError)
+
+
+def test_many_small_files_share_partitions(reader, tmp_path):
+    """Rows and values from the path are the same; the number of tasks does not follow the number of files."""
+    path = put(tmp_path / "m", {f"year={y}/{i:04}.json": {"rows": [{"v": 1000 * y + i}]} for y in range(2) for i in range(300)})
+    found = reader("v bigint, year int", form="records", files=r"year=(?P<year>\d+)/").load(path)
+    assert found.rdd.getNumPartitions() <= 100
+    assert rows_of(found) == sorted([(1000 * y + i, y) for y in range(2) for i in range(300)], key=repr)
+    assert rows_of(found.filter("year = 1")) == sorted([(1000 + i, 1) for i in range(300)], key=repr)
