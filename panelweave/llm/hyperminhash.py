@@ -16,6 +16,7 @@ from .store import discard, keep, ship
 
 ROWS, BANDS = 6, 42  # a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42 < 3e-6
 SURE = 5.5  # standard errors below the threshold at which an estimate rules a pair out
+ORDERS = 4  # of ids, by which buckets choose their leaders: large groups have a few leaders and not one for every bucket
 TURNS = 2  # further leaders of buckets that hold several components
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20  # size of one side of a cell in which members of a bucket are compared
 
@@ -54,6 +55,18 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", "regs").mapInArrow(run, "key bigint, id bigint")
 
 
+def _led(bands: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``leader``, ``m`` (its number of members) of the buckets with several ids.
+
+    The leader is the first in one of ``ORDERS`` orders, chosen by the key. Members that meet in many buckets so meet the same
+    leaders again and are few pairs, while leaders still differ enough to find what a single one would not.
+    """
+    salt = F.xxhash64(F.pmod("key", F.lit(ORDERS)))
+    mask = F.col("id").bitwiseXOR(salt)
+    buckets = bands.groupBy("key").agg(F.min(mask).alias("lo"), F.max(mask).alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    return bands.join(buckets.select("key", F.col("lo").bitwiseXOR(salt).alias("leader"), "m"), "key")
+
+
 def _margin(used: np.ndarray, threshold: float) -> np.ndarray:
     return SURE * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
 
@@ -189,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     1. Every text becomes a HyperMinHash sketch: in each of 256 buckets the leading-zero count and 10 mantissa bits of the
        smallest hash. Texts with the same set (128-bit digest) form a class, whose smallest doc_id stands for all.
     2. Registers are cut into 42 bands of 6 (an empty register borrows from an occupied one). Classes that share a band are
-       a bucket. Each bucket has one leader, drawn by its key; leader-member pairs pass the collision-corrected estimate,
+       a bucket. Each bucket has one leader, drawn in one of a few orders; leader-member pairs pass the collision-corrected estimate,
        then the check on the whole sets. Their components come from alternating stars.
     3. Buckets that still hold several components get further leaders, one a turn, from outside of their largest component.
        What then stays apart is compared across components in cells of bounded size, the largest component only with the
@@ -206,9 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "classes"
     )
     bands = _bands(classes)
-    mask = F.col("id").bitwiseXOR(F.col("key"))  # a bucket's own order of ids
-    buckets = bands.groupBy("key").agg(F.min(mask).alias("lo"), F.max(mask).alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    members = keep(bands.join(buckets.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("leader"), "m"), "key"), "buckets")
+    members = keep(_led(bands), "buckets")
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
     involved = members.select("id").distinct()

@@ -493,3 +493,15 @@ def test_query_equals_its_twin(spark, name):
     sides = check_queries.ordered(df.columns, [tuple(r) for r in df.collect()]), check_queries.ordered([d[0] for d in cursor.description], cursor.fetchall())
     assert sides[0][0] == sides[1][0] and len(sides[0][1]) == len(sides[1][1]) > 0
     assert all(check_queries.near(x, y) for a, b in zip(sides[0][1], sides[1][1]) for x, y in zip(a, b))
+
+
+def test_large_groups_have_few_leaders(spark):
+    """Two hundred classes that meet in each of 42 buckets are compared with a few leaders, not with one for every bucket."""
+    keys = [(i * 0x9E3779B97F4A7C15) % 2**62 - 2**61 for i in range(42)]
+    bands = spark.createDataFrame([(k, i) for k in keys for i in range(200)], "key bigint, id bigint")
+    led = hyperminhash._led(bands)
+    assert led.count() == 42 * 200 and led.agg(F.min("m"), F.max("m")).first() == (200, 200)
+    assert led.groupBy("key").agg(F.count_distinct("leader").alias("n")).filter("n <> 1").isEmpty()
+    assert led.select("id", "leader").distinct().count() <= hyperminhash.ORDERS * 200
+    lone = spark.createDataFrame([(1, 5)], "key bigint, id bigint")
+    assert hyperminhash._led(lone).isEmpty()
