@@ -113,24 +113,28 @@ def two_pass_join(
 ) -> DataFrame:
     """Join by id; rows with no id match are joined again by a text key; all left rows are kept.
 
-    ``matched_by`` says which pass found the partner. Only rows that are still open go on to the second pass, and rows with
-    a missing key, which cannot match, go to no shuffle at all.
+    ``matched_by`` says which pass found the partner. Both passes are left joins in one chain, so the left rows are made once.
+    Rows that have nothing to look for in a pass, as their key is missing or a partner was found before, carry a salt as
+    one more key: they match nothing and spread over all tasks.
     """
     present = lambda keys: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    none = lambda df: df.select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(None).cast("string").alias("matched_by"))
-
-    def matched(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-        partners = right.filter(present(keys)).select(*keys, *[F.col(v).alias(f"_p_{v}") for v in values]).distinct().withColumn("_hit", F.lit(True))
-        joined = df.filter(present(keys)).join(partners, list(keys), "left")
-        found = [F.col(f"_p_{v}").alias(v) for v in values]
-        return joined.select(*left.columns, *found, F.when(F.col("_hit"), F.lit(label)).alias("matched_by"))
-
-    first = matched(left, first_keys, "id")
-    still_open = first.filter("matched_by IS NULL").select(left.columns).unionByName(left.filter(~present(first_keys)))
-    second = matched(still_open, second_keys, "text")
+    hashable = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(4096)).cast("int") + 1
+
+    def attach(df: DataFrame, keys: Sequence[str], wanted: Column, mark: str) -> DataFrame:
+        own = [F.col(k).alias(f"{mark}_k{i}") for i, k in enumerate(keys)]
+        found = [F.col(v).alias(f"{mark}_v{i}") for i, v in enumerate(values)]
+        partners = right.filter(present(keys)).select(*own, *found).distinct().withColumn(mark, F.lit(0))
+        salted = df.withColumn(f"{mark}_salt", F.when(wanted, F.lit(0)).otherwise(spread))
+        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{mark}_k{i}") for i, k in enumerate(keys)])
+        return salted.join(partners, same & (F.col(f"{mark}_salt") == F.col(mark)), "left")
+
+    first = attach(left, first_keys, present(first_keys), "_id")
+    both = attach(first, second_keys, F.col("_id").isNull() & present(second_keys), "_text")
+    found = [F.when(F.col("_id").isNotNull(), F.col(f"_id_v{i}")).otherwise(F.col(f"_text_v{i}")).alias(v) for i, v in enumerate(values)]
     # a text partner without a value is no match
-    second = second.withColumn("matched_by", F.when(F.col(values[0]).isNotNull(), F.col("matched_by")))
-    return first.filter("matched_by IS NOT NULL").unionByName(second).unionByName(none(still_open.filter(~present(second_keys))))
+    by = F.when(F.col("_id").isNotNull(), F.lit("id")).when(F.col("_text_v0").isNotNull(), F.lit("text"))
+    return both.select(*left.columns, *found, by.alias("matched_by"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -288,10 +292,13 @@ def enrich_from_entity(records: DataFrame, entities: DataFrame, key: str, fields
 
 
 def rollup_join(base: DataFrame, rollups: Mapping[str, DataFrame], key: str, *, separator: str = "; ") -> DataFrame:
-    """Left-join pre-aggregated text per label and list the labels a row has none of."""
+    """Left-join pre-aggregated text per label and list the labels a row has none of.
+
+    A roll-up has one row per key, so it is hashed per partition and the rows, which may be many more, are not sorted.
+    """
     out = base
     for label, frame in rollups.items():
-        out = out.join(frame.select(key, label), key, "left")
+        out = out.join(frame.select(key, label).hint("shuffle_hash"), key, "left")
     gaps = F.array_join(
         F.array_compact(F.array(*[F.when(F.col(label).isNull(), F.lit(label)) for label in rollups])), separator
     )

@@ -40,6 +40,22 @@ def test_two_pass_keeps_every_left_row(spark):
     )
 
 
+def test_two_pass_reads_the_left_rows_once(spark, tmp_path):
+    """One scan of the left rows and one per set of partners; missing keys, map columns and missing values change no row."""
+    rows = [(1, "A", "T1"), (2, "A", "T2"), (2, "A", "T2"), (3, None, "T1"), (None, "A", "T2"), (None, None, None), (5, "A", "T5"), (6, "B", None)]
+    spark.createDataFrame(rows, "id int, k string, text string").withColumn("m", F.create_map(F.lit("x"), F.col("id"))).write.parquet(f"{tmp_path}/l")
+    partners = [(1, "A", "X", "d1"), (1, "A", "X", "d1"), (9, "A", "T2", "d3"), (8, "A", "T2", "d4"), (7, "A", "T5", None), (None, "A", "T1", "d5"), (6, "B", "Z", None)]
+    spark.createDataFrame(partners, "id int, k string, text string, d string").write.parquet(f"{tmp_path}/r")
+    left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+    out = J.two_pass_join(left, right, first_keys=["k", "id"], second_keys=["k", "text"], values=["d"])
+    assert out.columns == ["id", "k", "text", "m", "d", "matched_by"]
+    assert rows_of(out, "id", "k", "d", "matched_by") == sorted(
+        [(1, "A", "d1", "id"), *[(2, "A", "d3", "text"), (2, "A", "d4", "text")] * 2, (3, None, None, None), (None, "A", "d3", "text"),
+         (None, "A", "d4", "text"), (None, None, None, None), (5, "A", None, None), (6, "B", None, "id")], key=repr
+    )
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 3
+
+
 def test_panels_base_wins_and_empty_frames_are_passed_over(spark):
     a = spark.createDataFrame([("x", 1, 10)], "e string, t int, v int")
     b = spark.createDataFrame([("x", 1, 99, 5)], "e string, t int, v int, w int")
