@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, row_mean
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from . import specs
 from .models import FittedModel, Stat, known_ahead
 
@@ -102,7 +102,7 @@ Compiled = CompiledLinear | CompiledTrees
 
 
 def node_table(model: GBTRegressionModel | RandomForestRegressionModel, spark: SparkSession) -> DataFrame:
-    """The nodes of a fitted ensemble as rows, from the files in which Spark keeps a model; nothing passes the driver."""
+    """The nodes of a fitted ensemble as rows, from the files in which Spark keeps a model; written once, for its many readers."""
     path = f"{checkpoint_dir(spark)}/panelweave/trees-{uuid.uuid4().hex}"
     model.write().save(path)
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight").select("tree", "weight")
@@ -117,7 +117,8 @@ def node_table(model: GBTRegressionModel | RandomForestRegressionModel, spark: S
         F.col("n.rightChild").alias("right"),
         F.col("n.prediction").alias("value"),
     )
-    return rows.join(weights.withColumn("weight", share), "tree").select("tree", "weight", "node", "feature", "threshold", "left", "right", "value")
+    joined = rows.join(weights.withColumn("weight", share), "tree")
+    return materialize(joined.select("tree", "weight", "node", "feature", "threshold", "left", "right", "value"))
 
 
 def compile_model(model: FittedModel) -> Compiled:
