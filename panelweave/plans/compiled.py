@@ -152,17 +152,19 @@ def descend(rows: DataFrame, keys: Sequence[str], model: CompiledTrees, column:
     """``keys`` and the score: every row walks down all trees at once, one equi-join with the node table per level.
 
     A row is one token per tree, (tree, node), which each join moves to a child; leaves stay. The node table has at most
-    trees * 2^(depth + 1) rows, however many rows are scored, so Spark decides by its size how to join. The sum over trees
-    combines in each task before its shuffle.
+    trees * 2^(depth + 1) rows, however many rows are scored, so it goes to the tasks, and the tokens, which are rows times
+    trees, meet it where they are made: only ``rows`` are shuffled, once, by the keys of the sum over trees.
     """
-    tokens = rows.select(*keys, model.vector(F.col).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(model.trees - 1))).alias("tree"))
-    tokens = tokens.withColumn("node", F.lit(0))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*keys, model.vector(F.col).alias("_x")).repartition(parts, *keys)
+    tokens = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(model.trees - 1)))).withColumn("node", F.lit(0))
+    inner_nodes = F.broadcast(model.nodes.select("tree", "node", "feature", "threshold", "left", "right"))
     for _ in range(model.depth):
-        inner = tokens.join(model.nodes, ["tree", "node"])
+        inner = tokens.join(inner_nodes, ["tree", "node"])
         child = F.when(F.get("_x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
         tokens = inner.select(*keys, "_x", "tree", F.when(F.col("feature") < 0, F.col("node")).otherwise(child).alias("node"))
-    ends = tokens.join(model.nodes.select("tree", "node", "weight", "value"), ["tree", "node"])
-    return ends.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("value")).alias(column))
+    ends = tokens.join(F.broadcast(model.nodes.select("tree", "node", (F.col("weight") * F.col("value")).alias("_part"))), ["tree", "node"])
+    return ends.groupBy(*keys).agg(F.sum("_part").alias(column))
 
 
 # --- recursion in one fold ----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave.operators.windows import lag_features, temporal_split
 from panelweave.plans import compiled as K
 from panelweave.plans import models as M
+from panelweave.session import materialize
 
 NUMERIC = ["level_lag1", "level_rolling3", "share", "watch"]
 
@@ -69,6 +70,35 @@ def test_rows_descend_the_node_table(rows, models, name):
         assert scored[r.entity, r.year] == pytest.approx(total, abs=1e-9)
 
 
+def test_descending_shuffles_rows_and_not_tokens(spark, rows, models):
+    """One shuffle, of the rows, however deep the trees are and however small a table Spark would broadcast by itself."""
+    compiled = K.compile_model(models["forest"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = K.descend(materialize(rows), ["entity", "year"], compiled, "q")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert compiled.depth > 1 and plan.count("BroadcastHashJoin") == compiled.depth + 1
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_the_node_table_is_written_once(models):
+    """Its readers scan one table; before, each of them joined the files of nodes and weights again."""
+    nodes = K.compile_model(models["forest"]).nodes
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and len(nodes.inputFiles()) >= 1
+
+
+def test_a_repeated_key_is_scored_once_for_all_its_rows(rows, models):
+    """Keys may repeat or be missing: the sum goes over all rows of a key, as a group of the key holds them."""
+    compiled = K.compile_model(models["boosted"])
+    one = {r.year: r.q for r in K.descend(rows.filter("entity = 'K1'"), ["entity", "year"], compiled, "q").collect()}
+    twice = rows.filter("entity = 'K1'").withColumn("entity", F.lit(None).cast("string"))
+    got = K.descend(twice.unionAll(twice), ["entity", "year"], compiled, "q").collect()
+    assert len(got) == len(one) and all(r.entity is None and r.q == pytest.approx(2 * one[r.year], abs=1e-9) for r in got)
+
+
 def future_of(panel, years):
     last = panel.filter("year = 2024").drop("year", "level", "load")
     grid = last.withColumn("year", F.explode(F.sequence(F.lit(2023), F.lit(2024 + years))))
