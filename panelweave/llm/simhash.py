@@ -198,6 +198,21 @@ def _forest(most: int):
     return run
 
 
+def led(values: DataFrame, most: int) -> DataFrame:
+    """``start``, ``bits``, ``fp``, ``own``, ``leader``: the members of every key, its leader left out, beside the leader.
+
+    There is a leader per key, several times the rows of ``values``, which Spark does not see: it gives an exploded table the
+    size of the table before. The merge hint keeps it from collecting the leaders on the driver for a broadcast.
+    """
+    own_rows = values.select("fp", F.explode(_own_keys(F.col("fp"), most)).alias("k"), F.lit(True).alias("own"))
+    visits = values.select("fp", F.explode(_visits(F.col("fp"), most)).alias("k"), F.lit(False).alias("own"))
+    own_rows, visits = (d.select("k.start", "k.bits", "fp", "own") for d in (own_rows, visits))
+    mix = F.xxhash64("fp", "start")
+    leaders = own_rows.groupBy("start", "bits").agg(F.min(F.struct(mix.alias("m"), F.col("fp").alias("leader"))).alias("x"))
+    leaders = leaders.select("start", "bits", "x.leader").hint("merge")
+    return own_rows.unionByName(visits).join(leaders, ["start", "bits"]).filter("fp <> leader")
+
+
 def linked_components(values: DataFrame, most: int = 4) -> DataFrame:
     """``node``, ``component`` for the distinct 64-bit ``fp`` of ``values`` that lie within ``most`` bits of another one.
 
@@ -213,14 +228,7 @@ def linked_components(values: DataFrame, most: int = 4) -> DataFrame:
     """
     spark = values.sparkSession
     ship(spark)
-    own_rows = values.select("fp", F.explode(_own_keys(F.col("fp"), most)).alias("k"), F.lit(True).alias("own"))
-    visits = values.select("fp", F.explode(_visits(F.col("fp"), most)).alias("k"), F.lit(False).alias("own"))
-    own_rows, visits = (d.select("k.start", "k.bits", "fp", "own") for d in (own_rows, visits))
-    mix = F.xxhash64("fp", "start")
-    leaders = own_rows.groupBy("start", "bits").agg(F.min(F.struct(mix.alias("m"), F.col("fp").alias("leader"))).alias("x"))
-    leaders = leaders.select("start", "bits", "x.leader")
-    placed = own_rows.unionByName(visits).join(leaders, ["start", "bits"]).filter("fp <> leader")
-    placed = keep(placed.withColumn("near", viable(F.col("fp").bitwiseXOR(F.col("leader")), F.col("start"), most)), "placed")
+    placed = keep(led(values, most).withColumn("near", viable(F.col("fp").bitwiseXOR(F.col("leader")), F.col("start"), most)), "placed")
 
     first = placed.filter("near").select(F.col("fp").alias("u"), F.col("leader").alias("v"))
     first = keep(components(first), "components")

@@ -10,6 +10,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelweave.llm import filter_audit, simhash, spelling
 
@@ -140,6 +141,13 @@ def test_links_of_a_crowd_stay_a_forest(spark):
     assert out.count() == len(values) and out.select("component").distinct().count() == 1
 
 
+def test_leaders_are_not_broadcast(spark, tmp_path):
+    """A table below Spark's limit has keys and leaders far above it: Spark sizes them as the table before the explode."""
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/values")
+    plan = simhash.led(spark.read.parquet(f"{tmp_path}/values"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # --- spelling ---------------------------------------------------------------------------------------------------------------
 
 
