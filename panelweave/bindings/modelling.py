@@ -147,7 +147,7 @@ def scored_twice(model, rows, ids, target):
     relational form, is an error.
     """
     compiled = K.compile_model(model)
-    by_join = K.descend(rows, ids, compiled, "_q")
+    by_join = K.descend_by_cell(rows, ids, compiled, "_q")
     both = K.compiled_predict(compiled, model.predict(rows, "_p"), "_r").join(by_join, ids)
     mean = rows.filter("split = 'train'").agg(F.avg(target)).scalar()
     same = lambda c: F.abs(F.col(c) - F.col("_p")) <= 1e-9 * F.abs("_p") + 1e-9

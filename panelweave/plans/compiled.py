@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,8 @@ class CompiledLinear:
 
 
 MODEL = "_compiled_model"  # the column that holds the trees of a compiled ensemble
+CELL = "_cell"  # the columns that tell the cells of a compiled ensemble apart
+CELLS_AT_MOST = 1 << 62  # in one such column
 
 
 @dataclass(frozen=True)
@@ -73,10 +75,57 @@ class CompiledTrees:
     nodes: DataFrame
     trees: int
     depth: int
+    cuts: Sequence[Sequence[float]]  # per feature its thresholds in all trees, ascending; no more than the bins of the training
 
     def vector(self, value: Lookup) -> Column:
         return F.array(*[F.coalesce(value(c).cast("double"), F.lit(float(self.medians[c]))) for c in self.features])
 
+    def _corners(self, f: int) -> list[float]:
+        """A value in each of a feature's places, which go from above all cuts down; the last place is that of NaN."""
+        return [float("inf"), *reversed(self.cuts[f]), float("nan")]
+
+    def _packs(self) -> list[list[int]]:
+        """The features whose places are numbered together in a cell column."""
+        packs, room = [], 0
+        for f in range(len(self.features)):
+            if room < len(self._corners(f)):
+                packs, room = [*packs, []], CELLS_AT_MOST
+            packs[-1].append(f)
+            room //= len(self._corners(f))
+        return packs
+
+    def place(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``df`` with the cell of each row, and the names of these columns. No node tells the rows of a cell apart.
+
+        A search among the cuts in compiled code; buckets are closed below and a node's left side is closed above, so values
+        are negated.
+        """
+        x = self.vector(F.col)
+        cut = [f for f in range(len(self.features)) if self.cuts[f]]
+        placed = df.withColumns({f"{CELL}_x{f}": F.lit(0.0) - F.get(x, F.lit(f)) for f in cut})
+        if cut:
+            splits = [[float("-inf"), *[0.0 - c for c in reversed(self.cuts[f])], float("inf")] for f in cut]
+            names = [[f"{CELL}_{kind}{f}" for f in cut] for kind in "xp"]
+            placed = Bucketizer(splitsArray=splits, inputCols=names[0], outputCols=names[1], handleInvalid="keep").transform(placed)
+        numbers = {}
+        for k, pack in enumerate(self._packs()):
+            number = F.lit(0).cast("bigint")
+            for f in pack:
+                number = number * len(self._corners(f)) + (F.col(f"{CELL}_p{f}").cast("bigint") if f in cut else F.lit(0))
+            numbers[f"{CELL}{k}"] = number
+        return placed.select(*df.columns, *[c.alias(n) for n, c in numbers.items()]), list(numbers)
+
+    def corner(self) -> dict[str, Column]:
+        """The features of a value in the cell, from the cell's columns: it goes the way of every row there."""
+        made = {}
+        for k, pack in enumerate(self._packs()):
+            rest = F.col(f"{CELL}{k}")
+            for f in reversed(pack):
+                places = F.lit(len(self._corners(f))).cast("bigint")
+                made[self.features[f]] = F.get(F.lit(self._corners(f)), F.pmod(rest, places).cast("int"))
+                rest = F.call_function("div", rest, places)
+        return made
+
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` with all trees in one column: arrays by node number. Their size is that of the model, whatever the data."""
         one = F.array_sort(F.collect_list(F.struct("node", "feature", "threshold", "left", "right", "value")))
@@ -127,7 +176,10 @@ def compile_model(model: FittedModel) -> Compiled:
     if isinstance(last, (GBTRegressionModel, RandomForestRegressionModel)):
         medians = {c: s.median for c, s in model.stats.items()}
         depth = max(t.depth for t in last.trees)
-        return CompiledTrees(model.name, list(medians), medians, node_table(last, SparkSession.active()), len(last.treeWeights), depth)
+        nodes = node_table(last, SparkSession.active())
+        found = nodes.filter("feature >= 0").groupBy("feature").agg(F.array_sort(F.collect_set("threshold")).alias("cuts")).collect()
+        cuts = {r.feature: r.cuts for r in found}  # one row per feature
+        return CompiledTrees(model.name, list(medians), medians, nodes, len(last.treeWeights), depth, [cuts.get(f, []) for f in range(len(medians))])
     if not isinstance(last, LinearRegressionModel) or not model.standardize:
         raise TypeError(f"no compiled form of {type(last).__name__}")
     weights = iter(last.coefficients.toArray().tolist())
@@ -140,9 +192,27 @@ def compile_model(model: FittedModel) -> Compiled:
     return CompiledLinear(model.name, last.intercept, numbers, model.stats, categories)
 
 
+def by_cell(model: CompiledTrees, df: DataFrame, score: Callable[[DataFrame, list[str]], DataFrame], column: str) -> DataFrame:
+    """``df`` with the score of each row's cell as one more column.
+
+    Trees are cut at a few values of each feature, so rows that lie between the same cuts go the same way in all of them.
+    ``score(cells, keys)`` gets one row per cell that ``df`` has, with the model's features and the cell's columns ``keys``,
+    and gives the keys and the score. Cells are no more than rows, nor than the cuts allow, however many rows there are.
+    """
+    placed, keys = model.place(df)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by number: a cell is a few bytes and 250 trees of work, so its size says nothing about the tasks it needs
+    cells = placed.select(*keys).distinct().repartition(parts, *keys).withColumns(model.corner())
+    return placed.join(score(cells, keys).select(*keys, column), keys).select(*df.columns, column)
+
+
 def compiled_predict(model: Compiled, df: DataFrame, column: str = "prediction") -> DataFrame:
-    """``df`` with the score as one more column, by an expression alone."""
-    return model.attach(df).withColumn(column, model.score(F.col)).drop(MODEL)
+    """``df`` with the score as one more column, by an expression alone: on the rows, or on the cells of an ensemble."""
+
+    def score(rows: DataFrame, _: Sequence[str] = ()) -> DataFrame:
+        return model.attach(rows).withColumn(column, model.score(F.col)).drop(MODEL)
+
+    return by_cell(model, df, score, column) if isinstance(model, CompiledTrees) else score(df)
 
 
 # --- the node table as a relation ---------------------------------------------------------------------
@@ -167,6 +237,12 @@ def descend(rows: DataFrame, keys: Sequence[str], model: CompiledTrees, column:
     return ends.groupBy(*keys).agg(F.sum("_part").alias(column))
 
 
+def descend_by_cell(rows: DataFrame, keys: Sequence[str], model: CompiledTrees, column: str = "prediction") -> DataFrame:
+    """As ``descend``, but the tokens are those of the cells: one walk for all rows between the same cuts."""
+    scored = by_cell(model, rows, lambda cells, own: descend(cells, own, model, column), column)
+    return scored.groupBy(*keys).agg(F.sum(column).alias(column))
+
+
 # --- recursion in one fold ----------------------------------------------------------------------------
 
 

@@ -83,6 +83,38 @@ def test_descending_shuffles_rows_and_not_tokens(spark, rows, models):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["boosted", "forest", "stumpless"])
+@pytest.mark.parametrize("most", [K.CELLS_AT_MOST, 40])
+def test_cells_score_like_their_rows(rows, models, monkeypatch, name, most):
+    """On a cut, beside it, missing, infinite and NaN; places in one column or, when there is no room, in several."""
+    monkeypatch.setattr(K, "CELLS_AT_MOST", most)
+    compiled = K.compile_model(models[name])
+    cuts = [c for f in compiled.cuts for c in f] or [0.0]
+    odd = [*cuts, *[c + 1e-9 for c in cuts], None, float("inf"), float("-inf"), float("nan")]
+    names = NUMERIC
+    made = [(i, *[odd[(i * (3 * k + 1) + k) % len(odd)] for k in range(len(names))]) for i in range(3 * len(odd))]
+    table = rows.sparkSession.createDataFrame(made, "id int, " + ", ".join(f"{c} double" for c in names))
+    wanted = {r.id: r.q for r in K.descend(table, ["id"], compiled, "q").collect()}
+    assert {r.id: r.q for r in K.descend_by_cell(table, ["id"], compiled, "q").collect()} == pytest.approx(wanted, abs=1e-9)
+    assert {r.id: r.q for r in K.compiled_predict(compiled, table, "q").collect()} == pytest.approx(wanted, abs=1e-9)
+    assert (len(compiled.place(table)[1]) > 1) == (most == 40 and name != "stumpless")
+
+
+def test_rows_of_a_cell_are_scored_once(rows, models):
+    """Ten rows that differ, but by no cut, are one cell: the trees are walked once for all of them, not once for each."""
+    compiled = K.compile_model(models["boosted"])
+    one = rows.filter("entity = 'K1' AND year = 2020").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    near = one.withColumn("watch", F.col("watch") + F.col("n") * 1e-7)
+    seen = []
+
+    def score(cells, keys):
+        seen.append(cells.count())
+        return K.descend(cells, keys, compiled, "q")
+
+    assert near.select("watch").distinct().count() == 10
+    assert len({r.q for r in K.by_cell(compiled, near, score, "q").collect()}) == 1 and seen == [1]
+
+
 def test_the_node_table_is_written_once(models):
     """Its readers scan one table; before, each of them joined the files of nodes and weights again."""
     nodes = K.compile_model(models["forest"]).nodes
