@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, row_mean
 from ..session import checkpoint_dir, materialize
 from . import specs
-from .models import FittedModel, Stat, known_ahead
+from .models import FittedModel, Stat, known_ahead, places
 
 Lookup = Callable[[str], Column]
 
@@ -95,23 +95,15 @@ class CompiledTrees:
         return packs
 
     def place(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        """``df`` with the cell of each row, and the names of these columns. No node tells the rows of a cell apart.
-
-        A search among the cuts in compiled code; buckets are closed below and a node's left side is closed above, so values
-        are negated.
-        """
+        """``df`` with the cell of each row, and the names of these columns. No node tells the rows of a cell apart."""
         x = self.vector(F.col)
-        cut = [f for f in range(len(self.features)) if self.cuts[f]]
-        placed = df.withColumns({f"{CELL}_x{f}": F.lit(0.0) - F.get(x, F.lit(f)) for f in cut})
-        if cut:
-            splits = [[float("-inf"), *[0.0 - c for c in reversed(self.cuts[f])], float("inf")] for f in cut]
-            names = [[f"{CELL}_{kind}{f}" for f in cut] for kind in "xp"]
-            placed = Bucketizer(splitsArray=splits, inputCols=names[0], outputCols=names[1], handleInvalid="keep").transform(placed)
+        found = {f"{CELL}_p{f}": (F.get(x, F.lit(f)), cuts) for f, cuts in enumerate(self.cuts)}
+        placed = places(df, found)
         numbers = {}
         for k, pack in enumerate(self._packs()):
             number = F.lit(0).cast("bigint")
             for f in pack:
-                number = number * len(self._corners(f)) + (F.col(f"{CELL}_p{f}").cast("bigint") if f in cut else F.lit(0))
+                number = number * len(self._corners(f)) + F.col(f"{CELL}_p{f}")
             numbers[f"{CELL}{k}"] = number
         return placed.select(*df.columns, *[c.alias(n) for n, c in numbers.items()]), list(numbers)
 

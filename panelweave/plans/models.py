@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -171,6 +171,22 @@ def fit_ridge(
     return FittedModel(name, stats, modes, model, True)
 
 
+def places(df: DataFrame, columns: Mapping[str, tuple[Column, Sequence[float]]]) -> DataFrame:
+    """``df`` with, per new column, the number of ascending cuts at or above a value: 0 above all of them, one too many for NaN.
+
+    A search in compiled code; buckets are closed below and a node's left side is closed above, so values are negated.
+    """
+    cut = {name: (x, cuts) for name, (x, cuts) in columns.items() if cuts}
+    ready = df
+    if cut:
+        ready = df.withColumns({f"{name}__n": F.lit(0.0) - x for name, (x, _) in cut.items()})
+        splits = [[float("-inf"), *[0.0 - c for c in reversed(cuts)], float("inf")] for _, cuts in cut.values()]
+        found = Bucketizer(splitsArray=splits, inputCols=[f"{name}__n" for name in cut], outputCols=[f"{name}__p" for name in cut], handleInvalid="keep")
+        ready = found.transform(ready)
+    number = {name: F.col(f"{name}__p").cast("int") if name in cut else F.lit(0) for name in columns}
+    return ready.select(*df.columns, *[c.alias(name) for name, c in number.items()])
+
+
 def _fit_trees(train: DataFrame, target: str, numeric: Sequence[str], learner, name: str) -> FittedModel:
     rows = train.filter(F.col(target).isNotNull())
     stats = fit_stats(rows, numeric)
@@ -180,23 +196,53 @@ def _fit_trees(train: DataFrame, target: str, numeric: Sequence[str], learner, n
     return FittedModel(name, stats, {}, model, False)
 
 
+def bin_values(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """The values that stand for the bins of each column, ascending: its own if they are few, else quantiles; two small rows."""
+    shares = [(2 * k + 1) / (2 * bins) for k in range(bins)]
+    first = df.agg(*[F.approx_count_distinct(c).alias(f"n_{c}") for c in columns], *[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
+    few = [c for c in columns if first[f"n_{c}"] <= 2 * bins]  # an estimate, so the values of more columns than needed are gathered
+    own = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
+    return {c: own[c] if c in few and len(own[c]) <= bins else sorted(set(first[c] or [])) for c in columns}
+
+
 def fit_boosted_trees(
     train: DataFrame, target: str, numeric: Sequence[str], *, rounds: int = 250, rate: float = 0.06, depth: int = 6, leaf: int = 4,
-    seed: int = 42, name: str = "tree_gradient_boosting",
+    seed: int = 42, name: str = "tree_gradient_boosting", bins: int = 32,
 ) -> FittedModel:
-    """Boosted trees; the residuals are checkpointed every ten rounds, so the lineage stays short."""
+    """Boosted trees; the residuals are checkpointed every ten rounds, so the lineage stays short.
+
+    Least squares on binned features needs no more of the rows than their number and mean target by bins: rows of the same
+    bins go the same way in every tree, and their spread around that mean is no split's to explain. So each combination of
+    bins that occurs is one weighted row in the rounds. A leaf's least size counts rows. Spark cuts between neighbouring
+    values, so every value stands for what is nearest to it and the trees apply to the numbers as they are.
+    """
     checkpoint_dir(train.sparkSession)
+    rows = train.filter(F.col(target).isNotNull())
+    stats = fit_stats(rows, numeric)
+    exact = rows.select(F.col(target).cast("double").alias("_y"), *[F.coalesce(F.col(c).cast("double"), F.lit(s.median)).alias(f"{c}__x") for c, s in stats.items()])
+    inputs = [f"{c}__x" for c in numeric]
+    values = bin_values(exact, inputs, bins)
+    cuts = {c: [(a + b) / 2.0 for a, b in zip(v, v[1:])] for c, v in values.items()}
+    binned = places(exact, {f"{c}b": (F.col(c), cuts[c]) for c in inputs}).select(
+        "_y", *[F.get(F.lit([*reversed(values[c]), float("nan")]), F.col(f"{c}b")).alias(c) for c in inputs]
+    )
+    cells = materialize(binned.groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("_y").alias("_y")))
+    size = cells.agg(F.sum("_rows")).first()[0] or 0.0
+    least = {"minWeightFractionPerNode": (leaf - 0.5) / size} if 2 * leaf <= size else {"minInstancesPerNode": leaf}  # else no split is allowed
     learner = GBTRegressor(
-        featuresCol="_features", labelCol=target, predictionCol="_prediction", stepSize=rate, maxDepth=depth,
-        maxIter=rounds, minInstancesPerNode=leaf, seed=seed, checkpointInterval=10,
+        featuresCol="_features", labelCol="_y", weightCol="_rows", predictionCol="_prediction", stepSize=rate, maxDepth=depth,
+        maxIter=rounds, maxBins=bins, seed=seed, checkpointInterval=10, **least,
     )
-    return _fit_trees(train, target, numeric, learner, name)
+    dealt = cells.repartition(train.sparkSession.sparkContext.defaultParallelism, *inputs)  # few bytes, much work
+    model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_features"), learner]).fit(dealt)
+    return FittedModel(name, stats, {}, model, False)
 
 
 def boosting_losses(model: FittedModel, df: DataFrame, target: str) -> list[float]:
     """Mean squared error on ``df`` after each round of a boosted model: one number per round reaches the driver."""
     assembler, trees = model.pipeline.stages
-    ready = assembler.transform(df.filter(F.col(target).isNotNull()).withColumns(model.inputs()))
+    known = df.filter(F.col(target).isNotNull()).withColumns(model.inputs())
+    ready = assembler.transform(known.withColumns({trees.getLabelCol(): F.col(target).cast("double"), trees.getWeightCol(): F.lit(1.0)}))
     return list(trees.evaluateEachIteration(ready, "squared"))
 
 

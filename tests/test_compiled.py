@@ -115,6 +115,43 @@ def test_rows_of_a_cell_are_scored_once(rows, models):
     assert len({r.q for r in K.by_cell(compiled, near, score, "q").collect()}) == 1 and seen == [1]
 
 
+def test_boosting_sees_bins_and_learns_as_from_rows(spark, monkeypatch):
+    """Spark's learner gets one weighted row per combination of bins, and grows the trees that it grows on the rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    seen = []
+
+    class Watched(GBTRegressor):
+        def _fit(self, dataset):
+            seen.append(dataset.count())
+            return super()._fit(dataset)
+
+    a, b, h = F.col("id") % 5, F.floor(F.col("id") / 7) % 4, F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+    made = materialize(spark.range(3000).select("id", a.alias("a"), F.when(b != 3, b).alias("b"), (h * h).alias("c"), (a * 3 + b * b + a * b + h).alias("y")))
+    plain = GBTRegressor(featuresCol="v", labelCol="y", predictionCol="p", stepSize=0.3, maxDepth=3, maxIter=8, minInstancesPerNode=4, seed=1)
+    ready = VectorAssembler(inputCols=["a", "m"], outputCol="v").transform(made.withColumn("m", F.coalesce("b", F.lit(1.0))))
+    wanted = {r.id: r.p for r in plain.fit(ready).transform(ready).collect()}
+    monkeypatch.setattr(M, "GBTRegressor", Watched)
+    how = {"rounds": 8, "rate": 0.3, "depth": 3, "seed": 1}
+    got = M.fit_boosted_trees(made, "y", ["a", "b"], **how)
+    assert seen == [15] and {r.id: r.q for r in got.predict(made, "q").collect()} == pytest.approx(wanted, abs=1e-9)
+    # a thousand values are 32 bins: 15 * 32 combinations, and the trees do better than without the column
+    more = M.fit_boosted_trees(made, "y", ["a", "b", "c"], **how)
+    assert 15 * 16 < seen[1] <= 15 * 32
+    assert M.boosting_losses(more, made, "y")[-1] < M.boosting_losses(got, made, "y")[-1]
+
+
+def test_places_and_bin_values(spark):
+    values = [None, -1.0, 0.0, -0.0, 0.5, 2.0, 2.5, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, x double")
+    got = {r.id: (r.p, r.q) for r in M.places(df, {"p": (F.coalesce("x", F.lit(9.0)), [-1.0, 0.0, 2.0]), "q": (F.col("x"), [])}).collect()}
+    assert [got[i] for i in range(len(values))] == [(p, 0) for p in (0, 3, 2, 2, 1, 1, 0, 0, 3, 4)]
+    many = spark.range(1000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), F.lit(7.0).alias("c"))
+    bins = M.bin_values(many, ["a", "b", "c"], 32)
+    assert len(bins["a"]) == 32 and bins["b"] == [0.0, 1.0, 2.0] and bins["c"] == [7.0] and M.bin_values(many.limit(0), ["a"], 32) == {"a": []}
+
+
 def test_the_node_table_is_written_once(models):
     """Its readers scan one table; before, each of them joined the files of nodes and weights again."""
     nodes = K.compile_model(models["forest"]).nodes
